@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html, language, mixing, sharding, tokens
+from . import contamination, fingerprints, html, language, mixing, sharding, tokens
 from .common import read
 
 
+def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(read(spark, sf_dir, "documents"))
+
+
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_text(read(spark, sf_dir, "pages"))
 
@@ -25,10 +29,14 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(read(spark, sf_dir, "documents"))
 
 
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.contained(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(read(spark, sf_dir, "documents").select("doc_id"))
 
 
-QUERIES = {f.__name__: f for f in (op4_html_extraction, op5_source_mixing, op6_language_id, op7_token_counts, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op3_document_fingerprints, op4_html_extraction, op5_source_mixing, op6_language_id, op7_token_counts, op8_benchmark_decontamination, op10_sharding)}
 
-SQL = {"op5_source_mixing": mixing.SQL, "op10_sharding": sharding.shard_sql()}
+SQL = {"op8_benchmark_decontamination": contamination.SQL, "op5_source_mixing": mixing.SQL, "op10_sharding": sharding.shard_sql()}
