@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contamination, fingerprints, html, language, mixing, sharding, tokens
+from . import contamination, fingerprints, html, language, mixing, repeats, sharding, tokens
 from .common import read
 
 
@@ -33,10 +33,14 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contamination.contained(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(read(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(read(spark, sf_dir, "documents").select("doc_id"))
 
 
-QUERIES = {f.__name__: f for f in (op3_document_fingerprints, op4_html_extraction, op5_source_mixing, op6_language_id, op7_token_counts, op8_benchmark_decontamination, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op3_document_fingerprints, op4_html_extraction, op5_source_mixing, op6_language_id, op7_token_counts, op8_benchmark_decontamination, op9_suffix_dedup, op10_sharding)}
 
 SQL = {"op8_benchmark_decontamination": contamination.SQL, "op5_source_mixing": mixing.SQL, "op10_sharding": sharding.shard_sql()}
