@@ -1 +1,153 @@
-"""Registered queries."""
+"""Registered queries: event studies, earnings, prints, filings."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from panelspark.functions.normal import cdf_sql
+from panelspark.operators import rolling as R
+from panelspark.operators import studies as S
+from panelspark.operators.asof import asof
+from panelspark.plans.joins import EVENTS, events
+from panelspark.plans.panels import PAIRED, W
+from panelspark.registry import query
+from panelspark.sources.views import bars, bench, bench_returns, by_symbol, prints, read, sql, symbol_of, with_returns
+
+STUDY = EVENTS + ", " + PAIRED + f""", e AS (SELECT DISTINCT symbol, event_type, event_date, after_close FROM ev),
+t0 AS (SELECT e.*, k FROM (SELECT * FROM e WHERE after_close) e ASOF JOIN p ON e.symbol = p.symbol AND event_date < trade_date UNION ALL SELECT e.*, k FROM (SELECT * FROM e WHERE NOT after_close) e ASOF JOIN p ON e.symbol = p.symbol AND event_date >= trade_date),
+t1 AS (SELECT * FROM t0 JOIN (SELECT symbol, max(k) AS last FROM p GROUP BY symbol) USING (symbol) WHERE k - 120 >= 1 AND k + 1 <= last),
+w AS (SELECT t1.symbol, event_type, event_date, p.ret, p.bench_ret, p.k - t1.k AS o FROM t1 JOIN p ON p.symbol = t1.symbol AND (p.k BETWEEN t1.k - 120 AND t1.k - 21 OR p.k BETWEEN t1.k - 1 AND t1.k + 1)),
+g AS (SELECT symbol, event_type, event_date, count(*) FILTER (o <= -21) AS n, avg(bench_ret) FILTER (o <= -21) AS mx, avg(ret) FILTER (o <= -21) AS my, covar_pop(ret, bench_ret) FILTER (o <= -21) AS c, var_pop(bench_ret) FILTER (o <= -21) AS vx, var_pop(ret) FILTER (o <= -21) AS vy, count(*) FILTER (o >= -1) AS l, sum(bench_ret) FILTER (o >= -1) AS sx, sum(ret) FILTER (o >= -1) AS sy FROM w GROUP BY ALL HAVING count(*) FILTER (o <= -21) >= 30),
+g2 AS (SELECT *, c / vx AS beta, my - c / vx * mx AS alpha FROM g), g3 AS (SELECT *, sy - l * alpha - beta * sx AS car, greatest(0, n * (vy - beta * c)) / (n - 2) AS s2 FROM g2),
+g4 AS (SELECT *, car / sqrt(s2 * (l + l * l / n + pow(sx - l * mx, 2) / (n * vx))) AS t FROM g3),
+cars AS (SELECT symbol, event_type, event_date, n, round(alpha, 6) AS alpha, round(beta, 6) AS beta, round(c * c / (vx * vy), 6) AS r2, round(car, 6) AS car, round(t, 6) AS t, round(2 * (1 - {cdf_sql('abs(t)')}), 6) AS p FROM g4)"""
+
+
+def study(spark, d):
+    e = events(spark, d).select("symbol", "event_type", "event_date", "after_close").distinct()
+    return S.event_study(e, S.paired_sessions(bars(spark, d), bench_returns(bench(spark, d))))
+
+
+# one (symbol, type, date) with both after_close states is two events of one key: the SQL
+# and the operator both gather it in one group
+@query("es1_event_study", sql("r", "br", ctes=STUDY, body="SELECT * FROM cars"))
+def es1(spark, d):
+    return study(spark, d)
+
+
+@query("a15_es3_pooled_cars", sql("r", "br", ctes=STUDY + ", q AS (SELECT event_type, count(*) AS n, array_agg(car ORDER BY car) AS cars, avg(car) AS m, stddev_samp(car) AS s FROM cars GROUP BY 1 HAVING count(*) >= 2)", body=f"SELECT event_type, n, cars, round(m, 6) AS mean, round(s, 6) AS sd, round(m / (s / sqrt(n)), 6) AS t, round(2 * (1 - {cdf_sql('abs(m / (s / sqrt(n)))')}), 6) AS p FROM q"))
+def es3(spark, d):
+    return S.pooled(study(spark, d))
+
+
+@query("es4_r4_car_percentile", sql("r", "br", ctes=STUDY, body="SELECT symbol, event_type, event_date, car, round(100 * cume_dist() OVER (PARTITION BY event_type ORDER BY car), 6) AS pooled_pct FROM cars"))
+def es4(spark, d):
+    return study(spark, d).select("symbol", "event_type", "event_date", "car", F.round(100 * F.cume_dist().over(Window.partitionBy("event_type").orderBy("car")), 6).alias("pooled_pct"))
+
+
+@query("es2_collapsed_events", "WITH RECURSIVE " + EVENTS + ", e AS (SELECT DISTINCT symbol, event_type, event_date FROM ev), k AS (SELECT symbol, event_type, min(event_date) AS event_date FROM e GROUP BY ALL UNION ALL SELECT k.symbol, k.event_type, (SELECT min(e.event_date) FROM e WHERE e.symbol = k.symbol AND e.event_type = k.event_type AND e.event_date > k.event_date + 60) FROM k WHERE k.event_date IS NOT NULL) SELECT symbol, event_type, event_date, (event_date + 60)::DATE AS end_date FROM k WHERE event_date IS NOT NULL")
+def es2(spark, d):
+    return S.collapse(events(spark, d))
+
+
+EARN = """earn AS (SELECT 'S' || lpad((o_custkey % 20)::VARCHAR, 2, '0') AS symbol, max(o_orderdate)::DATE AS date, sum(round(o_totalprice * 100)::BIGINT) / count(*) / 100 AS estimate,
+ sum(round(o_totalprice * 100)::BIGINT) FILTER (o_orderstatus = 'F') / nullif(count(*) FILTER (o_orderstatus = 'F'), 0) / 100 AS actual FROM orders GROUP BY o_custkey % 20, date_trunc('quarter', o_orderdate)),
+earn2 AS (SELECT *, CASE WHEN abs(estimate) >= 0.05 THEN round(actual / estimate - 1, 6) END AS surprise, actual IS NULL AS upcoming FROM earn)"""
+
+
+def earnings(spark, d):
+    """(symbol, date, estimate, actual, surprise, upcoming): a print a symbol and quarter;
+    the actual is the mean of finished orders, the estimate that of all."""
+    o = read(spark, d, "orders").withColumn("cents", F.round(F.col("o_totalprice") * 100).cast("bigint"))
+    done = F.col("o_orderstatus") == "F"
+    e = o.groupBy((F.col("o_custkey") % 20).alias("k"), F.date_trunc("quarter", "o_orderdate").alias("q")).agg(F.to_date(F.max("o_orderdate")).alias("date"), (F.sum("cents") / F.count("*") / 100).alias("estimate"), (F.try_divide(F.sum(F.when(done, F.col("cents"))), F.count_if(done)) / 100).alias("actual"))
+    return e.select(symbol_of(F.col("k")).alias("symbol"), "date", "estimate", "actual", F.when(F.abs("estimate") >= 0.05, F.round(F.col("actual") / F.col("estimate") - 1, 6)).alias("surprise"), F.col("actual").isNull().alias("upcoming"))
+
+
+@query("src12_pf13_earnings", "WITH " + EARN + " SELECT symbol, date, round(estimate, 4) AS estimate, round(actual, 4) AS actual, surprise, upcoming FROM earn2")
+def src12(spark, d):
+    return earnings(spark, d).withColumns({"estimate": F.round("estimate", 4), "actual": F.round("actual", 4)})
+
+
+METRICS = f"mx AS (SELECT symbol, trade_date, ret AS reaction, open / prev_close - 1 AS gap, lag(close) OVER {W} / lag(close, 6) OVER {W} - 1 AS runup, volume / avg(volume) OVER (PARTITION BY symbol ORDER BY trade_date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS rel_volume, lead(close, 5) OVER {W} / close - 1 AS drift_5, lead(close, 20) OVER {W} / close - 1 AS drift_20 FROM r)"
+
+
+def event_metrics(spark, d):
+    w = by_symbol()
+    r = with_returns(bars(spark, d))
+    r = r.withColumns({"reaction": F.col("ret"), "gap": F.col("open") / F.col("prev_close") - 1, "runup": F.lag("close").over(w) / F.lag("close", 6).over(w) - 1, "rel_volume": F.col("volume") / F.avg("volume").over(R.before(20)), "drift_5": F.lead("close", 5).over(w) / F.col("close") - 1, "drift_20": F.lead("close", 20).over(w) / F.col("close") - 1})
+    e = earnings(spark, d).where("NOT upcoming").select("symbol", "date", "surprise")
+    cols = ["reaction", "gap", "runup", "rel_volume", "drift_5", "drift_20"]
+    e = asof(e, "date", r.select("symbol", "trade_date", *cols), "trade_date", ["symbol"], ["trade_date", *cols], forward=True)
+    return R.tidy(e, "symbol", "date", "surprise", "trade_date", **{c: F.col(c) for c in cols})
+
+
+EM = "em AS (SELECT e.symbol, e.date, surprise, trade_date, " + ", ".join(f"round({c}, 6) AS {c}" for c in ("reaction", "gap", "runup", "rel_volume", "drift_5", "drift_20")) + " FROM (SELECT * FROM earn2 WHERE NOT upcoming) e ASOF LEFT JOIN mx ON e.symbol = mx.symbol AND e.date <= trade_date)"
+ALL_EM = EARN + ", " + METRICS + ", " + EM
+
+
+@query("w30_event_metrics", sql("r", ctes=ALL_EM, body="SELECT * FROM em"))
+def w30(spark, d):
+    return event_metrics(spark, d)
+
+
+@query("a16_drift_summary", sql("r", ctes=ALL_EM, body="SELECT symbol, count(*) AS events, round(avg(drift_20) FILTER (surprise > 0), 6) AS drift_beat, round(avg(drift_20) FILTER (surprise < 0), 6) AS drift_miss FROM em GROUP BY symbol"))
+def a16(spark, d):
+    return event_metrics(spark, d).groupBy("symbol").agg(F.count("*").alias("events"), F.round(F.avg(F.when(F.col("surprise") > 0, F.col("drift_20"))), 6).alias("drift_beat"), F.round(F.avg(F.when(F.col("surprise") < 0, F.col("drift_20"))), 6).alias("drift_miss"))
+
+
+@query("a17_own_history", sql("r", ctes=ALL_EM, body="SELECT symbol, surprise > 0 AS beat, count(reaction) AS n, round(median(reaction), 8) AS median_reaction, round(avg(reaction), 6) AS mean_reaction, count(*) FILTER (reaction > 0) AS positive, CASE WHEN count(reaction) < 3 THEN 'limited' ELSE 'ok' END AS state FROM em WHERE surprise IS NOT NULL GROUP BY ALL"))
+def a17(spark, d):
+    g = event_metrics(spark, d).where("surprise IS NOT NULL").groupBy("symbol", (F.col("surprise") > 0).alias("beat"))
+    return g.agg(F.count("reaction").alias("n"), F.round(F.percentile("reaction", 0.5), 8).alias("median_reaction"), F.round(F.avg("reaction"), 6).alias("mean_reaction"), F.count_if(F.col("reaction") > 0).alias("positive")).withColumn("state", F.when(F.col("n") < 3, "limited").otherwise("ok"))
+
+
+@query("a18_surprise_buckets", sql("r", ctes=ALL_EM + ", k AS (SELECT *, floor((row_number() OVER (ORDER BY surprise, symbol, date) - 1) * 5 / count(*) OVER ())::INT + 1 AS bucket FROM em WHERE surprise IS NOT NULL)", body="SELECT bucket, count(*) AS n, round(avg(surprise), 6) AS mean_surprise, round(avg(reaction), 6) AS mean_reaction, round(avg(drift_20), 6) AS mean_drift FROM k GROUP BY bucket"))
+def a18(spark, d):
+    w = Window.partitionBy(F.lit(1))
+    e = event_metrics(spark, d).where("surprise IS NOT NULL")  # a row a symbol and quarter
+    e = e.withColumn("bucket", (F.floor((F.row_number().over(w.orderBy("surprise", "symbol", "date")) - 1) * 5 / F.count("*").over(w)) + 1).cast("int"))
+    return e.groupBy("bucket").agg(F.count("*").alias("n"), *[F.round(F.avg(c), 6).alias(k) for c, k in (("surprise", "mean_surprise"), ("reaction", "mean_reaction"), ("drift_20", "mean_drift"))])
+
+
+@query("a36_earnings_moves", sql("r", ctes=ALL_EM + ", k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS k FROM em WHERE reaction IS NOT NULL)", body="SELECT symbol, count(*) AS n, round(avg(abs(reaction)), 6) AS mean_move, round(median(abs(reaction)), 8) AS median_move, round(median(abs(reaction)) FILTER (k <= 8), 8) AS median_last_8 FROM k GROUP BY symbol"))
+def a36(spark, d):
+    e = event_metrics(spark, d).where("reaction IS NOT NULL").withColumns({"m": F.abs("reaction"), "k": F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("date")))})
+    return e.groupBy("symbol").agg(F.count("*").alias("n"), F.round(F.avg("m"), 6).alias("mean_move"), F.round(F.percentile("m", 0.5), 8).alias("median_move"), F.round(F.percentile(F.when(F.col("k") <= 8, F.col("m")), 0.5), 8).alias("median_last_8"))
+
+
+@query("r17_f23_drift_screen", sql("r", ctes=ALL_EM + ", l AS (SELECT * FROM em QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) = 1), z AS (SELECT symbol, max(trade_date) AS today FROM r GROUP BY symbol)", body="SELECT symbol, date, surprise, date_diff('day', date, today)::BIGINT AS days_since, row_number() OVER (ORDER BY abs(surprise) DESC, symbol) AS place FROM l JOIN z USING (symbol)"))
+def r17(spark, d):
+    e = event_metrics(spark, d)
+    latest = e.groupBy("symbol").agg(F.max_by(F.struct("date", "surprise"), "date").alias("x")).select("symbol", "x.*")
+    today = bars(spark, d).groupBy("symbol").agg(F.max("trade_date").alias("today"))
+    w = Window.partitionBy(F.lit(1)).orderBy(F.desc(F.abs("surprise")), "symbol")  # a row a symbol
+    return latest.join(today, "symbol").select("symbol", "date", "surprise", F.datediff("today", "date").cast("bigint").alias("days_since"), F.row_number().over(w).alias("place"))
+
+
+@query("r20_src11_largest_prints", sql("prints", body="SELECT user_id, event_id, round(value * size, 4) AS premium, row_number() OVER (PARTITION BY user_id ORDER BY value * size DESC, event_id) AS place FROM prints WHERE value > 0 AND size > 0 QUALIFY place <= 3"))
+def r20(spark, d):
+    p = prints(spark, d).where("value > 0 AND size > 0").withColumn("x", F.col("value") * F.col("size"))
+    p = p.withColumn("place", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("x"), "event_id"))).where("place <= 3")
+    return p.select("user_id", "event_id", F.round("x", 4).alias("premium"), "place")
+
+
+@query("pf29_a19_net_activity", sql("prints", ctes="s AS (SELECT *, CASE WHEN event_type IN ('purchase', 'signup') THEN 1 WHEN event_type = 'error' THEN 0 ELSE -1 END AS sign FROM prints)", body="SELECT user_id, count(*) FILTER (sign = 1) AS buys, count(*) FILTER (sign = -1) AS sells, coalesce(sum(sign * size), 0)::BIGINT AS net, count(DISTINCT event_type) AS kinds FROM s GROUP BY user_id"))
+def pf29(spark, d):
+    s = prints(spark, d).withColumn("sign", F.when(F.col("event_type").isin("purchase", "signup"), 1).when(F.col("event_type") == "error", 0).otherwise(-1))
+    return s.groupBy("user_id").agg(F.count_if(F.col("sign") == 1).alias("buys"), F.count_if(F.col("sign") == -1).alias("sells"), F.coalesce(F.sum(F.col("sign") * F.col("size")), F.lit(0)).alias("net"), F.count_distinct("event_type").alias("kinds"))
+
+
+@query("a20_monthly_net", sql("prints", body="SELECT event_type, date_trunc('week', ts)::DATE AS week, sum(size)::BIGINT AS net FROM prints WHERE event_type <> 'error' GROUP BY ALL HAVING sum(size) <> 0"))
+def a20(spark, d):
+    p = prints(spark, d).where("event_type <> 'error'")
+    return p.groupBy("event_type", F.to_date(F.date_trunc("week", "ts")).alias("week")).agg(F.sum("size").alias("net")).where("net <> 0")
+
+
+@query("w28_level_touches", sql("r", ctes=f"t AS (SELECT *, max(high) OVER (PARTITION BY symbol ORDER BY trade_date ROWS BETWEEN 63 PRECEDING AND 1 PRECEDING) AS lv, lead(ret) OVER {W} AS nx FROM r)", body="SELECT symbol, count(*) AS touches, count(*) FILTER (close < lv) AS reversals, round(avg(nx), 6) AS next_ret FROM t WHERE prev_close < lv AND high >= lv * 0.998 GROUP BY symbol"))
+def w28(spark, d):
+    """Touches of the 63-day high from below, how many closed under it, and the next day."""
+    r = with_returns(bars(spark, d)).withColumns({"lv": F.max("high").over(R.before(63)), "nx": F.lead("ret").over(by_symbol())})
+    t = r.where((F.col("prev_close") < F.col("lv")) & (F.col("high") >= F.col("lv") * 0.998))
+    return t.groupBy("symbol").agg(F.count("*").alias("touches"), F.count_if(F.col("close") < F.col("lv")).alias("reversals"), F.round(F.avg("nx"), 6).alias("next_ret"))
