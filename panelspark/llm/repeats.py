@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import Rolling, partitions, pieces, release, table, utf8
 
 WIDTH, SAMPLE = 50, 20
-PIECE, FLUSH = 1 << 21, 1 << 20
+PIECE, FLUSH = 1 << 19, 1 << 19
 NULL_ID = (1 << 63) - 1
 U8, U16, U32, U64, I64 = (np.dtype(t) for t in ("u1", "u2", "u4", "u8", "i8"))
 PLACES = (I64, U16, U32, U8)  # document, its number among equal ids, place, windows
@@ -115,7 +115,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     """(doc bucket, kind, blob) with the repeated windows of every row of ``docs`` (key,
     dup, text): documents, places and numbers of windows."""
     spark = docs.sparkSession
-    n_tuples, n_docs = 32 * partitions(spark), doc_buckets(spark)
+    n_tuples, n_docs = 4 * partitions(spark), doc_buckets(spark)
     flat = "bucket int, kind int, blob binary"
     names = ["bucket", "kind", "blob"]
 
@@ -218,7 +218,7 @@ def repeats(docs: DataFrame) -> DataFrame:
 
 def doc_buckets(spark) -> int:
     """A prime, so that ids in steps spread."""
-    n = 8 * partitions(spark) + 1
+    n = partitions(spark) | 1
     while any(n % d == 0 for d in range(2, int(n**0.5) + 1)):
         n += 1
     return n

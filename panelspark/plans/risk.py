@@ -1 +1,241 @@
-"""Registered queries."""
+"""Registered queries: regression, tail tests, stress, strategies, model evaluation."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from panelspark.functions.normal import cdf, cdf_sql
+from panelspark.operators import cross as C
+from panelspark.operators import rolling as R
+from panelspark.operators import solve
+from panelspark.operators.asof import asof
+from panelspark.plans.joins import MACRO, macro
+from panelspark.plans.panels import PAIRED, SCORE, W
+from panelspark.registry import query
+from panelspark.sources.views import bars, bench, bench_returns, by_symbol, sql, with_returns
+
+
+def paired(spark, d):
+    r = with_returns(bars(spark, d)).join(bench_returns(bench(spark, d)), "trade_date")
+    return r.where("ret IS NOT NULL AND bench_ret IS NOT NULL")
+
+
+@query("st3_ols_beta", sql("r", "br", ctes=PAIRED, body="SELECT symbol, count(*) AS n, round(covar_samp(ret, bench_ret) / var_samp(bench_ret), 6) AS beta, round(avg(ret) - covar_samp(ret, bench_ret) / var_samp(bench_ret) * avg(bench_ret), 6) AS alpha, round(sqrt(greatest(0, var_samp(ret) - pow(covar_samp(ret, bench_ret), 2) / var_samp(bench_ret)) / (count(*) - 2) / var_samp(bench_ret)), 6) AS se FROM p GROUP BY symbol"))
+def st3(spark, d):
+    g = paired(spark, d).groupBy("symbol").agg(F.count("*").alias("n"), F.covar_samp("ret", "bench_ret").alias("c"), F.var_samp("bench_ret").alias("vx"), F.var_samp("ret").alias("vy"), F.avg("ret").alias("my"), F.avg("bench_ret").alias("mx"))
+    b = F.col("c") / F.col("vx")
+    return R.tidy(g, "symbol", "n", beta=b, alpha=F.col("my") - b * F.col("mx"), se=F.sqrt(F.greatest(F.lit(0.0), F.col("vy") - F.col("c") * F.col("c") / F.col("vx")) / (F.col("n") - 2) / F.col("vx")))
+
+
+@query("st4_regime_betas", sql("r", "br", ctes=PAIRED, body="SELECT symbol, " + ", ".join(f"count(*) FILTER (bench_ret {o} 0) AS n_{k}, round(CASE WHEN count(*) FILTER (bench_ret {o} 0) >= 10 THEN covar_samp(ret, bench_ret) FILTER (bench_ret {o} 0) / var_samp(bench_ret) FILTER (bench_ret {o} 0) ELSE covar_samp(ret, bench_ret) / var_samp(bench_ret) END, 6) AS beta_{k}" for k, o in (("up", ">"), ("down", "<"))) + " FROM p GROUP BY symbol"))
+def st4(spark, d):
+    def part(ok):
+        x, y = F.when(ok, F.col("bench_ret")), F.when(ok, F.col("ret"))
+        return F.count_if(ok), F.round(F.when(F.count_if(ok) >= 10, F.covar_samp(y, x) / F.var_samp(x)).otherwise(F.covar_samp("ret", "bench_ret") / F.var_samp("bench_ret")), 6)
+
+    (nu, bu), (nd, bd) = part(F.col("bench_ret") > 0), part(F.col("bench_ret") < 0)
+    return paired(spark, d).groupBy("symbol").agg(nu.alias("n_up"), bu.alias("beta_up"), nd.alias("n_down"), bd.alias("beta_down"))
+
+
+@query("st5_macro_regime_betas", sql("r", "br", ctes=PAIRED + ", " + MACRO + ", f AS (SELECT trade_date, v - lag(v, 63) OVER (ORDER BY trade_date) AS ch FROM bench ASOF LEFT JOIN macro ON trade_date >= obs_date), q AS (SELECT p.*, CASE WHEN ch > 0.25 THEN 'rising' WHEN ch < -0.25 THEN 'falling' ELSE 'steady' END AS regime FROM p JOIN f USING (trade_date) WHERE ch IS NOT NULL)", body="SELECT symbol, regime, count(*) AS n, round(covar_samp(ret, bench_ret) / var_samp(bench_ret), 6) AS beta FROM q GROUP BY ALL HAVING count(*) >= 60"))
+def st5(spark, d):
+    f = asof(bench(spark, d).select("trade_date").withColumn("one", F.lit(1)), "trade_date", macro(spark, d).withColumn("one", F.lit(1)), "obs_date", ["one"], ["v"])
+    f = f.select("trade_date", (F.col("v") - F.lag("v", 63).over(Window.partitionBy("one").orderBy("trade_date"))).alias("ch")).where("ch IS NOT NULL")
+    q = paired(spark, d).join(f, "trade_date").withColumn("regime", F.when(F.col("ch") > 0.25, "rising").when(F.col("ch") < -0.25, "falling").otherwise("steady"))
+    g = q.groupBy("symbol", "regime").agg(F.count("*").alias("n"), F.covar_samp("ret", "bench_ret").alias("c"), F.var_samp("bench_ret").alias("v")).where("n >= 60")
+    return R.tidy(g, "symbol", "regime", "n", beta=F.col("c") / F.col("v"))
+
+
+@query("st2_dimson_beta")
+def st2(spark, d):
+    """Betas on the benchmark's day before, same day and day after, summed."""
+    w = by_symbol()
+    p = paired(spark, d).withColumns({"x0": F.lag("bench_ret").over(w), "x1": F.col("bench_ret"), "x2": F.lead("bench_ret").over(w)}).where("x0 IS NOT NULL AND x2 IS NOT NULL")
+    return solve.grouped_ols(p, ["symbol"], "ret", ["x0", "x1", "x2"]).select("symbol", "n", F.round(F.col("coef")[1] + F.col("coef")[2] + F.col("coef")[3], 6).alias("beta"), F.round("r2", 6).alias("r2"))
+
+
+@query("st1_factor_exposures")
+def st1(spark, d):
+    """Regression on six factors with Newey-West errors. Factors here: the benchmark's
+    return, its square, its lag, and three sector means."""
+    from panelspark.sources.views import sectors
+
+    r = paired(spark, d).join(sectors(spark, d), "symbol", "left")
+    s = r.groupBy("trade_date").agg(*[F.coalesce(F.avg(F.when(F.col("sector") == k, F.col("ret"))), F.lit(0.0)).alias(f"f{i}") for i, k in enumerate(("ASIA", "EUROPE", "AMERICA"))])
+    p = r.join(s, "trade_date").withColumns({"f3": F.col("bench_ret"), "f4": F.col("bench_ret") * F.col("bench_ret"), "f5": F.lag("bench_ret").over(by_symbol())}).where("f5 IS NOT NULL")
+    out = solve.grouped_ols(p, ["symbol"], "ret", [f"f{i}" for i in range(6)], order="trade_date", newey_west=True)
+    return out.select("symbol", "n", F.round(F.col("coef")[0] * 252, 6).alias("alpha"), F.transform(F.slice("coef", 2, 6), lambda x: F.round(x, 6)).alias("betas"), F.transform(F.slice("se", 2, 6), lambda x: F.round(x, 6)).alias("errors"), F.round("r2", 6).alias("r2"))
+
+
+HITS = f"h AS (SELECT symbol, trade_date, ret, CASE WHEN count(ret) OVER f = 250 THEN quantile_cont(ret, 0.01) OVER f END AS q FROM r WINDOW f AS (PARTITION BY symbol ORDER BY trade_date ROWS BETWEEN 250 PRECEDING AND 1 PRECEDING)), k AS (SELECT *, (ret < q)::INT AS hit, lag((ret < q)::INT) OVER {W} AS prev FROM h WHERE q IS NOT NULL), c AS (SELECT symbol, count(*) AS n, sum(hit) AS x, count(*) FILTER (prev = 0 AND hit = 0) AS n00, count(*) FILTER (prev = 0 AND hit = 1) AS n01, count(*) FILTER (prev = 1 AND hit = 0) AS n10, count(*) FILTER (prev = 1 AND hit = 1) AS n11 FROM k GROUP BY symbol)"
+
+
+def _xlog(a: str, b: str) -> str:
+    return f"CASE WHEN {a} > 0 THEN {a} * ln({b}) ELSE 0 END"
+
+
+POF = f"greatest(0, -2 * (({_xlog('(n - x)', '0.99')}) + ({_xlog('x', '0.01')}) - ({_xlog('(n - x)', '(1 - x / n)')}) - ({_xlog('x', 'x / n')})))"
+PI, P0, P1 = "((n01 + n11) / (n00 + n01 + n10 + n11))", "(n01 / (n00 + n01))", "(n11 / nullif(n10 + n11, 0))"
+IND = f"greatest(0, -2 * (({_xlog('(n00 + n10)', f'(1 - {PI})')}) + ({_xlog('(n01 + n11)', PI)}) - ({_xlog('n00', f'(1 - {P0})')}) - ({_xlog('n01', P0)}) - ({_xlog('n10', f'(1 - {P1})')}) - ({_xlog('n11', P1)})))"
+
+
+@query("st11_st12_var_backtest", sql("r", ctes=HITS + f", l AS (SELECT *, {POF} AS pof, {IND} AS ind FROM c)", body=f"SELECT symbol, n, x::BIGINT AS breaches, round(pof, 6) AS pof, round(2 * (1 - ({cdf_sql('sqrt(pof)')})), 6) AS pof_p, round(ind, 6) AS ind, CASE WHEN x / n <= 0.015 THEN 'green' WHEN x / n <= 0.03 THEN 'amber' ELSE 'red' END AS light FROM l"))
+def st12(spark, d):
+    """99 % value at risk of the 250 days before, tested: Kupiec's coverage and
+    Christoffersen's independence."""
+    r = with_returns(bars(spark, d))
+    w = R.before(250)
+    k = r.withColumn("q", F.when(F.count("ret").over(w) == 250, F.percentile("ret", 0.01).over(w))).where("q IS NOT NULL").withColumn("hit", (F.col("ret") < F.col("q")).cast("int"))
+    k = k.withColumn("prev", F.lag("hit").over(by_symbol()))
+    pair = lambda a, b: F.count_if((F.col("prev") == a) & (F.col("hit") == b))
+    c = k.groupBy("symbol").agg(F.count("*").alias("n"), F.sum("hit").alias("x"), *[pair(a, b).alias(f"n{a}{b}") for a in (0, 1) for b in (0, 1)])
+    xlog = lambda a, b: F.when(a > 0, a * F.ln(b)).otherwise(0.0)
+    n, x, n00, n01, n10, n11 = (F.col(i) for i in ("n", "x", "n00", "n01", "n10", "n11"))
+    pof = F.greatest(F.lit(0.0), -2 * (xlog(n - x, F.lit(0.99)) + xlog(x, F.lit(0.01)) - xlog(n - x, 1 - x / n) - xlog(x, x / n)))
+    pi, p0, p1 = (n01 + n11) / (n00 + n01 + n10 + n11), n01 / (n00 + n01), F.try_divide(n11, n10 + n11)
+    ind = F.greatest(F.lit(0.0), -2 * (xlog(n00 + n10, 1 - pi) + xlog(n01 + n11, pi) - xlog(n00, 1 - p0) - xlog(n01, p0) - xlog(n10, 1 - p1) - xlog(n11, p1)))
+    c = c.withColumns({"pof": pof, "ind": ind})
+    light = F.when(x / n <= 0.015, "green").when(x / n <= 0.03, "amber").otherwise("red")
+    return R.tidy(c.withColumn("light", light).withColumn("breaches", x), "symbol", "n", "breaches", "light", pof=F.col("pof"), pof_p=2 * (1 - cdf(F.sqrt("pof"))), ind=F.col("ind"))
+
+
+@query("st10_forecast_evaluation", sql("r", ctes="t AS (SELECT symbol, ret * ret AS rv, CASE WHEN count(ret) OVER w = 60 THEN avg(ret * ret) OVER w END AS fc, avg(ret * ret) OVER (PARTITION BY symbol) AS naive FROM r WINDOW w AS (PARTITION BY symbol ORDER BY trade_date ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING))", body="SELECT symbol, count(*) AS n, round(avg(pow(rv - fc, 2)), 6) AS mse, round(avg(pow(rv - naive, 2)), 6) AS mse_naive, round(avg(ln(fc) + rv / fc), 6) AS qlike FROM t WHERE fc > 0 AND rv IS NOT NULL GROUP BY symbol"))
+def st10(spark, d):
+    r = with_returns(bars(spark, d)).withColumn("rv", F.col("ret") * F.col("ret"))
+    r = r.withColumns({"fc": R.full(F.avg("rv").over(R.before(60)), "ret", 60, R.before(60)), "naive": F.avg("rv").over(Window.partitionBy("symbol"))}).where("fc > 0 AND rv IS NOT NULL")
+    sq = lambda c: F.avg(F.pow(F.col("rv") - F.col(c), F.lit(2)))
+    return r.groupBy("symbol").agg(F.count("*").alias("n"), F.round(sq("fc"), 6).alias("mse"), F.round(sq("naive"), 6).alias("mse_naive"), F.round(F.avg(F.ln("fc") + F.col("rv") / F.col("fc")), 6).alias("qlike"))
+
+
+SCENARIOS = (("s1", "1993-01-01", "1993-06-30"), ("s2", "1995-03-01", "1995-12-31"), ("s3", "1997-07-01", "1998-03-31"))
+
+
+@query("st13_stress_scenarios", sql("bars", ctes="sc(scenario, a, b) AS (VALUES " + ", ".join(f"('{k}', DATE '{a}', DATE '{b}')" for k, a, b in SCENARIOS) + "), t AS (SELECT scenario, symbol, trade_date, close, max(close) OVER (PARTITION BY scenario, symbol ORDER BY trade_date) AS peak FROM bars JOIN sc ON trade_date BETWEEN a AND b)", body="SELECT scenario, symbol, count(*) AS sessions, round(min(close / peak - 1), 6) AS trough, round(arg_max(close, trade_date) / arg_min(close, trade_date) - 1, 6) AS total FROM t GROUP BY ALL"))
+def st13(spark, d):
+    cases = F.array(*[F.struct(F.lit(k).alias("scenario"), F.lit(a).cast("date").alias("a"), F.lit(b).cast("date").alias("b")) for k, a, b in SCENARIOS])
+    t = bars(spark, d).withColumn("s", F.explode(F.filter(cases, lambda s: F.col("trade_date").between(s["a"], s["b"])))).select("s.scenario", "symbol", "trade_date", "close")
+    t = t.withColumn("peak", F.max("close").over(Window.partitionBy("scenario", "symbol").orderBy("trade_date")))
+    g = t.groupBy("scenario", "symbol").agg(F.count("*").alias("sessions"), F.min(F.col("close") / F.col("peak") - 1).alias("x"), (F.max_by("close", "trade_date") / F.min_by("close", "trade_date") - 1).alias("y"))
+    return R.tidy(g, "scenario", "symbol", "sessions", trough=F.col("x"), total=F.col("y"))
+
+
+@query("st8_tail_with_bootstrap")
+def st8(spark, d):
+    """Value at risk, shortfall and tail count, with a 90 % interval of the first from 200
+    resamples: a resample's rows are drawn by hash, all in one grouped job."""
+    r = with_returns(bars(spark, d)).where("ret IS NOT NULL").select("symbol", "trade_date", "ret")
+    n = Window.partitionBy("symbol")
+    r = r.withColumns({"n": F.count("*").over(n), "k": F.row_number().over(n.orderBy("trade_date")) - 1})
+    draws = r.select("symbol", "n", "k").withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(200)))).withColumn("pick", F.pmod(F.xxhash64("symbol", "b", "k"), "n"))
+    boot = draws.select("symbol", "b", F.col("pick").alias("k")).join(r.select("symbol", "k", "ret"), ["symbol", "k"]).groupBy("symbol", "b").agg(F.percentile("ret", 0.05).alias("q"))
+    ci = boot.groupBy("symbol").agg(F.percentile("q", 0.05).alias("lo"), F.percentile("q", 0.95).alias("hi"))
+    q = r.withColumn("q", F.percentile("ret", 0.05).over(n)).where("ret <= q").groupBy("symbol").agg(F.first("q").alias("q"), F.avg("ret").alias("es"), F.count("*").alias("tail"))
+    return R.tidy(q.join(ci, "symbol").withColumn("low_confidence", F.col("tail") < 30), "symbol", "tail", "low_confidence", var_95=-F.col("q"), es_95=-F.col("es"), var_low=-F.col("hi"), var_high=-F.col("lo"))
+
+
+@query("st9_garch_grid")
+def st9(spark, d):
+    """GARCH(1,1) by likelihood over a grid of (alpha, beta), variance targeted: each
+    symbol's returns are folded once for each grid point."""
+    r = with_returns(bars(spark, d)).where("ret IS NOT NULL")
+    per = r.groupBy("symbol").agg(F.transform(F.array_sort(F.collect_list(F.struct("trade_date", "ret"))), lambda x: x["ret"]).alias("r"), F.var_samp("ret").alias("v"), F.avg("ret").alias("m"))
+    grid = [(a / 100, b / 100) for a in range(2, 21, 3) for b in range(70, 98, 4) if a + b < 100]
+    per = per.withColumn("g", F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in grid]))).select("symbol", "r", "v", "m", "g.a", "g.b")
+    start = F.struct(F.col("v").alias("h"), F.lit(0.0).alias("ll"))
+
+    def step(s, x):
+        e2 = (x - F.col("m")) * (x - F.col("m"))
+        return F.struct(((1 - F.col("a") - F.col("b")) * F.col("v") + F.col("a") * e2 + F.col("b") * s["h"]).alias("h"), (s["ll"] - 0.5 * (F.ln(s["h"]) + e2 / s["h"])).alias("ll"))
+
+    per = per.withColumn("fit", F.aggregate("r", start, step))
+    best = per.groupBy("symbol").agg(F.max_by(F.struct("a", "b", F.col("fit")["h"].alias("h")), F.col("fit")["ll"]).alias("x"))
+    return best.select("symbol", "x.a", "x.b", F.round(F.sqrt(F.col("x.h") * 252), 6).alias("next_vol"))
+
+
+@query("st7_deflated_sharpe", sql("r", ctes="g AS (SELECT symbol, count(ret) AS n, avg(ret) / stddev_samp(ret) AS sr, skewness(ret) * (count(ret) - 2) / sqrt(count(ret) * (count(ret) - 1.0)) AS g1, kurtosis_pop(ret) AS g2 FROM r GROUP BY symbol), z AS (SELECT *, sr * sqrt(n - 1) / sqrt(greatest(1e-9, 1 - g1 * sr + (g2 + 2) / 4 * sr * sr)) AS z FROM g)", body=f"SELECT symbol, n, round(sr * sqrt(252), 6) AS sharpe, round({cdf_sql('z')}, 6) AS psr FROM z"))
+def st7(spark, d):
+    g = with_returns(bars(spark, d)).groupBy("symbol").agg(F.count("ret").alias("n"), (F.avg("ret") / F.stddev_samp("ret")).alias("sr"), F.skewness("ret").alias("g1"), F.kurtosis("ret").alias("g2"))
+    z = F.col("sr") * F.sqrt(F.col("n") - 1) / F.sqrt(F.greatest(F.lit(1e-9), 1 - F.col("g1") * F.col("sr") + (F.col("g2") + 2) / 4 * F.col("sr") * F.col("sr")))
+    return R.tidy(g.withColumn("z", z), "symbol", "n", sharpe=F.col("sr") * R.YEAR, psr=cdf(F.col("z")))
+
+
+SIGNAL = SCORE + f", e AS (SELECT *, CASE WHEN round(score, 6) >= 65 THEN 1 WHEN round(score, 6) < 45 THEN 0 END AS ev FROM sc), sg AS (SELECT symbol, trade_date, ret, coalesce(last_value(ev IGNORE NULLS) OVER {W}, 0) AS state FROM e), h AS (SELECT *, coalesce(lag(state) OVER {W}, 0) AS held, coalesce(lag(state, 2) OVER {W}, 0) AS held2 FROM sg), st AS (SELECT symbol, trade_date, held, held * coalesce(ret, 0) - abs(held - held2) * 10 / 1e4 AS x FROM h)"
+
+
+def strategy(spark, d):
+    r = R.composite(bars(spark, d)).withColumn("score", F.round("score", 6))
+    r = r.withColumn("state", R.hysteresis(r, "score", 65, 45))
+    return R.strategy_returns(r)
+
+
+PERF = f"t AS (SELECT *, exp(sum(ln(1 + x)) OVER {W}) AS wealth FROM st WHERE x > -1), u AS (SELECT *, wealth / greatest(1, max(wealth) OVER {W}) - 1 AS dd FROM t), g AS (SELECT symbol, count(*) AS n, exp(sum(ln(1 + x))) AS w, avg(x) AS m, stddev_samp(x) AS s, sqrt(avg(pow(least(x, 0), 2))) AS down, min(dd) AS dd FROM u GROUP BY symbol)"
+
+
+@query("bt2_bt3_strategy_performance", sql("r", ctes=SIGNAL + ", " + PERF, body="SELECT symbol, n, round(w - 1, 6) AS total, round(pow(w, 252 / n) - 1, 6) AS cagr, round(s * sqrt(252), 6) AS vol, round(m / nullif(s, 0) * sqrt(252), 6) AS sharpe, round(m / nullif(down, 0) * sqrt(252), 6) AS sortino, round(dd, 6) AS max_drawdown, round((pow(w, 252 / n) - 1) / nullif(-dd, 0), 6) AS calmar FROM g"))
+def bt3(spark, d):
+    return C.perf_stats(strategy(spark, d), ["symbol"], "strat_ret", "trade_date")
+
+
+@query("bt4_walk_forward_folds", sql("r", ctes=SIGNAL + f", k AS (SELECT *, row_number() OVER {W} AS rn FROM st), fo AS (SELECT symbol, ((rn - 253) // 63)::INT AS fold, x FROM k WHERE rn > 252)", body="SELECT symbol, fold, count(*) AS n, round(sum(x), 6) AS total, round(avg(x) / nullif(stddev_samp(x), 0) * sqrt(252), 6) AS sharpe FROM fo GROUP BY ALL"))
+def bt4(spark, d):
+    s = strategy(spark, d).where("rn > 252").withColumn("fold", F.floor((F.col("rn") - 253) / 63).cast("int"))
+    return s.groupBy("symbol", "fold").agg(F.count("*").alias("n"), F.round(F.sum("strat_ret"), 6).alias("total"), F.round(F.try_divide(F.avg("strat_ret"), F.stddev_samp("strat_ret")) * R.YEAR, 6).alias("sharpe"))
+
+
+@query("a25_trade_ledger", sql("r", ctes=SIGNAL + f", c AS (SELECT *, CASE WHEN held <> lag(held) OVER {W} THEN 1 ELSE 0 END AS ch FROM st), n AS (SELECT *, sum(ch) OVER {W} AS run FROM c), tr AS (SELECT symbol, run, sum(x) AS pl, count(*) AS days FROM n WHERE held = 1 GROUP BY ALL)", body="SELECT symbol, count(*) AS trades, round(avg((pl > 0)::INT), 6) AS win_rate, round(sum(greatest(pl, 0)) / nullif(-sum(least(pl, 0)), 0), 6) AS profit_factor, sum(days)::BIGINT AS days_held FROM tr GROUP BY symbol"))
+def a25(spark, d):
+    t = R.runs(strategy(spark, d), "held").where("held = 1").groupBy("symbol", "run").agg(F.sum("strat_ret").alias("pl"), F.count("*").alias("days"))
+    g = t.groupBy("symbol").agg(F.count("*").alias("trades"), F.avg((F.col("pl") > 0).cast("int")).alias("w"), F.sum(F.greatest("pl", F.lit(0.0))).alias("up"), F.sum(F.least("pl", F.lit(0.0))).alias("down"), F.sum("days").alias("days_held"))
+    return R.tidy(g, "symbol", "trades", "days_held", win_rate=F.col("w"), profit_factor=F.try_divide("up", -F.col("down")))
+
+
+ROTATE = f"m AS (SELECT symbol, trade_date, ret, lag(close, 21) OVER {W} / lag(close, 126) OVER {W} - 1 AS mo FROM r), ds AS (SELECT trade_date, row_number() OVER (ORDER BY trade_date) AS k FROM bench), rb AS (SELECT symbol, k // 21 AS b, trade_date AS rd FROM m JOIN ds USING (trade_date) WHERE k % 21 = 0 AND mo IS NOT NULL QUALIFY row_number() OVER (PARTITION BY trade_date ORDER BY round(mo, 9) DESC, symbol) <= 5)"
+
+
+@query("bt1_rotation", sql("r", "bench", ctes=ROTATE, body="SELECT m.trade_date, count(ret) AS names, round(sum(ret) / 5, 6) AS ret FROM m JOIN ds USING (trade_date) JOIN rb ON rb.symbol = m.symbol AND rb.b = (k - 1) // 21 WHERE ret IS NOT NULL GROUP BY m.trade_date"))
+def bt1(spark, d):
+    """The five with most momentum at every 21st session, a fifth each, held until the
+    next; a name without a bar that day adds nothing."""
+    r, w = with_returns(bars(spark, d)), by_symbol()
+    m = r.withColumn("mo", F.lag("close", 21).over(w) / F.lag("close", 126).over(w) - 1)
+    ds = bench(spark, d).select("trade_date", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("trade_date")).alias("k"))
+    m = m.join(ds, "trade_date")
+    top = F.row_number().over(Window.partitionBy("trade_date").orderBy(F.desc(F.round("mo", 9)), "symbol"))
+    rb = m.where("k % 21 = 0 AND mo IS NOT NULL").withColumn("p", top).where("p <= 5").select("symbol", F.expr("k div 21").alias("b"))
+    held = m.where("ret IS NOT NULL").withColumn("b", F.expr("(k - 1) div 21")).join(rb, ["symbol", "b"])
+    return held.groupBy("trade_date").agg(F.count("ret").alias("names"), F.round(F.sum("ret") / 5, 6).alias("ret"))
+
+
+@query("bt5_permutation_test")
+def bt5(spark, d):
+    """Sharpe ratio of the strategy against 50 paths of shuffled 21-day blocks of returns:
+    the signal is kept, the blocks it meets are dealt anew by hash, one group a replicate."""
+    s = strategy(spark, d).where("ret IS NOT NULL").select("symbol", "trade_date", "held", "ret")
+    w = Window.partitionBy("symbol").orderBy("trade_date")
+    s = s.withColumn("k", F.row_number().over(w) - 1).withColumns({"block": F.floor(F.col("k") / 21), "at": F.col("k") % 21})
+    blocks = s.select("symbol", "block").distinct().withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(50))))
+    p = Window.partitionBy("symbol", "b")
+    order = F.when(F.col("b") == 0, F.col("block")).otherwise(F.xxhash64("symbol", "b", "block"))
+    blocks = blocks.withColumn("to", F.row_number().over(p.orderBy(order)) - 1)
+    paths = blocks.join(s.select("symbol", "block", "at", "ret"), ["symbol", "block"]).select("symbol", "b", F.col("to").alias("block"), "at", "ret").join(s.select("symbol", "block", "at", "held"), ["symbol", "block", "at"])
+    g = paths.groupBy("symbol", "b").agg((F.avg(F.col("held") * F.col("ret")) / F.stddev_samp(F.col("held") * F.col("ret"))).alias("sr"))
+    real = g.where("b = 0").select("symbol", F.col("sr").alias("real"))
+    return g.where("b > 0").join(real, "symbol").groupBy("symbol").agg(F.round(F.first("real") * R.YEAR, 6).alias("sharpe"), F.round((F.count_if(F.col("sr") >= F.col("real")) + 1) / (F.count("*") + 1), 6).alias("p"))
+
+
+@query("a43_a44_label_evaluation", sql("r", ctes=f"t AS (SELECT symbol, trade_date, (ret > 0)::INT AS y, CASE WHEN lag(ret) OVER {W} IS NOT NULL THEN greatest(1e-6::DOUBLE, least(1 - 1e-6::DOUBLE, 1 / (1 + exp(-5 * lag(ret) OVER {W})))) END AS p FROM r), u AS (SELECT * FROM t WHERE p IS NOT NULL)", body="SELECT least(9, floor(p * 10))::INT AS bin, count(*) AS n, round(avg(p), 6) AS mean_p, round(avg(y), 6) AS rate, round(avg(pow(p - y, 2)), 6) AS brier, round(-avg(CASE WHEN y = 1 THEN ln(p) ELSE ln(1 - p) END), 6) AS log_loss FROM u GROUP BY 1"))
+def a44(spark, d):
+    r = with_returns(bars(spark, d))
+    u = r.select((F.col("ret") > 0).cast("int").alias("y"), F.when(F.lag("ret").over(by_symbol()).isNotNull(), F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), 1 / (1 + F.exp(-5 * F.lag("ret").over(by_symbol())))))).alias("p")).where("p IS NOT NULL")
+    ll = -F.avg(F.when(F.col("y") == 1, F.ln("p")).otherwise(F.ln(1 - F.col("p"))))
+    return u.groupBy(F.least(F.lit(9), F.floor(F.col("p") * 10)).cast("int").alias("bin")).agg(F.count("*").alias("n"), F.round(F.avg("p"), 6).alias("mean_p"), F.round(F.avg("y"), 6).alias("rate"), F.round(F.avg(F.pow(F.col("p") - F.col("y"), F.lit(2))), 6).alias("brier"), F.round(ll, 6).alias("log_loss"))
+
+
+@query("ml2_purged_folds", sql("bars", ctes="ds AS (SELECT trade_date, row_number() OVER (ORDER BY trade_date) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT trade_date FROM bars)), f AS (SELECT trade_date, k, n, floor(k * 5 / n)::INT AS fold FROM ds), g AS (SELECT fold, min(k) AS lo, max(k) AS hi FROM f GROUP BY fold)", body="SELECT g.fold, count(*) FILTER (f.fold = g.fold) AS test_days, count(*) FILTER (f.k < g.lo - 10 OR f.k > g.hi + 20) AS train_days FROM f, g GROUP BY g.fold"))
+def ml2(spark, d):
+    w = Window.partitionBy(F.lit(1))
+    f = bars(spark, d).select("trade_date").distinct().withColumns({"k": F.row_number().over(w.orderBy("trade_date")) - 1, "n": F.count("*").over(w)}).withColumn("fold", F.floor(F.col("k") * 5 / F.col("n")).cast("int"))
+    g = f.groupBy("fold").agg(F.min("k").alias("lo"), F.max("k").alias("hi"))
+    pairs = f.select("k", F.col("fold").alias("own")).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(4)))).join(g, "fold")
+    return pairs.groupBy("fold").agg(F.count_if(F.col("own") == F.col("fold")).alias("test_days"), F.count_if((F.col("k") < F.col("lo") - 10) | (F.col("k") > F.col("hi") + 20)).alias("train_days"))
