@@ -107,7 +107,13 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[at[0] : at[-1]], at - at[0]
 
 
-def pieces(at: np.ndarray, most: int = 1 << 21):
+def offsets(column: pa.Array) -> np.ndarray:
+    """Where each row's bytes start, if rows are put one after another."""
+    size = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    return np.append(0, np.cumsum(size, dtype=np.int64))
+
+
+def pieces(at: np.ndarray, most: int = 1 << 18):
     """Row ranges of at most ``most`` bytes, but at least one row, each."""
     first = 0
     while first < len(at) - 1:

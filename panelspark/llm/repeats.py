@@ -22,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Rolling, partitions, pieces, release, table, utf8
+from .common import Rolling, offsets, partitions, pieces, release, table, utf8
 
 WIDTH, SAMPLE = 50, 20
-PIECE, FLUSH = 1 << 19, 1 << 19
+PIECE, FLUSH = 1 << 17, 1 << 18
 NULL_ID = (1 << 63) - 1
 U8, U16, U32, U64, I64 = (np.dtype(t) for t in ("u1", "u2", "u4", "u8", "i8"))
 PLACES = (I64, U16, U32, U8)  # document, its number among equal ids, place, windows
@@ -115,7 +115,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     """(doc bucket, kind, blob) with the repeated windows of every row of ``docs`` (key,
     dup, text): documents, places and numbers of windows."""
     spark = docs.sparkSession
-    n_tuples, n_docs = 4 * partitions(spark), doc_buckets(spark)
+    n_tuples, n_docs = 5 * partitions(spark), doc_buckets(spark)
     flat = "bucket int, kind int, blob binary"
     names = ["bucket", "kind", "blob"]
 
@@ -138,11 +138,12 @@ def repeats(docs: DataFrame) -> DataFrame:
         n = 0
         for batch in batches:
             keys, dups = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            data, at = utf8(batch.column(2))
+            at = offsets(batch.column(2))
             for a, b, lo, hi in parts(at):
+                data = utf8(batch.column(2).slice(a, b - a))[0][lo - at[a] : hi - at[a]]
                 sizes = np.minimum(at[a + 1 : b + 1], hi) - np.maximum(at[a:b], lo)
                 row = np.repeat(np.arange(a, b), sizes)
-                sample, string, start, count = samples(data[lo:hi], np.minimum(at[row + 1], hi) - lo)
+                sample, string, start, count = samples(data, np.minimum(at[row + 1], hi) - lo)
                 row = row[start]
                 held.append((sample, string, keys[row], dups[row].astype(U16), (start + lo - at[row]).astype(U32), count.astype(U8)))
                 n += len(start)
