@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, pieces, utf8
+from .common import mix, offsets, pieces
 
 #: Rows a language that the model is fitted on, at most; hash buckets of trigrams.
 SAMPLE, BUCKETS, SMOOTHING, ROUNDS = 3000, 1 << 16, 0.2, 6
@@ -118,7 +118,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
         total = np.zeros((len(langs), BUCKETS), np.int64)
         place = {lang: i for i, lang in enumerate(langs)}
         for batch in batches:
-            _, at = utf8(batch.column(0))
+            at = offsets(batch.column(0))
             for a, b in pieces(at, 1 << 20):
                 of = [place[x] for x in batch.column(1).slice(a, b - a).to_pylist()]
                 ids, some, starts, ends = trigrams(batch.column(0).slice(a, b - a).to_pylist())
@@ -146,7 +146,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.string(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.float64()), pa.float64()]
         for batch in batches:
-            _, at = utf8(batch.column(2))
+            at = offsets(batch.column(2))
             for a, b in pieces(at, 1 << 20):
                 texts = [t or "" for t in batch.column(2).slice(a, b - a).to_pylist()]
                 got = model.predict(texts)

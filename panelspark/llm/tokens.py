@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, pieces, powers, utf8
+from .common import mix, offsets, pieces, powers
 
 LIMIT = 1024
 TOKENIZER = "byte_bpe_50k.json"
@@ -181,7 +181,7 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = compiled(path)
         for batch in batches:
-            _, at = utf8(batch.column(1))
+            at = offsets(batch.column(1))
             for a, b in pieces(at, 1 << 20):
                 texts = [t or "" for t in batch.column(1).slice(a, b - a).to_pylist()]
                 n = machine.count(texts)
