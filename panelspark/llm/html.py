@@ -3,8 +3,11 @@
 Markup is stripped into lines: every block element ends a line, and every sectioning
 element leaves as many empty lines as the window is wide. Text lengths are summed over a
 sliding window of lines; the sum surges where a section's text starts and dives to zero
-where it ends. Text between a surge and the dive after it is kept if the section is the
-article's, or, on pages without one, if it is as dense as the densest."""
+where it ends. That is done on every page. Sections with few links and SHARE of the
+densest one's text are dense. Article and main elements only weigh: beside text in them
+other sections count by OUTSIDE, and links in them cost half. If a section in an article
+(or main element) is dense, all sections in articles (main elements) are kept; of the
+others, the dense ones, and sections with few links between them or next to them."""
 
 from __future__ import annotations
 
@@ -17,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WINDOW, SHARE, LINKS = 3, 0.2, 0.5
+WINDOW, SHARE, LINKS, OUTSIDE = 3, 0.2, 0.5, 0.5
 SCHEMA = "page_id bigint, url string, text string, n_chars bigint"
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 SILENT = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "audio", "video", "head", "title", "textarea", "select", "option"}
@@ -133,17 +136,13 @@ def lines(page: str) -> list[tuple[str, bool, bool, int]]:
     return out
 
 
-def extract(page: str | None) -> str:
-    """The main text of one page."""
-    rows = lines(page or "")
-    for k in (1, 2):  # inside the article, or else the main element
-        if any(r[0] and r[k] for r in rows):
-            return " ".join(r[0] for r in rows if r[0] and r[k])
+def sections(rows: list[tuple[str, bool, bool, int]]) -> list[tuple[int, int, int, list[str]]]:
+    """(kind, characters, characters of links, lines) of each text between a surge of the
+    window sums and the dive after it; kind: 1 in an article, 2 in a main element, 0 in
+    neither. Section ends make gaps, so a section has one kind."""
     size = np.array([len(r[0]) for r in rows] + [0] * WINDOW)
-    if not len(rows) or not size.any():
-        return ""
     sums = np.convolve(size, np.ones(WINDOW, int))[WINDOW - 1 :][: len(rows)]  # of a line and those after it
-    kept: list[tuple[int, list[str]]] = []
+    out = []
     i = 0
     while i < len(rows):
         if not rows[i][0]:
@@ -152,13 +151,34 @@ def extract(page: str | None) -> str:
         j = i  # a surge; the dive is the first window without text
         while j < len(rows) and sums[j] > 0:
             j += 1
-        part = rows[i:j]
-        total, links = sum(len(r[0]) for r in part), sum(r[3] for r in part)
-        if links <= LINKS * total:
-            kept.append((total - links, [r[0] for r in part if r[0]]))
+        part = [r for r in rows[i:j] if r[0]]
+        kind = 1 if part[0][1] else 2 if part[0][2] else 0
+        out.append((kind, sum(len(r[0]) for r in part), sum(r[3] for r in part), [r[0] for r in part]))
         i = j
-    most = max((n for n, _ in kept), default=0)
-    return " ".join(t for n, texts in kept if n >= SHARE * most for t in texts)
+    return out
+
+
+def extract(page: str | None) -> str:
+    """The main text of one page."""
+    found = sections(lines(page or ""))
+    tagged = any(kind for kind, *_ in found)
+    low = [links <= LINKS * n for _, n, links, _ in found]
+    # tags halve what links cost; beside tagged sections, others count by OUTSIDE
+    size = [n - (LINKS * links if kind else links) for kind, n, links, _ in found]
+    most = max((s for s, (kind, *_), few in zip(size, found, low) if kind or few), default=0)
+    dense = [(kind or few) and s * (OUTSIDE if tagged and not kind else 1) >= SHARE * most for s, (kind, *_), few in zip(size, found, low)]
+    kinds = {kind for (kind, *_), d in zip(found, dense) if d}
+    kept = {i for i, (kind, *_) in enumerate(found) if kind and kind in kinds}
+    if 0 in kinds:
+        seeds = [i for i, (kind, *_) in enumerate(found) if dense[i] and not kind]
+        plain = {i for i, (kind, *_) in enumerate(found) if low[i] and not kind}
+        a, b = seeds[0], seeds[-1]
+        while a - 1 in plain:
+            a -= 1
+        while b + 1 in plain:
+            b += 1
+        kept |= {i for i in plain if a <= i <= b}
+    return " ".join(t for i in sorted(kept) for t in found[i][3])
 
 
 def main_text(pages: DataFrame) -> DataFrame:

@@ -175,6 +175,21 @@ def test_pages(spark):
     assert got == {i: (t, len(t)) for i, (_, t) in enumerate(PAGES)} and html.main_text(df.limit(0)).count() == 0
 
 
+BODY = " ".join(["Body text of the page."] * 40)
+WEIGHED = [
+    (f"<div><p>{BODY}</p></div><article><p>Short teaser.</p></article>", BODY),
+    (f"<main><article><a href=a>A card</a></article><div>{BODY}</div></main>", BODY),
+    (f"<article><p>{BODY}</p><ul><li><a href=a>Ref</a></ul><div>End.</div></article><div>Buy now</div>", f"{BODY} Ref End."),
+    (f"<div>{BODY}</div><div>The end.</div><ul><li><a href=a>One</a></ul><div>Far away</div>", f"{BODY} The end."),
+    (f"<div>{BODY}</div><ul><li><a href=a>One</a></ul><div>Between</div><ul><li><a href=a>Two</a></ul><div>{BODY}</div>", f"{BODY} Between {BODY}"),
+    ("<article><ul><li><a href=a>One</a><li><a href=b>Two</a></ul></article>", "One Two"),
+]
+
+
+def test_tags_only_weigh():
+    assert [html.extract(h) for h, _ in WEIGHED] == [t for _, t in WEIGHED]
+
+
 # -- 5 -----------------------------------------------------------------------
 
 
