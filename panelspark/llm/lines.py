@@ -9,21 +9,24 @@ copy; unions of copies are the maximal repeated runs, and they are deleted."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import table
+from .mixing import n_words
 from .repeats import NULL_ID, keyed
 
-LEAST = 3
+LEAST, WORDS = 3, 50
 
 
 def named(rows: DataFrame, by: list[str]) -> DataFrame:
-    """(key, dup, pos, name) of rows whose ``by`` isn't theirs alone; name: the earliest
-    place that has it. Summed up before the shuffle; the join back can be split."""
+    """(key, dup, pos, need, name) of rows whose ``by`` isn't theirs alone; name: the
+    earliest place that has it. Summed up before the shuffle; the join back can be split."""
     place = F.struct("key", "dup", "pos")
     names = rows.groupBy(*by).agg(F.min(place).alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return table(rows.join(names, by).select("key", "dup", "pos", F.col("least").alias("name")))
+    return table(rows.join(names, by).select("key", "dup", "pos", "need", F.col("least").alias("name")))
 
 
 def shifted(names: DataFrame, by: int) -> DataFrame:
@@ -32,28 +35,57 @@ def shifted(names: DataFrame, by: int) -> DataFrame:
     return names.join(ahead, ["key", "dup", "pos"])
 
 
-def copies(lines: DataFrame, least: int = LEAST) -> DataFrame:
-    """(key, dup, pos): places of (key, dup, pos, line) where a run of ``least`` lines
-    starts that also starts earlier."""
+def copies(lines: DataFrame, least: int = LEAST, short: bool = False) -> DataFrame:
+    """(key, dup, pos, size): places of (key, dup, pos, line, need) where a run of
+    ``size`` = ``least`` lines starts that also starts earlier. With ``short`` the sizes
+    below count too, at places that need no more lines."""
     lines = lines.withColumns({"h1": F.md5(F.col("line").cast("binary"))}).drop("line")
     names, size = named(lines, ["h1"]), 1
+    later = lambda: names.where((F.col("name") < F.struct("key", "dup", "pos")) & (F.col("need") <= size)).select("key", "dup", "pos", F.lit(size).alias("size"))
+    found = []
     while size < least:
-        step = min(size, least - size)
+        if short:
+            found.append(later())
+        step = 1 if short else min(size, least - size)
         names, size = named(shifted(names, step), ["name", "name2"]), size + step
-    return names.where(F.col("name") < F.struct("key", "dup", "pos")).select("key", "dup", "pos")
+    return reduce(DataFrame.unionByName, found, later())
+
+
+def needed(counts: Column, i: Column, least: int, words: int) -> Column:
+    """How many lines from the ``i``-th on, ``least`` at most, have ``words`` words."""
+    need = F.lit(least)
+    for n in range(least - 1, 0, -1):
+        need = F.when(reduce(lambda a, k: a + F.get(counts, i + k), range(1, n), F.get(counts, i)) >= words, n).otherwise(need)
+    return need
 
 
-def without_copies(docs: DataFrame, least: int = LEAST) -> DataFrame:
+def whole_copies(rows: DataFrame, least: int) -> DataFrame:
+    """(key, dup, pos, size) of texts under ``least`` lines, with a word, that are also
+    the whole text of an earlier row."""
+    rows = rows.select("key", "dup", F.size(F.split("text", "\n")).alias("size"), F.md5(F.col("text").cast("binary")).alias("h"), n_words(F.col("text")).alias("w"))
+    rows = rows.where((F.col("size") < least) & (F.col("w") > 0)).withColumns({"pos": F.lit(0), "need": F.lit(0)})
+    return named(rows, ["h", "size"]).where(F.col("name") < F.struct("key", "dup", "pos")).select("key", "dup", "pos").join(rows, ["key", "dup", "pos"]).select("key", "dup", "pos", "size")
+
+
+def without_copies(docs: DataFrame, least: int = LEAST, words: int | None = None) -> DataFrame:
     """Per row of ``docs``: doc_id, text (what is left, lines joined by line feeds),
     n_lines, n_removed, n_runs. A line goes if a run of ``least`` lines that holds it
     starts at an earlier place too: in a document with a smaller doc_id, or further up.
+    With ``words``, so do runs of fewer lines that have as many words, and texts of fewer
+    lines that are, whole, the text of an earlier row (texts without a word stay).
     Null text counts as empty, one empty line; a null doc_id comes last; rows that share
     a doc_id come in the order of their texts; other columns are left out; an empty table
     gives an empty table."""
     rows = keyed(docs)
-    lines = rows.select("key", "dup", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    starts = table(copies(lines, least))
-    gone = starts.select("key", "dup", F.explode(F.sequence(F.col("pos"), F.col("pos") + (least - 1))).alias("pos")).distinct()
+    if words:
+        counted = rows.select("key", "dup", F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("line"), n_words(x).alias("w"))).alias("each"))
+        place = F.transform("each", lambda x, i: F.struct(x["line"].alias("line"), needed(F.col("each.w"), i, least, words).alias("need")))
+        lines = counted.select("key", "dup", F.posexplode(place).alias("pos", "x")).select("key", "dup", "pos", "x.*")
+    else:
+        lines = rows.select("key", "dup", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("need", F.lit(least))
+    starts = copies(lines, least, bool(words))
+    starts = table(starts.unionByName(whole_copies(rows, least)) if words else starts)
+    gone = starts.select("key", "dup", F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("size") - 1)).alias("pos")).distinct()
     first = F.coalesce(F.lag("pos").over(Window.partitionBy("key", "dup").orderBy("pos")), F.lit(-2)) < F.col("pos") - 1
     gone = gone.withColumn("first", first.cast("int"))
     gone = table(gone.groupBy("key", "dup").agg(F.collect_list("pos").alias("gone"), F.sum("first").alias("n_runs")))
@@ -68,9 +100,9 @@ def without_copies(docs: DataFrame, least: int = LEAST) -> DataFrame:
     )
 
 
-def digests(docs: DataFrame) -> DataFrame:
+def digests(docs: DataFrame, words: int | None = None) -> DataFrame:
     """``without_copies`` with the SHA-256 of the text in place of it."""
-    return without_copies(docs).select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2("text", 256).alias("kept_sha256"))
+    return without_copies(docs, words=words).select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2("text", 256).alias("kept_sha256"))
 
 
 SQL = """
@@ -82,3 +114,18 @@ r AS (SELECT *, coalesce(lag(pos) OVER (PARTITION BY doc_id ORDER BY pos), -2) <
 SELECT a.doc_id, count(*) AS n_lines, count(r.pos) AS n_removed, count(*) FILTER (r.first) AS n_runs,
        sha256(coalesce(string_agg(a.line, chr(10) ORDER BY a.pos) FILTER (r.pos IS NULL), '')) AS kept_sha256
 FROM a LEFT JOIN r USING (doc_id, pos) GROUP BY a.doc_id"""
+
+SQL_SHORT = rf"""
+WITH a AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS pos FROM documents),
+n AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w FROM a),
+b AS (SELECT *, lead(line) OVER o AS l2, lead(line, 2) OVER o AS l3, w + lead(w) OVER o AS w2 FROM n WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+c AS (SELECT doc_id, pos, 3 AS size, row_number() OVER (PARTITION BY line, l2, l3 ORDER BY doc_id, pos) AS k FROM b WHERE l3 IS NOT NULL
+  UNION ALL SELECT doc_id, pos, 2, row_number() OVER (PARTITION BY line, l2 ORDER BY doc_id, pos) FROM b WHERE w2 >= {WORDS}
+  UNION ALL SELECT doc_id, pos, 1, row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) FROM b WHERE w >= {WORDS}
+  UNION ALL SELECT doc_id, 0, len(string_split(text, chr(10))), row_number() OVER (PARTITION BY text ORDER BY doc_id) FROM documents
+            WHERE len(string_split(text, chr(10))) < 3 AND regexp_matches(text, '[^\x20\x09-\x0D]')),
+g AS (SELECT DISTINCT doc_id, pos + o AS pos FROM c, (VALUES (0), (1), (2)) v(o) WHERE k > 1 AND o < size),
+r AS (SELECT *, coalesce(lag(pos) OVER (PARTITION BY doc_id ORDER BY pos), -2) < pos - 1 AS first FROM g)
+SELECT a.doc_id, count(*) AS n_lines, count(r.pos) AS n_removed, count(*) FILTER (r.first) AS n_runs,
+       sha256(coalesce(string_agg(a.line, chr(10) ORDER BY a.pos) FILTER (r.pos IS NULL), '')) AS kept_sha256
+FROM a LEFT JOIN r USING (doc_id, pos) GROUP BY a.doc_id"""

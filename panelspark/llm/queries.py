@@ -12,6 +12,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digests(read(spark, sf_dir, "documents"))
 
 
+def op1_short_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digests(read(spark, sf_dir, "documents"), lines.WORDS)
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(read(spark, sf_dir, "documents"))
 
@@ -49,6 +53,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(read(spark, sf_dir, "documents").select("doc_id"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_ngram_jaccard_join, op3_document_fingerprints, op4_html_extraction, op5_source_mixing, op6_language_id, op7_token_counts, op8_benchmark_decontamination, op9_suffix_dedup, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_ngram_jaccard_join, op3_document_fingerprints, op4_html_extraction, op5_source_mixing, op6_language_id, op7_token_counts, op8_benchmark_decontamination, op9_suffix_dedup, op10_sharding, op1_short_runs)}
 
-SQL = {"op1_line_dedup": lines.SQL, "op2_ngram_jaccard_join": jaccard.SQL, "op8_benchmark_decontamination": contamination.SQL, "op5_source_mixing": mixing.SQL, "op10_sharding": sharding.shard_sql()}
+SQL = {"op1_line_dedup": lines.SQL, "op1_short_runs": lines.SQL_SHORT, "op2_ngram_jaccard_join": jaccard.SQL, "op8_benchmark_decontamination": contamination.SQL, "op5_source_mixing": mixing.SQL, "op10_sharding": sharding.shard_sql()}

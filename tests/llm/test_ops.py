@@ -57,6 +57,34 @@ def test_lines(spark, least):
     assert sorted(((r.doc_id, r.n_lines, r.n_removed, r.n_runs, r.text) for r in got.collect()), key=repr) == line_brute(rows, least)
 
 
+def short_brute(rows, words):
+    """As line_brute, with runs of one or two lines and whole texts."""
+    rows = sorted(((1 << 63) - 1 if i is None else i, t or "") for i, t in rows)
+    seen, texts, out = set(), set(), []
+    for i, t in rows:
+        ls = t.split("\n")
+        gone = set(range(len(ls))) if t in texts and t.split() else set()
+        texts.add(t)
+        for p in range(len(ls)):
+            for n in (1, 2, 3):
+                w = tuple(ls[p : p + n])
+                if len(w) == n and w in seen and (n == 3 or len(" ".join(w).split()) >= words):
+                    gone.update(range(p, p + n))
+                seen.add(w)
+        runs = sum(1 for p in gone if p - 1 not in gone)
+        out.append((None if i == (1 << 63) - 1 else i, len(ls), len(gone), runs, "\n".join(x for p, x in enumerate(ls) if p not in gone)))
+    return sorted(out, key=repr)
+
+
+def test_short_runs(spark):
+    r = random.Random(7)
+    parts = ["a", "b", "", "c d e f", "g h i j k l m", " ".join("nopqrst")]
+    rows = [(r.randrange(30) if k % 9 else None, "\n".join(r.choice(parts) for _ in range(r.randrange(1, 6)))) for k in range(80)] + [(31, "same text"), (32, "same text"), (33, "two\nlines"), (34, "two\nlines"), (35, None), (36, ""), (37, " \n")]
+    got = lines.without_copies(spark.createDataFrame(rows, "doc_id bigint, text string"), words=7)
+    got = sorted(((x.doc_id, x.n_lines, x.n_removed, x.n_runs, x.text) for x in got.collect()), key=repr)
+    assert got == short_brute(rows, 7) and {i: t for i, *_, t in got}[32] == {i: t for i, *_, t in got}[34] == ""
+
+
 def test_lines_odd(odd, none):
     assert lines.digests(odd).count() == len(ODD) and lines.digests(none).count() == 0
 
