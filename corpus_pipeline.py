@@ -14,33 +14,52 @@ from panelspark.llm.common import read, release, scratch, table
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def by_row(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key of each row, ``__row``: its doc_id, or, if ids are null or come
+    twice, its number in the order of ids (null last) and the other columns."""
+    docs = docs.select(COLUMNS)
+    if docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").isEmpty():
+        return docs.withColumn("__row", F.col("doc_id"))
+    order = docs.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), "source", "lang")
+    return table(order.withColumn("__row", F.monotonically_increasing_id()))
+
+
+def keyed_by_row(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("doc_id", F.col("__row")).select(COLUMNS)
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter go, and those of which most fits no language."""
-    found = language.identify(docs, language.train_on(docs))
-    bad = table(found.where("lang_pred = 'und' OR other > 0.5").select("doc_id").distinct())
-    # a null id can't be looked up: such rows have no identity, and go
-    return docs.where("doc_id IS NOT NULL").join(bad, "doc_id", "left_anti").select(COLUMNS)
+    """Rows without a letter go, and those of which most fits no language."""
+    return language.keep(docs.select(COLUMNS), language.train_on(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of linked documents, that with the smallest doc_id stays."""
-    _, found = jaccard.links(docs)
-    gone = table(found.where("node <> component").select(F.col("node").alias("doc_id")))
-    return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
+    """Of linked rows, that with the smallest doc_id stays, and one of rows that repeat a
+    doc_id and its text."""
+    rows = by_row(docs)
+    _, found = jaccard.links(keyed_by_row(rows))
+    gone = table(found.where("node <> component").select(F.col("node").alias("__row")))
+    # texts without a word are linked with nothing
+    again = rows.where(~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]") & F.col("doc_id").isNotNull())
+    again = again.groupBy("doc_id", "text").agg(F.min("__row").alias("least"), F.collect_list("__row").alias("all"))
+    again = again.where(F.size("all") > 1).select(F.explode(F.filter("all", lambda r: r != F.col("least"))).alias("__row"))
+    return rows.join(table(gone.unionByName(again)), "__row", "left_anti").select(COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain a benchmark item go."""
-    found = contamination.contained(docs, read(spark, sf_dir, "benchmark"))
-    return docs.join(table(found.select("doc_id").distinct()), "doc_id", "left_anti").select(COLUMNS)
+    """Rows that contain a benchmark item go."""
+    rows = by_row(docs)
+    found = contamination.contained(keyed_by_row(rows), read(spark, sf_dir, "benchmark"))
+    return rows.join(table(found.select(F.col("doc_id").alias("__row")).distinct()), "__row", "left_anti").select(COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each drawn block: a document may come twice; a block that the target
     cuts stays if the mix takes half of it or more."""
-    _, blocks = mixing.mix(docs)
-    copies = blocks.where("words * 2 >= size").groupBy("doc_id").agg(F.count("*").cast("int").alias("__copies"))
-    rows = docs.join(table(copies), "doc_id")
+    rows = by_row(docs)
+    _, blocks = mixing.mix(keyed_by_row(rows))
+    copies = blocks.where("words * 2 >= size").groupBy(F.col("doc_id").alias("__row")).agg(F.count("*").cast("int").alias("__copies"))
+    rows = rows.join(table(copies), "__row")
     return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select(COLUMNS)
 
 

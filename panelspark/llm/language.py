@@ -155,6 +155,22 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, SCHEMA)
 
 
+def keep(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` (with a text column) whose text fits some language: not
+    ``und``, and other at most a half."""
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = offsets(batch.column(place))
+            for a, b in pieces(at, 1 << 20):
+                part = batch.slice(a, b - a)
+                langs, _, _, _, others = model.predict([t or "" for t in part.column(place).to_pylist()])
+                yield part.filter(pa.array([lang != "und" and other <= 0.5 for lang, other in zip(langs, others)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def train_on(docs: DataFrame) -> Model:
     """The model of all documents that aren't held out."""
     return train(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))

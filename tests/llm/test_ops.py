@@ -391,3 +391,23 @@ def test_stages_take_odd_rows(spark, odd, none):
     for _, stage in cp.STAGES:
         assert stage(spark, odd.select(cp.COLUMNS), SMALL).count() <= 2 * len(ODD)
         assert stage(spark, none.select(cp.COLUMNS), SMALL).count() == 0
+
+
+def test_stages_by_row(spark):
+    import corpus_pipeline as cp
+
+    def run(stage, rows):
+        docs = spark.createDataFrame([(i, t, "en", "a", len(t or "")) for i, t in rows], DOCS)
+        got = stage(spark, docs, SMALL).collect()
+        return sorted(((r.doc_id, r.text) for r in got), key=repr), docs
+
+    other, item = "one two three four five six seven eight", spark.read.parquet(f"{SMALL}/benchmark.parquet").first().text
+    rows = [(1, LONG), (1, LONG), (4, LONG), (4, "123 !!"), (None, LONG), (None, "!!"), (None, LONG)]
+    assert run(cp.identify_language, rows)[0] == sorted([(1, LONG), (1, LONG), (4, LONG), (None, LONG), (None, LONG)], key=repr)
+    rows = [(1, LONG), (1, LONG), (1, other), (7, other), (None, LONG), (None, "x y z w v"), (None, "x y z w v"), (3, " "), (3, " ")]
+    assert run(cp.drop_near_duplicates, rows)[0] == sorted([(1, LONG), (1, other), (None, "x y z w v"), (3, " ")], key=repr)
+    rows = [(None, item), (None, LONG), (5, item), (5, LONG), (5, LONG)]
+    assert run(cp.drop_contaminated, rows)[0] == sorted([(None, LONG), (5, LONG), (5, LONG)], key=repr)
+    rows = [(1, LONG)] * 4 + [(None, LONG)] * 4
+    got, docs = run(cp.mix_sources, rows)
+    assert len(got) == int(mixing.FACTOR * len(rows)) and max(got.count(r) for r in got) <= 8
