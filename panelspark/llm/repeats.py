@@ -27,10 +27,11 @@ from .common import Rolling, offsets, partitions, pieces, release, table, utf8
 WIDTH, SAMPLE = 50, 20
 PIECE, FLUSH = 1 << 17, 1 << 18
 NULL_ID = (1 << 63) - 1
-U8, U16, U32, U64, I64 = (np.dtype(t) for t in ("u1", "u2", "u4", "u8", "i8"))
-PLACES = (I64, U16, U32, U8)  # document, its number among equal ids, place, windows
+HEAD = 64
+U8, U32, U64, I64 = (np.dtype(t) for t in ("u1", "u4", "u8", "i8"))
+PLACES = (I64, U32, U32, U8)  # document, its number among equal ids, place, windows
 TUPLES = (U64, U64, *PLACES)
-WINDOWS = (U64, I64, U16, U32)
+WINDOWS = (U64, I64, U32, U32)
 
 
 def pack(columns: list[np.ndarray]) -> bytes:
@@ -63,6 +64,11 @@ def bucket(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> np.uint64(33)) * np.uint64(n) >> np.uint64(31)).astype(np.int64)
 
 
+def home(doc: np.ndarray, dup: np.ndarray, n: int) -> np.ndarray:
+    """The bucket of a row; rows that share an id are spread."""
+    return (doc % n + dup.astype(np.int64)) % n
+
+
 def later(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Whether a smaller document has the same key."""
     if not len(key):
@@ -129,7 +135,7 @@ def repeats(docs: DataFrame) -> DataFrame:
         known = later(columns[-5], columns[-4]) if len(columns) == 6 else later(columns[0], columns[1])
         places = columns[2:] if len(columns) == 6 else [*columns[1:], np.ones(len(columns[0]), U8)]
         rows = list(dealt(bucket(columns[0][~known], n), [c[~known] for c in columns], 0))
-        rows += dealt(places[0][known] % n, [c[known] for c in places], 1)
+        rows += dealt(home(places[0][known], places[1][known], n), [c[known] for c in places], 1)
         held.clear()
         return out(rows)
 
@@ -145,7 +151,7 @@ def repeats(docs: DataFrame) -> DataFrame:
                 row = np.repeat(np.arange(a, b), sizes)
                 sample, string, start, count = samples(data, np.minimum(at[row + 1], hi) - lo)
                 row = row[start]
-                held.append((sample, string, keys[row], dups[row].astype(U16), (start + lo - at[row]).astype(U32), count.astype(U8)))
+                held.append((sample, string, keys[row], dups[row].astype(U32), (start + lo - at[row]).astype(U32), count.astype(U8)))
                 n += len(start)
                 if n >= FLUSH:
                     yield flushed(held, n_tuples)
@@ -170,9 +176,9 @@ def repeats(docs: DataFrame) -> DataFrame:
             edges = np.flatnonzero(new)
             several = (np.add.reduceat(new_string.astype(int), edges) > 1) & (np.minimum.reduceat(doc, edges) < np.maximum.reduceat(doc, edges))
             ask = ~known & several[of]
-            rows += dealt(doc[ask] % n_docs, [c[ask] for c in rest], 2)
+            rows += dealt(home(doc[ask], rest[1][ask], n_docs), [c[ask] for c in rest], 2)
             places = [np.concatenate([p, c[known]]) for p, c in zip(places, rest)]
-        rows += dealt(places[0] % n_docs, places, 1)
+        rows += dealt(home(places[0], places[1], n_docs), places, 1)
         return pd.DataFrame(rows, columns=names)
 
     def singles(_, texts: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
@@ -205,11 +211,11 @@ def repeats(docs: DataFrame) -> DataFrame:
         known = later(window, rest[0])
         rest = [*rest, np.ones(len(window), U8)]
         places = [np.concatenate([p, c[known]]) for p, c in zip(places, rest)]
-        return pd.DataFrame(list(dealt(places[0] % n_docs, places, 1)), columns=names)
+        return pd.DataFrame(list(dealt(home(places[0], places[1], n_docs), places, 1)), columns=names)
 
     one = table(docs.mapInArrow(first, flat).groupBy("bucket").applyInPandas(level, flat))
     release(spark)
-    texts = docs.select("key", "dup", F.encode("text", "UTF-8").alias("bytes"), (F.col("key") % n_docs).cast("int").alias("bucket")).groupBy("bucket")
+    texts = docs.select("key", "dup", F.encode("text", "UTF-8").alias("bytes"), F.expr(f"int(pmod(pmod(key, {n_docs}) + dup, {n_docs}))").alias("bucket")).groupBy("bucket")
     asked = one.where("kind = 2").groupBy("bucket").cogroup(texts)
     wide = asked.applyInPandas(lambda key, a, t: singles(key, t, a), flat)
     two = table(wide.groupBy("bucket").applyInPandas(second, flat))
@@ -230,8 +236,15 @@ def keyed(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     if docs.groupBy("key").count().where("count > 1").isEmpty():
         return docs.select("key", F.lit(0).alias("dup"), "text")
-    w = Window.partitionBy("key").orderBy("text")
-    return docs.select("key", (F.row_number().over(w) - 1).alias("dup"), "text")
+    # ranges of ids and texts' heads; a row's number is its range's start and its place there
+    docs = docs.repartitionByRange(partitions(docs.sparkSession), "key", F.substring("text", 1, HEAD))
+    docs = table(docs.withColumn("part", F.spark_partition_id()))
+    sizes = docs.groupBy("key", "part").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("key").orderBy("part")) - F.col("n")
+    starts = table(sizes.select("key", "part", before.alias("start")))
+    inside = F.row_number().over(Window.partitionBy("key", "part").orderBy("text")) - 1
+    rows = docs.withColumn("inside", inside).join(starts, ["key", "part"])
+    return rows.select("key", (F.col("start") + F.col("inside")).cast("int").alias("dup"), "text")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -244,7 +257,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     rows = keyed(docs)
     n_docs = doc_buckets(docs.sparkSession)
     found = repeats(rows)
-    texts = rows.select("key", "dup", F.encode("text", "UTF-8").alias("bytes"), (F.col("key") % n_docs).cast("int").alias("bucket"))
+    texts = rows.select("key", "dup", F.encode("text", "UTF-8").alias("bytes"), F.expr(f"int(pmod(pmod(key, {n_docs}) + dup, {n_docs}))").alias("bucket"))
 
     def cut(texts: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         doc, dup, place, count = unpack(found["blob"].tolist(), PLACES)

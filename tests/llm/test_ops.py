@@ -340,6 +340,15 @@ def test_repeats(spark, monkeypatch, piece):
     assert sorted(map(tuple, got.collect()), key=repr) == repeats_brute(rows)
 
 
+def test_repeats_of_many_rows_of_one_id(spark):
+    passage = "".join(random.Random(3).choice("abcdefgh ") for _ in range(60))
+    many = spark.range(66_000).select(F.lit(None).cast("bigint").alias("doc_id"), F.lpad(F.col("id").cast("string"), 5, "0").alias("text"))
+    few = spark.createDataFrame([(-5, passage), (None, "z" + passage), (None, "zz" + passage)], "doc_id bigint, text string")
+    got = repeats.without_repeats(many.union(few))
+    cut = sorted((r.doc_id is None, bytes(r.kept)) for r in got.where("n_removed > 0 OR doc_id IS NOT NULL").collect())
+    assert cut == [(False, passage.encode()), (True, b"z"), (True, b"zz")] and got.count() == 66_003
+
+
 def test_repeats_odd(odd, none):
     assert repeats.digests(odd).count() == len(ODD) and repeats.digests(none).count() == 0
 
