@@ -28,10 +28,7 @@ WIDTH, SAMPLE = 50, 20
 PIECE, FLUSH = 1 << 17, 1 << 18
 NULL_ID = (1 << 63) - 1
 HEAD = 64
-U8, U32, U64, I64 = (np.dtype(t) for t in ("u1", "u4", "u8", "i8"))
-PLACES = (I64, U32, U32, U8)  # document, its number among equal ids, place, windows
-TUPLES = (U64, U64, *PLACES)
-WINDOWS = (U64, I64, U32, U32)
+U8, U16, U32, U64, I64 = (np.dtype(t) for t in ("u1", "u2", "u4", "u8", "i8"))
 
 
 def pack(columns: list[np.ndarray]) -> bytes:
@@ -64,9 +61,17 @@ def bucket(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> np.uint64(33)) * np.uint64(n) >> np.uint64(31)).astype(np.int64)
 
 
+def layouts(docs: DataFrame) -> tuple[tuple, tuple, tuple]:
+    """Columns of places (document, its number among equal ids, place, windows), tuples
+    and windows; numbers take 16 bits unless an id has more rows."""
+    number = U16 if docs.where("dup > 65535").isEmpty() else U32
+    places = (I64, number, U32, U8)
+    return places, (U64, U64, *places), (U64, I64, number, U32)
+
+
 def home(doc: np.ndarray, dup: np.ndarray, n: int) -> np.ndarray:
     """The bucket of a row; rows that share an id are spread."""
-    return (doc % n + dup.astype(np.int64)) % n
+    return (doc % n + dup.astype(np.int64)) % n if dup.any() else doc % n
 
 
 def later(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -117,9 +122,10 @@ def parts(at: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         yield a, b, lo, hi
 
 
-def repeats(docs: DataFrame) -> DataFrame:
+def repeats(docs: DataFrame, layout: tuple[tuple, tuple, tuple]) -> DataFrame:
     """(doc bucket, kind, blob) with the repeated windows of every row of ``docs`` (key,
     dup, text): documents, places and numbers of windows."""
+    places_of, tuples_of, windows_of = layout
     spark = docs.sparkSession
     n_tuples, n_docs = 5 * partitions(spark), doc_buckets(spark)
     flat = "bucket int, kind int, blob binary"
@@ -151,7 +157,7 @@ def repeats(docs: DataFrame) -> DataFrame:
                 row = np.repeat(np.arange(a, b), sizes)
                 sample, string, start, count = samples(data, np.minimum(at[row + 1], hi) - lo)
                 row = row[start]
-                held.append((sample, string, keys[row], dups[row].astype(U32), (start + lo - at[row]).astype(U32), count.astype(U8)))
+                held.append((sample, string, keys[row], dups[row].astype(places_of[1]), (start + lo - at[row]).astype(U32), count.astype(U8)))
                 n += len(start)
                 if n >= FLUSH:
                     yield flushed(held, n_tuples)
@@ -162,8 +168,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     def level(group: pd.DataFrame) -> pd.DataFrame:
         """Kind 1: repeats; kind 2: strings whose windows are to be compared singly."""
         blobs = group["blob"]
-        places = unpack(blobs[group["kind"] == 1].tolist(), PLACES)
-        sample, string, *rest = unpack(blobs[group["kind"] == 0].tolist(), TUPLES)
+        places = unpack(blobs[group["kind"] == 1].tolist(), places_of)
+        sample, string, *rest = unpack(blobs[group["kind"] == 0].tolist(), tuples_of)
         order = np.lexsort((rest[0], string, sample))
         sample, string, rest = sample[order], string[order], [c[order] for c in rest]
         rows: list[tuple] = []
@@ -182,7 +188,7 @@ def repeats(docs: DataFrame) -> DataFrame:
         return pd.DataFrame(rows, columns=names)
 
     def singles(_, texts: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        doc, dup, place, count = unpack(asked["blob"].tolist(), PLACES)
+        doc, dup, place, count = unpack(asked["blob"].tolist(), places_of)
         rows: list[tuple] = []
         if len(doc):
             held: list[tuple] = []
@@ -206,8 +212,8 @@ def repeats(docs: DataFrame) -> DataFrame:
 
     def second(group: pd.DataFrame) -> pd.DataFrame:
         blobs = group["blob"]
-        places = unpack(blobs[group["kind"] == 1].tolist(), PLACES)
-        window, *rest = unpack(blobs[group["kind"] == 0].tolist(), WINDOWS)
+        places = unpack(blobs[group["kind"] == 1].tolist(), places_of)
+        window, *rest = unpack(blobs[group["kind"] == 0].tolist(), windows_of)
         known = later(window, rest[0])
         rest = [*rest, np.ones(len(window), U8)]
         places = [np.concatenate([p, c[known]]) for p, c in zip(places, rest)]
@@ -256,11 +262,12 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     table gives an empty table."""
     rows = keyed(docs)
     n_docs = doc_buckets(docs.sparkSession)
-    found = repeats(rows)
+    layout = layouts(rows)
+    found = repeats(rows, layout)
     texts = rows.select("key", "dup", F.encode("text", "UTF-8").alias("bytes"), F.expr(f"int(pmod(pmod(key, {n_docs}) + dup, {n_docs}))").alias("bucket"))
 
     def cut(texts: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        doc, dup, place, count = unpack(found["blob"].tolist(), PLACES)
+        doc, dup, place, count = unpack(found["blob"].tolist(), layout[0])
         order = np.lexsort((dup, doc))
         doc, dup, place, count = doc[order], dup[order], place[order].astype(np.int64), count[order].astype(np.int64)
         out = []
