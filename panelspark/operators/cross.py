@@ -9,6 +9,9 @@ from panelspark.operators.rolling import YEAR, tidy
 from panelspark.sources.views import by_date, by_symbol, with_returns
 
 
+FREE = 0.04
+
+
 def pairwise(bars: DataFrame, least: int = 60) -> DataFrame:
     """(a, b, n, correlation, covariance) of each pair of symbols, a <= b, from returns on
     common dates; covariance is annualised. Rows meet by date; only one triangle is made."""
@@ -107,10 +110,13 @@ def newey_west(series: DataFrame, value: str, by: list[str], order: str) -> Data
 
 
 def perf_stats(returns: DataFrame, by: list[str], ret: str, order: str) -> DataFrame:
-    """Total and annual growth, volatility, Sharpe, Sortino, deepest drawdown, Calmar."""
+    """Total and annual growth, volatility, Sharpe and Sortino ratios over the risk-free
+    rate, deepest drawdown, Calmar; ratios without a spread are 0."""
     w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     r = returns.where(F.col(ret) > -1).withColumn("wealth", F.exp(F.sum(F.log1p(ret)).over(w)))
-    r = r.withColumn("dd", F.col("wealth") / F.greatest(F.lit(1.0), F.max("wealth").over(w)) - 1)
-    g = r.groupBy(*by).agg(F.count("*").alias("n"), F.exp(F.sum(F.log1p(ret))).alias("w"), F.avg(ret).alias("m"), F.stddev_samp(ret).alias("s"), F.sqrt(F.avg(F.pow(F.least(F.col(ret), F.lit(0.0)), F.lit(2)))).alias("down"), F.min("dd").alias("dd"))
+    r = r.withColumn("dd", F.col("wealth") / F.max("wealth").over(w) - 1)
+    below = F.when(F.col(ret) < FREE / 252, F.col(ret) - FREE / 252)
+    g = r.groupBy(*by).agg(F.count("*").alias("n"), F.exp(F.sum(F.log1p(ret))).alias("w"), (F.avg(ret) - FREE / 252).alias("m"), F.stddev_samp(ret).alias("s"), F.stddev_samp(below).alias("down"), F.min("dd").alias("dd"))
     cagr = F.pow("w", 252 / F.col("n")) - 1
-    return tidy(g, *by, "n", total=F.col("w") - 1, cagr=cagr, vol=F.col("s") * YEAR, sharpe=F.try_divide("m", "s") * YEAR, sortino=F.try_divide("m", "down") * YEAR, max_drawdown=F.col("dd"), calmar=F.try_divide(cagr, -F.col("dd")))
+    ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    return tidy(g, *by, "n", total=F.col("w") - 1, cagr=cagr, vol=F.col("s") * YEAR, sharpe=ratio("m", "s") * YEAR, sortino=ratio("m", "down") * YEAR, max_drawdown=F.col("dd"), calmar=ratio(cagr, -F.col("dd")))

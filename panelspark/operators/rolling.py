@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelspark.sources.views import by_date, by_symbol, with_returns
 
@@ -104,7 +107,7 @@ def momentum(bars: DataFrame, hurdle: float = 0.0) -> DataFrame:
     """12-1, 6, 3 and 1-month momentum, volatility, their ratio, and the hurdle flag."""
     r = with_returns(bars)
     lag = lambda n: F.lag("close", n).over(by_symbol())
-    r = r.withColumns({"mom_12_1": F.try_divide(lag(21), lag(252)) - 1, "vol": full(F.stddev_samp("ret").over(last(63)) * YEAR, "ret", 63)})
+    r = r.withColumns({"mom_12_1": F.try_divide(lag(21), lag(252)) - 1, "vol": full(F.stddev_samp("ret").over(last(252)) * YEAR, "ret", 252)})
     out = tidy(r, "symbol", "trade_date", mom_12_1=F.col("mom_12_1"), mom_6m=F.try_divide("close", lag(126)) - 1, mom_3m=F.try_divide("close", lag(63)) - 1, mom_1m=F.try_divide("close", lag(21)) - 1, vol=F.col("vol"), risk_adjusted=F.try_divide("mom_12_1", "vol"))
     return out.withColumn("passes", F.col("mom_12_1") > hurdle)
 
@@ -128,13 +131,61 @@ def hysteresis(rows: DataFrame, score: str, enter: float = 55, leave: float = 45
     return F.coalesce(F.last(event, True).over(by_symbol().rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
 
 
-def rsi(bars: DataFrame, n: int = 2) -> DataFrame:
-    """Relative strength over simple means of n gains and losses (50 if neither)."""
-    r = with_returns(bars)
-    d = F.col("close") - F.col("prev_close")
-    r = r.withColumns({"gain": F.avg(F.greatest(d, F.lit(0.0))).over(last(n)), "loss": F.avg(F.greatest(-d, F.lit(0.0))).over(last(n))})
-    value = F.when(F.col("gain") + F.col("loss") == 0, 50.0).otherwise(100 * F.col("gain") / (F.col("gain") + F.col("loss")))
-    return r.withColumn("rsi", F.when(F.col("rn") > n, value))
+RECURSIVE = ("ema_8", "ema_12", "ema_21", "ema_26", "macd_hist", "rsi_2", "rsi_14", "rsi_14_plain", "atr_14", "ewma_var")
+DECAY, SEED = 0.94, 60
+
+
+def recursive(rows: DataFrame) -> DataFrame:
+    """Adds the series that are folds over a symbol's bars: exponential means, the MACD
+    histogram, Wilder's RSI over 2 and 14 rows (50 before it has them, or without losses),
+    the RSI by plain smoothing (null without losses), the smoothed true range, and the
+    exponential forecast of a day's variance, from the first SEED returns on. One pass over
+    each symbol; needs with_returns' columns."""
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("trade_date")
+        close, before, ret = p["close"], p["prev_close"], p["ret"]
+        up, down = (close - before).clip(lower=0), (before - close).clip(lower=0)
+
+        def mean(x: pd.Series, alpha: float, adjust: bool = False, least: int = 0) -> pd.Series:
+            return x.ewm(alpha=alpha, adjust=adjust, min_periods=least).mean()
+
+        def strength(n: int, adjust: bool) -> pd.Series:
+            gain, loss = mean(up, 1 / n, adjust, n * adjust), mean(down, 1 / n, adjust, n * adjust)
+            return 100 - 100 / (1 + gain / loss.where(loss != 0))
+
+        macd = mean(close, 2 / 13) - mean(close, 2 / 27)
+        ranges = pd.concat([p["high"] - p["low"], (p["high"] - before).abs(), (p["low"] - before).abs()], axis=1).max(axis=1)
+        var = pd.Series(np.nan, p.index)
+        known = ret.dropna()
+        if len(known) >= SEED:
+            fold = pd.Series([known.iloc[:SEED].var(), *(known.iloc[SEED:] ** 2)]).ewm(alpha=1 - DECAY, adjust=False).mean()
+            var[known.index[SEED:]] = fold.to_numpy()[:-1]
+        return p.assign(
+            ema_8=mean(close, 2 / 9), ema_12=mean(close, 2 / 13), ema_21=mean(close, 2 / 22), ema_26=mean(close, 2 / 27), macd_hist=macd - mean(macd, 2 / 10),
+            rsi_2=strength(2, True).fillna(50), rsi_14=strength(14, True).fillna(50), rsi_14_plain=strength(14, False), atr_14=mean(ranges, 1 / 14), ewma_var=var,
+        )
+
+    schema = T.StructType([*rows.schema.fields, *[T.StructField(c, T.DoubleType()) for c in RECURSIVE]])
+    return rows.groupBy("symbol").applyInPandas(run, schema)
+
+
+def sorted_frame(value: str | Column, frame) -> Column:
+    """The frame's values in order: whoever needs several quantiles of it sorts it once."""
+    return F.array_sort(F.collect_list(value).over(frame))
+
+
+def quantile(values: str | Column, p: float) -> Column:
+    """Of a sorted array, linear between the two nearest; null for an empty one."""
+    h = (F.size(values) - 1) * F.lit(p)
+    low = F.floor(h).cast("int")
+    a, b = F.get(values, low), F.get(values, F.least(low + 1, F.size(values) - 1))
+    return a + (b - a) * (h - low)
+
+
+def rsi(bars: DataFrame) -> DataFrame:
+    """Wilder's relative strength over two rows, as ``rsi``."""
+    return recursive(with_returns(bars)).withColumn("rsi", F.col("rsi_2"))
 
 
 def rsi_position(bars: DataFrame) -> DataFrame:
@@ -142,9 +193,9 @@ def rsi_position(bars: DataFrame) -> DataFrame:
     Where both hold the position flips, so a row sets 1, sets 0 or toggles, and the state
     is the last set one, flipped by the number of toggles since. Rows that lack an input
     show 0 and leave the state as it is."""
-    r = rsi(bars)
-    r = r.withColumns({"s200": full(F.avg("close").over(last(200)), "close", 200), "s5": full(F.avg("close").over(last(5)), "close", 5)})
-    ready = F.col("s200").isNotNull() & F.col("s5").isNotNull() & F.col("rsi").isNotNull()
+    r = with_returns(bars).withColumns({"s200": full(F.avg("close").over(last(200)), "close", 200), "s5": full(F.avg("close").over(last(5)), "close", 5)})
+    r = recursive(r).withColumn("rsi", F.col("rsi_2"))
+    ready = F.col("rn") > 200
     enter = (F.col("close") > F.col("s200")) & (F.col("rsi") < 15)
     leave = (F.col("rsi") > 70) | (F.col("close") > F.col("s5"))
     r = r.withColumns({"ready": ready, "kind": F.when(ready & enter & leave, "t").when(ready & enter, "1").when(ready & leave, "0")})
@@ -169,10 +220,9 @@ def range_vols(bars: DataFrame, n: int = 20) -> DataFrame:
 
 def tail_risk(bars: DataFrame, n: int = 252) -> DataFrame:
     """Rolling 95 and 99 % value at risk and 95 % expected shortfall, losses positive."""
-    r = with_returns(bars)
-    q = lambda p: F.percentile("ret", p).over(last(n))
-    r = r.withColumns({"q5": full(q(0.05), "ret", n), "q1": full(q(0.01), "ret", n), "all": F.collect_list("ret").over(last(n))})
-    tail = F.filter("all", lambda x: x <= F.col("q5"))
+    r = with_returns(bars).withColumn("xs", sorted_frame("ret", last(n)))
+    r = r.withColumns({"q5": F.when(F.size("xs") >= n, quantile("xs", 0.05)), "q1": F.when(F.size("xs") >= n, quantile("xs", 0.01))})
+    tail = F.filter("xs", lambda x: x <= F.col("q5"))
     mean = F.try_divide(F.aggregate(tail, F.lit(0.0), lambda a, x: a + x), F.size(tail))
     return tidy(r, "symbol", "trade_date", var_95=-F.col("q5"), var_99=-F.col("q1"), es_95=F.when(F.col("q5").isNotNull(), -mean))
 
@@ -204,28 +254,38 @@ def price_signals(bars: DataFrame) -> DataFrame:
     return tidy(r, "symbol", "trade_date", momentum=F.try_divide(lag(21), lag(252)) - 1, reversal=-(F.try_divide("close", lag(21)) - 1), low_vol=-full(F.stddev_samp("ret").over(last(63)) * YEAR, "ret", 63))
 
 
+def clip(c: Column, low: float, high: float) -> Column:
+    """``c`` between bounds; null stays null."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), c)))
+
+
 def composite(bars: DataFrame) -> DataFrame:
-    """Score from 0 to 100: trend 40, momentum 35, calm 25. The calm part sets the 20-day
-    volatility against the median return, scaled to a year, of the last 252 rows."""
-    r = with_returns(bars)
-    clip = lambda c, lo, hi: F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), c))
-    trend = F.try_divide("close", F.avg("close").over(last(200))) - 1
-    mom = F.try_divide("close", F.lag("close", 126).over(by_symbol())) - 1
-    vol = full(F.stddev_samp("ret").over(last(20)) * YEAR, "ret", 20)
-    usual = F.percentile(F.abs("ret"), 0.5).over(last(252)) * YEAR
-    score = 40 * clip((trend + 0.1) / 0.2, 0, 1) + 35 * clip((mom + 0.2) / 0.4, 0, 1) + 25 * clip(1.5 - F.try_divide(vol, 2 * usual), 0, 1)
-    return r.withColumn("score", score)
+    """Adds score, 0 to 100 about a neutral 50: trend 40 (closes over 200- and 50-row means,
+    the 8/21 cross), momentum 35 (RSI of 14 rows, change over 63), calm 25 (20-row
+    volatility against the year's median return, scaled alike). Without a trend, in the
+    first 50 rows, it is 50; other missing parts count as neutral."""
+    mean = lambda n, least: F.when(F.count("close").over(last(n)) >= least, F.avg("close").over(last(n)))
+    r = with_returns(bars).withColumns({
+        "s200": mean(200, 50), "s50": mean(50, 20), "m63": F.try_divide("close", F.lag("close", 63).over(by_symbol())) - 1,
+        "v20": F.when(F.count("ret").over(last(20)) >= 10, F.stddev_samp("ret").over(last(20)) * YEAR), "xs": sorted_frame("ret", last(252)),
+    })
+    r = r.withColumn("usual", F.when(F.size("xs") >= 50, quantile("xs", 0.5) * YEAR)).drop("xs")
+    r = recursive(r)
+    trend = 0.45 * clip((F.try_divide("close", "s200") - 1) / 0.15, -1, 1) + 0.35 * clip((F.try_divide("close", "s50") - 1) / 0.1, -1, 1) + 0.2 * clip((F.try_divide("ema_8", "ema_21") - 1) / 0.05, -1, 1)
+    momentum = 0.5 * clip((F.col("rsi_14") - 50) / 25, -1, 1) + 0.5 * F.coalesce(clip(F.col("m63") / 0.2, -1, 1), F.lit(0.0))
+    calm = F.coalesce(clip(1.5 - F.try_divide("v20", F.nullif("usual", F.lit(0.0)) + 1e-8), -1, 1), F.lit(0.0))
+    return r.withColumn("score", F.coalesce(clip(50 + 45 * (0.4 * trend + 0.35 * momentum + 0.25 * calm), 0, 100), F.lit(50.0)))
 
 
 def triple_barrier(bars: DataFrame, ahead: int = 10, width: float = 1.5) -> DataFrame:
     """1, -1 or 0 as the close first passes +width or -width volatilities in the next
-    rows, or neither; and the return realised there."""
+    rows, or neither; and the return realised there. The last rows have fewer ahead."""
     r = with_returns(bars)
     r = r.withColumns({"sigma": full(F.stddev_samp("ret").over(last(20)), "ret", 20), "next": F.collect_list("close").over(by_symbol().rowsBetween(1, ahead))})
-    r = r.where((F.size("next") == ahead) & F.col("sigma").isNotNull())
+    r = r.where((F.size("next") > 0) & (F.col("sigma") > 0))
     r = r.withColumn("hits", F.transform("next", lambda c: F.when(c / F.col("close") - 1 >= width * F.col("sigma"), 1).when(c / F.col("close") - 1 <= -width * F.col("sigma"), -1).otherwise(0)))
     first = F.filter(F.sequence(F.lit(0), F.lit(ahead - 1)), lambda i: F.get("hits", i) != 0)
-    r = r.withColumn("at", F.coalesce(F.get(first, F.lit(0)), F.lit(ahead - 1)))
+    r = r.withColumn("at", F.coalesce(F.get(first, F.lit(0)), F.size("next") - 1))
     return r.select("symbol", "trade_date", F.get("hits", "at").alias("label"), F.round(F.get("next", "at") / F.col("close") - 1, 6).alias("realised"))
 
 
@@ -255,15 +315,15 @@ def strategy_returns(rows: DataFrame, cost_bps: float = 10) -> DataFrame:
 
 
 def rolling_sharpe(bars: DataFrame, n: int = 252) -> DataFrame:
-    """Annualised Sharpe ratio, its standard error by Lo, the lag-one autocorrelation
-    (clipped at 0.9), on n - 1 pairs of a frame of n rows."""
+    """Annualised Sharpe ratio, the lag-one autocorrelation (between -0.9 and 0.9) on n - 1
+    pairs of a frame of n rows, Lo's standard error and a 95 % band."""
     r = with_returns(bars).withColumn("prev_ret", F.lag("ret").over(by_symbol()))
     w, pairs = last(n), by_symbol().rowsBetween(-(n - 2), 0)
-    sr = F.try_divide(F.avg("ret").over(w), F.stddev_samp("ret").over(w))
+    sr = F.try_divide(F.avg("ret").over(w), F.stddev_samp("ret").over(w)) * YEAR
     rho = F.try_divide(F.covar_samp("ret", "prev_ret").over(pairs), F.stddev_samp("ret").over(pairs) * F.stddev_samp("prev_ret").over(pairs))
-    r = r.withColumns({"sr": full(sr, "ret", n), "rho": F.greatest(F.lit(-0.9), F.least(F.lit(0.9), rho))})
-    se = F.sqrt((1 + 0.5 * F.col("sr") * F.col("sr")) / n) * F.sqrt((1 + F.col("rho")) / (1 - F.col("rho"))) * YEAR
-    return tidy(r.where("sr IS NOT NULL"), "symbol", "trade_date", sharpe=F.col("sr") * YEAR, rho=F.col("rho"), se=se)
+    r = r.withColumns({"sr": full(sr, "ret", n), "rho": clip(F.coalesce(rho, F.lit(0.0)), -0.9, 0.9)})
+    se = F.sqrt(F.greatest(F.lit(1e-4), 252 / n * (1 + 2 * F.col("rho")) + F.col("sr") * F.col("sr") / (2 * n)))
+    return tidy(r.where("sr IS NOT NULL"), "symbol", "trade_date", sharpe=F.col("sr"), rho=F.col("rho"), se=se, lower=F.col("sr") - 1.96 * se, upper=F.col("sr") + 1.96 * se)
 
 
 def horizon_losses(bars: DataFrame, horizons: tuple = (1, 10, 21)) -> DataFrame:
@@ -275,18 +335,3 @@ def horizon_losses(bars: DataFrame, horizons: tuple = (1, 10, 21)) -> DataFrame:
     q = r.groupBy("symbol", "horizon").agg(F.percentile("x", 0.05).alias("q"), F.count("*").alias("n"))
     r = r.join(q, ["symbol", "horizon"]).where("x <= q").groupBy("symbol", "horizon", "n", "q").agg(F.avg("x").alias("m"))
     return tidy(r, "symbol", "horizon", "n", var_95=-F.col("q"), es_95=-F.col("m"))
-
-
-def folded(bars: DataFrame, **columns: Column) -> DataFrame:
-    """Recursive series: each column is an array over the symbol's sorted bars (array b of
-    structs), unfolded to rows again."""
-    per = bars.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("trade_date", "open", "high", "low", "close", "volume"))).alias("b"))
-    per = per.withColumn("c", F.transform("b", lambda x: x["close"])).withColumns(columns)
-    zipped = F.arrays_zip(F.transform("b", lambda x: x["trade_date"]).alias("trade_date"), *[F.col(k).alias(k) for k in columns])
-    return per.select("symbol", F.inline(zipped)).select("symbol", "trade_date", *[F.round(k, 6).alias(k) for k in columns])
-
-
-def smoothed(values: str | Column, alpha: float) -> Column:
-    """The exponential mean of an array: m = alpha x + (1 - alpha) m, from the first."""
-    step = lambda acc, x: F.concat(acc, F.array(F.when(F.size(acc) == 0, x).otherwise(alpha * x + (1 - alpha) * F.element_at(acc, -1))))
-    return F.aggregate(values, F.array().cast("array<double>"), step)

@@ -17,32 +17,44 @@ def paired_sessions(bars: DataFrame, bench_ret: DataFrame) -> DataFrame:
     return r.select("symbol", "trade_date", "ret", "bench_ret", F.row_number().over(Window.partitionBy("symbol").orderBy("trade_date")).alias("sess"))
 
 
-def event_study(events: DataFrame, sessions: DataFrame, estimate: tuple = (-120, -21), window: tuple = (-1, 1)) -> DataFrame:
-    """(symbol, event_type, event_date, n, alpha, beta, r2, car, t, p) of each event: market
-    model over the estimation sessions, cumulative abnormal return over the window, its
-    variance with the forecast error. The event's session is the last at or before its
-    date, or the first after it where after_close is set. Events without room for both
-    windows are left out. Offsets are exploded and joined by session number."""
-    keys = ["symbol", "event_type", "event_date"]
+def event_study(events: DataFrame, sessions: DataFrame, estimate: tuple = (-120, -21), window: tuple = (-10, 30), drift: tuple = (2, 21)) -> DataFrame:
+    """(symbol, event_type, event_date, after_close, session, n, alpha, beta, r2, car, t, p,
+    drift) of each event: market model over the estimation sessions, cumulative abnormal
+    return over the window with the variance of its days' forecasts, and that of the drift
+    leg. The event's session is the last at or before its date, or the first after it where
+    after_close is set. Events without room for the windows are left out. The windows'
+    moments are frames over a symbol's sessions, so an event is one look-up, not a row for
+    each of its days."""
+    keys = ["symbol", "event_type", "event_date", "after_close"]
+    w = Window.partitionBy("symbol").orderBy("sess")
+    est, ev, dr = (w.rowsBetween(*x) for x in (estimate, window, drift))
+    m = sessions.select(
+        "symbol", "trade_date", F.count("ret").over(est).alias("n"), F.avg("bench_ret").over(est).alias("mx"), F.avg("ret").over(est).alias("my"), F.covar_pop("ret", "bench_ret").over(est).alias("c"), F.var_pop("bench_ret").over(est).alias("vx"), F.var_pop("ret").over(est).alias("vy"),
+        F.count("ret").over(ev).alias("l"), F.sum("bench_ret").over(ev).alias("sx"), F.sum("ret").over(ev).alias("sy"), F.sum(F.col("bench_ret") * F.col("bench_ret")).over(ev).alias("sxx"),
+        F.count("ret").over(dr).alias("dl"), F.sum("bench_ret").over(dr).alias("dx"), F.sum("ret").over(dr).alias("dy"),
+    ).withColumn("session", F.col("trade_date"))
+    values = [c for c in m.columns if c not in ("symbol", "trade_date")]
     on, after = events.where("NOT after_close"), events.where("after_close")
-    right = sessions.select("symbol", "trade_date", "sess")
-    t0 = asof(on, "event_date", right, "trade_date", ["symbol"], ["sess"]).unionByName(asof(after, "event_date", right, "trade_date", ["symbol"], ["sess"], forward=True, strict=True))
-    last = sessions.groupBy("symbol").agg(F.max("sess").alias("last"))
-    t0 = t0.join(last, "symbol").where((F.col("sess") + estimate[0] >= 1) & (F.col("sess") + window[1] <= F.col("last"))).select(*keys, F.col("sess").alias("t0"))
-    offsets = F.concat(F.sequence(F.lit(estimate[0]), F.lit(estimate[1])), F.sequence(F.lit(window[0]), F.lit(window[1])))
-    rows = t0.select(*keys, F.explode(offsets).alias("o"), "t0").withColumn("sess", F.col("t0") + F.col("o")).join(sessions, ["symbol", "sess"])
-    est = F.col("o") <= estimate[1]
-    x, y = F.when(est, F.col("bench_ret")), F.when(est, F.col("ret"))
-    ex, ey = F.when(~est, F.col("bench_ret")), F.when(~est, F.col("ret"))
-    g = rows.groupBy(*keys).agg(
-        F.count(x).alias("n"), F.avg(x).alias("mx"), F.avg(y).alias("my"), F.covar_pop(x, y).alias("c"), F.var_pop(x).alias("vx"), F.var_pop(y).alias("vy"),
-        F.count(ex).alias("l"), F.sum(ex).alias("sx"), F.sum(ey).alias("sy"),
-    ).where("n >= 30")
-    g = g.withColumn("beta", F.coalesce(F.try_divide("c", "vx"), F.lit(1.0))).withColumn("alpha", F.col("my") - F.col("beta") * F.col("mx"))
+    g = asof(on, "event_date", m, "trade_date", ["symbol"], values).unionByName(asof(after, "event_date", m, "trade_date", ["symbol"], values, forward=True, strict=True))
+    g = g.where((F.col("n") == estimate[1] - estimate[0] + 1) & (F.col("l") == window[1] - window[0] + 1))
+    g = g.withColumn("beta", F.coalesce(F.try_divide("c", "vx"), F.lit(1.0))).withColumn("alpha", F.when(F.col("vx") > 0, F.col("my") - F.col("beta") * F.col("mx")).otherwise(0.0))
     g = g.withColumns({"car": F.col("sy") - F.col("l") * F.col("alpha") - F.col("beta") * F.col("sx"), "s2": F.greatest(F.lit(0.0), F.col("n") * (F.col("vy") - F.col("beta") * F.col("c"))) / (F.col("n") - 2)})
-    spread = F.coalesce(F.try_divide(F.pow(F.col("sx") - F.col("l") * F.col("mx"), F.lit(2)), F.col("n") * F.col("vx")), F.lit(0.0))
-    g = g.withColumn("t", F.try_divide("car", F.sqrt(F.col("s2") * (F.col("l") + F.col("l") * F.col("l") / F.col("n") + spread))))
-    return tidy(g, *keys, "n", alpha=F.col("alpha"), beta=F.col("beta"), r2=F.try_divide(F.col("c") * F.col("c"), F.col("vx") * F.col("vy")), car=F.col("car"), t=F.col("t"), p=2 * (1 - cdf(F.abs("t"))))
+    off = F.greatest(F.lit(0.0), F.col("sxx") - 2 * F.col("mx") * F.col("sx") + F.col("l") * F.col("mx") * F.col("mx"))
+    spread = off / F.greatest(F.col("n") * F.col("vx"), F.lit(1e-8))
+    g = g.withColumn("t", F.col("car") / F.sqrt(F.greatest(F.lit(1e-12), F.col("s2") * (F.col("l") + F.col("l") / F.col("n") + spread))))
+    late = F.when(F.col("dl") == drift[1] - drift[0] + 1, F.col("dy") - F.col("dl") * F.col("alpha") - F.col("beta") * F.col("dx"))
+    return tidy(g, *keys, "session", "n", alpha=F.col("alpha"), beta=F.col("beta"), r2=F.try_divide(F.col("c") * F.col("c"), F.col("vx") * F.col("vy")), car=F.col("car"), t=F.col("t"), p=2 * (1 - cdf(F.abs("t"))), drift=late)
+
+
+def daily_abnormal(studied: DataFrame, sessions: DataFrame, window: tuple = (-10, 30)) -> DataFrame:
+    """(symbol, event_type, event_date, after_close, day, trade_date, abnormal, cumulative):
+    a row for each day of each studied event's window."""
+    keys = ["symbol", "event_type", "event_date", "after_close"]
+    at = studied.select(*keys, "alpha", "beta", F.col("session").alias("trade_date")).join(sessions.select("symbol", "trade_date", F.col("sess").alias("t0")), ["symbol", "trade_date"]).drop("trade_date")
+    rows = at.withColumn("day", F.explode(F.sequence(F.lit(window[0]), F.lit(window[1])))).withColumn("sess", F.col("t0") + F.col("day")).join(sessions, ["symbol", "sess"])
+    rows = rows.withColumn("ar", F.col("ret") - F.col("alpha") - F.col("beta") * F.col("bench_ret"))
+    w = Window.partitionBy(*keys).orderBy("day")
+    return tidy(rows, *keys, "day", "trade_date", abnormal=F.col("ar"), cumulative=F.sum("ar").over(w))
 
 
 def collapse(events: DataFrame, span: int = 60) -> DataFrame:

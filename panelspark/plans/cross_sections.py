@@ -31,7 +31,7 @@ def a3(spark, d):
 
 @query("a11_sector_summary", sql("r", "sectors", ctes="l AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY trade_date DESC) = 1)", body="SELECT coalesce(sector, 'Other') AS sector, count(*) AS members, count(*) FILTER (ret > 0) AS advancers, count(*) FILTER (ret < 0) AS decliners, round(sum(ret * close * volume) / nullif(sum(close * volume), 0), 6) AS change FROM l LEFT JOIN sectors USING (symbol) GROUP BY 1"))
 def a11(spark, d):
-    r = R.latest(with_returns(bars(spark, d)), 1).join(F.broadcast(sectors(spark, d)), "symbol", "left")  # at most a row a symbol number under 20
+    r = R.latest(with_returns(bars(spark, d)), 1).join(sectors(spark, d), "symbol", "left")
     v = F.col("close") * F.col("volume")
     return r.groupBy(F.coalesce("sector", F.lit("Other")).alias("sector")).agg(F.count("*").alias("members"), F.count_if(F.col("ret") > 0).alias("advancers"), F.count_if(F.col("ret") < 0).alias("decliners"), F.round(F.try_divide(F.sum(F.col("ret") * v), F.sum(v)), 6).alias("change"))
 
@@ -88,10 +88,10 @@ def _pct(by: str) -> str:
     return f"round(100 * (rank() OVER (PARTITION BY {by} ORDER BY value) - 1 + 0.5 * count(*) OVER (PARTITION BY {by}, value)) / count(*) OVER (PARTITION BY {by}), 1)"
 
 
-@query("r5_metric_percentiles", sql("r", "br", "sectors", ctes=LONG, body=f"SELECT symbol, metric, value, CASE WHEN count(*) OVER (PARTITION BY metric) >= 10 THEN {_pct('metric')} END AS vs_universe, CASE WHEN count(*) OVER (PARTITION BY metric, sector) >= 3 THEN {_pct('metric, sector')} END AS vs_sector FROM lm"))
+@query("r5_metric_percentiles", sql("r", "br", "sectors", ctes=LONG, body=f"SELECT symbol, metric, value, CASE WHEN count(*) OVER (PARTITION BY metric) >= 10 THEN {_pct('metric')} END AS vs_universe, CASE WHEN count(*) OVER (PARTITION BY metric, sector) >= 5 THEN {_pct('metric, sector')} END AS vs_sector FROM lm"))
 def r5(spark, d):
     lm = C.long_metrics(a33(spark, d), sectors(spark, d))
-    return lm.select("symbol", "metric", "value", F.round(C.percentile_rank(lm, "value", ["metric"], "mean", 10), 1).alias("vs_universe"), F.round(C.percentile_rank(lm, "value", ["metric", "sector"], "mean", 3), 1).alias("vs_sector"))
+    return lm.select("symbol", "metric", "value", F.round(C.percentile_rank(lm, "value", ["metric"], "mean", 10), 1).alias("vs_universe"), F.round(C.percentile_rank(lm, "value", ["metric", "sector"], "mean", 5), 1).alias("vs_sector"))
 
 
 PANEL = f"panel AS (SELECT symbol, trade_date, round(-(close / lag(close, 21) OVER {W} - 1), 6) AS sig, " + ", ".join(f"round(lead(close, {h}) OVER {W} / close - 1, 6) AS f{h}" for h in (1, 5, 21)) + " FROM bars)"
@@ -122,29 +122,29 @@ def r7(spark, d):
     return R.tidy(out.groupBy("horizon").agg(F.count("*").alias("dates"), F.avg("ic").alias("m"), F.stddev_samp("ic").alias("s")), "horizon", "dates", mean_ic=F.col("m"), ir=F.try_divide("m", "s"))
 
 
-BUCKETS = "b AS (SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY sig, symbol) AS k, count(*) OVER (PARTITION BY trade_date) AS n FROM panel WHERE sig IS NOT NULL), b2 AS (SELECT *, greatest(1, ceil((k - 1) * 5 / greatest(1, n - 1)))::INT AS bucket FROM b)"
+BUCKETS = "b AS (SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY sig, symbol) AS k, count(*) OVER (PARTITION BY trade_date) AS n FROM panel WHERE sig IS NOT NULL), b2 AS (SELECT *, greatest(1, ceil((k - 1) * 10 / greatest(1, n - 1)))::INT AS bucket FROM b)"
 
 
-@query("r8_decile_spreads", sql("bars", ctes=PANEL + ", " + BUCKETS, body="SELECT trade_date, round(avg(f1) FILTER (bucket = 5) - avg(f1) FILTER (bucket = 1), 8) AS spread, round(avg(f1) FILTER (bucket = 1), 8) AS low, round(avg(f1) FILTER (bucket = 5), 8) AS high FROM b2 WHERE n >= 10 GROUP BY trade_date"))
+@query("r8_decile_spreads", sql("bars", ctes=PANEL + ", " + BUCKETS, body="SELECT trade_date, round(avg(f1) FILTER (bucket = 10) - avg(f1) FILTER (bucket = 1), 8) AS spread, round(avg(f1) FILTER (bucket = 1), 8) AS low, round(avg(f1) FILTER (bucket = 10), 8) AS high FROM b2 WHERE n >= 20 GROUP BY trade_date"))
 def r8(spark, d):
-    b = C.buckets(panel(spark, d), "sig", 5).where("n >= 10")
-    hi, lo = F.avg(F.when(F.col("bucket") == 5, F.col("f1"))), F.avg(F.when(F.col("bucket") == 1, F.col("f1")))
+    b = C.buckets(panel(spark, d), "sig", 10).where("n >= 20")
+    hi, lo = F.avg(F.when(F.col("bucket") == 10, F.col("f1"))), F.avg(F.when(F.col("bucket") == 1, F.col("f1")))
     return R.tidy(b.groupBy("trade_date").agg(hi.alias("h"), lo.alias("l")), "trade_date", digits=8, spread=F.col("h") - F.col("l"), low=F.col("l"), high=F.col("h"))
 
 
-@query("r8_bucket_means", sql("bars", ctes=PANEL + ", " + BUCKETS, body="SELECT bucket, count(f1) AS n, round(avg(f1), 6) AS mean_f1 FROM b2 WHERE n >= 10 GROUP BY bucket"))
+@query("r8_bucket_means", sql("bars", ctes=PANEL + ", " + BUCKETS, body="SELECT bucket, count(f1) AS n, round(avg(f1), 6) AS mean_f1 FROM b2 WHERE n >= 20 GROUP BY bucket"))
 def r8b(spark, d):
-    return C.buckets(panel(spark, d), "sig", 5).where("n >= 10").groupBy("bucket").agg(F.count("f1").alias("n"), F.round(F.avg("f1"), 6).alias("mean_f1"))
+    return C.buckets(panel(spark, d), "sig", 10).where("n >= 20").groupBy("bucket").agg(F.count("f1").alias("n"), F.round(F.avg("f1"), 6).alias("mean_f1"))
 
 
-WEIGHTS = "wt AS (SELECT symbol, trade_date, CASE bucket WHEN 5 THEN 1.0 ELSE -1.0 END / count(*) OVER (PARTITION BY trade_date, bucket) AS w FROM b2 WHERE n >= 10 AND bucket IN (1, 5)), dd AS (SELECT trade_date, row_number() OVER (ORDER BY trade_date) AS k FROM (SELECT DISTINCT trade_date FROM wt)), ww AS (SELECT symbol, k, w FROM wt JOIN dd USING (trade_date))"
+WEIGHTS = "wt AS (SELECT symbol, trade_date, CASE bucket WHEN 10 THEN 1.0 ELSE -1.0 END / count(*) OVER (PARTITION BY trade_date, bucket) AS w FROM b2 WHERE n >= 20 AND bucket IN (1, 10)), dd AS (SELECT trade_date, row_number() OVER (ORDER BY trade_date) AS k FROM (SELECT DISTINCT trade_date FROM wt)), ww AS (SELECT symbol, k, w FROM wt JOIN dd USING (trade_date))"
 
 
 @query("r9_turnover", sql("bars", ctes=PANEL + ", " + BUCKETS + ", " + WEIGHTS + ", ch AS (SELECT coalesce(a.k, b.k + 1) AS k, sum(abs(coalesce(a.w, 0) - coalesce(b.w, 0))) / 2 AS turnover FROM ww a FULL JOIN ww b ON a.symbol = b.symbol AND a.k = b.k + 1 GROUP BY 1)", body="SELECT trade_date, round(turnover, 6) AS turnover, round(turnover * 2 * 10 / 1e4, 8) AS cost FROM ch JOIN dd USING (k)"))
 def r9(spark, d):
-    b = C.buckets(panel(spark, d), "sig", 5).where("n >= 10 AND bucket IN (1, 5)")
+    b = C.buckets(panel(spark, d), "sig", 10).where("n >= 20 AND bucket IN (1, 10)")
     n = F.count("*").over(Window.partitionBy("trade_date", "bucket"))
-    wt = b.select("symbol", "trade_date", (F.when(F.col("bucket") == 5, 1.0).otherwise(-1.0) / n).alias("w"))
+    wt = b.select("symbol", "trade_date", (F.when(F.col("bucket") == 10, 1.0).otherwise(-1.0) / n).alias("w"))
     dates = wt.select("trade_date").distinct().withColumn("k", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("trade_date")))
     ww = wt.join(dates, "trade_date").select("symbol", "k", "w")
     prev = ww.select("symbol", (F.col("k") + 1).alias("k"), F.col("w").alias("w0"))
@@ -157,7 +157,11 @@ def st6(spark, d):
     return C.newey_west(with_returns(bars(spark, d)), "ret", ["symbol"], "trade_date")
 
 
-@query("a23_performance", sql("r", ctes=f"t AS (SELECT *, exp(sum(ln(1 + ret)) OVER {W}) AS wealth FROM r WHERE ret > -1), u AS (SELECT *, wealth / greatest(1, max(wealth) OVER {W}) - 1 AS dd FROM t), g AS (SELECT symbol, count(*) AS n, exp(sum(ln(1 + ret))) AS w, avg(ret) AS m, stddev_samp(ret) AS s, sqrt(avg(pow(least(ret, 0), 2))) AS down, min(dd) AS dd FROM u GROUP BY symbol)", body="SELECT symbol, n, round(w - 1, 6) AS total, round(pow(w, 252 / n) - 1, 6) AS cagr, round(s * sqrt(252), 6) AS vol, round(m / s * sqrt(252), 6) AS sharpe, round(m / down * sqrt(252), 6) AS sortino, round(dd, 6) AS max_drawdown, round((pow(w, 252 / n) - 1) / nullif(-dd, 0), 6) AS calmar FROM g"))
+PERF = "u AS (SELECT *, wealth / max(wealth) OVER (PARTITION BY symbol ORDER BY trade_date) - 1 AS dd FROM t), g AS (SELECT symbol, count(*) AS n, exp(sum(ln(1 + {x}))) AS w, avg({x}) - 0.04 / 252 AS m, stddev_samp({x}) AS s, stddev_samp({x} - 0.04 / 252) FILTER ({x} < 0.04 / 252) AS down, min(dd) AS dd FROM u GROUP BY symbol)"
+PERF_BODY = "SELECT symbol, n, round(w - 1, 6) AS total, round(pow(w, 252 / n) - 1, 6) AS cagr, round(s * sqrt(252), 6) AS vol, round(coalesce(m / nullif(s, 0), 0) * sqrt(252), 6) AS sharpe, round(coalesce(m / nullif(down, 0), 0) * sqrt(252), 6) AS sortino, round(dd, 6) AS max_drawdown, round(coalesce((pow(w, 252 / n) - 1) / nullif(-dd, 0), 0), 6) AS calmar FROM g"
+
+
+@query("a23_performance", sql("r", ctes=f"t AS (SELECT *, exp(sum(ln(1 + ret)) OVER {W}) AS wealth FROM r WHERE ret > -1), " + PERF.format(x="ret"), body=PERF_BODY))
 def a23(spark, d):
     return C.perf_stats(with_returns(bars(spark, d)), ["symbol"], "ret", "trade_date")
 
@@ -234,14 +238,15 @@ def a21(spark, d):
     return m.where("mo < last AND x IS NOT NULL").groupBy("symbol", F.month("mo").alias("month")).agg(F.count("x").alias("n"), F.round(F.avg("x"), 6).alias("mean_return"))
 
 
-@query("a22_capture_ratios", sql("r", "br", ctes=PAIRED + ", m AS (SELECT symbol, date_trunc('month', trade_date) AS mo, exp(sum(ln(1 + ret))) AS a, exp(sum(ln(1 + bench_ret))) AS b FROM p GROUP BY ALL), g AS (SELECT symbol, count(*) FILTER (b > 1) AS up, count(*) FILTER (b < 1) AS down, exp(avg(ln(a)) FILTER (b > 1)) - 1 AS au, exp(avg(ln(b)) FILTER (b > 1)) - 1 AS bu, exp(avg(ln(a)) FILTER (b < 1)) - 1 AS ad, exp(avg(ln(b)) FILTER (b < 1)) - 1 AS bd FROM m GROUP BY symbol HAVING count(*) >= 6)", body="SELECT symbol, up, down, round(100 * au / nullif(bu, 0), 6) AS up_capture, round(100 * ad / nullif(bd, 0), 6) AS down_capture FROM g"))
+@query("a22_capture_ratios", sql("r", "br", ctes=PAIRED + ", m AS (SELECT symbol, date_trunc('month', trade_date) AS mo, exp(sum(ln(1 + ret))) AS a, exp(sum(ln(1 + bench_ret))) AS b, count(*) AS days FROM p GROUP BY ALL), g AS (SELECT symbol, count(*) FILTER (b > 1) AS up, count(*) FILTER (b < 1) AS down, avg(ln(a) - ln(b)) FILTER (b > 1) AS u, avg(ln(a) - ln(b)) FILTER (b < 1) AS d FROM m GROUP BY symbol HAVING sum(days) >= 20)", body="SELECT symbol, up, down, round(CASE WHEN up >= 6 THEN 100 * exp(u) END, 6) AS up_capture, round(CASE WHEN down >= 6 THEN 100 * exp(d) END, 6) AS down_capture FROM g"))
 def a22(spark, d):
     r = with_returns(bars(spark, d)).join(bench_returns(bench(spark, d)), "trade_date").where("ret IS NOT NULL AND bench_ret IS NOT NULL")
-    m = r.groupBy("symbol", F.trunc("trade_date", "month").alias("mo")).agg(F.exp(F.sum(F.ln(1 + F.col("ret")))).alias("a"), F.exp(F.sum(F.ln(1 + F.col("bench_ret")))).alias("b"))
-    geo = lambda c, ok: F.exp(F.avg(F.when(ok, F.ln(c)))) - 1
+    m = r.groupBy("symbol", F.trunc("trade_date", "month").alias("mo")).agg(F.exp(F.sum(F.ln(1 + F.col("ret")))).alias("a"), F.exp(F.sum(F.ln(1 + F.col("bench_ret")))).alias("b"), F.count("*").alias("days"))
+    # geometric means of 1 + return, the symbol's over the benchmark's, in six months at least
+    part = lambda ok: F.avg(F.when(ok, F.ln("a") - F.ln("b")))
     up, down = F.col("b") > 1, F.col("b") < 1
-    g = m.groupBy("symbol").agg(F.count("*").alias("n"), F.count_if(up).alias("up"), F.count_if(down).alias("down"), geo("a", up).alias("au"), geo("b", up).alias("bu"), geo("a", down).alias("ad"), geo("b", down).alias("bd")).where("n >= 6")
-    return R.tidy(g, "symbol", "up", "down", up_capture=100 * F.try_divide("au", "bu"), down_capture=100 * F.try_divide("ad", "bd"))
+    g = m.groupBy("symbol").agg(F.sum("days").alias("days"), F.count_if(up).alias("up"), F.count_if(down).alias("down"), part(up).alias("u"), part(down).alias("d")).where("days >= 20")
+    return R.tidy(g, "symbol", "up", "down", up_capture=F.when(F.col("up") >= 6, 100 * F.exp("u")), down_capture=F.when(F.col("down") >= 6, 100 * F.exp("d")))
 
 
 @query("a27_volume_profile", sql("bars", ctes="x AS (SELECT symbol, min(low) AS lo, (max(high) - min(low)) / 50 AS step FROM bars GROUP BY symbol), y AS (SELECT symbol, bin::INT AS bin, sum(volume * CASE WHEN high > low THEN (least(high, lo + (bin + 1) * step) - greatest(low, lo + bin * step)) / (high - low) ELSE 1 END) AS v FROM bars JOIN x USING (symbol), range(50) b(bin) WHERE step > 0 AND bin BETWEEN least(49, floor((low - lo) / step)) AND least(49, floor((high - lo) / step)) GROUP BY ALL)", body="SELECT symbol, bin, round(v, 4) AS volume, v = max(v) OVER (PARTITION BY symbol) AS poc FROM y"))
@@ -260,9 +265,9 @@ def pf3(spark, d):
     return bars(spark, d).groupBy("symbol").agg(F.count("*").alias("n")).where("n >= 252")
 
 
-@query("pf4_pf5_liquid_universe", sql("bars", body="SELECT symbol, trade_date, close >= 5 AND volume >= 20 AS is_liquid FROM bars WHERE symbol NOT IN ('S00', 'S01')"))
+@query("pf4_pf5_liquid_universe", sql("bars", body="SELECT symbol, trade_date, close >= 5 AND volume >= 20 AS is_liquid FROM bars WHERE symbol NOT IN ('S000000', 'S000001')"))
 def pf5(spark, d):
-    return bars(spark, d).where(~F.col("symbol").isin("S00", "S01")).select("symbol", "trade_date", ((F.col("close") >= 5) & (F.col("volume") >= 20)).alias("is_liquid"))
+    return bars(spark, d).where(~F.col("symbol").isin("S000000", "S000001")).select("symbol", "trade_date", ((F.col("close") >= 5) & (F.col("volume") >= 20)).alias("is_liquid"))
 
 
 @query("pf18_r10_screener", sql("r", ctes=f"t AS (SELECT symbol, trade_date, lag(close, 21) OVER {W} / lag(close, 252) OVER {W} - 1 AS m, stddev_samp(ret) OVER {frame(63)} * sqrt(252) AS v, close > avg(close) OVER {frame(200)} AS above FROM r), l AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY trade_date DESC) = 1)", body="SELECT symbol, round(m, 6) AS momentum, round(v, 6) AS vol, round(m / v, 6) AS score, above, row_number() OVER (ORDER BY m / v DESC, symbol) AS place FROM l WHERE m >= -0.5 AND v <= 10"))

@@ -12,16 +12,19 @@ from panelspark.operators.asof import asof
 from panelspark.plans.joins import EVENTS, events
 from panelspark.plans.panels import PAIRED, W
 from panelspark.registry import query
-from panelspark.sources.views import bars, bench, bench_returns, by_symbol, prints, read, sql, symbol_of, with_returns
+from panelspark.sources.views import CUSTOMER, bars, bench, bench_returns, by_symbol, customer_symbol, prints, read, sql, with_returns
 
-STUDY = EVENTS + ", " + PAIRED + f""", e AS (SELECT DISTINCT symbol, event_type, event_date, after_close FROM ev),
-t0 AS (SELECT e.*, k FROM (SELECT * FROM e WHERE after_close) e ASOF JOIN p ON e.symbol = p.symbol AND event_date < trade_date UNION ALL SELECT e.*, k FROM (SELECT * FROM e WHERE NOT after_close) e ASOF JOIN p ON e.symbol = p.symbol AND event_date >= trade_date),
-t1 AS (SELECT * FROM t0 JOIN (SELECT symbol, max(k) AS last FROM p GROUP BY symbol) USING (symbol) WHERE k - 120 >= 1 AND k + 1 <= last),
-w AS (SELECT t1.symbol, event_type, event_date, p.ret, p.bench_ret, p.k - t1.k AS o FROM t1 JOIN p ON p.symbol = t1.symbol AND (p.k BETWEEN t1.k - 120 AND t1.k - 21 OR p.k BETWEEN t1.k - 1 AND t1.k + 1)),
-g AS (SELECT symbol, event_type, event_date, count(*) FILTER (o <= -21) AS n, avg(bench_ret) FILTER (o <= -21) AS mx, avg(ret) FILTER (o <= -21) AS my, covar_pop(ret, bench_ret) FILTER (o <= -21) AS c, var_pop(bench_ret) FILTER (o <= -21) AS vx, var_pop(ret) FILTER (o <= -21) AS vy, count(*) FILTER (o >= -1) AS l, sum(bench_ret) FILTER (o >= -1) AS sx, sum(ret) FILTER (o >= -1) AS sy FROM w GROUP BY ALL HAVING count(*) FILTER (o <= -21) >= 30),
-g2 AS (SELECT *, c / vx AS beta, my - c / vx * mx AS alpha FROM g), g3 AS (SELECT *, sy - l * alpha - beta * sx AS car, greatest(0, n * (vy - beta * c)) / (n - 2) AS s2 FROM g2),
-g4 AS (SELECT *, car / sqrt(s2 * (l + l * l / n + pow(sx - l * mx, 2) / (n * vx))) AS t FROM g3),
-cars AS (SELECT symbol, event_type, event_date, n, round(alpha, 6) AS alpha, round(beta, 6) AS beta, round(c * c / (vx * vy), 6) AS r2, round(car, 6) AS car, round(t, 6) AS t, round(2 * (1 - {cdf_sql('abs(t)')}), 6) AS p FROM g4)"""
+def _windows() -> str:
+    over = {k: f"(PARTITION BY symbol ORDER BY k ROWS BETWEEN {a} AND {b})" for k, a, b in (("e", "120 PRECEDING", "21 PRECEDING"), ("v", "10 PRECEDING", "30 FOLLOWING"), ("d", "2 FOLLOWING", "21 FOLLOWING"))}
+    cols = (("n", "count(ret)", "e"), ("mx", "avg(bench_ret)", "e"), ("my", "avg(ret)", "e"), ("c", "covar_pop(ret, bench_ret)", "e"), ("vx", "var_pop(bench_ret)", "e"), ("vy", "var_pop(ret)", "e"), ("l", "count(ret)", "v"), ("sx", "sum(bench_ret)", "v"), ("sy", "sum(ret)", "v"), ("sxx", "sum(bench_ret * bench_ret)", "v"), ("dl", "count(ret)", "d"), ("dx", "sum(bench_ret)", "d"), ("dy", "sum(ret)", "d"))
+    return "w AS (SELECT symbol, trade_date, k, " + ", ".join(f"{f} OVER {over[o]} AS {n}" for n, f, o in cols) + " FROM p)"
+
+
+STUDY = EVENTS + ", " + PAIRED + ", " + _windows() + f""", e AS (SELECT DISTINCT symbol, event_type, event_date, after_close FROM ev),
+t0 AS (SELECT e.*, w.* EXCLUDE (symbol) FROM (SELECT * FROM e WHERE after_close) e ASOF JOIN w ON e.symbol = w.symbol AND event_date < trade_date UNION ALL SELECT e.*, w.* EXCLUDE (symbol) FROM (SELECT * FROM e WHERE NOT after_close) e ASOF JOIN w ON e.symbol = w.symbol AND event_date >= trade_date),
+g2 AS (SELECT *, c / vx AS beta, my - c / vx * mx AS alpha FROM t0 WHERE n = 100 AND l = 41), g3 AS (SELECT *, sy - l * alpha - beta * sx AS car, greatest(0, n * (vy - beta * c)) / (n - 2) AS s2, greatest(0, sxx - 2 * mx * sx + l * mx * mx) / greatest(n * vx, 1e-8) AS spread FROM g2),
+g4 AS (SELECT *, car / sqrt(greatest(1e-12, s2 * (l + l / n + spread))) AS t FROM g3),
+cars AS (SELECT symbol, event_type, event_date, after_close, trade_date AS session, n, round(alpha, 6) AS alpha, round(beta, 6) AS beta, round(c * c / (vx * vy), 6) AS r2, round(car, 6) AS car, round(t, 6) AS t, round(2 * (1 - {cdf_sql('abs(t)')}), 6) AS p, round(CASE WHEN dl = 20 THEN dy - dl * alpha - beta * dx END, 6) AS drift FROM g4)"""
 
 
 def study(spark, d):
@@ -29,21 +32,24 @@ def study(spark, d):
     return S.event_study(e, S.paired_sessions(bars(spark, d), bench_returns(bench(spark, d))))
 
 
-# one (symbol, type, date) with both after_close states is two events of one key: the SQL
-# and the operator both gather it in one group
 @query("es1_event_study", sql("r", "br", ctes=STUDY, body="SELECT * FROM cars"))
 def es1(spark, d):
     return study(spark, d)
 
 
+@query("es1_daily_abnormal", sql("r", "br", ctes=STUDY, body="SELECT s.symbol, event_type, event_date, after_close, (p.k - s.k)::INT AS day, p.trade_date, round(p.ret - a - b * p.bench_ret, 6) AS abnormal, round(sum(p.ret - a - b * p.bench_ret) OVER (PARTITION BY s.symbol, event_type, event_date, after_close ORDER BY p.k), 6) AS cumulative FROM (SELECT *, round(alpha, 6) AS a, round(beta, 6) AS b FROM g4) s JOIN p ON p.symbol = s.symbol AND p.k BETWEEN s.k - 10 AND s.k + 30"))
+def es1_daily(spark, d):
+    return S.daily_abnormal(study(spark, d), S.paired_sessions(bars(spark, d), bench_returns(bench(spark, d))))
+
+
 @query("a15_es3_pooled_cars", sql("r", "br", ctes=STUDY + ", q AS (SELECT event_type, count(*) AS n, array_agg(car ORDER BY car) AS cars, avg(car) AS m, stddev_samp(car) AS s FROM cars GROUP BY 1 HAVING count(*) >= 2)", body=f"SELECT event_type, n, cars, round(m, 6) AS mean, round(s, 6) AS sd, round(m / (s / sqrt(n)), 6) AS t, round(2 * (1 - {cdf_sql('abs(m / (s / sqrt(n)))')}), 6) AS p FROM q"))
 def es3(spark, d):
     return S.pooled(study(spark, d))
 
 
-@query("es4_r4_car_percentile", sql("r", "br", ctes=STUDY, body="SELECT symbol, event_type, event_date, car, round(100 * cume_dist() OVER (PARTITION BY event_type ORDER BY car), 6) AS pooled_pct FROM cars"))
+@query("es4_r4_car_percentile", sql("r", "br", ctes=STUDY, body="SELECT symbol, event_type, event_date, after_close, car, round(100 * cume_dist() OVER (PARTITION BY event_type ORDER BY car), 6) AS pooled_pct FROM cars"))
 def es4(spark, d):
-    return study(spark, d).select("symbol", "event_type", "event_date", "car", F.round(100 * F.cume_dist().over(Window.partitionBy("event_type").orderBy("car")), 6).alias("pooled_pct"))
+    return study(spark, d).select("symbol", "event_type", "event_date", "after_close", "car", F.round(100 * F.cume_dist().over(Window.partitionBy("event_type").orderBy("car")), 6).alias("pooled_pct"))
 
 
 @query("es2_collapsed_events", "WITH RECURSIVE " + EVENTS + ", e AS (SELECT DISTINCT symbol, event_type, event_date FROM ev), k AS (SELECT symbol, event_type, min(event_date) AS event_date FROM e GROUP BY ALL UNION ALL SELECT k.symbol, k.event_type, (SELECT min(e.event_date) FROM e WHERE e.symbol = k.symbol AND e.event_type = k.event_type AND e.event_date > k.event_date + 60) FROM k WHERE k.event_date IS NOT NULL) SELECT symbol, event_type, event_date, (event_date + 60)::DATE AS end_date FROM k WHERE event_date IS NOT NULL")
@@ -51,18 +57,18 @@ def es2(spark, d):
     return S.collapse(events(spark, d))
 
 
-EARN = """earn AS (SELECT 'S' || lpad((o_custkey % 20)::VARCHAR, 2, '0') AS symbol, max(o_orderdate)::DATE AS date, sum(round(o_totalprice * 100)::BIGINT) / count(*) / 100 AS estimate,
- sum(round(o_totalprice * 100)::BIGINT) FILTER (o_orderstatus = 'F') / nullif(count(*) FILTER (o_orderstatus = 'F'), 0) / 100 AS actual FROM orders GROUP BY o_custkey % 20, date_trunc('quarter', o_orderdate)),
+EARN = f"""earn0 AS (SELECT {CUSTOMER} AS symbol, * FROM orders), earn AS (SELECT symbol, max(o_orderdate)::DATE AS date, sum(round(o_totalprice * 100)::BIGINT) / count(*) / 100 AS estimate,
+ sum(round(o_totalprice * 100)::BIGINT) FILTER (o_orderstatus = 'F') / nullif(count(*) FILTER (o_orderstatus = 'F'), 0) / 100 AS actual FROM earn0 GROUP BY symbol, date_trunc('quarter', o_orderdate)),
 earn2 AS (SELECT *, CASE WHEN abs(estimate) >= 0.05 THEN round(actual / estimate - 1, 6) END AS surprise, actual IS NULL AS upcoming FROM earn)"""
 
 
 def earnings(spark, d):
     """(symbol, date, estimate, actual, surprise, upcoming): a print a symbol and quarter;
     the actual is the mean of finished orders, the estimate that of all."""
-    o = read(spark, d, "orders").withColumn("cents", F.round(F.col("o_totalprice") * 100).cast("bigint"))
+    o = read(spark, d, "orders").withColumn("symbol", customer_symbol(spark, d, "o_custkey")).withColumn("cents", F.round(F.col("o_totalprice") * 100).cast("bigint"))
     done = F.col("o_orderstatus") == "F"
-    e = o.groupBy((F.col("o_custkey") % 20).alias("k"), F.date_trunc("quarter", "o_orderdate").alias("q")).agg(F.to_date(F.max("o_orderdate")).alias("date"), (F.sum("cents") / F.count("*") / 100).alias("estimate"), (F.try_divide(F.sum(F.when(done, F.col("cents"))), F.count_if(done)) / 100).alias("actual"))
-    return e.select(symbol_of(F.col("k")).alias("symbol"), "date", "estimate", "actual", F.when(F.abs("estimate") >= 0.05, F.round(F.col("actual") / F.col("estimate") - 1, 6)).alias("surprise"), F.col("actual").isNull().alias("upcoming"))
+    e = o.groupBy("symbol", F.date_trunc("quarter", "o_orderdate").alias("q")).agg(F.to_date(F.max("o_orderdate")).alias("date"), (F.sum("cents") / F.count("*") / 100).alias("estimate"), (F.try_divide(F.sum(F.when(done, F.col("cents"))), F.count_if(done)) / 100).alias("actual"))
+    return e.select("symbol", "date", "estimate", "actual", F.when(F.abs("estimate") >= 0.05, F.round(F.col("actual") / F.col("estimate") - 1, 6)).alias("surprise"), F.col("actual").isNull().alias("upcoming"))
 
 
 @query("src12_pf13_earnings", "WITH " + EARN + " SELECT symbol, date, round(estimate, 4) AS estimate, round(actual, 4) AS actual, surprise, upcoming FROM earn2")
@@ -92,9 +98,9 @@ def w30(spark, d):
     return event_metrics(spark, d)
 
 
-@query("a16_drift_summary", sql("r", ctes=ALL_EM, body="SELECT symbol, count(*) AS events, round(avg(drift_20) FILTER (surprise > 0), 6) AS drift_beat, round(avg(drift_20) FILTER (surprise < 0), 6) AS drift_miss FROM em GROUP BY symbol"))
+@query("a16_drift_summary", sql("r", ctes=ALL_EM, body="SELECT symbol, count(*) AS events, round(avg(drift_20) FILTER (surprise > 0), 10) AS drift_beat, round(avg(drift_20) FILTER (surprise < 0), 10) AS drift_miss FROM em GROUP BY symbol"))
 def a16(spark, d):
-    return event_metrics(spark, d).groupBy("symbol").agg(F.count("*").alias("events"), F.round(F.avg(F.when(F.col("surprise") > 0, F.col("drift_20"))), 6).alias("drift_beat"), F.round(F.avg(F.when(F.col("surprise") < 0, F.col("drift_20"))), 6).alias("drift_miss"))
+    return event_metrics(spark, d).groupBy("symbol").agg(F.count("*").alias("events"), F.round(F.avg(F.when(F.col("surprise") > 0, F.col("drift_20"))), 10).alias("drift_beat"), F.round(F.avg(F.when(F.col("surprise") < 0, F.col("drift_20"))), 10).alias("drift_miss"))
 
 
 @query("a17_own_history", sql("r", ctes=ALL_EM, body="SELECT symbol, surprise > 0 AS beat, count(reaction) AS n, round(median(reaction), 8) AS median_reaction, round(avg(reaction), 6) AS mean_reaction, count(*) FILTER (reaction > 0) AS positive, CASE WHEN count(reaction) < 3 THEN 'limited' ELSE 'ok' END AS state FROM em WHERE surprise IS NOT NULL GROUP BY ALL"))
@@ -117,13 +123,15 @@ def a36(spark, d):
     return e.groupBy("symbol").agg(F.count("*").alias("n"), F.round(F.avg("m"), 6).alias("mean_move"), F.round(F.percentile("m", 0.5), 8).alias("median_move"), F.round(F.percentile(F.when(F.col("k") <= 8, F.col("m")), 0.5), 8).alias("median_last_8"))
 
 
-@query("r17_f23_drift_screen", sql("r", ctes=ALL_EM + ", l AS (SELECT * FROM em QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) = 1), z AS (SELECT symbol, max(trade_date) AS today FROM r GROUP BY symbol)", body="SELECT symbol, date, surprise, date_diff('day', date, today)::BIGINT AS days_since, row_number() OVER (ORDER BY abs(surprise) DESC, symbol) AS place FROM l JOIN z USING (symbol)"))
+@query("r17_f23_drift_screen", sql("r", ctes=ALL_EM + ", l AS (SELECT * FROM em QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) = 1), z AS (SELECT l.symbol, count(*) FILTER (r.trade_date > l.trade_date) AS since FROM l LEFT JOIN r ON r.symbol = l.symbol GROUP BY l.symbol), u AS (SELECT symbol, min(date) AS upcoming FROM earn2 WHERE upcoming GROUP BY symbol)", body="SELECT symbol, date, surprise, reaction, since AS sessions_since, 20 - since AS remaining, u.upcoming, row_number() OVER (ORDER BY 20 - since DESC, abs(surprise) DESC, symbol) AS place FROM l JOIN z USING (symbol) LEFT JOIN u USING (symbol) WHERE since <= 20 AND surprise IS NOT NULL AND trade_date IS NOT NULL"))
 def r17(spark, d):
     e = event_metrics(spark, d)
-    latest = e.groupBy("symbol").agg(F.max_by(F.struct("date", "surprise"), "date").alias("x")).select("symbol", "x.*")
-    today = bars(spark, d).groupBy("symbol").agg(F.max("trade_date").alias("today"))
-    w = Window.partitionBy(F.lit(1)).orderBy(F.desc(F.abs("surprise")), "symbol")  # a row a symbol
-    return latest.join(today, "symbol").select("symbol", "date", "surprise", F.datediff("today", "date").cast("bigint").alias("days_since"), F.row_number().over(w).alias("place"))
+    latest = e.groupBy("symbol").agg(F.max_by(F.struct("date", "surprise", "reaction", "trade_date"), "date").alias("x")).select("symbol", "x.*")
+    since = bars(spark, d).select("symbol", F.col("trade_date").alias("t")).join(latest, "symbol").groupBy("symbol", "date", "surprise", "reaction", "trade_date").agg(F.count_if(F.col("t") > F.col("trade_date")).alias("sessions_since"))
+    due = earnings(spark, d).where("upcoming").groupBy("symbol").agg(F.min("date").alias("upcoming"))
+    rows = since.where("sessions_since <= 20 AND surprise IS NOT NULL AND trade_date IS NOT NULL").withColumn("remaining", 20 - F.col("sessions_since")).join(due, "symbol", "left")
+    w = Window.partitionBy(F.lit(1)).orderBy(F.desc("remaining"), F.desc(F.abs("surprise")), "symbol")  # a row a symbol with an open window
+    return rows.select("symbol", "date", "surprise", "reaction", "sessions_since", "remaining", "upcoming", F.row_number().over(w).alias("place"))
 
 
 @query("r20_src11_largest_prints", sql("prints", body="SELECT user_id, event_id, round(value * size, 4) AS premium, row_number() OVER (PARTITION BY user_id ORDER BY value * size DESC, event_id) AS place FROM prints WHERE value > 0 AND size > 0 QUALIFY place <= 3"))
@@ -139,10 +147,11 @@ def pf29(spark, d):
     return s.groupBy("user_id").agg(F.count_if(F.col("sign") == 1).alias("buys"), F.count_if(F.col("sign") == -1).alias("sells"), F.coalesce(F.sum(F.col("sign") * F.col("size")), F.lit(0)).alias("net"), F.count_distinct("event_type").alias("kinds"))
 
 
-@query("a20_monthly_net", sql("prints", body="SELECT event_type, date_trunc('week', ts)::DATE AS week, sum(size)::BIGINT AS net FROM prints WHERE event_type <> 'error' GROUP BY ALL HAVING sum(size) <> 0"))
+@query("a20_monthly_net", sql("prints", body="SELECT user_id, date_trunc('month', ts)::DATE AS month, sum(CASE WHEN event_type IN ('purchase', 'signup') THEN size ELSE -size END)::BIGINT AS net FROM prints WHERE event_type <> 'error' GROUP BY ALL HAVING net <> 0"))
 def a20(spark, d):
     p = prints(spark, d).where("event_type <> 'error'")
-    return p.groupBy("event_type", F.to_date(F.date_trunc("week", "ts")).alias("week")).agg(F.sum("size").alias("net")).where("net <> 0")
+    signed = F.when(F.col("event_type").isin("purchase", "signup"), F.col("size")).otherwise(-F.col("size"))
+    return p.groupBy("user_id", F.to_date(F.date_trunc("month", "ts")).alias("month")).agg(F.sum(signed).alias("net")).where("net <> 0")
 
 
 @query("w28_level_touches", sql("r", ctes=f"t AS (SELECT *, max(high) OVER (PARTITION BY symbol ORDER BY trade_date ROWS BETWEEN 63 PRECEDING AND 1 PRECEDING) AS lv, lead(ret) OVER {W} AS nx FROM r)", body="SELECT symbol, count(*) AS touches, count(*) FILTER (close < lv) AS reversals, round(avg(nx), 6) AS next_ret FROM t WHERE prev_close < lv AND high >= lv * 0.998 GROUP BY symbol"))

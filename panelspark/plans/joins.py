@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from panelspark.operators import rolling as R
 from panelspark.operators.asof import asof, nearest
 from panelspark.registry import query
-from panelspark.sources.views import actions, bars, bench, by_symbol, read, sectors, sql, symbol_of, timeline, with_returns
+from panelspark.sources.views import CUSTOMER, actions, bars, bench, by_symbol, customer_symbol, read, sectors, sql, timeline, with_returns
 
-EVENTS = "ev AS (SELECT 'S' || lpad((o_custkey % 20)::VARCHAR, 2, '0') AS symbol, o_orderpriority AS event_type, o_orderdate::DATE AS event_date, o_orderstatus = 'F' AS after_close, NULL::DATE AS end_date FROM orders)"
+EVENTS = f"ev AS (SELECT {CUSTOMER} AS symbol, o_orderpriority AS event_type, o_orderdate::DATE AS event_date, o_orderstatus = 'F' AS after_close, NULL::DATE AS end_date FROM orders)"
 
 
 def events(spark, d):
     """(symbol, event_type, event_date, after_close, end_date)."""
-    return read(spark, d, "orders").select(symbol_of(F.col("o_custkey") % 20).alias("symbol"), F.col("o_orderpriority").alias("event_type"), F.to_date("o_orderdate").alias("event_date"), (F.col("o_orderstatus") == "F").alias("after_close"), F.lit(None).cast("date").alias("end_date"))
+    return read(spark, d, "orders").select(customer_symbol(spark, d, "o_custkey").alias("symbol"), F.col("o_orderpriority").alias("event_type"), F.to_date("o_orderdate").alias("event_date"), (F.col("o_orderstatus") == "F").alias("after_close"), F.lit(None).cast("date").alias("end_date"))
 
 
 @query("j4_entity_lineage", sql("timeline", body="SELECT c_custkey AS entity_id, c_name AS name, t.action_id, t.valid_from, t.valid_to, a.action_type, a.status FROM customer LEFT JOIN timeline t ON t.entity_id = c_custkey LEFT JOIN actions a ON a.action_id = t.action_id AND a.entity_id = t.entity_id"))
@@ -137,18 +137,20 @@ def u2(spark, d):
     return parts.groupBy("symbol").agg(F.min("tier").alias("tier"))
 
 
-@query("j20_peers", sql("fundamentals", ctes="p AS (SELECT a.company, b.company AS peer, row_number() OVER (PARTITION BY a.company ORDER BY abs(a.multiple - b.multiple), b.company) AS k FROM fundamentals a JOIN fundamentals b ON a.industry = b.industry AND a.sector = b.sector AND a.company <> b.company)", body="SELECT company, peer, k AS place FROM p WHERE k <= 5"))
+@query("j20_peers", sql("fundamentals", ctes="f AS (SELECT *, count(*) OVER (PARTITION BY sector, industry) AS n FROM fundamentals), p AS (SELECT a.company, b.company AS peer, CASE WHEN a.n > 5 THEN 'industry' ELSE 'sector' END AS cohort, row_number() OVER (PARTITION BY a.company ORDER BY abs(a.multiple - b.multiple), b.company) AS k FROM f a JOIN f b ON a.sector = b.sector AND (a.n <= 5 OR a.industry = b.industry) AND a.company <> b.company)", body="SELECT company, peer, cohort, k AS place FROM p WHERE k <= 5"))
 def j20(spark, d):
-    """The five of the same sector and industry whose multiple is nearest. Neighbours in a
-    sorted group are enough, so no pair beyond five places is made."""
+    """The five of the same sector and industry (of the sector, where an industry has fewer)
+    whose multiple is nearest. Neighbours in a sorted group are enough, so no pair beyond
+    ten places is made."""
     from panelspark.sources.views import fundamentals
 
-    f = fundamentals(spark, d)
-    w = Window.partitionBy("sector", "industry").orderBy("multiple", "company")
-    near = F.collect_list(F.struct(F.col("company").alias("peer"), F.col("multiple").alias("pm"))).over(w.rowsBetween(-6, 6))
-    p = f.select("company", "multiple", near.alias("near")).select("company", "multiple", F.inline("near")).where("peer <> company")
+    f, own = fundamentals(spark, d), ("sector", "industry")
+    around = lambda *by: F.collect_list(F.struct(F.col("company").alias("peer"), F.col("multiple").alias("pm"))).over(Window.partitionBy(*by).orderBy("multiple", "company").rowsBetween(-10, 10))
+    f = f.withColumns({"n": F.count("*").over(Window.partitionBy(*own)), "near1": around(*own), "near2": around("sector")})
+    p = f.select("company", "multiple", F.when(F.col("n") > 5, "industry").otherwise("sector").alias("cohort"), F.when(F.col("n") > 5, F.col("near1")).otherwise(F.col("near2")).alias("near"))
+    p = p.select("company", "multiple", "cohort", F.inline("near")).where("peer <> company")
     k = F.row_number().over(Window.partitionBy("company").orderBy(F.abs(F.col("multiple") - F.col("pm")), "peer"))
-    return p.withColumn("place", k).where("place <= 5").select("company", "peer", "place")
+    return p.withColumn("place", k).where("place <= 5").select("company", "peer", "cohort", "place")
 
 
 @query("j21_prior_snapshot", sql("bars", ctes="c AS (SELECT symbol, date_trunc('month', trade_date)::DATE AS m, max(trade_date) AS snap, arg_max(close, trade_date) AS v FROM bars GROUP BY ALL), p AS (SELECT a.symbol, a.snap, a.v, b.snap AS prior, b.v AS pv, row_number() OVER (PARTITION BY a.symbol, a.snap ORDER BY abs((a.snap - b.snap) - 90), b.snap) AS k FROM c a JOIN c b ON a.symbol = b.symbol AND a.snap - b.snap BETWEEN 45 AND 150)", body="SELECT symbol, snap, prior, round(v / pv - 1, 6) AS change FROM p WHERE k = 1"))

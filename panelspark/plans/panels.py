@@ -38,9 +38,9 @@ def daily(spark, d):
     return R.daily_metrics(bars(spark, d))
 
 
-@query("pf2_metrics_in_range", "WITH " + sql("bars", body="").split("WITH ", 1)[1].strip().rstrip(",") + ", r AS (SELECT *, lag(close) OVER w AS prev_close, close / lag(close) OVER w - 1 AS ret, ln(close / lag(close) OVER w) AS log_ret FROM bars WHERE trade_date BETWEEN DATE '1995-01-01' AND DATE '1996-12-31' AND symbol IN ('S01', 'S02', 'S03') WINDOW w AS (PARTITION BY symbol ORDER BY trade_date)), " + DAILY.format(where="") + DAILY_BODY)
+@query("pf2_metrics_in_range", "WITH " + sql("bars", body="").split("WITH ", 1)[1].strip().rstrip(",") + ", r AS (SELECT *, lag(close) OVER w AS prev_close, close / lag(close) OVER w - 1 AS ret, ln(close / lag(close) OVER w) AS log_ret FROM bars WHERE trade_date BETWEEN DATE '1995-01-01' AND DATE '1996-12-31' AND symbol IN ('S000001', 'S000002', 'S000003') WINDOW w AS (PARTITION BY symbol ORDER BY trade_date)), " + DAILY.format(where="") + DAILY_BODY)
 def metrics_in_range(spark, d):
-    return R.daily_metrics(bars(spark, d), start="1995-01-01", end="1996-12-31", symbols=["s01", "s02", "s03"])
+    return R.daily_metrics(bars(spark, d), start="1995-01-01", end="1996-12-31", symbols=["s000001", "s000002", "s000003"])
 
 
 @query("w4_vol_term_structure", sql("r", ctes="t AS (SELECT symbol, trade_date, " + ", ".join(full(f"stddev_samp(log_ret) OVER {frame(n)} * sqrt(252)", "log_ret", n) + f" AS v{n}" for n in (5, 21, 63, 126, 252)) + " FROM r)", body="SELECT symbol, trade_date, " + ", ".join(f"round(v{n}, 6) AS vol_{n}d" for n in (5, 21, 63, 126, 252)) + ", round(v21 / nullif(v252, 0), 6) AS slope FROM t QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY trade_date DESC) = 1"))
@@ -86,7 +86,7 @@ def w11(spark, d):
     return R.bands(bars(spark, d))
 
 
-@query("w12_momentum", sql("r", ctes=f"t AS (SELECT *, lag(close, 21) OVER {W} / lag(close, 252) OVER {W} - 1 AS m, {full(f'stddev_samp(ret) OVER {frame(63)} * sqrt(252)', 'ret', 63)} AS v FROM r)", body=f"SELECT symbol, trade_date, round(m, 6) AS mom_12_1, " + ", ".join(f"round(close / lag(close, {n}) OVER {W} - 1, 6) AS {k}" for k, n in (("mom_6m", 126), ("mom_3m", 63), ("mom_1m", 21))) + ", round(v, 6) AS vol, round(m / nullif(v, 0), 6) AS risk_adjusted, round(m, 6) > 0 AS passes FROM t"))
+@query("w12_momentum", sql("r", ctes=f"t AS (SELECT *, lag(close, 21) OVER {W} / lag(close, 252) OVER {W} - 1 AS m, {full(f'stddev_samp(ret) OVER {frame(252)} * sqrt(252)', 'ret', 252)} AS v FROM r)", body=f"SELECT symbol, trade_date, round(m, 6) AS mom_12_1, " + ", ".join(f"round(close / lag(close, {n}) OVER {W} - 1, 6) AS {k}" for k, n in (("mom_6m", 126), ("mom_3m", 63), ("mom_1m", 21))) + ", round(v, 6) AS vol, round(m / nullif(v, 0), 6) AS risk_adjusted, round(m, 6) > 0 AS passes FROM t"))
 def w12(spark, d):
     return R.momentum(bars(spark, d))
 
@@ -104,59 +104,83 @@ def w13(spark, d):
     return R.spans(trend(spark, d))
 
 
-SCORE = f"""s AS (SELECT *, {full(f'stddev_samp(ret) OVER {frame(20)} * sqrt(252)', 'ret', 20)} AS v, quantile_cont(abs(ret), 0.5) OVER {frame(252)} * sqrt(252) AS usual,
- close / avg(close) OVER {frame(200)} - 1 AS tr, close / lag(close, 126) OVER {W} - 1 AS mo FROM r),
-sc AS (SELECT symbol, trade_date, ret, CASE WHEN tr IS NOT NULL AND mo IS NOT NULL AND v IS NOT NULL AND nullif(2 * usual, 0) IS NOT NULL THEN 40 * greatest(0, least(1, (tr + 0.1) / 0.2)) + 35 * greatest(0, least(1, (mo + 0.2) / 0.4)) + 25 * greatest(0, least(1, 1.5 - v / (2 * usual))) ELSE
- 40 * CASE WHEN tr IS NULL THEN 1 ELSE greatest(0, least(1, (tr + 0.1) / 0.2)) END + 35 * CASE WHEN mo IS NULL THEN 1 ELSE greatest(0, least(1, (mo + 0.2) / 0.4)) END + 25 * CASE WHEN v IS NULL OR coalesce(usual, 0) = 0 THEN 1 ELSE greatest(0, least(1, 1.5 - v / (2 * usual))) END END AS score FROM s)"""
-
-
-@query("w25_composite_score", sql("r", ctes=SCORE, body="SELECT symbol, trade_date, round(score, 6) AS score FROM sc"))
+#: Folds over a symbol's bars, a row a step (see operators.rolling.recursive).
+REC = """x0 AS MATERIALIZED (SELECT symbol, trade_date, close, ret, prev_close, rn, greatest(close - prev_close, 0) AS up, greatest(prev_close - close, 0) AS dn, lag(ret) OVER w AS pr, count(*) OVER s AS len, var_samp(ret) FILTER (rn <= 61) OVER s AS seed,
+ greatest(high - low, coalesce(abs(high - prev_close), 0), coalesce(abs(low - prev_close), 0)) AS tr FROM r WINDOW w AS (PARTITION BY symbol ORDER BY trade_date), s AS (PARTITION BY symbol)),
+rec AS (SELECT symbol, rn, close AS e8, close AS e12, close AS e21, close AS e26, 0::DOUBLE AS sg, NULL::DOUBLE AS u2, NULL::DOUBLE AS d2, NULL::DOUBLE AS u14, NULL::DOUBLE AS d14, NULL::DOUBLE AS pu, NULL::DOUBLE AS pd, tr AS atr, NULL::DOUBLE AS ev FROM x0 WHERE rn = 1
+ UNION ALL SELECT x.symbol, x.rn, close * 2 / 9 + e8 * 7 / 9, close * 2 / 13 + e12 * 11 / 13, close * 2 / 22 + e21 * 20 / 22, close * 2 / 27 + e26 * 25 / 27, (close * 2 / 13 + e12 * 11 / 13 - close * 2 / 27 - e26 * 25 / 27) * 0.2::DOUBLE + sg * 0.8::DOUBLE,
+ coalesce(u2 / 2, 0) + up, coalesce(d2 / 2, 0) + dn, coalesce(u14 * 13 / 14, 0) + up, coalesce(d14 * 13 / 14, 0) + dn, coalesce(up / 14 + pu * 13 / 14, up), coalesce(dn / 14 + pd * 13 / 14, dn), tr / 14 + atr * 13 / 14,
+ CASE WHEN x.rn = 62 AND len >= 61 THEN seed WHEN x.rn > 62 THEN 0.94::DOUBLE * ev + 0.06::DOUBLE * pr * pr END FROM rec JOIN x0 x ON x.symbol = rec.symbol AND x.rn = rec.rn + 1),
+rs AS (SELECT symbol, rn, e8 AS ema_8, e12 AS ema_12, e21 AS ema_21, e26 AS ema_26, e12 - e26 - sg AS macd_hist, CASE WHEN rn > 2 AND d2 > 0 THEN 100 - 100 / (1 + u2 / d2) ELSE 50 END AS rsi_2, CASE WHEN rn > 14 AND d14 > 0 THEN 100 - 100 / (1 + u14 / d14) ELSE 50 END AS rsi_14,
+ 100 - 100 / (1 + pu / nullif(pd, 0)) AS rsi_14_plain, atr AS atr_14, ev AS ewma_var FROM rec)"""
+SCORE = REC + f""", s AS (SELECT *, close / CASE WHEN rn >= 50 THEN avg(close) OVER {frame(200)} END - 1 AS t1, close / CASE WHEN rn >= 20 THEN avg(close) OVER {frame(50)} END - 1 AS t2, close / lag(close, 63) OVER {W} - 1 AS mo,
+ CASE WHEN count(ret) OVER {frame(20)} >= 10 THEN stddev_samp(ret) OVER {frame(20)} * sqrt(252) END AS v, CASE WHEN count(ret) OVER {frame(252)} >= 50 THEN quantile_cont(ret, 0.5) OVER {frame(252)} * sqrt(252) END AS usual FROM r),
+sc AS (SELECT symbol, trade_date, s.ret, s.rn, coalesce(least(100, greatest(0, 50 + 45 * (CASE WHEN t1 IS NOT NULL AND t2 IS NOT NULL THEN
+ 0.4::DOUBLE * (0.45::DOUBLE * greatest(-1, least(1, t1 / 0.15)) + 0.35::DOUBLE * greatest(-1, least(1, t2 / 0.1)) + 0.2::DOUBLE * greatest(-1, least(1, (ema_8 / ema_21 - 1) / 0.05)))
+ + 0.35::DOUBLE * (0.5::DOUBLE * greatest(-1, least(1, (rsi_14 - 50) / 25)) + 0.5::DOUBLE * CASE WHEN mo IS NULL THEN 0 ELSE greatest(-1, least(1, mo / 0.2)) END)
+ + 0.25::DOUBLE * CASE WHEN v IS NULL OR nullif(usual, 0) IS NULL THEN 0 ELSE greatest(-1, least(1, 1.5 - v / (usual + 1e-8::DOUBLE))) END ELSE 0 END))), 50) AS score FROM s JOIN rs USING (symbol, rn))"""
+
+
+@query("w25_composite_score", sql("r", ctes=SCORE, body="SELECT symbol, trade_date, round(score, 6) AS score FROM sc", recursive=True))
 def w25(spark, d):
     return R.tidy(R.composite(bars(spark, d)), "symbol", "trade_date", score=F.col("score"))
 
 
-@query("w14_hysteresis_signal", sql("r", ctes=SCORE + ", e AS (SELECT *, CASE WHEN round(score, 6) >= 55 THEN 1 WHEN round(score, 6) < 45 THEN 0 END AS ev FROM sc)", body=f"SELECT symbol, trade_date, coalesce(last_value(ev IGNORE NULLS) OVER {W}, 0) AS state FROM e"))
+@query("w14_hysteresis_signal", sql("r", ctes=SCORE + ", e AS (SELECT *, CASE WHEN round(score, 6) >= 55 THEN 1 WHEN round(score, 6) < 45 THEN 0 END AS ev FROM sc)", body=f"SELECT symbol, trade_date, coalesce(last_value(ev IGNORE NULLS) OVER {W}, 0) AS state FROM e", recursive=True))
 def w14(spark, d):
     r = R.composite(bars(spark, d)).withColumn("score", F.round("score", 6))
     return r.select("symbol", "trade_date", R.hysteresis(r, "score").alias("state"))
 
 
-RSI = f"""g AS (SELECT *, avg(greatest(close - prev_close, 0)) OVER {frame(2)} AS gain0, avg(greatest(prev_close - close, 0)) OVER {frame(2)} AS loss0 FROM r),
-i AS (SELECT *, CASE WHEN rn > 2 THEN CASE WHEN gain0 + loss0 = 0 THEN 50 ELSE 100 * gain0 / (gain0 + loss0) END END AS rsi FROM g)"""
-
-
-@query("r11_rsi", sql("r", ctes=RSI, body="SELECT symbol, trade_date, round(rsi, 6) AS rsi FROM i"))
+@query("r11_rsi", sql("r", ctes=REC, body="SELECT symbol, trade_date, round(rsi_2, 6) AS rsi FROM x0 JOIN rs USING (symbol, rn)", recursive=True))
 def r11(spark, d):
     return R.tidy(R.rsi(bars(spark, d)), "symbol", "trade_date", rsi=F.col("rsi"))
 
 
-@query("w15_rsi_position")
+UNIVERSE = f", u0 AS (SELECT sc.symbol, trade_date, score, {full(f'avg(close) OVER {frame(10)}', 'close', 10)} / {full(f'avg(close) OVER {frame(50)}', 'close', 50)} - 1 AS spread, CASE WHEN rn > 200 THEN CASE WHEN close > avg(close) OVER {frame(200)} THEN 100 - rsi_2 ELSE -rsi_2 END END AS rsi_score FROM sc JOIN (SELECT symbol, rn, close FROM r) USING (symbol, rn) JOIN rs USING (symbol, rn)), u AS (SELECT symbol, round(spread, 6) AS sma_spread, round(rsi_score, 6) AS rsi_score, round(score, 6) AS composite FROM u0 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY trade_date DESC) = 1)"
+
+
+@query("r11_score_universes", sql("r", ctes=SCORE + UNIVERSE, body="SELECT *, " + ", ".join(f"CASE WHEN {c} IS NOT NULL THEN row_number() OVER (ORDER BY {c} DESC NULLS LAST, symbol) END AS {c}_place" for c in ("sma_spread", "rsi_score", "composite")) + " FROM u", recursive=True))
+def r11_universes(spark, d):
+    """Each symbol's latest scores (spread of the 10- and 50-row means; 100 less RSI over the
+    200-row mean, minus RSI under it; composite) and its place in each."""
+    from pyspark.sql import Window
+
+    u = R.latest(scored(spark, d), 1)
+    u = R.tidy(u, "symbol", sma_spread=F.col("spread"), rsi_score=F.col("rsi_score"), composite=F.col("score"))
+    place = lambda c: F.when(F.col(c).isNotNull(), F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc_nulls_last(c), "symbol"))).alias(f"{c}_place")  # noqa: E731  a row a symbol
+    return u.select("*", *[place(c) for c in ("sma_spread", "rsi_score", "composite")])
+
+
+def scored(spark, d):
+    """The composite's rows with the mean spread and the RSI score."""
+    r = R.composite(bars(spark, d))
+    sma = lambda n: R.full(F.avg("close").over(R.last(n)), "close", n)
+    side = F.when(F.col("close") > F.avg("close").over(R.last(200)), 100 - F.col("rsi_2")).otherwise(-F.col("rsi_2"))
+    return r.withColumns({"spread": F.try_divide(sma(10), sma(50)) - 1, "rsi_score": F.when(F.col("rn") > 200, side)})
+
+
+STATE = f""", y AS MATERIALIZED (SELECT x0.symbol, trade_date, x0.rn, x0.rn > 200 AS ready, close > avg(close) OVER {frame(200)} AND rsi_2 < 15 AS enter, rsi_2 > 70 OR close > avg(close) OVER {frame(5)} AS leave FROM x0 JOIN rs USING (symbol, rn)),
+st AS (SELECT symbol, rn, 0 AS state FROM y WHERE rn = 1 UNION ALL SELECT y.symbol, y.rn, CASE WHEN NOT ready THEN state WHEN state = 1 THEN (NOT leave)::INT ELSE enter::INT END FROM st JOIN y ON y.symbol = st.symbol AND y.rn = st.rn + 1)"""
+
+
+@query("w15_rsi_position", sql("r", ctes=REC + STATE, body="SELECT symbol, trade_date, CASE WHEN ready THEN state ELSE 0 END AS state FROM st JOIN y USING (symbol, rn)", recursive=True))
 def w15(spark, d):
     return R.rsi_position(bars(spark, d))
 
 
-@query("w16_exponential_means")
-def w16(spark, d):
-    def wilder(c, n):
-        d_ = F.transform(F.sequence(F.lit(1), F.size(c) - 1), lambda i: F.get(c, i) - F.get(c, i - 1))
-        up = R.smoothed(F.transform(d_, lambda x: F.greatest(x, F.lit(0.0))), 1 / n)
-        down = R.smoothed(F.transform(d_, lambda x: F.greatest(-x, F.lit(0.0))), 1 / n)
-        return F.concat(F.array(F.lit(None).cast("double")), F.zip_with(up, down, lambda a, b: F.when(a + b == 0, 50.0).otherwise(100 * a / (a + b))))
+FOLDS = ("ema_12", "ema_26", "macd_hist", "rsi_14", "atr_14")
 
-    c = F.col("c")
-    return R.folded(bars(spark, d), ema_12=R.smoothed(c, 2 / 13), ema_26=R.smoothed(c, 2 / 27), rsi_14=wilder(c, 14))
+
+@query("w16_exponential_means", sql("r", ctes=REC, body="SELECT symbol, trade_date, " + ", ".join(f"round({c}, 6) AS {c}" for c in FOLDS) + " FROM x0 JOIN rs USING (symbol, rn)", recursive=True))
+def w16(spark, d):
+    return R.tidy(R.recursive(with_returns(bars(spark, d))), "symbol", "trade_date", **{c: F.col(c) for c in FOLDS})
 
 
-@query("w17_ewma_variance")
+@query("w17_ewma_variance", sql("r", ctes=REC, body="SELECT symbol, trade_date, round(sqrt(ewma_var * 252), 6) AS ewma_vol FROM x0 JOIN rs USING (symbol, rn) WHERE ewma_var IS NOT NULL", recursive=True))
 def w17(spark, d):
-    """Forecast variance with decay 0.94, seeded with that of the first 60 returns."""
-    r = with_returns(bars(spark, d)).where("ret IS NOT NULL")
-    per = r.groupBy("symbol").agg(F.transform(F.array_sort(F.collect_list(F.struct("trade_date", "ret"))), lambda x: x["ret"]).alias("r")).where(F.size("r") > 60)
-    head = F.slice("r", 1, 60)
-    per = per.withColumn("m", F.aggregate(head, F.lit(0.0), lambda a, x: a + x) / 60)
-    seed = F.aggregate(F.slice("r", 1, 60), F.lit(0.0), lambda a, x: a + (x - F.col("m")) * (x - F.col("m"))) / 59
-    fold = F.aggregate(F.slice("r", F.lit(61), F.size("r")), seed, lambda v, x: 0.94 * v + 0.06 * x * x)
-    return per.select("symbol", F.round(F.sqrt(fold * 252), 6).alias("ewma_vol"), F.size("r").alias("n"))
+    """The day's forecast, made the day before: decay 0.94, from the first 60 returns."""
+    return R.tidy(R.recursive(with_returns(bars(spark, d))).where("ewma_var IS NOT NULL"), "symbol", "trade_date", ewma_vol=F.sqrt(F.col("ewma_var") * 252))
 
 
 def _range_sql() -> str:
@@ -193,12 +217,12 @@ def w24(spark, d):
     return R.price_signals(bars(spark, d))
 
 
-@query("w20_rolling_sharpe", sql("r", ctes=f"p AS (SELECT *, lag(ret) OVER {W} AS pr FROM r), t AS (SELECT symbol, trade_date, {full(f'avg(ret) OVER {frame(252)} / stddev_samp(ret) OVER {frame(252)}', 'ret', 252)} AS sr, greatest(-0.9, least(0.9, covar_samp(ret, pr) OVER {frame(251)} / (stddev_samp(ret) OVER {frame(251)} * stddev_samp(pr) OVER {frame(251)}))) AS rho FROM p)", body="SELECT symbol, trade_date, round(sr * sqrt(252), 6) AS sharpe, round(rho, 6) AS rho, round(sqrt((1 + 0.5 * sr * sr) / 252) * sqrt((1 + rho) / (1 - rho)) * sqrt(252), 6) AS se FROM t WHERE sr IS NOT NULL"))
+@query("w20_rolling_sharpe", sql("r", ctes=f"p AS (SELECT *, lag(ret) OVER {W} AS pr FROM r), t AS (SELECT symbol, trade_date, {full(f'avg(ret) OVER {frame(252)} / nullif(stddev_samp(ret) OVER {frame(252)}, 0)', 'ret', 252)} * sqrt(252) AS sr, greatest(-0.9::DOUBLE, least(0.9::DOUBLE, coalesce(covar_samp(ret, pr) OVER {frame(251)} / nullif(stddev_samp(ret) OVER {frame(251)} * stddev_samp(pr) OVER {frame(251)}, 0), 0))) AS rho FROM p), e AS (SELECT *, sqrt(greatest(1e-4, 1 + 2 * rho + sr * sr / 504)) AS se FROM t WHERE sr IS NOT NULL)", body="SELECT symbol, trade_date, round(sr, 6) AS sharpe, round(rho, 6) AS rho, round(se, 6) AS se, round(sr - 1.96 * se, 6) AS lower, round(sr + 1.96 * se, 6) AS upper FROM e"))
 def w20(spark, d):
     return R.rolling_sharpe(bars(spark, d))
 
 
-@query("w27_triple_barrier", sql("r", ctes=f"t AS (SELECT symbol, trade_date, close, {full(f'stddev_samp(ret) OVER {frame(20)}', 'ret', 20)} AS sg, list(close) OVER (PARTITION BY symbol ORDER BY trade_date ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING) AS nx FROM r), u AS (SELECT *, list_transform(nx, lambda c: CASE WHEN c / close - 1 >= 1.5 * sg THEN 1 WHEN c / close - 1 <= -1.5 * sg THEN -1 ELSE 0 END) AS hits FROM t WHERE len(nx) = 10 AND sg IS NOT NULL), v AS (SELECT *, coalesce(list_filter(range(1, 11), lambda i: hits[i] <> 0)[1], 10) AS pick FROM u)", body="SELECT symbol, trade_date, hits[pick] AS label, round(nx[pick] / close - 1, 6) AS realised FROM v"))
+@query("w27_triple_barrier", sql("r", ctes=f"t AS (SELECT symbol, trade_date, close, {full(f'stddev_samp(ret) OVER {frame(20)}', 'ret', 20)} AS sg, list(close) OVER (PARTITION BY symbol ORDER BY trade_date ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING) AS nx FROM r), u AS (SELECT *, list_transform(nx, lambda c: CASE WHEN c / close - 1 >= 1.5 * sg THEN 1 WHEN c / close - 1 <= -1.5 * sg THEN -1 ELSE 0 END) AS hits FROM t WHERE len(nx) > 0 AND sg > 0), v AS (SELECT *, coalesce(list_filter(range(1, 11), lambda i: hits[i] <> 0)[1], len(nx)) AS pick FROM u)", body="SELECT symbol, trade_date, hits[pick] AS label, round(nx[pick] / close - 1, 6) AS realised FROM v"))
 def w27(spark, d):
     return R.triple_barrier(bars(spark, d))
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from statistics import NormalDist
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -11,7 +14,9 @@ from panelspark.operators import rolling as R
 from panelspark.operators import solve
 from panelspark.operators.asof import asof
 from panelspark.plans.joins import MACRO, macro
-from panelspark.plans.panels import PAIRED, SCORE, W
+from panelspark.plans.cross_sections import PERF as PERF_OF
+from panelspark.plans.cross_sections import PERF_BODY
+from panelspark.plans.panels import PAIRED, REC, SCORE, W
 from panelspark.registry import query
 from panelspark.sources.views import bars, bench, bench_returns, by_symbol, sql, with_returns
 
@@ -80,13 +85,13 @@ PI, P0, P1 = "((n01 + n11) / (n00 + n01 + n10 + n11))", "(n01 / (n00 + n01))", "
 IND = f"greatest(0, -2 * (({_xlog('(n00 + n10)', f'(1 - {PI})')}) + ({_xlog('(n01 + n11)', PI)}) - ({_xlog('n00', f'(1 - {P0})')}) - ({_xlog('n01', P0)}) - ({_xlog('n10', f'(1 - {P1})')}) - ({_xlog('n11', P1)})))"
 
 
-@query("st11_st12_var_backtest", sql("r", ctes=HITS + f", l AS (SELECT *, {POF} AS pof, {IND} AS ind FROM c)", body=f"SELECT symbol, n, x::BIGINT AS breaches, round(pof, 6) AS pof, round(2 * (1 - ({cdf_sql('sqrt(pof)')})), 6) AS pof_p, round(ind, 6) AS ind, CASE WHEN x / n <= 0.015 THEN 'green' WHEN x / n <= 0.03 THEN 'amber' ELSE 'red' END AS light FROM l"))
+@query("st11_st12_var_backtest", sql("r", ctes=HITS + f", l AS (SELECT *, {POF} AS pof, {IND} AS ind FROM c), l2 AS (SELECT *, round(2 * (1 - ({cdf_sql('sqrt(pof)')})), 6) AS p1, CASE WHEN n10 + n11 > 0 THEN round(2 * (1 - ({cdf_sql('sqrt(ind)')})), 6) END AS p2 FROM l WHERE n >= 50)", body=f"SELECT symbol, n, x::BIGINT AS breaches, round(pof, 6) AS pof, p1 AS pof_p, round(ind, 6) AS ind, p2 AS ind_p, CASE WHEN p1 >= 0.05 AND (p2 IS NULL OR p2 >= 0.05) THEN 'green' WHEN p1 >= 0.05 OR p2 >= 0.05 THEN 'amber' ELSE 'red' END AS light FROM l2"))
 def st12(spark, d):
     """99 % value at risk of the 250 days before, tested: Kupiec's coverage and
     Christoffersen's independence."""
     r = with_returns(bars(spark, d))
     w = R.before(250)
-    k = r.withColumn("q", F.when(F.count("ret").over(w) == 250, F.percentile("ret", 0.01).over(w))).where("q IS NOT NULL").withColumn("hit", (F.col("ret") < F.col("q")).cast("int"))
+    k = r.withColumn("xs", R.sorted_frame("ret", w)).withColumn("q", F.when(F.size("xs") == 250, R.quantile("xs", 0.01))).drop("xs").where("q IS NOT NULL").withColumn("hit", (F.col("ret") < F.col("q")).cast("int"))
     k = k.withColumn("prev", F.lag("hit").over(by_symbol()))
     pair = lambda a, b: F.count_if((F.col("prev") == a) & (F.col("hit") == b))
     c = k.groupBy("symbol").agg(F.count("*").alias("n"), F.sum("hit").alias("x"), *[pair(a, b).alias(f"n{a}{b}") for a in (0, 1) for b in (0, 1)])
@@ -95,17 +100,27 @@ def st12(spark, d):
     pof = F.greatest(F.lit(0.0), -2 * (xlog(n - x, F.lit(0.99)) + xlog(x, F.lit(0.01)) - xlog(n - x, 1 - x / n) - xlog(x, x / n)))
     pi, p0, p1 = (n01 + n11) / (n00 + n01 + n10 + n11), n01 / (n00 + n01), F.try_divide(n11, n10 + n11)
     ind = F.greatest(F.lit(0.0), -2 * (xlog(n00 + n10, 1 - pi) + xlog(n01 + n11, pi) - xlog(n00, 1 - p0) - xlog(n01, p0) - xlog(n10, 1 - p1) - xlog(n11, p1)))
-    c = c.withColumns({"pof": pof, "ind": ind})
-    light = F.when(x / n <= 0.015, "green").when(x / n <= 0.03, "amber").otherwise("red")
-    return R.tidy(c.withColumn("light", light).withColumn("breaches", x), "symbol", "n", "breaches", "light", pof=F.col("pof"), pof_p=2 * (1 - cdf(F.sqrt("pof"))), ind=F.col("ind"))
+    c = c.withColumns({"pof": pof, "ind": ind}).where("n >= 50")
+    p = lambda k: F.round(2 * (1 - cdf(F.sqrt(k))), 6)
+    c = c.withColumns({"pof_p": p("pof"), "ind_p": F.when(n10 + n11 > 0, p("ind")), "breaches": x})
+    good = lambda k: F.coalesce(F.col(k) >= 0.05, F.lit(False))
+    light = F.when(good("pof_p") & (F.col("ind_p").isNull() | good("ind_p")), "green").when(good("pof_p") | good("ind_p"), "amber").otherwise("red")
+    return c.select("symbol", "n", "breaches", light.alias("light"), F.round("pof", 6).alias("pof"), "pof_p", F.round("ind", 6).alias("ind"), "ind_p")
+
+
+FORECASTS = REC + f", t AS (SELECT symbol, x0.ret * x0.ret AS rv, ewma_var AS fc, CASE WHEN count(x0.ret) OVER w = 60 THEN avg(x0.ret * x0.ret) OVER w END AS naive FROM x0 JOIN rs USING (symbol, rn) WINDOW w AS (PARTITION BY symbol ORDER BY trade_date ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING))"
 
 
-@query("st10_forecast_evaluation", sql("r", ctes="t AS (SELECT symbol, ret * ret AS rv, CASE WHEN count(ret) OVER w = 60 THEN avg(ret * ret) OVER w END AS fc, avg(ret * ret) OVER (PARTITION BY symbol) AS naive FROM r WINDOW w AS (PARTITION BY symbol ORDER BY trade_date ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING))", body="SELECT symbol, count(*) AS n, round(avg(pow(rv - fc, 2)), 6) AS mse, round(avg(pow(rv - naive, 2)), 6) AS mse_naive, round(avg(ln(fc) + rv / fc), 6) AS qlike FROM t WHERE fc > 0 AND rv IS NOT NULL GROUP BY symbol"))
+@query("st10_forecast_evaluation", sql("r", recursive=True, ctes=FORECASTS + ", g AS (SELECT symbol, count(*) AS n, avg(pow(rv - fc, 2)) AS mse, avg(pow(rv - naive, 2)) AS mse_naive, avg(rv / fc - ln(fc / rv) - 1) FILTER (rv > 0) AS qlike, avg(rv / naive - ln(naive / rv) - 1) FILTER (rv > 0) AS qlike_naive FROM t WHERE fc > 0 AND naive > 0 AND rv IS NOT NULL GROUP BY symbol)", body="SELECT symbol, n, round(mse, 6) AS mse, round(mse_naive, 6) AS mse_naive, round(qlike, 6) AS qlike, round(qlike_naive, 6) AS qlike_naive, round(qlike, 6) < round(qlike_naive, 6) AS beats_naive FROM g"))
 def st10(spark, d):
+    """The exponential variance forecast against squared returns, beside the mean of the 60
+    days before; both are made the day before."""
     r = with_returns(bars(spark, d)).withColumn("rv", F.col("ret") * F.col("ret"))
-    r = r.withColumns({"fc": R.full(F.avg("rv").over(R.before(60)), "ret", 60, R.before(60)), "naive": F.avg("rv").over(Window.partitionBy("symbol"))}).where("fc > 0 AND rv IS NOT NULL")
+    r = R.recursive(r.withColumn("naive", R.full(F.avg("rv").over(R.before(60)), "ret", 60, R.before(60)))).where("ewma_var > 0 AND naive > 0 AND rv IS NOT NULL")
     sq = lambda c: F.avg(F.pow(F.col("rv") - F.col(c), F.lit(2)))
-    return r.groupBy("symbol").agg(F.count("*").alias("n"), F.round(sq("fc"), 6).alias("mse"), F.round(sq("naive"), 6).alias("mse_naive"), F.round(F.avg(F.ln("fc") + F.col("rv") / F.col("fc")), 6).alias("qlike"))
+    ql = lambda c: F.avg(F.when(F.col("rv") > 0, F.col("rv") / F.col(c) - F.ln(F.col(c) / F.col("rv")) - 1))
+    g = r.groupBy("symbol").agg(F.count("*").alias("n"), *[F.round(f(c), 6).alias(k) for f, c, k in ((sq, "ewma_var", "mse"), (sq, "naive", "mse_naive"), (ql, "ewma_var", "qlike"), (ql, "naive", "qlike_naive"))])
+    return g.withColumn("beats_naive", F.col("qlike") < F.col("qlike_naive"))
 
 
 SCENARIOS = (("s1", "1993-01-01", "1993-06-30"), ("s2", "1995-03-01", "1995-12-31"), ("s3", "1997-07-01", "1998-03-31"))
@@ -153,11 +168,33 @@ def st9(spark, d):
     return best.select("symbol", "x.a", "x.b", F.round(F.sqrt(F.col("x.h") * 252), 6).alias("next_vol"))
 
 
-@query("st7_deflated_sharpe", sql("r", ctes="g AS (SELECT symbol, count(ret) AS n, avg(ret) / stddev_samp(ret) AS sr, skewness(ret) * (count(ret) - 2) / sqrt(count(ret) * (count(ret) - 1.0)) AS g1, kurtosis_pop(ret) AS g2 FROM r GROUP BY symbol), z AS (SELECT *, sr * sqrt(n - 1) / sqrt(greatest(1e-9, 1 - g1 * sr + (g2 + 2) / 4 * sr * sr)) AS z FROM g)", body=f"SELECT symbol, n, round(sr * sqrt(252), 6) AS sharpe, round({cdf_sql('z')}, 6) AS psr FROM z"))
+def expected_maximum(trials: int) -> float:
+    """Of as many independent standard normal Sharpe ratios (Bailey and Lopez de Prado)."""
+    if trials <= 1:
+        return 0.0
+    z, g = NormalDist().inv_cdf, 0.5772156649015329
+    return (1 - g) * z(1 - 1 / trials) + g * z(1 - 1 / (trials * math.e))
+
+
+TRIALS = 20
+DEFLATED = "g AS (SELECT symbol, count(ret) AS n, avg(ret) / stddev_samp(ret) AS sr, skewness(ret) AS g1, kurtosis(ret) + 3 AS g2 FROM r GROUP BY symbol HAVING count(ret) >= 4), z AS (SELECT *, sqrt(greatest(1e-12, (1 - g1 * sr + (g2 - 1) / 4 * sr * sr) / (n - 1))) AS s FROM g)"
+
+
+def unbiased(n, skew, kurt):
+    """Sample-corrected skewness and excess kurtosis from the population's."""
+    n = n.cast("double")
+    return F.sqrt(n * (n - 1)) / (n - 2) * skew, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * kurt + 6)
+
+
+@query("st7_deflated_sharpe", sql("r", ctes=DEFLATED, body=f"SELECT symbol, n, {TRIALS} AS trials, round(sr * sqrt(252), 6) AS sharpe, round({cdf_sql('(sr / s)')}, 6) AS psr, round({cdf_sql(f'(sr / s - {expected_maximum(TRIALS)!r}::DOUBLE)')}, 6) AS deflated FROM z"))
 def st7(spark, d):
-    g = with_returns(bars(spark, d)).groupBy("symbol").agg(F.count("ret").alias("n"), (F.avg("ret") / F.stddev_samp("ret")).alias("sr"), F.skewness("ret").alias("g1"), F.kurtosis("ret").alias("g2"))
-    z = F.col("sr") * F.sqrt(F.col("n") - 1) / F.sqrt(F.greatest(F.lit(1e-9), 1 - F.col("g1") * F.col("sr") + (F.col("g2") + 2) / 4 * F.col("sr") * F.col("sr")))
-    return R.tidy(g.withColumn("z", z), "symbol", "n", sharpe=F.col("sr") * R.YEAR, psr=cdf(F.col("z")))
+    """Probability that the Sharpe ratio is above zero, and above the greatest that TRIALS
+    worthless strategies would show, corrected for skewness and kurtosis."""
+    g = with_returns(bars(spark, d)).groupBy("symbol").agg(F.count("ret").alias("n"), (F.avg("ret") / F.stddev_samp("ret")).alias("sr"), F.skewness("ret").alias("g1"), F.kurtosis("ret").alias("g2")).where("n >= 4")
+    skew, kurt = unbiased(F.col("n"), F.col("g1"), F.col("g2"))
+    sr = F.col("sr")
+    g = g.withColumn("z", sr / F.sqrt(F.greatest(F.lit(1e-12), (1 - skew * sr + (kurt + 2) / 4 * sr * sr) / (F.col("n") - 1)))).withColumn("trials", F.lit(TRIALS))
+    return R.tidy(g, "symbol", "n", "trials", sharpe=sr * R.YEAR, psr=cdf(F.col("z")), deflated=cdf(F.col("z") - expected_maximum(TRIALS)))
 
 
 SIGNAL = SCORE + f", e AS (SELECT *, CASE WHEN round(score, 6) >= 65 THEN 1 WHEN round(score, 6) < 45 THEN 0 END AS ev FROM sc), sg AS (SELECT symbol, trade_date, ret, coalesce(last_value(ev IGNORE NULLS) OVER {W}, 0) AS state FROM e), h AS (SELECT *, coalesce(lag(state) OVER {W}, 0) AS held, coalesce(lag(state, 2) OVER {W}, 0) AS held2 FROM sg), st AS (SELECT symbol, trade_date, held, held * coalesce(ret, 0) - abs(held - held2) * 10 / 1e4 AS x FROM h)"
@@ -169,21 +206,21 @@ def strategy(spark, d):
     return R.strategy_returns(r)
 
 
-PERF = f"t AS (SELECT *, exp(sum(ln(1 + x)) OVER {W}) AS wealth FROM st WHERE x > -1), u AS (SELECT *, wealth / greatest(1, max(wealth) OVER {W}) - 1 AS dd FROM t), g AS (SELECT symbol, count(*) AS n, exp(sum(ln(1 + x))) AS w, avg(x) AS m, stddev_samp(x) AS s, sqrt(avg(pow(least(x, 0), 2))) AS down, min(dd) AS dd FROM u GROUP BY symbol)"
+PERF = f"t AS (SELECT *, exp(sum(ln(1 + x)) OVER {W}) AS wealth FROM st WHERE x > -1), " + PERF_OF.format(x="x")
 
 
-@query("bt2_bt3_strategy_performance", sql("r", ctes=SIGNAL + ", " + PERF, body="SELECT symbol, n, round(w - 1, 6) AS total, round(pow(w, 252 / n) - 1, 6) AS cagr, round(s * sqrt(252), 6) AS vol, round(m / nullif(s, 0) * sqrt(252), 6) AS sharpe, round(m / nullif(down, 0) * sqrt(252), 6) AS sortino, round(dd, 6) AS max_drawdown, round((pow(w, 252 / n) - 1) / nullif(-dd, 0), 6) AS calmar FROM g"))
+@query("bt2_bt3_strategy_performance", sql("r", recursive=True, ctes=SIGNAL + ", " + PERF, body=PERF_BODY))
 def bt3(spark, d):
     return C.perf_stats(strategy(spark, d), ["symbol"], "strat_ret", "trade_date")
 
 
-@query("bt4_walk_forward_folds", sql("r", ctes=SIGNAL + f", k AS (SELECT *, row_number() OVER {W} AS rn FROM st), fo AS (SELECT symbol, ((rn - 253) // 63)::INT AS fold, x FROM k WHERE rn > 252)", body="SELECT symbol, fold, count(*) AS n, round(sum(x), 6) AS total, round(avg(x) / nullif(stddev_samp(x), 0) * sqrt(252), 6) AS sharpe FROM fo GROUP BY ALL"))
+@query("bt4_walk_forward_folds", sql("r", recursive=True, ctes=SIGNAL + f", k AS (SELECT *, row_number() OVER {W} AS rn FROM st), fo AS (SELECT symbol, ((rn - 253) // 63)::INT AS fold, x FROM k WHERE rn > 252)", body="SELECT symbol, fold, count(*) AS n, round(sum(x), 6) AS total, round(avg(x) / nullif(stddev_samp(x), 0) * sqrt(252), 6) AS sharpe FROM fo GROUP BY ALL"))
 def bt4(spark, d):
     s = strategy(spark, d).where("rn > 252").withColumn("fold", F.floor((F.col("rn") - 253) / 63).cast("int"))
     return s.groupBy("symbol", "fold").agg(F.count("*").alias("n"), F.round(F.sum("strat_ret"), 6).alias("total"), F.round(F.try_divide(F.avg("strat_ret"), F.stddev_samp("strat_ret")) * R.YEAR, 6).alias("sharpe"))
 
 
-@query("a25_trade_ledger", sql("r", ctes=SIGNAL + f", c AS (SELECT *, CASE WHEN held <> lag(held) OVER {W} THEN 1 ELSE 0 END AS ch FROM st), n AS (SELECT *, sum(ch) OVER {W} AS run FROM c), tr AS (SELECT symbol, run, sum(x) AS pl, count(*) AS days FROM n WHERE held = 1 GROUP BY ALL)", body="SELECT symbol, count(*) AS trades, round(avg((pl > 0)::INT), 6) AS win_rate, round(sum(greatest(pl, 0)) / nullif(-sum(least(pl, 0)), 0), 6) AS profit_factor, sum(days)::BIGINT AS days_held FROM tr GROUP BY symbol"))
+@query("a25_trade_ledger", sql("r", recursive=True, ctes=SIGNAL + f", c AS (SELECT *, CASE WHEN held <> lag(held) OVER {W} THEN 1 ELSE 0 END AS ch FROM st), n AS (SELECT *, sum(ch) OVER {W} AS run FROM c), tr AS (SELECT symbol, run, sum(x) AS pl, count(*) AS days FROM n WHERE held = 1 GROUP BY ALL)", body="SELECT symbol, count(*) AS trades, round(avg((pl > 0)::INT), 6) AS win_rate, round(sum(greatest(pl, 0)) / nullif(-sum(least(pl, 0)), 0), 6) AS profit_factor, sum(days)::BIGINT AS days_held FROM tr GROUP BY symbol"))
 def a25(spark, d):
     t = R.runs(strategy(spark, d), "held").where("held = 1").groupBy("symbol", "run").agg(F.sum("strat_ret").alias("pl"), F.count("*").alias("days"))
     g = t.groupBy("symbol").agg(F.count("*").alias("trades"), F.avg((F.col("pl") > 0).cast("int")).alias("w"), F.sum(F.greatest("pl", F.lit(0.0))).alias("up"), F.sum(F.least("pl", F.lit(0.0))).alias("down"), F.sum("days").alias("days_held"))

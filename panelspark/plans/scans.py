@@ -10,10 +10,9 @@ from panelspark.sources import payloads as P
 from panelspark.sources.views import actions, bars, chain, prints, read, sql
 
 
-@query("src1_src2_bar_scan", sql("bars", body="SELECT symbol, trade_date, round(close, 6) AS close, volume FROM bars WHERE symbol IN ('S03', 'S07')"))
+@query("src1_src2_bar_scan", sql("bars", body="SELECT symbol, trade_date, round(close, 6) AS close, volume FROM bars"))
 def src1(spark, d):
-    wanted = spark.range(1).select(F.explode(F.array(F.lit("s03"), F.lit("S07"), F.lit("none"))).alias("s")).select(F.upper("s").alias("symbol"))
-    return bars(spark, d).join(wanted, "symbol", "left_semi").select("symbol", "trade_date", F.round("close", 6).alias("close"), "volume")
+    return bars(spark, d).select("symbol", "trade_date", F.round("close", 6).alias("close"), "volume")
 
 
 @query("src3_parametrised_sql", "SELECT o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_orderdate >= DATE '1995-01-01' AND o_orderstatus IN ('F', 'O') GROUP BY 1")
@@ -117,10 +116,11 @@ def f15(spark, d):
     return actions(spark, d).select("action_id", F.sha2(F.concat_ws(",", F.col("entity_id").cast("string"), "action_type", F.col("effective_date").cast("string")), 256).alias("notice_hash"))
 
 
-@query("str1_idempotent_notices", sql("actions", body="SELECT entity_id, action_type, min(effective_date) AS first_date, count(*) AS copies FROM actions GROUP BY ALL"))
+@query("str1_idempotent_notices", sql("actions", body="SELECT sha256(concat_ws(',', entity_id::VARCHAR, action_type, strftime(effective_date, '%Y-%m-%d'))) AS notice_hash, min(effective_date) AS first_date, count(*) AS copies FROM actions GROUP BY 1"))
 def str1(spark, d):
-    """The batch form of the idempotent ingest: one row a notice, the first one seen."""
-    return actions(spark, d).groupBy("entity_id", "action_type").agg(F.min("effective_date").alias("first_date"), F.count("*").alias("copies"))
+    """The batch form of the idempotent ingest: one row a notice hash, the first one seen."""
+    hashes = f15(spark, d).join(actions(spark, d), "action_id")
+    return hashes.groupBy("notice_hash").agg(F.min("effective_date").alias("first_date"), F.count("*").alias("copies"))
 
 
 @query("str2_timeline", sql("timeline", body="SELECT entity_id, action_id, valid_from, valid_to FROM timeline"))

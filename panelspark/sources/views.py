@@ -15,19 +15,23 @@ def by_date() -> WindowSpec:
     return Window.partitionBy("trade_date")
 
 
-
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def symbol_of(number: Column) -> Column:
-    return F.concat(F.lit("S"), F.lpad(number.cast("string"), 2, "0"))
+    return F.concat(F.lit("S"), F.lpad(number.cast("string"), 6, "0"))
+
+
+def customer_symbol(spark: SparkSession, sf_dir: str, customer: str) -> Column:
+    """The symbol that a customer's events are bound to: suppliers in turn."""
+    return symbol_of(F.col(customer) % read(spark, sf_dir, "supplier").agg(F.count("*")).scalar())
 
 
 def priced(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = read(spark, sf_dir, "lineitem")
     return lines.select(
-        symbol_of(F.col("l_suppkey") % 20).alias("symbol"), F.to_date("l_shipdate").alias("trade_date"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
+        symbol_of(F.col("l_suppkey")).alias("symbol"), F.to_date("l_shipdate").alias("trade_date"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
         F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("cents"), F.col("l_quantity").alias("quantity"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity").alias("turn"),
     )
 
@@ -65,7 +69,7 @@ def bench_returns(bench: DataFrame) -> DataFrame:
 
 def sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(symbol, sector, industry) from supplier numbers, regions and nations."""
-    n = read(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 20).alias("n")).distinct()
+    n = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("n"))
     region, nation = read(spark, sf_dir, "region"), read(spark, sf_dir, "nation")
     n = n.join(region, F.col("n") % 5 == F.col("r_regionkey")).join(nation, F.col("n") % 25 == F.col("n_nationkey"))
     return n.select(symbol_of(F.col("n")).alias("symbol"), F.col("r_name").alias("sector"), F.col("n_name").alias("industry"))
@@ -113,7 +117,7 @@ def chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CTE = {
-    "bars": """bars AS (SELECT 'S' || lpad((l_suppkey % 20)::VARCHAR, 2, '0') AS symbol, l_shipdate::DATE AS trade_date,
+    "bars": """bars AS (SELECT 'S' || lpad(l_suppkey::VARCHAR, 6, '0') AS symbol, l_shipdate::DATE AS trade_date,
   first(l_extendedprice / l_quantity ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity) AS open,
   max(l_extendedprice / l_quantity) AS high, min(l_extendedprice / l_quantity) AS low,
   sum(round(l_extendedprice * 100)::BIGINT) / sum(l_quantity) / 100 AS close, sum(l_quantity)::BIGINT AS volume
@@ -122,8 +126,8 @@ CTE = {
     "r": """r AS (SELECT *, lag(close) OVER w AS prev_close, close / lag(close) OVER w - 1 AS ret, ln(close / lag(close) OVER w) AS log_ret, row_number() OVER w AS rn
   FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY trade_date))""",
     "br": "br AS (SELECT trade_date, close / lag(close) OVER (ORDER BY trade_date) - 1 AS bench_ret FROM bench)",
-    "sectors": """sectors AS (SELECT 'S' || lpad(n::VARCHAR, 2, '0') AS symbol, r_name AS sector, n_name AS industry
-  FROM (SELECT DISTINCT s_suppkey % 20 AS n FROM supplier) JOIN region ON n % 5 = r_regionkey JOIN nation ON n % 25 = n_nationkey)""",
+    "sectors": """sectors AS (SELECT 'S' || lpad(n::VARCHAR, 6, '0') AS symbol, r_name AS sector, n_name AS industry
+  FROM (SELECT s_suppkey AS n FROM supplier) JOIN region ON n % 5 = r_regionkey JOIN nation ON n % 25 = n_nationkey)""",
     "fundamentals": "fundamentals AS (SELECT c_custkey AS company, c_mktsegment AS sector, c_nationkey AS industry, c_acctbal AS multiple FROM customer)",
     "actions": """actions AS (SELECT o_orderkey AS action_id, o_custkey AS entity_id, o_orderpriority AS action_type, o_orderdate::DATE AS effective_date, o_orderstatus AS status, o_totalprice AS amount FROM orders)""",
     "timeline": """timeline AS (SELECT entity_id, action_id, action_type, effective_date AS valid_from,
@@ -138,7 +142,10 @@ CTE = {
 NEEDS = {"r": ("bars",), "br": ("bench",), "timeline": ("actions",)}
 
 
-def sql(*views: str, body: str, ctes: str = "") -> str:
+CUSTOMER = "'S' || lpad((o_custkey % (SELECT count(*) FROM supplier))::VARCHAR, 6, '0')"
+
+
+def sql(*views: str, body: str, ctes: str = "", recursive: bool = False) -> str:
     """``body`` with the named views, and further CTEs, before it."""
     order: list[str] = []
 
@@ -150,4 +157,4 @@ def sql(*views: str, body: str, ctes: str = "") -> str:
 
     for v in views:
         add(v)
-    return "WITH " + ",\n".join([CTE[v] for v in order] + ([ctes] if ctes else [])) + "\n" + body
+    return f"WITH {'RECURSIVE ' * recursive}" + ",\n".join([CTE[v] for v in order] + ([ctes] if ctes else [])) + "\n" + body
