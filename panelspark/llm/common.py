@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import gc
 import tempfile
 import uuid
@@ -17,6 +20,8 @@ BLANKS = r"[\x20\x09-\x0D]+"
 #: Of a 64-bit mixing function (splitmix64): fixed values.
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
+BATCH = 4 << 20
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -30,16 +35,24 @@ def words(text: Column) -> Column:
 
 def scratch(spark: SparkSession) -> str:
     """A new path in the folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isEmpty():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="llm-"))
-            held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = held.get()
+        if not spark.conf.get("spark.master").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="llm-")  # one machine, as in tests
+        spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Python workers get at most 4 MB a batch: 10,000 rows, Spark's bound, of long texts
+    don't fit beside each other. A smaller bound of the session's stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = (spark.conf.get(key) or "").removesuffix("b")
+    if not held.isdigit() or int(held) > BATCH:
+        spark.conf.set(key, str(BATCH))
+
+
 def table(df: DataFrame) -> DataFrame:
     """``df`` written once and read back: lineage is cut, a lost executor costs
     nothing, and the planner knows the size (so it broadcasts only what is small)."""
@@ -60,9 +73,36 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def buckets(docs: DataFrame, each: int, column: str = "text") -> int:
+    """Into how many buckets to deal what is gathered a bucket: by the bytes of ``docs``, so
+    that a bucket holds ``each`` at most on average, and one a shuffle partition at least."""
+    total = docs.agg(F.sum(F.octet_length(column))).first()[0] or 0
+    return max(partitions(docs.sparkSession), total // each + 1)
+
+
 # -- inside tasks -------------------------------------------------------------
 
 
+def frees(run):
+    """Wraps what a task runs: at its end the worker, which waits for other tasks beside the
+    JVM, gives the memory that allocators hold back to the system."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            freed()
+
+    return wrapped
+
+
+def freed() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # of glibc alone
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Scatters 64-bit values."""
     x = x + np.uint64(MIX[0])
@@ -74,6 +114,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 #: A random 64-bit value for each byte, and the odd base of rolling sums.
 BYTE = mix(np.arange(256, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 BASE = 0x5851F42D4C957F2D
+#: The same for a second hash.
+BYTE2, BASE2 = mix(BYTE), 0x2545F4914F6CDD1D
 
 
 def powers(n: int, base: int = BASE) -> tuple[np.ndarray, np.ndarray]:
@@ -87,8 +129,8 @@ def powers(n: int, base: int = BASE) -> tuple[np.ndarray, np.ndarray]:
 class Rolling:
     """Hashes of any spans of a byte string, from prefix sums."""
 
-    def __init__(self, data: np.ndarray, values: np.ndarray = BYTE):
-        up, self.down = powers(len(data) + 1)
+    def __init__(self, data: np.ndarray, values: np.ndarray = BYTE, base: int = BASE):
+        up, self.down = powers(len(data) + 1, base)
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(values[data] * up[:-1], out=self.sums[1:])
 
