@@ -8,13 +8,16 @@ chance, 1 in 256, are taken out of the estimate. DataFrame expressions only."""
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import partitions
 from .shingles import with_minima, with_shingles
 
-BIN_BITS, LOW_BITS, MOST_RANGES = 7, 8, 1024
+BIN_BITS, LOW_BITS = 7, 8
 
 
 def with_slots(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -50,27 +53,45 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(found)
 
 
+def range_of(edges: list[int], tie: Column) -> Column:
+    """How many of the sorted ``edges`` lie below (key, tie). An edge that comes c times is
+    a key with c ranges' share of the rows or more: its rows are dealt out by ``tie``, a
+    hash. Edges are looked up in blocks, so a row is held against about twice their root."""
+    if not edges:
+        return F.lit(0)
+    n = math.isqrt(len(edges)) + 1
+    blocks = [edges[i : i + n] for i in range(0, len(edges), n)]
+    all_, last = F.lit(blocks).cast("array<array<bigint>>"), F.lit([b[-1] for b in blocks]).cast("array<bigint>")
+    full = F.size(F.filter(last, lambda e: e < F.col("key")))
+    below = full * n + F.size(F.filter(F.coalesce(F.get(all_, full), F.array().cast("array<bigint>")), lambda e: e < F.col("key")))
+    hot = {e: c for e, c in Counter(edges).items() if c > 1}
+    if hot:
+        share = F.coalesce(F.element_at(F.map_from_arrays(F.lit([*hot]).cast("array<bigint>"), F.lit([*hot.values()])), F.col("key")), F.lit(0))
+        below = below + F.floor((F.shiftrightunsigned(tie, 32) / F.lit(2.0**32)) * (share + 1))
+    return below.cast("int")
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """Adds next_text and next_slots of the row that follows by descending doc_id, the
     first following the last. Rows are dealt out once by ranges of doc_id; each range
     also gets the greatest row of the range below (the lowest range: of the highest)."""
-    spark = docs.sparkSession
-    n = min(MOST_RANGES, 2 * partitions(spark))
+    n = 2 * partitions(docs.sparkSession)
     edges = docs.select(F.percentile_approx("key", [i / n for i in range(1, n)], 10 * n)).first()[0] or []
-    edges = sorted(set(edges))
-    at = F.size(F.filter(F.lit(edges).cast("array<bigint>"), lambda e: e < F.col("key"))) if edges else F.lit(0)
-    docs = docs.withColumn("range", at)
-    tops = sorted(docs.groupBy("range").agg(F.max("key")).collect())  # a row a range
-    goes = dict(zip([k for _, k in tops], [r for r, _ in tops[1:]] + [r for r, _ in tops[:1]]))
-    ghosts = docs.where(F.col("key").isin(list(goes)))
-    target = F.lit(0)
-    for k, r in goes.items():
-        target = F.when(F.col("key") == k, r).otherwise(target)
-    both = docs.withColumn("ghost", F.lit(False)).unionByName(ghosts.withColumns({"range": target, "ghost": F.lit(True)}))
-    both = with_slots(both, "text", "slots").withColumn("tie", F.xxhash64("text"))
-    w = Window.partitionBy("range").orderBy("ghost", F.desc("key"), "tie")
+    docs = docs.withColumn("tie", F.xxhash64("text"))
+    order = F.struct("key", F.shiftrightunsigned("tie", 1).alias("high"), "tie")
+    docs = docs.withColumns({"range": range_of(sorted(edges), F.col("tie")), "order": order})
+    tops = sorted((r[0], *r[1]) for r in docs.groupBy("range").agg(F.max("order")).collect())  # a row a range
+    goes = {(key, tie): to[0] for (_, key, _, tie), to in zip(tops, [*tops[1:], *tops[:1]])}
+    names = [f"{key}:{tie}" for key, tie in goes]
+    target = F.element_at(F.map_from_arrays(F.lit(names).cast("array<string>"), F.lit([*goes.values()]).cast("array<int>")), F.concat_ws(":", "key", "tie"))
+    ghosts = docs.where(F.col("key").isin([key for key, _ in goes])).withColumn("range", target).where("range IS NOT NULL")
+    # rows that are equal to the top row go along once
+    ghosts = ghosts.dropDuplicates(["range"])
+    both = docs.withColumn("ghost", F.lit(False)).unionByName(ghosts.withColumn("ghost", F.lit(True)))
+    both = with_slots(both, "text", "slots")
+    w = Window.partitionBy("range").orderBy("ghost", F.desc("order"))
     both = both.withColumns({"next_text": F.lead("text").over(w), "next_slots": F.lead("slots").over(w)})
-    return both.where("NOT ghost").drop("range", "ghost", "tie")
+    return both.where("NOT ghost").drop("range", "ghost", "order")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
