@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, offsets, pieces
+from .common import frees, mix, offsets, pieces, small_batches
 
 #: Rows a language that the model is fitted on, at most; hash buckets of trigrams.
 SAMPLE, BUCKETS, SMOOTHING, ROUNDS = 3000, 1 << 16, 0.2, 6
@@ -109,9 +109,8 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     langs = [lang for lang, _ in sizes]
     if not langs:
         return Model([], np.zeros((0, BUCKETS)))
-    share = F.lit(0)
-    for lang, n in sizes:
-        share = F.when(F.col("lang") == lang, int(1e6 * min(1, sample / n)) + 1).otherwise(share)
+    shares = F.lit([int(1e6 * min(1, sample / n)) + 1 for _, n in sizes])
+    share = F.element_at(F.map_from_arrays(F.lit(langs), shares), F.col("lang"))
     chosen = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +118,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
         place = {lang: i for i, lang in enumerate(langs)}
         for batch in batches:
             at = offsets(batch.column(0))
-            for a, b in pieces(at, 1 << 20):
+            for a, b in pieces(at):
                 of = [place[x] for x in batch.column(1).slice(a, b - a).to_pylist()]
                 ids, some, starts, ends = trigrams(batch.column(0).slice(a, b - a).to_pylist())
                 for i, s, e in zip(of, starts.tolist(), ends.tolist()):
@@ -129,8 +128,9 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
         i, k = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(k), pa.array(total[i, k])], ["i", "k", "n"])
 
+    small_batches(labelled.sparkSession)
     counts = np.zeros((len(langs), BUCKETS))
-    summed = chosen.select("text", "lang").mapInArrow(count, "i bigint, k bigint, n bigint").groupBy("i", "k").agg(F.sum("n").alias("n"))
+    summed = chosen.select("text", "lang").mapInArrow(frees(count), "i bigint, k bigint, n bigint").groupBy("i", "k").agg(F.sum("n").alias("n"))
     got = summed.toArrow()
     counts[got["i"].to_numpy(), got["k"].to_numpy()] = got["n"].to_numpy()
     return Model(langs, counts)
@@ -147,12 +147,13 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         kinds = [pa.string(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.float64()), pa.float64()]
         for batch in batches:
             at = offsets(batch.column(2))
-            for a, b in pieces(at, 1 << 20):
+            for a, b in pieces(at):
                 texts = [t or "" for t in batch.column(2).slice(a, b - a).to_pylist()]
                 got = model.predict(texts)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *map(pa.array, got, kinds)], ["doc_id", "held_out", "lang_pred", "score", "languages", "shares", "other"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, SCHEMA)
+    small_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("bigint"), held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(frees(run), SCHEMA)
 
 
 def keep(docs: DataFrame, model: Model) -> DataFrame:
@@ -163,12 +164,13 @@ def keep(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = offsets(batch.column(place))
-            for a, b in pieces(at, 1 << 20):
+            for a, b in pieces(at):
                 part = batch.slice(a, b - a)
                 langs, _, _, _, others = model.predict([t or "" for t in part.column(place).to_pylist()])
                 yield part.filter(pa.array([lang != "und" and other <= 0.5 for lang, other in zip(langs, others)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(frees(run), docs.schema)
 
 
 def train_on(docs: DataFrame) -> Model:
