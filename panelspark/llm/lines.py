@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .mixing import n_words
-from .repeats import NULL_ID, keyed
+from .repeats import keyed
 
 LEAST, WORDS = 3, 50
 
@@ -95,7 +95,7 @@ def without_copies(docs: DataFrame, least: int = LEAST, words: int | None = None
 
     both = rows.join(gone, ["key", "dup"], "left")
     return both.select(
-        F.when(F.col("key") != NULL_ID, F.col("key")).alias("doc_id"), F.when(F.col("gone").isNull(), F.col("text")).otherwise(left(F.col("text"))).alias("text"),
+        F.when(~F.col("null"), F.col("key")).alias("doc_id"), F.when(F.col("gone").isNull(), F.col("text")).otherwise(left(F.col("text"))).alias("text"),
         F.size(F.split("text", "\n")).cast("bigint").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_removed"), F.coalesce("n_runs", F.lit(0)).cast("bigint").alias("n_runs"),
     )
 

@@ -22,12 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Rolling, offsets, partitions, pieces, release, table, utf8
+from .common import BASE2, BYTE2, Rolling, buckets, freed, frees, offsets, partitions, pieces, release, small_batches, table, utf8
 
 WIDTH, SAMPLE = 50, 20
 PIECE, FLUSH = 1 << 17, 1 << 18
 NULL_ID = (1 << 63) - 1
-HEAD = 64
+#: Of a text that order rows of one id; bytes of text a bucket.
+HEAD, EACH = 64, 12 << 20
 U8, U16, U32, U64, I64 = (np.dtype(t) for t in ("u1", "u2", "u4", "u8", "i8"))
 
 
@@ -63,10 +64,11 @@ def bucket(h: np.ndarray, n: int) -> np.ndarray:
 
 def layouts(docs: DataFrame) -> tuple[tuple, tuple, tuple]:
     """Columns of places (document, its number among equal ids, place, windows), tuples
-    and windows; numbers take 16 bits unless an id has more rows."""
+    and windows, each after two hashes (128 bits); numbers take 16 bits unless an id has
+    more rows."""
     number = U16 if docs.where("dup > 65535").isEmpty() else U32
     places = (I64, number, U32, U8)
-    return places, (U64, U64, *places), (U64, I64, number, U32)
+    return places, (U64, U64, *places), (U64, U64, I64, number, U32)
 
 
 def home(doc: np.ndarray, dup: np.ndarray, n: int) -> np.ndarray:
@@ -74,14 +76,14 @@ def home(doc: np.ndarray, dup: np.ndarray, n: int) -> np.ndarray:
     return (doc % n + dup.astype(np.int64)) % n if dup.any() else doc % n
 
 
-def later(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Whether a smaller document has the same key."""
-    if not len(key):
+def later(a: np.ndarray, b: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether a smaller document has the same two hashes."""
+    if not len(a):
         return np.zeros(0, bool)
-    order = np.lexsort((doc, key))
-    k, d = key[order], doc[order]
-    first = np.append(True, k[1:] != k[:-1])
-    out = np.empty(len(key), bool)
+    order = np.lexsort((doc, b, a))
+    a, b, d = a[order], b[order], doc[order]
+    first = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
+    out = np.empty(len(a), bool)
     out[order] = d > d[first][np.cumsum(first) - 1]
     return out
 
@@ -122,12 +124,12 @@ def parts(at: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         yield a, b, lo, hi
 
 
-def repeats(docs: DataFrame, layout: tuple[tuple, tuple, tuple]) -> DataFrame:
+def repeats(docs: DataFrame, layout: tuple[tuple, tuple, tuple], n_docs: int) -> DataFrame:
     """(doc bucket, kind, blob) with the repeated windows of every row of ``docs`` (key,
     dup, text): documents, places and numbers of windows."""
     places_of, tuples_of, windows_of = layout
     spark = docs.sparkSession
-    n_tuples, n_docs = 5 * partitions(spark), doc_buckets(spark)
+    n_tuples = 5 * n_docs
     flat = "bucket int, kind int, blob binary"
     names = ["bucket", "kind", "blob"]
 
@@ -138,8 +140,8 @@ def repeats(docs: DataFrame, layout: tuple[tuple, tuple, tuple]) -> DataFrame:
     def flushed(held: list[tuple], n: int) -> pa.RecordBatch:
         """Kind 0: tuples by hash; kind 1: known repeats."""
         columns = [np.concatenate(c) for c in zip(*held)]
-        known = later(columns[-5], columns[-4]) if len(columns) == 6 else later(columns[0], columns[1])
-        places = columns[2:] if len(columns) == 6 else [*columns[1:], np.ones(len(columns[0]), U8)]
+        known = later(*columns[:3])
+        places = columns[2:] if len(columns) == 6 else [*columns[2:], np.ones(len(columns[0]), U8)]
         rows = list(dealt(bucket(columns[0][~known], n), [c[~known] for c in columns], 0))
         rows += dealt(home(places[0][known], places[1][known], n), [c[known] for c in places], 1)
         held.clear()
@@ -198,28 +200,31 @@ def repeats(docs: DataFrame, layout: tuple[tuple, tuple, tuple]) -> DataFrame:
             cuts = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (dup[1:] != dup[:-1])))
             have = {(k, d): x for k, d, x in zip(texts["key"].tolist(), texts["dup"].tolist(), texts["bytes"].tolist())}
             for a, b in zip(cuts, [*cuts[1:], len(doc)]):
-                rolling = Rolling(np.frombuffer(have[int(doc[a]), int(dup[a])], U8))
+                data = np.frombuffer(have[int(doc[a]), int(dup[a])], U8)
+                hashes = Rolling(data), Rolling(data, BYTE2, BASE2)
                 many = count[a:b].astype(np.int64)
                 start = np.repeat(place[a:b].astype(np.int64) - (np.cumsum(many) - many), many) + np.arange(many.sum())
-                held.append((rolling(start, start + WIDTH), np.full(len(start), doc[a]), np.full(len(start), dup[a]), start.astype(U32)))
+                held.append((*(h(start, start + WIDTH) for h in hashes), np.full(len(start), doc[a]), np.full(len(start), dup[a]), start.astype(U32)))
                 n += len(start)
                 if n >= FLUSH:
                     rows += flushed(held, n_tuples).to_pandas().itertuples(index=False, name=None)
                     n = 0
             if held:
                 rows += flushed(held, n_tuples).to_pandas().itertuples(index=False, name=None)
+        freed()
         return pd.DataFrame(rows, columns=names)
 
     def second(group: pd.DataFrame) -> pd.DataFrame:
         blobs = group["blob"]
         places = unpack(blobs[group["kind"] == 1].tolist(), places_of)
-        window, *rest = unpack(blobs[group["kind"] == 0].tolist(), windows_of)
-        known = later(window, rest[0])
-        rest = [*rest, np.ones(len(window), U8)]
+        one, two, *rest = unpack(blobs[group["kind"] == 0].tolist(), windows_of)
+        known = later(one, two, rest[0])
+        rest = [*rest, np.ones(len(one), U8)]
         places = [np.concatenate([p, c[known]]) for p, c in zip(places, rest)]
+        freed()
         return pd.DataFrame(list(dealt(home(places[0], places[1], n_docs), places, 1)), columns=names)
 
-    one = table(docs.mapInArrow(first, flat).groupBy("bucket").applyInPandas(level, flat))
+    one = table(docs.mapInArrow(frees(first), flat).groupBy("bucket").applyInPandas(level, flat))
     release(spark)
     texts = docs.select("key", "dup", F.encode("text", "UTF-8").alias("bytes"), F.expr(f"int(pmod(pmod(key, {n_docs}) + dup, {n_docs}))").alias("bucket")).groupBy("bucket")
     asked = one.where("kind = 2").groupBy("bucket").cogroup(texts)
@@ -229,28 +234,29 @@ def repeats(docs: DataFrame, layout: tuple[tuple, tuple, tuple]) -> DataFrame:
     return one.where("kind = 1").unionByName(two)
 
 
-def doc_buckets(spark) -> int:
+def doc_buckets(docs: DataFrame) -> int:
     """A prime, so that ids in steps spread."""
-    n = partitions(spark) | 1
+    n = buckets(docs, EACH) | 1
     while any(n % d == 0 for d in range(2, int(n**0.5) + 1)):
         n += 1
     return n
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """(key, dup, text): dup numbers rows that share a doc_id, by their text."""
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    """(key, dup, text, null): dup numbers rows that share a doc_id, by their text; null
+    ids have the key of the greatest, and the flag."""
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)).alias("key"), F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").isNull().alias("null"))
     if docs.groupBy("key").count().where("count > 1").isEmpty():
-        return docs.select("key", F.lit(0).alias("dup"), "text")
+        return docs.select("key", F.lit(0).alias("dup"), "text", "null")
     # ranges of ids and texts' heads; a row's number is its range's start and its place there
     docs = docs.repartitionByRange(partitions(docs.sparkSession), "key", F.substring("text", 1, HEAD))
     docs = table(docs.withColumn("part", F.spark_partition_id()))
     sizes = docs.groupBy("key", "part").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("key").orderBy("part")) - F.col("n")
     starts = table(sizes.select("key", "part", before.alias("start")))
-    inside = F.row_number().over(Window.partitionBy("key", "part").orderBy("text")) - 1
+    inside = F.row_number().over(Window.partitionBy("key", "part").orderBy("text", "null")) - 1
     rows = docs.withColumn("inside", inside).join(starts, ["key", "part"])
-    return rows.select("key", (F.col("start") + F.col("inside")).cast("int").alias("dup"), "text")
+    return rows.select("key", (F.col("start") + F.col("inside")).cast("int").alias("dup"), "text", "null")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -260,18 +266,19 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     empty; a null doc_id is greater than all others; rows that share a doc_id are
     documents of their own, none before the other; other columns are left out; an empty
     table gives an empty table."""
+    small_batches(docs.sparkSession)
     rows = keyed(docs)
-    n_docs = doc_buckets(docs.sparkSession)
+    n_docs = doc_buckets(rows)
     layout = layouts(rows)
-    found = repeats(rows, layout)
-    texts = rows.select("key", "dup", F.encode("text", "UTF-8").alias("bytes"), F.expr(f"int(pmod(pmod(key, {n_docs}) + dup, {n_docs}))").alias("bucket"))
+    found = repeats(rows, layout, n_docs)
+    texts = rows.select("key", "dup", "null", F.encode("text", "UTF-8").alias("bytes"), F.expr(f"int(pmod(pmod(key, {n_docs}) + dup, {n_docs}))").alias("bucket"))
 
     def cut(texts: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         doc, dup, place, count = unpack(found["blob"].tolist(), layout[0])
         order = np.lexsort((dup, doc))
         doc, dup, place, count = doc[order], dup[order], place[order].astype(np.int64), count[order].astype(np.int64)
         out = []
-        for k, d, raw in zip(texts["key"].tolist(), texts["dup"].tolist(), texts["bytes"].tolist()):
+        for k, d, null, raw in zip(texts["key"].tolist(), texts["dup"].tolist(), texts["null"].tolist(), texts["bytes"].tolist()):
             a, b = np.searchsorted(doc, k), np.searchsorted(doc, k, "right")
             if b > a and (dup[a] != d or dup[b - 1] != d):
                 a, b = a + np.searchsorted(dup[a:b], d), a + np.searchsorted(dup[a:b], d, "right")
@@ -283,8 +290,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 gone = np.cumsum(edge[:-1]) > 0
                 spans = int(np.count_nonzero(gone[1:] & ~gone[:-1])) + int(gone[0])
                 kept = np.frombuffer(raw, U8)[~gone].tobytes()
-            out.append((None if k == NULL_ID else k, n, n - len(kept), spans, kept))
+            out.append((None if null else k, n, n - len(kept), spans, kept))
         ids, *rest = zip(*out) if out else ((), (), (), (), ())
+        freed()
         return pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "n_bytes": rest[0], "n_removed": rest[1], "n_spans": rest[2], "kept": rest[3]})
 
     shape = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
