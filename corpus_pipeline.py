@@ -55,12 +55,12 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each drawn block: a document may come twice; a block that the target
-    cuts stays if the mix takes half of it or more."""
+    cuts stays if the mix takes half of it or more. Texts stay in their tasks, and each
+    task's rows leave it in the order of their shards and their shuffled places there.
+    Rows without a word aren't drawn; a null source is one of its own."""
     rows = by_row(docs)
-    _, blocks = mixing.mix(keyed_by_row(rows))
-    copies = blocks.where("words * 2 >= size").groupBy(F.col("doc_id").alias("__row")).agg(F.count("*").cast("int").alias("__copies"))
-    rows = rows.join(table(copies), "__row")
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select(COLUMNS)
+    keyed = rows.withColumns({"__id": F.col("doc_id"), "doc_id": F.col("__row")})
+    return mixing.draw(keyed).sortWithinPartitions("shard", "place").withColumn("doc_id", F.col("__id")).select(COLUMNS)
 
 
 def place_in_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

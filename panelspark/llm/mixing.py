@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from .common import table
 
 WEIGHTS, FACTOR, CAP, SEED, N_SHARDS = (5, 2, 1), 1.5, 2, "mix-1", 16
+#: Of the generator's hypergeometric draw: a fixed value.
+MOST_DRAWN = 10**9
 
 
 def n_words(text: Column) -> Column:
@@ -48,12 +50,16 @@ def targets(sizes: DataFrame) -> DataFrame:
     return by.select("source", "n", "source_size", "target", "passes", (whole - F.col("passes") * F.col("source_size")).cast("bigint").alias("rest"))
 
 
+def hash_of(doc_id: Column) -> Column:
+    return F.md5(F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(SEED)).cast("binary"))
+
+
 def permuted(rows: DataFrame) -> DataFrame:
     """Adds rank (among the source's rows with words) and ahead (words before the row),
     both in the order of a seeded hash. Sums run inside hashed buckets of a source;
     the buckets' own sums (at most 65,536 rows a source) give where each starts. So
     a hot source is spread over all tasks."""
-    rows = rows.withColumn("hash", F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(SEED)).cast("binary"))).withColumn("bucket", F.substring("hash", 1, 4))
+    rows = rows.withColumn("hash", hash_of(F.col("doc_id"))).withColumn("bucket", F.substring("hash", 1, 4))
     some = F.when(F.col("size") > 0, 1).otherwise(0)
     starts = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.sum(some).alias("some"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -61,7 +67,26 @@ def permuted(rows: DataFrame) -> DataFrame:
     inside = Window.partitionBy("source", "bucket").orderBy("hash", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumns({"w1": F.sum("size").over(inside) - F.col("size"), "r1": F.sum(some).over(inside) - some})
     rows = rows.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
-    return rows.withColumns({"ahead": F.col("w0") + F.col("w1"), "rank": F.col("r0") + F.col("r1")}).drop("s", "b", "w0", "w1", "r0", "r1", "bucket", "hash")
+    return rows.withColumns({"ahead": F.col("w0") + F.col("w1"), "rank": F.col("r0") + F.col("r1")}).drop("s", "b", "w0", "w1", "r0", "r1", "bucket")
+
+
+def drawn(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """A hypergeometric draw: the good ones among ``n`` of good + bad. Populations beyond
+    the generator's bound are thinned: each element is taken by itself with probability
+    n / (good + bad), which takes n up to a square root of it, and the rest are taken
+    from, or given back to, the others by such a draw again."""
+    if good < MOST_DRAWN and bad < MOST_DRAWN:
+        return int(rng.hypergeometric(good, bad, n)) if good and n else 0
+    if n <= 32:
+        got = 0
+        for k in range(n):
+            got += int(rng.integers(good + bad - k) < good - got)
+        return got
+    if 2 * n > good + bad:
+        return good - drawn(rng, good, bad, good + bad - n)
+    share = n / (good + bad)
+    g, b = int(rng.binomial(good, share)), int(rng.binomial(bad, share))
+    return g - drawn(rng, g, b, g + b - n) if g + b > n else g + drawn(rng, good - g, bad - b, n - g - b)
 
 
 def split_quotas(quotas: DataFrame, n_shards: int, seed: str = SEED) -> DataFrame:
@@ -81,7 +106,7 @@ def split_quotas(quotas: DataFrame, n_shards: int, seed: str = SEED) -> DataFram
         first, left, want = np.zeros_like(quota), int(quota.sum()), share
         for i, q in enumerate(quota.tolist()):  # one hypergeometric draw a source
             left -= q
-            got = int(rng.hypergeometric(q, left, want)) if want and q and left else min(q, want)
+            got = drawn(rng, q, left, want)
             first[i], want = got, want - got
         return pd.concat([part.assign(lo=lo, hi=mid, quota=first), part.assign(lo=mid, hi=hi, quota=quota - first)])
 
@@ -92,28 +117,71 @@ def split_quotas(quotas: DataFrame, n_shards: int, seed: str = SEED) -> DataFram
     return ends.groupBy("source").agg(F.array_sort(F.collect_list("end")).alias("cuts"))
 
 
-def mix(docs: DataFrame, n_shards: int = N_SHARDS) -> tuple[DataFrame, DataFrame]:
-    """Two tables. Rows: doc_id, source, size, source_size, target, ahead, rank; one
-    per row of ``docs``. Blocks: doc_id, source, size, pass, words, shard, place; one
-    per drawn block, ``place`` being its shuffled order in its shard. The last block of
-    a source may be cut, so each source's words are its target, rounded down. Null
-    text: size 0, never drawn; null source: a source of its own, last in order; rows
-    with equal doc_id are rows of their own; other columns are left out; an empty table
-    gives empty tables."""
+def place_of(shard: Column, doc_id: Column, turn: Column) -> Column:
+    """The order of a block in its shard: the shard's own shuffle."""
+    return F.md5(F.concat_ws(":", shard, F.coalesce(doc_id.cast("string"), F.lit("")), turn, F.lit(SEED)).cast("binary"))
+
+
+def planned(docs: DataFrame, n_shards: int) -> tuple[DataFrame, DataFrame, Column, Column]:
+    """(rows, cuts, blocks drawn of a row, words of its cut block) as ``mix`` needs them."""
     sizes = table(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")))
     goals = table(targets(sizes))
     same = F.col("source").eqNullSafe(F.col("s"))
     rows = table(permuted(sizes).join(goals.withColumnRenamed("source", "s"), same).drop("s"))
     extra = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("ahead")))
-    taken = F.when(F.col("size") > 0, F.col("passes") + F.when(extra > 0, 1).otherwise(0)).otherwise(0)
-    quotas = rows.groupBy("source").agg(F.sum(taken).cast("bigint").alias("quota"))
-    cuts = table(split_quotas(quotas, n_shards)).withColumnRenamed("source", "s")
-    blocks = rows.where(taken > 0).withColumn("pass", F.explode(F.sequence(F.lit(0), taken.cast("int") - 1)))
+    drawn_ = F.when(F.col("size") > 0, F.col("passes") + F.when(extra > 0, 1).otherwise(0)).otherwise(0)
+    quotas = rows.groupBy("source").agg(F.sum(drawn_).cast("bigint").alias("quota"))
+    return rows, table(split_quotas(quotas, n_shards)).withColumnRenamed("source", "s"), drawn_, extra
+
+
+def mix(docs: DataFrame, n_shards: int = N_SHARDS) -> tuple[DataFrame, DataFrame]:
+    """Two tables. Rows: doc_id, source, size, source_size, target, ahead, rank; one
+    per row of ``docs``. Blocks: doc_id, source, size, rank, pass, words, shard, place; one
+    for each block that a shard draws, ``place`` being its shuffled order in its shard. The
+    last block of a source may be cut, so each source's words are its target, rounded down.
+    Null text: size 0, never drawn; null source: a source of its own, last in order; rows
+    with equal doc_id are rows of their own; other columns are left out; an empty table
+    gives empty tables."""
+    rows, cuts, drawn_, extra = planned(docs, n_shards)
+    blocks = rows.where(F.col("size") > 0).withColumn("pass", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), drawn_.cast("int") - 1))))
     blocks = blocks.withColumn("words", F.when(F.col("pass") < F.col("passes"), F.col("size")).otherwise(extra))
     blocks = blocks.withColumn("block", F.col("pass") * F.col("n") + F.col("rank"))
-    blocks = blocks.join(cuts, same).withColumn("shard", F.size(F.filter("cuts", lambda c: c <= F.col("block"))))
-    place = F.md5(F.concat_ws(":", "shard", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "pass", F.lit(SEED)).cast("binary"))
-    return rows, blocks.select("doc_id", "source", "size", "rank", "pass", "words", "shard", place.alias("place"))
+    blocks = blocks.join(cuts, F.col("source").eqNullSafe(F.col("s"))).withColumn("shard", F.size(F.filter("cuts", lambda c: c <= F.col("block")))).where(F.col("shard") < n_shards)
+    return rows, blocks.select("doc_id", "source", "size", "rank", "pass", "words", "shard", place_of(F.col("shard"), F.col("doc_id"), F.col("pass")).alias("place"))
+
+
+def shard_starts(docs: DataFrame, n_shards: int = N_SHARDS, least: float = 0.5) -> DataFrame:
+    """(s, starts): a row a source. The blocks of a source in drawn order are compared by
+    (pass, hash, doc_id); ``starts`` holds the first block of each shard's range and the
+    end of the last, so whoever holds a row can tell its blocks' shards without a join on
+    rows. A last block that is cut to less than ``least`` of its size is left out. Needs
+    distinct, non-null doc_ids."""
+    rows, cuts, drawn_, extra = planned(docs, n_shards)
+    some = rows.where(F.col("size") > 0)
+    short = some.where((extra > 0) & (extra < least * F.col("size"))).select(F.col("source").alias("t"), F.lit(1).alias("less"))
+    cuts = cuts.join(short, F.col("s").eqNullSafe(F.col("t")), "left")
+    ends = cuts.select("s", F.posexplode(F.concat(F.array(F.lit(0).cast("bigint")), "cuts")).alias("k", "c"), (F.element_at("cuts", -1) - F.coalesce("less", F.lit(0))).alias("most"))
+    ends = ends.withColumn("c", F.least("c", "most")).drop("most")
+    # the block at place c is in pass c / n, at rank c % n
+    sources = some.select(F.col("source").alias("t"), "n").distinct()
+    ends = table(ends.join(sources, F.col("s").eqNullSafe(F.col("t"))).select("s", "k", F.floor(F.col("c") / F.col("n")).alias("pass"), (F.col("c") % F.col("n")).alias("rank")))
+    found = ends.join(some.select("source", F.col("rank").alias("r"), "hash", "doc_id"), F.col("s").eqNullSafe(F.col("source")) & (F.col("rank") == F.col("r")))
+    starts = F.array_sort(F.collect_list(F.struct("k", F.struct(F.col("pass").cast("int").alias("pass"), "hash", F.col("doc_id").alias("id")).alias("at"))))
+    return table(found.groupBy("s").agg(F.transform(starts, lambda x: x["at"]).alias("starts")))
+
+
+def draw(docs: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
+    """The rows of the mix, with their text: a row of ``docs`` for each of its blocks that a
+    shard draws, and its shard and place. Texts stay where they are: what each shard draws of
+    each source comes as ranges of the permutation (``shard_starts``), a row a source. Needs
+    distinct, non-null doc_ids; other inputs as in ``mix``."""
+    starts = shard_starts(docs, n_shards)
+    docs = docs.withColumn("__hash", hash_of(F.col("doc_id")))
+    both = docs.where(n_words(F.col("text")) > 0).join(starts, F.col("source").eqNullSafe(F.col("s")))
+    both = both.withColumn("__pass", F.explode(F.sequence(F.lit(0), F.lit(CAP))))
+    own = F.struct(F.col("__pass").cast("int").alias("pass"), F.col("__hash").alias("hash"), F.col("doc_id").alias("id"))
+    both = both.withColumn("__at", own).withColumn("shard", F.size(F.filter("starts", lambda x: x <= F.col("__at"))) - 1).where(F.col("shard") < n_shards)
+    return both.withColumn("place", place_of(F.col("shard"), F.col("doc_id"), F.col("__pass"))).drop("__hash", "__pass", "__at", "s", "starts")
 
 
 def taken(docs: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
