@@ -139,6 +139,22 @@ def test_jaccard_links_members_that_miss_the_smallest(spark):
     assert {r.component_id for r in jaccard.join(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()} == {0}
 
 
+def thue_morse(n, a, b):
+    """Words that polynomial hashes modulo 2**64 don't tell from their mirror image."""
+    w = a
+    while len(w) < n:
+        w += w.translate(str.maketrans(a + b, b + a))
+    return w, w.translate(str.maketrans(a + b, b + a))
+
+
+def test_jaccard_tells_words_apart(spark):
+    for n in (1024, 2048):
+        x, y = thue_morse(n, "a", "b")
+        rows = [(1, f"{x} one two three four five"), (2, f"{y} one two three four five"), (3, f"{y} one two three  four five")]
+        got = jaccard.join(spark.createDataFrame(rows, "doc_id bigint, text string"))
+        assert sorted(map(tuple, got.collect())) == jaccard_brute(rows) == [(1, 2, 1), (2, 2, 2), (3, 2, 2)]
+
+
 def test_jaccard_odd(odd, none):
     got = {(r.doc_id, r.n_shingles): r.component_id for r in jaccard.join(odd).collect()}
     assert got[2, 0] == 2 and got[3, 0] == 3 and got[4, 20] == 1 and jaccard.join(none).count() == 0
@@ -175,6 +191,25 @@ def test_fingerprints(spark):
     assert sum(error) / len(error) < 0.03 and max(error) < 0.25
 
 
+def test_fingerprints_follow_the_order_over_many_ranges(spark):
+    """Many more ranges than rows, and one id on a third of them."""
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "211")
+    try:
+        rows = [(None if i % 3 == 0 else i, f"text {i % 20} of some words {i % 20}") for i in range(90)]
+        got = fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+    edited = {hashlib.sha256((t[: len(t) - len(t) // 3] + u[: len(t) // 3]).encode()).hexdigest() for _, t in rows for _, u in rows}
+    assert len(got) == 90 and all(r.edited_sha256 in edited for r in got)
+    text = dict(rows)
+    ids = sorted((i for i in text if i is not None), reverse=True)
+    for r in got:
+        if r.doc_id is not None and r.doc_id != ids[-1]:
+            t, u = text[r.doc_id], text[ids[ids.index(r.doc_id) + 1]]
+            assert r.edited_sha256 == hashlib.sha256((t[: len(t) - len(t) // 3] + u[: len(t) // 3]).encode()).hexdigest()
+
+
 def test_fingerprints_odd(odd, none, spark):
     got = fingerprints.fingerprints(odd).collect()
     assert len(got) == len(ODD) and len({r.fingerprint for r in got if r.doc_id in (1, 4)}) == 1 and fingerprints.fingerprints(none).count() == 0
@@ -240,6 +275,26 @@ def test_split_quotas(spark):
     assert max(totals) - min(totals) <= 3
 
 
+def test_draws_beyond_the_generators_bound(monkeypatch):
+    import numpy as np
+
+    big = [mixing.drawn(np.random.default_rng(s), 3 * 10**12, 10**12, 4 * 10**9) for s in range(40)]
+    assert all(abs(x - 3e9) < 2e5 for x in big) and len(set(big)) > 30
+    monkeypatch.setattr(mixing, "MOST_DRAWN", 2)
+    got = [mixing.drawn(np.random.default_rng(s), 300, 200, 120) for s in range(400)]
+    assert abs(sum(got) / 400 - 72) < 1 and abs(np.var(got) - 120 * 0.6 * 0.4 * 380 / 499) < 5
+    assert mixing.drawn(np.random.default_rng(1), 7, 0, 5) == 5 and mixing.drawn(np.random.default_rng(1), 0, 7, 5) == 0
+
+
+def test_ranges_draw_the_blocks_of_the_mix(spark):
+    """The rows that are drawn by ranges of the permutation, with shards and places, are the
+    blocks that come of joining ranks with quotas."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    _, blocks = mixing.mix(docs)
+    want = sorted((r.doc_id, r.shard, r.place) for r in blocks.where("words * 2 >= size").collect())
+    assert sorted((r.doc_id, r.shard, r.place) for r in mixing.draw(docs).collect()) == want and len({s for _, s, _ in want}) == mixing.N_SHARDS
+
+
 def test_mixing_odd(odd, none):
     got = mixing.taken(odd).collect()
     assert len(got) == len(ODD) and all(0 <= r.taken <= 2 * r.size for r in got) and mixing.taken(none).count() == 0
@@ -281,6 +336,7 @@ def test_token_counts(spark):
     r = random.Random(2)
     texts = ["", " ", "a  b\n\n c\n", "don't we'll ''t 's !'s", "x<|endoftext|>y <|endoftext|>", "日本語 １２ ½", "ab" * 5000, None, "  \r\n\t"] + ["".join(r.choice(" \n'strevmld01!?é中<|>") for _ in range(r.randrange(1, 40))) for _ in range(400)]
     texts += [x.text for x in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    texts += [w + end for n in (1024, 2048) for w in thue_morse(n, "a", "d") for end in ("", " z")] + [texts[3]] * 3 + ["\x00a \x00<|endoftext|>\x00"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumn("n_tokens", F.lit("clash"))
     got = {x.doc_id: (x.n_bytes, x.n_tokens, x.over_limit) for x in tokens.token_counts(df).collect()}
     want = [(len((x or "").encode()), n, n > 1024) for x, n in zip(texts, [len(e.ids) for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)])]
@@ -308,6 +364,14 @@ def test_containment(spark):
     assert contamination.contained(d.limit(0), b).count() == contamination.contained(d, b.limit(0)).count() == 0
 
 
+def test_containment_of_odd_rows(spark):
+    seven, long = "a b c d e f g", "x " * 30_000 + "a b c d e f g"
+    docs = spark.createDataFrame([(1, seven), (None, seven), (None, "x"), (2, None), (3, " "), (1, seven), (4, long)], "doc_id bigint, text string").withColumn("h", F.lit(1))
+    items = spark.createDataFrame([(None, seven), (5, "A b c"), (6, None), (7, "a b c d e f q"), (7, "b c d e f"), (7, "b c d e f"), (8, "x")], "item_id bigint, text string").withColumn("row", F.lit(1))
+    got = sorted(map(tuple, contamination.contained(docs, items).collect()), key=repr)
+    assert got == sorted([(d, 7, 1, 1) for d in (1, 4, None)] + [(d, None, 3, 3) for d in (1, 4, None)] + [(None, 8, 1, 1)], key=repr)
+
+
 # -- 9 -----------------------------------------------------------------------
 
 
@@ -340,6 +404,13 @@ def test_repeats(spark, monkeypatch, piece):
     assert sorted(map(tuple, got.collect()), key=repr) == repeats_brute(rows)
 
 
+def test_the_greatest_id_is_kept(spark):
+    top = (1 << 63) - 1
+    rows = [(top, "line\n" * 30), (None, "line\n" * 30), (1, "x")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.doc_id for r in repeats.digests(df).collect()} == {r.doc_id for r in lines.digests(df).collect()} == {top, None, 1}
+
+
 def test_repeats_of_many_rows_of_one_id(spark):
     passage = "".join(random.Random(3).choice("abcdefgh ") for _ in range(60))
     many = spark.range(66_000).select(F.lit(None).cast("bigint").alias("doc_id"), F.lpad(F.col("id").cast("string"), 5, "0").alias("text"))
@@ -381,17 +452,26 @@ def test_pipeline(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     text = {r.doc_id: r.text for r in docs.collect()}
     kept = {r.doc_id for r in cp.identify_language(spark, docs, SMALL).collect()}
-    assert {i for i, t in text.items() if any(c.isalpha() for c in t)} - kept == set() or len(kept) > 0.9 * len(text)
+    english = {r.doc_id for r in docs.where("lang = 'en'").collect()}
+    assert all(any(c.isalpha() for c in text[i]) for i in kept) and len(kept) > 0.9 * len(text) and len(english - kept) <= 0.02 * len(english)
     near = jaccard_brute([(i, text[i]) for i in kept])
     reps = {i for i, _, c in near if i == c}
     items = [shingles(r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
     clean = {i for i in reps if not any(b and 100 * len(shingles(text[i]) & b) >= 75 * len(b) for b in items)}
-    left = docs.where(F.col("doc_id").isin(sorted(clean)))
-    rows, blocks = mixing.mix(left)
-    want = sorted((r.doc_id, r.n) for r in blocks.where("words * 2 >= size").groupBy("doc_id").agg(F.count("*").alias("n")).collect())
+    import duckdb
+
+    left = docs.where(F.col("doc_id").isin(sorted(clean))).toArrow()
+    k = duckdb.connect()
+    k.register("documents", left)
+    owner = sharding.lookup_table(sharding.names_of(sharding.N_SHARDS))
+    want = []
+    for doc, size, taken in k.execute(f"SELECT doc_id, size, taken FROM ({mixing.SQL})").fetchall():
+        copies = taken // size + (2 * (taken % size) >= size) if size else 0
+        slot = int(hashlib.md5(str(doc).encode()).hexdigest()[:13], 16) % sharding.TABLE_SIZE
+        want += [(doc, text[doc], slot, owner[slot])] * copies
     out = cp.run(spark, SMALL)
-    assert set(cp.COLUMNS) < set(out.columns)
-    assert sorted((r.doc_id, r["count"]) for r in out.groupBy("doc_id").count().collect()) == want
+    assert set(cp.COLUMNS) < set(out.columns) and len(want) > len(clean)
+    assert sorted((r.doc_id, r.text, r.slot, r.shard) for r in out.collect()) == sorted(want)
 
 
 def test_stages_take_odd_rows(spark, odd, none):
