@@ -68,8 +68,8 @@ def density(calls: DataFrame, by: list[str], rate: float = RATE) -> DataFrame:
     c = c.withColumn("area", F.when(F.lag("q").over(w).isNotNull() & F.col("q").isNotNull(), (F.col("q") + F.lag("q").over(w)) / 2 * (F.col("strike") - F.col("k0"))))
     part = lambda ok: F.coalesce(F.sum(F.when(ok, F.col("area"))), F.lit(0.0))
     # both ends of a trapezoid lie in the tail
-    above = lambda x: F.col("k0") >= F.col("spot") * x
-    below = lambda x: F.col("strike") <= F.col("spot") * x
+    above = lambda x: F.col("k0") >= F.col("spot") * x - 1e-9
+    below = lambda x: F.col("strike") <= F.col("spot") * x + 1e-9
     g = c.groupBy(*by).agg(F.count("*").alias("n"), F.bool_or(F.col("c1") - F.col("price") > 1e-4).alias("rises"), F.bool_or(F.col("bend") < -1e-4).alias("bends"), F.sum("area").alias("total"), part(above(1.1)).alias("u1"), part(below(0.9)).alias("d1"), part(above(1.2)).alias("u2"), part(below(0.8)).alias("d2"))
     reason = F.when(F.col("n") < 5, "too few strikes").when(F.col("rises"), "monotonicity").when(F.col("bends"), "butterfly").when(F.coalesce("total", F.lit(0.0)) <= 0, "no mass")
     g = g.withColumn("reason", reason)

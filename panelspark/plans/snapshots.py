@@ -163,7 +163,7 @@ def st16(spark, d):
     return R.tidy(S.svi_fit(c, ["underlying", "dte"]), "underlying", "dte", "n", "fitted", "arbitrage_free", **{c: F.col(c) for c in ("a", "b", "rho", "m", "sigma", "rmse")})
 
 
-FLAT = ATM + f", fv AS (SELECT underlying, dte, avg(iv) AS v FROM atm0 GROUP BY ALL), st AS (SELECT underlying, dte, strike, spot, dte / 365.0::DOUBLE AS t, avg(last) FILTER (cp = 'C') AS quoted FROM chain GROUP BY ALL), dm AS (SELECT *, (ln(spot / strike) + (0.045::DOUBLE + v * v / 2) * t) / (v * sqrt(t)) AS d1 FROM st JOIN fv USING (underlying, dte)), pr AS (SELECT underlying, dte, 'model' AS source, strike, spot, t, spot * ({cdf_sql('d1')}) - strike * exp(-0.045::DOUBLE * t) * ({cdf_sql('(d1 - v * sqrt(t))')}) AS price FROM dm UNION ALL SELECT underlying, dte, 'quoted', strike, spot, t, quoted FROM st WHERE quoted IS NOT NULL), dw AS (SELECT *, lag(strike) OVER w AS k0, lag(price) OVER w AS c0, lead(strike) OVER w AS k1, lead(price) OVER w AS c1 FROM pr WINDOW w AS (PARTITION BY underlying, dte, source ORDER BY strike)), db AS (SELECT *, 2 * ((c1 - price) / (k1 - strike) - (price - c0) / (strike - k0)) / (k1 - k0) AS bend FROM dw), dq AS (SELECT *, CASE WHEN bend IS NOT NULL THEN exp(0.045::DOUBLE * t) * greatest(bend, 0) END AS q FROM db), da AS (SELECT *, (q + lag(q) OVER (PARTITION BY underlying, dte, source ORDER BY strike)) / 2 * (strike - k0) AS area FROM dq), dg AS (SELECT underlying, dte, source, count(*) AS n, bool_or(c1 - price > 1e-4) AS rises, bool_or(bend < -1e-4) AS bends, sum(area) AS total, coalesce(sum(area) FILTER (k0 >= spot * 1.1::DOUBLE), 0) AS u1, coalesce(sum(area) FILTER (strike <= spot * 0.9::DOUBLE), 0) AS d1, coalesce(sum(area) FILTER (k0 >= spot * 1.2::DOUBLE), 0) AS u2, coalesce(sum(area) FILTER (strike <= spot * 0.8::DOUBLE), 0) AS d2 FROM da GROUP BY ALL), dr AS (SELECT *, CASE WHEN n < 5 THEN 'too few strikes' WHEN rises THEN 'monotonicity' WHEN bends THEN 'butterfly' WHEN coalesce(total, 0) <= 0 THEN 'no mass' END AS reason FROM dg)"
+FLAT = ATM + f", fv AS (SELECT underlying, dte, avg(iv) AS v FROM atm0 GROUP BY ALL), st AS (SELECT underlying, dte, strike, spot, dte / 365.0::DOUBLE AS t, avg(last) FILTER (cp = 'C') AS quoted FROM chain GROUP BY ALL), dm AS (SELECT *, (ln(spot / strike) + (0.045::DOUBLE + v * v / 2) * t) / (v * sqrt(t)) AS d1 FROM st JOIN fv USING (underlying, dte)), pr AS (SELECT underlying, dte, 'model' AS source, strike, spot, t, spot * ({cdf_sql('d1')}) - strike * exp(-0.045::DOUBLE * t) * ({cdf_sql('(d1 - v * sqrt(t))')}) AS price FROM dm UNION ALL SELECT underlying, dte, 'quoted', strike, spot, t, quoted FROM st WHERE quoted IS NOT NULL), dw AS (SELECT *, lag(strike) OVER w AS k0, lag(price) OVER w AS c0, lead(strike) OVER w AS k1, lead(price) OVER w AS c1 FROM pr WINDOW w AS (PARTITION BY underlying, dte, source ORDER BY strike)), db AS (SELECT *, 2 * ((c1 - price) / (k1 - strike) - (price - c0) / (strike - k0)) / (k1 - k0) AS bend FROM dw), dq AS (SELECT *, CASE WHEN bend IS NOT NULL THEN exp(0.045::DOUBLE * t) * greatest(bend, 0) END AS q FROM db), da AS (SELECT *, (q + lag(q) OVER (PARTITION BY underlying, dte, source ORDER BY strike)) / 2 * (strike - k0) AS area FROM dq), dg AS (SELECT underlying, dte, source, count(*) AS n, bool_or(c1 - price > 1e-4) AS rises, bool_or(bend < -1e-4) AS bends, sum(area) AS total, coalesce(sum(area) FILTER (k0 >= spot * 1.1::DOUBLE - 1e-9::DOUBLE), 0) AS u1, coalesce(sum(area) FILTER (strike <= spot * 0.9::DOUBLE + 1e-9::DOUBLE), 0) AS d1, coalesce(sum(area) FILTER (k0 >= spot * 1.2::DOUBLE - 1e-9::DOUBLE), 0) AS u2, coalesce(sum(area) FILTER (strike <= spot * 0.8::DOUBLE + 1e-9::DOUBLE), 0) AS d2 FROM da GROUP BY ALL), dr AS (SELECT *, CASE WHEN n < 5 THEN 'too few strikes' WHEN rises THEN 'monotonicity' WHEN bends THEN 'butterfly' WHEN coalesce(total, 0) <= 0 THEN 'no mass' END AS reason FROM dg)"
 
 
 @query("st17_density", sql("chain", ctes=FLAT, body="SELECT underlying, dte, source, n, reason, CASE WHEN reason IS NULL THEN round(total, 6) END AS total, " + ", ".join(f"CASE WHEN reason IS NULL THEN round(100 * {c} / total, 6) END AS {k}" for c, k in (("u1", "up_10"), ("d1", "down_10"), ("u2", "up_20"), ("d2", "down_20"))) + " FROM dr"))
