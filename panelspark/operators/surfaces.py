@@ -64,7 +64,7 @@ def density(calls: DataFrame, by: list[str], rate: float = RATE) -> DataFrame:
     w = Window.partitionBy(*by).orderBy("strike")
     c = calls.withColumns({"k0": F.lag("strike").over(w), "c0": F.lag("price").over(w), "k1": F.lead("strike").over(w), "c1": F.lead("price").over(w)})
     bend = 2 * ((F.col("c1") - F.col("price")) / (F.col("k1") - F.col("strike")) - (F.col("price") - F.col("c0")) / (F.col("strike") - F.col("k0"))) / (F.col("k1") - F.col("k0"))
-    c = c.withColumns({"bend": bend, "q": F.exp(rate * F.col("t")) * F.greatest(bend, F.lit(0.0))})
+    c = c.withColumns({"bend": bend, "q": F.when(bend.isNotNull(), F.exp(rate * F.col("t")) * F.greatest(bend, F.lit(0.0)))})
     c = c.withColumn("area", F.when(F.lag("q").over(w).isNotNull() & F.col("q").isNotNull(), (F.col("q") + F.lag("q").over(w)) / 2 * (F.col("strike") - F.col("k0"))))
     part = lambda ok: F.coalesce(F.sum(F.when(ok, F.col("area"))), F.lit(0.0))
     # both ends of a trapezoid lie in the tail
