@@ -55,7 +55,7 @@ def test_position_equals_a_loop(spark, seed):
     rows = rolling.rsi(bars_of(spark, A=walk(seed, 400, 0, 0.03))).withColumns({"s200": rolling.full(F.avg("close").over(rolling.last(200)), "close", 200), "s5": rolling.full(F.avg("close").over(rolling.last(5)), "close", 5)})
     state, want = 0, []
     for r in rows.orderBy("trade_date").collect():
-        if None in (r.s200, r.s5, r.rsi):
+        if r.rn <= 200:
             want.append(0)
             continue
         enter, leave = r.close > r.s200 and r.rsi < 15, r.rsi > 70 or r.close > r.s5
@@ -106,7 +106,7 @@ def test_event_study_finds_a_jump(spark):
     a = a[:200] + [c * 1.1 for c in a[200:]]
     bench = spark.createDataFrame([(DAY + dt.timedelta(i), c) for i, c in enumerate(m)], "trade_date date, close double")
     events = spark.createDataFrame([("A", "jump", DAY + dt.timedelta(200), False), ("A", "none", DAY + dt.timedelta(170), False), ("A", "early", DAY + dt.timedelta(20), False)], "symbol string, event_type string, event_date date, after_close boolean")
-    got = {r.event_type: r for r in studies.event_study(events, studies.paired_sessions(bars_of(spark, A=a), views.bench_returns(bench))).collect()}
+    got = {r.event_type: r for r in studies.event_study(events, studies.paired_sessions(bars_of(spark, A=a), views.bench_returns(bench)), window=(-1, 1)).collect()}
     assert set(got) == {"jump", "none"} and abs(got["jump"].car - 0.1) < 0.03 and got["jump"].p < 0.01 < got["none"].p
 
 
