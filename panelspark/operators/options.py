@@ -11,17 +11,36 @@ RATE = 0.045
 
 
 def clean(chain: DataFrame) -> DataFrame:
-    """Casts are done; implied volatility out of (0.01, 5] is replaced by the median of its
-    expiry, else of the chain, else 0.2, and clipped to [0.05, 4]; quoted rows are kept
-    alone unless they are under a quarter of all."""
-    ok = F.when((F.col("iv") > 0.01) & (F.col("iv") <= 5), F.col("iv"))
-    c = chain.withColumn("iv_ok", ok)
+    """Casts are done. A volatility that is missing or out of [0.05, 4] is repaired: by
+    inversion of the last price, if that is over 0.01 and gives one in [0.05, 3.5]; else by
+    the median of its expiry's sound ones ([0.05, 3.5]), else of the chain's, else 0.2. Rows
+    without open interest and volume go; of the rest those with a bid are kept alone unless
+    they are under a quarter."""
+    sound = F.when(F.col("iv").between(0.05, 3.5), F.col("iv"))
+    bad = F.col("iv").isNull() | ~F.col("iv").between(0.05, 4.0)
     by = Window.partitionBy("underlying")
-    c = c.withColumns({"m1": F.percentile("iv_ok", 0.5).over(Window.partitionBy("underlying", "dte")), "m2": F.percentile("iv_ok", 0.5).over(by)})
-    c = c.withColumn("iv", F.least(F.lit(4.0), F.greatest(F.lit(0.05), F.coalesce("iv_ok", "m1", "m2", F.lit(0.2)))))
-    quoted = (F.col("bid") >= 0) & (F.col("ask") > 0) & (F.col("bid") <= F.col("ask"))
-    c = c.withColumn("quoted", quoted).withColumns({"nq": F.count_if("quoted").over(by), "nu": F.count("*").over(by)})
-    return c.where((4 * F.col("nq") < F.col("nu")) | F.col("quoted")).drop("iv_ok", "m1", "m2", "nq", "nu", "quoted")
+    c = chain.withColumn("sound", sound)
+    c = c.withColumns({"m1": F.percentile("sound", 0.5).over(Window.partitionBy("underlying", "dte")), "m2": F.percentile("sound", 0.5).over(by)})
+    found = implied_vol(F.col("last"), F.col("spot"), F.col("strike"), F.greatest(F.col("dte"), F.lit(1)) / 365.0, F.col("cp") == "C")
+    c = c.withColumn("found", F.when(bad & (F.col("last") > 0.01), found))
+    repaired = F.coalesce(F.when(F.col("found").between(0.05, 3.5), F.col("found")), "m1", "m2", F.lit(0.2))
+    c = c.withColumn("iv", F.when(bad, repaired).otherwise(F.col("iv")))
+    c = c.where("strike > 0 AND dte >= 0 AND (oi > 0 OR volume > 0)")
+    c = c.withColumns({"nq": F.count_if(F.col("bid") > 0).over(by), "nu": F.count("*").over(by)})
+    return c.where((4 * F.col("nq") < F.col("nu")) | (F.col("bid") > 0)).drop("sound", "m1", "m2", "found", "nq", "nu")
+
+
+def hedge_weight() -> Column:
+    """Open interest, or volume where that is greater."""
+    return F.greatest("volume", "oi")
+
+
+def dealer_sign(convention: str = "naive") -> Column:
+    """naive: long calls, short puts. short_wings: short what is out of the money."""
+    if convention == "naive":
+        return F.when(F.col("cp") == "C", 1).otherwise(-1)
+    out = ((F.col("cp") == "P") & (F.col("strike") < F.col("spot"))) | ((F.col("cp") == "C") & (F.col("strike") > F.col("spot")))
+    return F.when(out, -1).otherwise(1)
 
 
 def with_greeks(chain: DataFrame, rate: float = RATE) -> DataFrame:
@@ -47,8 +66,8 @@ def gex_by_strike(chain: DataFrame) -> DataFrame:
     """Dollar gamma, vanna and charm by strike; weight is the greater of volume and open
     interest, calls count up and puts down."""
     g = with_greeks(chain)
-    w = F.greatest("volume", "oi") * 100
-    sign = F.when(F.col("cp") == "C", 1).otherwise(-1)
+    w = hedge_weight() * 100
+    sign = dealer_sign()
     gex = F.col("gamma") * w * F.col("spot") * F.col("spot") * 0.01
     only = lambda cp, c: F.sum(F.when(F.col("cp") == cp, c).otherwise(0.0))
     return g.groupBy("underlying", "strike", "spot").agg(

@@ -11,9 +11,11 @@ from panelspark.operators import rolling as R
 from panelspark.registry import query
 from panelspark.sources.views import chain, sql
 
-CLEAN = """c0 AS (SELECT *, CASE WHEN iv > 0.01 AND iv <= 5 THEN iv END AS ok FROM chain),
-c1 AS (SELECT *, median(ok) OVER (PARTITION BY underlying, dte) AS m1, median(ok) OVER (PARTITION BY underlying) AS m2, count(*) FILTER (bid >= 0 AND ask > 0 AND bid <= ask) OVER (PARTITION BY underlying) AS nq, count(*) OVER (PARTITION BY underlying) AS nu FROM c0),
-cl AS (SELECT contract, underlying, spot, strike, dte, cp, least(4, greatest(0.05, coalesce(ok, m1, m2, 0.2)))::DOUBLE AS iv, oi, volume, last, bid, ask FROM c1 WHERE 4 * nq < nu OR (bid >= 0 AND ask > 0 AND bid <= ask))"""
+#: Inversion of prices is beyond SQL; where a volatility has to be repaired, this differs.
+CLEAN = """c0 AS (SELECT *, CASE WHEN iv BETWEEN 0.05 AND 3.5 THEN iv END AS sound, iv IS NULL OR iv NOT BETWEEN 0.05 AND 4 AS bad FROM chain),
+c1 AS (SELECT *, median(sound) OVER (PARTITION BY underlying, dte) AS m1, median(sound) OVER (PARTITION BY underlying) AS m2 FROM c0),
+c2 AS (SELECT *, count(*) FILTER (bid > 0) OVER (PARTITION BY underlying) AS nq, count(*) OVER (PARTITION BY underlying) AS nu FROM c1 WHERE strike > 0 AND dte >= 0 AND (oi > 0 OR volume > 0)),
+cl AS (SELECT contract, underlying, spot, strike, dte, cp, CASE WHEN bad THEN coalesce(m1, m2, 0.2) ELSE iv END::DOUBLE AS iv, oi, volume, last, bid, ask FROM c2 WHERE 4 * nq < nu OR bid > 0)"""
 PDF = f"(exp(-d1 * d1 / 2) / {ROOT_2PI!r}::DOUBLE)"
 GREEKS = CLEAN + f""", g0 AS (SELECT *, greatest(dte, 1) / 365.0::DOUBLE AS t FROM cl), g1 AS (SELECT *, (ln(spot / strike) + (0.045::DOUBLE + iv * iv / 2) * t) / (iv * sqrt(t)) AS d1 FROM g0),
 g2 AS (SELECT *, d1 - iv * sqrt(t) AS d2, {PDF} AS p1 FROM g1), g3 AS (SELECT *, {cdf_sql('d1')} AS n1, {cdf_sql('d2')} AS n2, strike * exp(-0.045::DOUBLE * t) AS disc FROM g2),

@@ -18,7 +18,7 @@ from panelspark.plans.cross_sections import PERF as PERF_OF
 from panelspark.plans.cross_sections import PERF_BODY
 from panelspark.plans.panels import PAIRED, REC, SCORE, W
 from panelspark.registry import query
-from panelspark.sources.views import bars, bench, bench_returns, by_symbol, sql, with_returns
+from panelspark.sources.views import bars, bench, bench_returns, by_symbol, sectors, sql, with_returns
 
 
 def paired(spark, d):
@@ -60,15 +60,18 @@ def st2(spark, d):
     return solve.grouped_ols(p, ["symbol"], "ret", ["x0", "x1", "x2"]).select("symbol", "n", F.round(F.col("coef")[1] + F.col("coef")[2] + F.col("coef")[3], 6).alias("beta"), F.round("r2", 6).alias("r2"))
 
 
-@query("st1_factor_exposures")
-def st1(spark, d):
-    """Regression on six factors with Newey-West errors. Factors here: the benchmark's
-    return, its square, its lag, and three sector means."""
-    from panelspark.sources.views import sectors
-
+def factor_panel(spark, d):
+    """Paired returns with f0 to f5: three sector means, the benchmark's return, its square
+    and its lag."""
     r = paired(spark, d).join(sectors(spark, d), "symbol", "left")
     s = r.groupBy("trade_date").agg(*[F.coalesce(F.avg(F.when(F.col("sector") == k, F.col("ret"))), F.lit(0.0)).alias(f"f{i}") for i, k in enumerate(("ASIA", "EUROPE", "AMERICA"))])
-    p = r.join(s, "trade_date").withColumns({"f3": F.col("bench_ret"), "f4": F.col("bench_ret") * F.col("bench_ret"), "f5": F.lag("bench_ret").over(by_symbol())}).where("f5 IS NOT NULL")
+    return r.join(s, "trade_date").withColumns({"f3": F.col("bench_ret"), "f4": F.col("bench_ret") * F.col("bench_ret"), "f5": F.lag("bench_ret").over(by_symbol())}).where("f5 IS NOT NULL")
+
+
+@query("st1_factor_exposures")
+def st1(spark, d):
+    """Regression on six factors with Newey-West errors."""
+    p = factor_panel(spark, d)
     out = solve.grouped_ols(p, ["symbol"], "ret", [f"f{i}" for i in range(6)], order="trade_date", newey_west=True)
     return out.select("symbol", "n", F.round(F.col("coef")[0] * 252, 6).alias("alpha"), F.transform(F.slice("coef", 2, 6), lambda x: F.round(x, 6)).alias("betas"), F.transform(F.slice("se", 2, 6), lambda x: F.round(x, 6)).alias("errors"), F.round("r2", 6).alias("r2"))
 
