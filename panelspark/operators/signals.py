@@ -39,12 +39,13 @@ def spreads(panel: DataFrame, forward: str, q: int = 10, least: int = 20, cost_b
 
 
 def evaluate(panel: DataFrame, horizons: dict[str, str], deflated) -> DataFrame:
-    """A row a signal: mean rank correlations by horizon, the first one's Newey-West t,
+    """A row a signal, one without a full cross-section too: mean rank correlations by horizon, the first one's Newey-West t,
     spread, turnover, Sharpe ratios before and after cost, deflated Sharpe ratio, gates.
     ``deflated`` makes the last from (n, sr, skewness, kurtosis), population moments."""
     first = next(iter(horizons.values()))
     ics = [rank_ic(panel, c) for c in horizons.values()]
-    out = newey_west(ics[0], "ic", ["signal"], "trade_date").select("signal", F.col("n").alias("dates"), "t")
+    nw = newey_west(ics[0], "ic", ["signal"], "trade_date").select("signal", F.col("n").alias("dates"), "t")
+    out = panel.select("signal").distinct().join(nw, "signal", "left").withColumn("dates", F.coalesce("dates", F.lit(0).cast("bigint")))
     for name, x in zip(horizons, ics):
         out = out.join(x.groupBy("signal").agg(F.round(F.avg("ic"), 6).alias(f"ic_{name}")), "signal", "left")
     year = 252**0.5
