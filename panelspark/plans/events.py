@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from panelspark.functions.normal import cdf_sql
+from panelspark.functions.normal import cdf, cdf_sql
 from panelspark.operators import rolling as R
 from panelspark.operators import studies as S
 from panelspark.operators.asof import asof
@@ -160,3 +160,34 @@ def w28(spark, d):
     r = with_returns(bars(spark, d)).withColumns({"lv": F.max("high").over(R.before(63)), "nx": F.lead("ret").over(by_symbol())})
     t = r.where((F.col("prev_close") < F.col("lv")) & (F.col("high") >= F.col("lv") * 0.998))
     return t.groupBy("symbol").agg(F.count("*").alias("touches"), F.count_if(F.col("close") < F.col("lv")).alias("reversals"), F.round(F.avg("nx"), 6).alias("next_ret"))
+
+
+NULLS = 25
+TOUCHED = "nc IS NOT NULL AND prev_close < {0} AND high >= {0} * 0.998"
+TOUCH_SQL = f"""t AS (SELECT symbol, high, close, prev_close, lead(close) OVER {W} AS nc, max(high) OVER (PARTITION BY symbol ORDER BY trade_date ROWS BETWEEN 63 PRECEDING AND 1 PRECEDING) AS lv FROM r),
+b AS (SELECT symbol, min(close) AS lo, max(close) AS hi FROM r GROUP BY symbol),
+z0 AS (SELECT symbol, i, lo * 1.05::DOUBLE + ('0x' || substr(md5(symbol || ':' || i), 1, 8))::BIGINT / 4294967296.0::DOUBLE * (hi * 0.95::DOUBLE - lo * 1.05::DOUBLE) AS level FROM b, range({NULLS}) g(i)),
+q AS (SELECT symbol, i, count(*) FILTER (nc < close) / count(*) AS rate FROM t JOIN z0 USING (symbol) WHERE {TOUCHED.format('level')} GROUP BY ALL HAVING count(*) >= 3),
+m AS (SELECT symbol, avg(rate) AS m, CASE WHEN count(*) > 1 THEN stddev_pop(rate) ELSE 0.08 END AS sd FROM q GROUP BY symbol),
+o AS (SELECT symbol, count(*) AS touches, count(*) FILTER (nc < close) AS reversals FROM t WHERE {TOUCHED.format('lv')} GROUP BY symbol),
+j AS (SELECT symbol, touches, reversals, reversals / touches AS rate, coalesce(m, 0.5) AS m, coalesce(sd, 0.08) AS sd FROM o LEFT JOIN m USING (symbol)),
+k AS (SELECT *, CASE WHEN touches >= 3 AND sd > 1e-9 THEN (rate - m) / sd ELSE 0 END AS z FROM j)"""
+
+
+@query("w28_touch_significance", sql("r", ctes=TOUCH_SQL, body=f"SELECT symbol, touches, reversals, round(rate, 6) AS rate, round(m, 6) AS baseline, round(sd, 6) AS spread, round(z, 6) AS z, round(1 - {cdf_sql('z')}, 6) AS p FROM k"))
+def w28_significance(spark, d):
+    """Touches of the 63-day high after which the next close is lower, against levels drawn
+    by a hash between each symbol's lowest and highest close: mean and spread of their
+    rates (of those touched three times or more), one-sided z. Every bar meets its symbol's
+    25 levels; nothing else is multiplied."""
+    r = with_returns(bars(spark, d))
+    t = r.select("symbol", "high", "close", "prev_close", F.lead("close").over(by_symbol()).alias("nc"), F.max("high").over(R.before(63)).alias("lv"))
+    ends = r.groupBy("symbol").agg(F.min("close").alias("lo"), F.max("close").alias("hi")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(NULLS - 1))))
+    draw = F.conv(F.substring(F.md5(F.concat_ws(":", "symbol", "i").cast("binary")), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
+    drawn = ends.select("symbol", "i", (F.col("lo") * 1.05 + draw * (F.col("hi") * 0.95 - F.col("lo") * 1.05)).alias("level"))
+    q = t.join(drawn, "symbol").where(TOUCHED.format("level")).groupBy("symbol", "i").agg(F.count("*").alias("n"), F.count_if(F.col("nc") < F.col("close")).alias("k")).where("n >= 3").withColumn("rate", F.col("k") / F.col("n"))
+    m = q.groupBy("symbol").agg(F.avg("rate").alias("m"), F.when(F.count("*") > 1, F.stddev_pop("rate")).otherwise(0.08).alias("sd"))
+    o = t.where(TOUCHED.format("lv")).groupBy("symbol").agg(F.count("*").alias("touches"), F.count_if(F.col("nc") < F.col("close")).alias("reversals")).join(m, "symbol", "left")
+    o = o.withColumns({"rate": F.col("reversals") / F.col("touches"), "m": F.coalesce("m", F.lit(0.5)), "sd": F.coalesce("sd", F.lit(0.08))})
+    o = o.withColumn("z", F.when((F.col("touches") >= 3) & (F.col("sd") > 1e-9), F.try_divide(F.col("rate") - F.col("m"), "sd")).otherwise(0.0))
+    return R.tidy(o, "symbol", "touches", "reversals", rate=F.col("rate"), baseline=F.col("m"), spread=F.col("sd"), z=F.col("z"), p=1 - cdf(F.col("z")))
