@@ -30,15 +30,20 @@ def cdf(x: Column) -> Column:
     return F.when(x > 0, 1 - tail).otherwise(tail)
 
 
+def bound(x: Column, f) -> Column:
+    """``f(x)`` with x computed once: in a fold, an expression repeated in itself grows the
+    plan by its size each time."""
+    return F.get(F.transform(F.array(x), f), 0)
+
+
 def quantile(p: Column, steps: int = 60) -> Column:
     """The inverse of ``cdf`` by bisection, one fold a row; exact in the lower tail, from the
     upper one by symmetry. Null outside (0, 1)."""
     low = F.least(p, 1 - p)
 
     def step(acc: Column, _: Column) -> Column:
-        mid = (acc["lo"] + acc["hi"]) / 2
-        high = cdf(mid) > low
-        return F.struct(F.when(high, acc["lo"]).otherwise(mid).alias("lo"), F.when(high, mid).otherwise(acc["hi"]).alias("hi"))
+        half = lambda mid: bound(cdf(mid) > low, lambda high: F.struct(F.when(high, acc["lo"]).otherwise(mid).alias("lo"), F.when(high, mid).otherwise(acc["hi"]).alias("hi")))
+        return bound((acc["lo"] + acc["hi"]) / 2, half)
 
     start = F.struct(F.lit(-38.0).alias("lo"), F.lit(0.0).alias("hi"))
     x = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, lambda a: (a["lo"] + a["hi"]) / 2)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.functions.normal import cdf, pdf
+from panelspark.functions.normal import bound, cdf, pdf
 
 RATE = 0.045
 
@@ -97,13 +97,12 @@ def implied_vol(price: Column, spot: Column, strike: Column, t: Column, call: Co
 
     def value(v: Column) -> Column:
         d1 = (F.ln(spot / strike) + (rate + v * v / 2) * t) / (v * F.sqrt(t))
-        c = spot * cdf(d1) - strike * F.exp(-rate * t) * cdf(d1 - v * F.sqrt(t))
-        return F.when(call, c).otherwise(c - spot + strike * F.exp(-rate * t))
+        c = spot * bound(d1, cdf) - strike * F.exp(-rate * t) * bound(d1 - v * F.sqrt(t), cdf)
+        return bound(c, lambda c: F.when(call, c).otherwise(c - spot + strike * F.exp(-rate * t)))
 
     def step(acc: Column, _: Column) -> Column:
-        mid = (acc["lo"] + acc["hi"]) / 2
-        high = value(mid) > price
-        return F.struct(F.when(high, acc["lo"]).otherwise(mid).alias("lo"), F.when(high, mid).otherwise(acc["hi"]).alias("hi"))
+        half = lambda mid: bound(value(mid) > price, lambda high: F.struct(F.when(high, acc["lo"]).otherwise(mid).alias("lo"), F.when(high, mid).otherwise(acc["hi"]).alias("hi")))
+        return bound((acc["lo"] + acc["hi"]) / 2, half)
 
     start = F.struct(F.lit(0.02).alias("lo"), F.lit(4.0).alias("hi"))
     found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, lambda a: (a["lo"] + a["hi"]) / 2)
