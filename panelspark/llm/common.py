@@ -33,6 +33,17 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(low, BLANKS), "")
 
 
+def crc_sql(text: str) -> str:
+    """DuckDB's expression for the CRC-32 of a string's UTF-8 bytes."""
+    steps = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        steps.append(c)
+    code = f"list_transform(range(octet_length(encode({text}))), lambda i: CAST('0x' || substr(hex(encode({text})), 2 * i + 1, 2) AS BIGINT))"
+    return f"xor(list_reduce({code}, lambda c, b: xor(({steps})[CAST(xor(c, b) & 255 AS INTEGER) + 1], c >> 8), 4294967295), 4294967295)"
+
+
 def scratch(spark: SparkSession) -> str:
     """A new path in the folder that driver and executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
