@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contamination, fingerprints, html, jaccard, language, lines, merkle, mixing, quality, repeats, sharding, tokens
+from . import alignment, contamination, fingerprints, html, jaccard, language, lines, merkle, mixing, quality, repeats, sharding, tokens
 from .common import read
 
 
@@ -53,6 +53,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(read(spark, sf_dir, "documents").select("doc_id"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(read(spark, sf_dir, "documents"))
+
+
 def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -61,6 +65,6 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_ngram_jaccard_join, op3_document_fingerprints, op4_html_extraction, op5_source_mixing, op6_language_id, op7_token_counts, op8_benchmark_decontamination, op9_suffix_dedup, op10_sharding, op12_quality_rules, op13_merkle_manifest, op1_short_runs)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_ngram_jaccard_join, op3_document_fingerprints, op4_html_extraction, op5_source_mixing, op6_language_id, op7_token_counts, op8_benchmark_decontamination, op9_suffix_dedup, op10_sharding, op11_tokenizer_alignment, op12_quality_rules, op13_merkle_manifest, op1_short_runs)}
 
 SQL = {"op1_line_dedup": lines.SQL, "op1_short_runs": lines.SQL_SHORT, "op2_ngram_jaccard_join": jaccard.SQL, "op8_benchmark_decontamination": contamination.SQL, "op5_source_mixing": mixing.SQL, "op10_sharding": sharding.shard_sql(), "op12_quality_rules": quality.SQL, "op13_merkle_manifest": merkle.SQL}
