@@ -286,6 +286,7 @@ def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None,
     postings = rows.where("a IS NOT NULL").select("chunk", "docs", "a", "b", "plane", "n", "bits")
     counts = table(pair_counts(postings))
     asked = postings.where("plane = 0").select("chunk", "a", "b").join(counts.select("a", "b", "count", "best"), ["a", "b"])
+    asked = asked.toDF("x", "y", "z", "count", "best").select(F.col("z").alias("chunk"), F.col("x").alias("a"), F.col("y").alias("b"), "count", "best")
     found = postings.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(scored, "chunk bigint, slot int, n_best bigint, count_sum bigint")
     own = rows.where("a IS NULL").select("chunk", "slot", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")
     out = own.join(found, ["chunk", "slot"], "left").na.fill(0, ["n_best", "count_sum"])
