@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from panelspark.functions.normal import cdf, cdf_sql
 from panelspark.operators import cross as C
 from panelspark.operators import rolling as R
-from panelspark.operators import solve
+from panelspark.operators import resample, solve, stress
 from panelspark.operators.asof import asof
 from panelspark.plans.joins import MACRO, macro
 from panelspark.plans.cross_sections import PERF as PERF_OF
@@ -127,49 +127,47 @@ def st10(spark, d):
     return g.withColumn("beats_naive", F.col("qlike") < F.col("qlike_naive"))
 
 
-SCENARIOS = (("s1", "1993-01-01", "1993-06-30"), ("s2", "1995-03-01", "1995-12-31"), ("s3", "1997-07-01", "1998-03-31"))
+#: (name, start, trough, end, shocks): the last begins before the panel does.
+SCENARIOS = (
+    ("s1", "1993-01-04", "1993-03-31", "1993-06-30", {"market": -0.34}), ("s2", "1995-03-01", "1995-08-31", "1995-12-29", {"market": -0.25}),
+    ("s3", "1997-07-01", "1997-12-31", "1998-03-31", {"market": -0.19}), ("s0", "1990-07-02", "1990-10-11", "1991-02-13", {"market": -0.20}),
+)
+STRESS = (
+    "sc(scenario, a, t, e, shock) AS (VALUES " + ", ".join(f"('{k}', DATE '{a}', DATE '{t}', DATE '{e}', {x['market']}::DOUBLE)" for k, a, t, e, x in SCENARIOS) + "), sp AS (SELECT symbol, min(trade_date) AS f, max(trade_date) AS l FROM bars GROUP BY 1), "
+    "g AS (SELECT scenario, symbol, count(*) FILTER (trade_date <= t + 5) AS n, max(close) FILTER (trade_date <= t + 5) AS hi, min(close) FILTER (trade_date <= t + 5) AS lo, count(*) FILTER (trade_date BETWEEN t AND e + 7) AS later, arg_max(close, trade_date) FILTER (trade_date BETWEEN t AND e + 7) AS fin FROM bars JOIN sc ON trade_date BETWEEN a - 5 AND greatest(t + 5, e + 7) GROUP BY ALL), "
+    + PAIRED + ", be AS (SELECT symbol, covar_samp(ret, bench_ret) / nullif(var_samp(bench_ret), 0) AS beta FROM p GROUP BY symbol HAVING count(*) >= 60), "
+    "o AS (SELECT sp.symbol, sc.*, l, lo, hi, fin, later, coalesce(f <= a + 7 AND l >= t - 7 AND n >= 2, false) AS covers, beta * shock AS implied FROM sp CROSS JOIN sc LEFT JOIN g USING (scenario, symbol) LEFT JOIN be USING (symbol))"
+)
 
 
-@query("st13_stress_scenarios", sql("bars", ctes="sc(scenario, a, b) AS (VALUES " + ", ".join(f"('{k}', DATE '{a}', DATE '{b}')" for k, a, b in SCENARIOS) + "), t AS (SELECT scenario, symbol, trade_date, close, max(close) OVER (PARTITION BY scenario, symbol ORDER BY trade_date) AS peak FROM bars JOIN sc ON trade_date BETWEEN a AND b)", body="SELECT scenario, symbol, count(*) AS sessions, round(min(close / peak - 1), 6) AS trough, round(arg_max(close, trade_date) / arg_min(close, trade_date) - 1, 6) AS total FROM t GROUP BY ALL"))
+def market_loadings(spark, d):
+    """(symbol, factor, beta): betas to the benchmark of symbols with 60 common days."""
+    g = paired(spark, d).groupBy("symbol").agg(F.count("*").alias("n"), F.try_divide(F.covar_samp("ret", "bench_ret"), F.var_samp("bench_ret")).alias("beta"))
+    return g.where("n >= 60").select("symbol", F.lit("market").alias("factor"), "beta")
+
+
+@query("st13_stress_scenarios", sql("r", "br", ctes=STRESS, body="SELECT symbol, scenario, CASE WHEN covers THEN 'historical replay' WHEN implied IS NOT NULL THEN 'factor-implied' ELSE 'insufficient history' END AS method, round(CASE WHEN covers THEN (lo / hi - 1) * 100 ELSE implied * 100 END, 2) AS drop_pct, round(CASE WHEN covers AND later >= 2 AND l >= e - 7 THEN (fin / lo - 1) * 100 END, 2) AS recovery_pct FROM o"))
 def st13(spark, d):
-    cases = F.array(*[F.struct(F.lit(k).alias("scenario"), F.lit(a).cast("date").alias("a"), F.lit(b).cast("date").alias("b")) for k, a, b in SCENARIOS])
-    t = bars(spark, d).withColumn("s", F.explode(F.filter(cases, lambda s: F.col("trade_date").between(s["a"], s["b"])))).select("s.scenario", "symbol", "trade_date", "close")
-    t = t.withColumn("peak", F.max("close").over(Window.partitionBy("scenario", "symbol").orderBy("trade_date")))
-    g = t.groupBy("scenario", "symbol").agg(F.count("*").alias("sessions"), F.min(F.col("close") / F.col("peak") - 1).alias("x"), (F.max_by("close", "trade_date") / F.min_by("close", "trade_date") - 1).alias("y"))
-    return R.tidy(g, "scenario", "symbol", "sessions", trough=F.col("x"), total=F.col("y"))
+    return stress.replay(bars(spark, d), list(SCENARIOS), market_loadings(spark, d))
+
+
+@query("st8_tail_counts", sql("r", ctes="lv(level) AS (VALUES (0.95::DOUBLE), (0.99::DOUBLE)), q AS (SELECT symbol, level, count(ret) AS n, CASE WHEN level < 0.97 THEN quantile_cont(ret, 0.05) ELSE quantile_cont(ret, 0.01) END AS q FROM r, lv GROUP BY symbol, level HAVING count(ret) >= 100)", body="SELECT symbol, level, any_value(n) AS n, round(-any_value(q), 6) AS value_at_risk, round(-avg(ret), 6) AS shortfall, count(*) AS tail, count(*) < 30 AS low_confidence FROM q JOIN r USING (symbol) WHERE ret <= q + 1e-12 GROUP BY symbol, level"))
+def st8_counts(spark, d):
+    """What of st8_tail_with_bootstrap isn't drawn."""
+    t = resample.tail_risk(with_returns(bars(spark, d)), replicates=1)
+    return R.tidy(t, "symbol", "level", "n", "tail", "low_confidence", value_at_risk=F.col("value_at_risk"), shortfall=F.col("shortfall"))
 
 
 @query("st8_tail_with_bootstrap")
 def st8(spark, d):
-    """Value at risk, shortfall and tail count, with a 90 % interval of the first from 200
-    resamples: a resample's rows are drawn by hash, all in one grouped job."""
-    r = with_returns(bars(spark, d)).where("ret IS NOT NULL").select("symbol", "trade_date", "ret")
-    n = Window.partitionBy("symbol")
-    r = r.withColumns({"n": F.count("*").over(n), "k": F.row_number().over(n.orderBy("trade_date")) - 1})
-    draws = r.select("symbol", "n", "k").withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(200)))).withColumn("pick", F.pmod(F.xxhash64("symbol", "b", "k"), "n"))
-    boot = draws.select("symbol", "b", F.col("pick").alias("k")).join(r.select("symbol", "k", "ret"), ["symbol", "k"]).groupBy("symbol", "b").agg(F.percentile("ret", 0.05).alias("q"))
-    ci = boot.groupBy("symbol").agg(F.percentile("q", 0.05).alias("lo"), F.percentile("q", 0.95).alias("hi"))
-    q = r.withColumn("q", F.percentile("ret", 0.05).over(n)).where("ret <= q").groupBy("symbol").agg(F.first("q").alias("q"), F.avg("ret").alias("es"), F.count("*").alias("tail"))
-    return R.tidy(q.join(ci, "symbol").withColumn("low_confidence", F.col("tail") < 30), "symbol", "tail", "low_confidence", var_95=-F.col("q"), es_95=-F.col("es"), var_low=-F.col("hi"), var_high=-F.col("lo"))
+    t = resample.tail_risk(with_returns(bars(spark, d)))
+    return R.tidy(t, "symbol", "level", "n", "tail", "low_confidence", **{k: F.col(k) for k in ("value_at_risk", "shortfall", "low", "high")})
 
 
 @query("st9_garch_grid")
 def st9(spark, d):
-    """GARCH(1,1) by likelihood over a grid of (alpha, beta), variance targeted: each
-    symbol's returns are folded once for each grid point."""
-    r = with_returns(bars(spark, d)).where("ret IS NOT NULL")
-    per = r.groupBy("symbol").agg(F.transform(F.array_sort(F.collect_list(F.struct("trade_date", "ret"))), lambda x: x["ret"]).alias("r"), F.var_samp("ret").alias("v"), F.avg("ret").alias("m"))
-    grid = [(a / 100, b / 100) for a in range(2, 21, 3) for b in range(70, 98, 4) if a + b < 100]
-    per = per.withColumn("g", F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in grid]))).select("symbol", "r", "v", "m", "g.a", "g.b")
-    start = F.struct(F.col("v").alias("h"), F.lit(0.0).alias("ll"))
-
-    def step(s, x):
-        e2 = (x - F.col("m")) * (x - F.col("m"))
-        return F.struct(((1 - F.col("a") - F.col("b")) * F.col("v") + F.col("a") * e2 + F.col("b") * s["h"]).alias("h"), (s["ll"] - 0.5 * (F.ln(s["h"]) + e2 / s["h"])).alias("ll"))
-
-    per = per.withColumn("fit", F.aggregate("r", start, step))
-    best = per.groupBy("symbol").agg(F.max_by(F.struct("a", "b", F.col("fit")["h"].alias("h")), F.col("fit")["ll"]).alias("x"))
-    return best.select("symbol", "x.a", "x.b", F.round(F.sqrt(F.col("x.h") * 252), 6).alias("next_vol"))
+    g = resample.garch(with_returns(bars(spark, d)))
+    return R.tidy(g, "symbol", "n", **{k: F.col(k) for k in ("omega", "alpha", "beta", "persistence", "log_likelihood", "next_vol")})
 
 
 def expected_maximum(trials: int) -> float:
@@ -250,19 +248,7 @@ def bt1(spark, d):
 
 @query("bt5_permutation_test")
 def bt5(spark, d):
-    """Sharpe ratio of the strategy against 50 paths of shuffled 21-day blocks of returns:
-    the signal is kept, the blocks it meets are dealt anew by hash, one group a replicate."""
-    s = strategy(spark, d).where("ret IS NOT NULL").select("symbol", "trade_date", "held", "ret")
-    w = Window.partitionBy("symbol").orderBy("trade_date")
-    s = s.withColumn("k", F.row_number().over(w) - 1).withColumns({"block": F.floor(F.col("k") / 21), "at": F.col("k") % 21})
-    blocks = s.select("symbol", "block").distinct().withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(50))))
-    p = Window.partitionBy("symbol", "b")
-    order = F.when(F.col("b") == 0, F.col("block")).otherwise(F.xxhash64("symbol", "b", "block"))
-    blocks = blocks.withColumn("to", F.row_number().over(p.orderBy(order)) - 1)
-    paths = blocks.join(s.select("symbol", "block", "at", "ret"), ["symbol", "block"]).select("symbol", "b", F.col("to").alias("block"), "at", "ret").join(s.select("symbol", "block", "at", "held"), ["symbol", "block", "at"])
-    g = paths.groupBy("symbol", "b").agg((F.avg(F.col("held") * F.col("ret")) / F.stddev_samp(F.col("held") * F.col("ret"))).alias("sr"))
-    real = g.where("b = 0").select("symbol", F.col("sr").alias("real"))
-    return g.where("b > 0").join(real, "symbol").groupBy("symbol").agg(F.round(F.first("real") * R.YEAR, 6).alias("sharpe"), F.round((F.count_if(F.col("sr") >= F.col("real")) + 1) / (F.count("*") + 1), 6).alias("p"))
+    return R.tidy(resample.permutation_test(bars(spark, d)), "symbol", "n", **{k: F.col(k) for k in ("sharpe", "null_mean", "null_sd", "p")})
 
 
 @query("a43_a44_label_evaluation", sql("r", ctes=f"t AS (SELECT symbol, trade_date, (ret > 0)::INT AS y, CASE WHEN lag(ret) OVER {W} IS NOT NULL THEN greatest(1e-6::DOUBLE, least(1 - 1e-6::DOUBLE, 1 / (1 + exp(-5 * lag(ret) OVER {W})))) END AS p FROM r), u AS (SELECT * FROM t WHERE p IS NOT NULL)", body="SELECT least(9, floor(p * 10))::INT AS bin, count(*) AS n, round(avg(p), 6) AS mean_p, round(avg(y), 6) AS rate, round(avg(pow(p - y, 2)), 6) AS brier, round(-avg(CASE WHEN y = 1 THEN ln(p) ELSE ln(1 - p) END), 6) AS log_loss FROM u GROUP BY 1"))
