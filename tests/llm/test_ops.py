@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelspark.llm import contamination, fingerprints, html, jaccard, language, lines, mixing, queries, repeats, sharding, tokens
-from panelspark.llm.common import components
+from panelspark.llm.common import components, read
 from tests.conftest import SMALL
 
 LONG = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega "
@@ -253,6 +253,93 @@ def test_tags_only_weigh():
     assert [html.extract(h) for h, _ in WEIGHED] == [t for _, t in WEIGHED]
 
 
+NAMES = ["no-sidebar", "content-sidebar-wrap", "related-work", "social-history", "share-price-history", "notice-of-death", "comments-on-treaty", "sidebar", "widget"]
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_a_wrappers_name_takes_no_text(name):
+    assert html.extract(f"<div class='{name}'><h1>Head</h1><p>{BODY}</p></div>") == f"Head {BODY}"
+    if name not in ("sidebar", "widget"):
+        assert html.extract(f"<article><p>{BODY}</p><div id='{name}'><p>Part of the text.</p></div></article>") == f"{BODY} Part of the text."
+
+
+@pytest.mark.parametrize("name", ["comments", "comment-list", "reader-comments", "ad", "ad-banner", "cookie-notice", "sidebar-left", "share-buttons", "related-articles"])
+def test_furniture_goes(name):
+    for long in ("Short.", "A comment of a reader. " * 60):
+        assert html.extract(f"<article><p>{BODY}</p><div class='x {name}'><p>{long}</p></div><p>End.</p></article>") == f"{BODY} End."
+
+
+def test_several_articles():
+    teasers = "".join(f"<article><h2>Teaser {i}</h2><p>Of another story.</p></article>" for i in range(3))
+    assert html.extract(f"<main><article><h1>Head</h1><p>{BODY}</p></article>{teasers}</main>") == f"Head {BODY}"
+    assert html.extract(f"<article><p>{BODY}</p></article><article><p>{BODY}</p></article>") == f"{BODY} {BODY}"
+    assert html.extract(f"<article><p>{BODY}</p><article><p>A reader says so.</p></article></article>") == BODY
+
+
+def plain_article(page):
+    """Another way, for well-formed pages: Python's parser, all text in articles."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        inside, dark, words = 0, 0, None
+
+        def handle_starttag(self, tag, attrs):
+            self.inside += tag == "article"
+            self.dark += tag in ("script", "style", "aside", "form", "nav", "footer")
+            if tag in html.BLOCKS:
+                self.words.append(" ")
+
+        def handle_endtag(self, tag):
+            self.inside -= tag == "article"
+            self.dark -= tag in ("script", "style", "aside", "form", "nav", "footer")
+            if tag in html.BLOCKS:
+                self.words.append(" ")
+
+        def handle_data(self, data):
+            if self.inside and not self.dark:
+                self.words.append(data)
+
+    reader = Reader(convert_charrefs=True)
+    reader.words = []
+    reader.feed(page or "")
+    return " ".join("".join(reader.words).split())
+
+
+def test_pages_another_way(spark):
+    pages = read(spark, SMALL, "pages")
+    want = {r.page_id: plain_article(r.html) for r in pages.collect()}
+    assert {r.page_id: r.text for r in html.main_text(pages).collect()} == want
+
+
+def test_sections_another_way():
+    """Random pages of which it is known what is text."""
+    r = random.Random(8)
+    for _ in range(200):
+        body, want = [], []
+        for k in range(r.randrange(2, 9)):
+            text = f"Paragraph {k} &amp; more. " * r.randrange(12, 40)
+            kept = " ".join(text.replace("&amp;", "&").split())
+            what = r.randrange(6)
+            if what < 3 or not want:
+                body.append(r.choice(["<p>{}</p>", "<section><p>{}</p></section>", "<blockquote>{}</blockquote>", "<div class='no-sidebar'><p>{}</p></div>", "<h2>{}</h2>", "<ul><li>{}</li></ul>"]).format(text))
+                want.append(kept)
+            else:
+                body.append(["<aside>{}</aside>", "<div class='ad'>{}</div>", "<script>{}</script>"][what - 3].format(f"Other {k}."))
+        head = "<nav><ul><li><a href=/>Home</a></li></ul></nav><div class='ad'>Buy.</div>"
+        assert html.extract(f"<html><body>{head}<article>{''.join(body)}</article><footer>End</footer></body></html>") == " ".join(want)
+
+
+def test_pages_odd(spark):
+    rows = [(1, "u", "<article><p>A b</p></article>"), (1, "u", "<article><p>A b</p></article>"), (None, None, None), (2, None, ""), (3, "v", "<article>" + "<p>word</p>" * 100_000), (4, "w", "<<<>>></div></p><p"), (5, "x", "<div " * 2000)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumns({"text": F.lit(1), "n_chars": F.lit("x")})
+    got = sorted(((r.page_id, r.url, r.text, r.n_chars) for r in html.main_text(df).collect()), key=repr)
+    assert got == sorted(((i, u, t, len(t)) for (i, u, h), t in zip(rows, ["A b", "A b", "", "", " ".join(["word"] * 100_000), got_of(rows[5][2]), got_of(rows[6][2])])), key=repr)
+
+
+def got_of(page):
+    return html.extract(page)
+
+
 # -- 5 -----------------------------------------------------------------------
 
 
