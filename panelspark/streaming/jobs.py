@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.sources import payloads
+from panelspark.sources import store
 
 
 def distinct_notices(notices: DataFrame, late: str = "30 days") -> DataFrame:
@@ -24,18 +24,12 @@ def largest_prints(prints: DataFrame, width: str = "10 minutes", late: str | Non
     return g.select(F.col("w.start").alias("start"), "prints", F.col("top").alias("premium"), "event_id")
 
 
-def upsert_into(path: str, keys: list[str]):
-    """A foreachBatch function that folds each batch into the table at ``path``: versions
-    are written beside each other, the pointer last; a batch seen again changes nothing."""
+def upsert_into(path: str, keys: list[str], part: Column | None = None, order: str | None = None):
+    """A foreachBatch function that folds each batch into the table at ``path``: only the
+    parts that a batch touches are rewritten, the manifest comes last, and a batch seen
+    again changes nothing."""
 
     def fold(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        try:
-            old = payloads.current(spark, path)
-        except Exception as e:  # no version yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            old = batch.limit(0)
-        payloads.publish(payloads.upsert(old, batch, keys), path, f"{batch_id:012d}")
+        store.upsert(batch, path, keys, batch_id, part, order)
 
     return fold

@@ -2,7 +2,6 @@
 
 import datetime as dt
 
-from panelspark.sources import payloads
 from panelspark.streaming import jobs
 
 T0 = dt.datetime(2024, 1, 1)
@@ -32,10 +31,3 @@ def test_windowed_prints_equal_the_batch(spark, tmp_path):
     want = {tuple(r) for r in jobs.largest_prints(df).collect()}
     have = {tuple(r) for r in got.collect()}
     assert have and have <= want and len(want) - len(have) <= 2
-
-
-def test_upserts_fold_batches(spark, tmp_path):
-    fold = jobs.upsert_into(str(tmp_path / "t"), ["k"])
-    first, second = spark.createDataFrame([("a", 1), ("b", 1)], "k string, v int"), spark.createDataFrame([("b", 2)], "k string, v int")
-    fold(first, 0), fold(second, 1)
-    assert sorted(map(tuple, payloads.current(spark, str(tmp_path / "t")).collect())) == [("a", 1), ("b", 2)]
