@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,12 +14,47 @@ from panelspark.sources.views import by_date, by_symbol, with_returns
 FREE = 0.04
 
 
+BLOCK = 64
+PAIRS = "a string, b string, n bigint, c double, sx double, sy double"
+
+
+def _products(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
+    """Sums over common dates of all pairs of two blocks' symbols, as products of matrices."""
+    i, j = key
+    x = p.pivot(index="trade_date", columns="symbol", values="ret")
+    x = x - x.mean()
+    block = p.drop_duplicates("symbol").set_index("symbol")["block"].reindex(x.columns).to_numpy()
+    there = x.notna().to_numpy(float)
+    v = x.fillna(0.0).to_numpy()
+    rows, cols = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    a, b, m, k = v[:, rows], v[:, cols], there[:, rows], there[:, cols]
+    n, sx, sy = m.T @ k, a.T @ k, m.T @ b
+    cov = a.T @ b - np.divide(sx * sy, n, out=np.zeros_like(n), where=n > 0)
+    vx, vy = (a * a).T @ k, m.T @ (b * b)
+    vx, vy = (q - np.divide(s * s, n, out=np.zeros_like(n), where=n > 0) for q, s in ((vx, sx), (vy, sy)))
+    names = x.columns.to_numpy()
+    left, right = np.repeat(names[rows], len(cols)), np.tile(names[cols], len(rows))
+    less = np.maximum(n - 1, 1)
+    out = pd.DataFrame({"a": left, "b": right, "n": n.ravel().astype(np.int64), "c": (cov / less).ravel(), "sx": np.sqrt(np.maximum(vx, 0) / less).ravel(), "sy": np.sqrt(np.maximum(vy, 0) / less).ravel()})
+    if i == j:
+        return out[out["a"] <= out["b"]]
+    swap = out["a"] > out["b"]
+    out.loc[swap, ["a", "b", "sx", "sy"]] = out.loc[swap, ["b", "a", "sy", "sx"]].to_numpy()
+    return out
+
+
 def pairwise(bars: DataFrame, least: int = 60) -> DataFrame:
     """(a, b, n, correlation, covariance) of each pair of symbols, a <= b, from returns on
-    common dates; covariance is annualised. Rows meet by date; only one triangle is made."""
+    common dates; covariance is annualised. Symbols are dealt into blocks of some BLOCK; a
+    task has the dates of two blocks, and multiplies their matrices: each return is
+    shuffled once a block, and no row is made for a pair and date. A symbol without any
+    spread has no correlation."""
     r = with_returns(bars).where("ret IS NOT NULL").select("symbol", "trade_date", "ret")
-    x, y = r.select(F.col("symbol").alias("a"), "trade_date", F.col("ret").alias("x")), r.select(F.col("symbol").alias("b"), "trade_date", F.col("ret").alias("y"))
-    g = x.join(y, "trade_date").where("a <= b").groupBy("a", "b").agg(F.count("*").alias("n"), F.covar_samp("x", "y").alias("c"), F.stddev_samp("x").alias("sx"), F.stddev_samp("y").alias("sy"))
+    blocks = max(1, -(-r.select("symbol").distinct().count() // BLOCK))
+    r = r.withColumn("block", F.pmod(F.xxhash64("symbol"), F.lit(blocks)).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    r = r.withColumn("other", other).select(F.least("block", "other").cast("int").alias("i"), F.greatest("block", "other").cast("int").alias("j"), "block", "symbol", "trade_date", "ret")
+    g = r.groupBy("i", "j").applyInPandas(_products, PAIRS)
     return tidy(g.where(F.col("n") >= least), "a", "b", "n", correlation=F.try_divide("c", F.col("sx") * F.col("sy")), covariance=F.col("c") * 252)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.normal import cdf, cdf_sql
+from panelspark.operators import ranks
 from panelspark.operators import rolling as R
 from panelspark.operators import studies as S
 from panelspark.operators.asof import asof
@@ -111,9 +112,9 @@ def a17(spark, d):
 
 @query("a18_surprise_buckets", sql("r", ctes=ALL_EM + ", k AS (SELECT *, floor((row_number() OVER (ORDER BY surprise, symbol, date) - 1) * 5 / count(*) OVER ())::INT + 1 AS bucket FROM em WHERE surprise IS NOT NULL)", body="SELECT bucket, count(*) AS n, round(avg(surprise), 6) AS mean_surprise, round(avg(reaction), 6) AS mean_reaction, round(avg(drift_20), 6) AS mean_drift FROM k GROUP BY bucket"))
 def a18(spark, d):
-    w = Window.partitionBy(F.lit(1))
-    e = event_metrics(spark, d).where("surprise IS NOT NULL")  # a row a symbol and quarter
-    e = e.withColumn("bucket", (F.floor((F.row_number().over(w.orderBy("surprise", "symbol", "date")) - 1) * 5 / F.count("*").over(w)) + 1).cast("int"))
+    e = ranks.numbered(event_metrics(spark, d).where("surprise IS NOT NULL"), "surprise", "symbol", "date", out="k")
+    n = e.groupBy().agg(F.count("*").alias("n"))
+    e = e.withColumn("bucket", (F.floor((F.col("k") - 1) * 5 / n.scalar()) + 1).cast("int"))
     return e.groupBy("bucket").agg(F.count("*").alias("n"), *[F.round(F.avg(c), 6).alias(k) for c, k in (("surprise", "mean_surprise"), ("reaction", "mean_reaction"), ("drift_20", "mean_drift"))])
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.normal import cdf
 from panelspark.operators import cross as C
+from panelspark.operators import ranks
 from panelspark.operators import rolling as R
 from panelspark.operators import signals as G
 from panelspark.operators import studies as S
@@ -183,9 +184,11 @@ def es5(spark, d):
     e = m.select("symbol", F.lit("EARNINGS").alias("event_type"), F.col("date").alias("event_date"), F.lit(False).alias("after_close"))
     s = S.event_study(e, S.paired_sessions(bars(spark, d), bench_returns(bench(spark, d))), window=(-1, 1)).select("symbol", F.col("event_date").alias("date"), "car", "t", "p", F.col("drift").alias("drift_car"))
     out = m.join(s, ["symbol", "date"], "left")
-    n = F.count("car").over(Window.partitionBy(F.lit(1)))
-    pool = F.when(F.col("car").isNotNull(), F.round(100 * F.sum(F.when(F.col("car").isNotNull(), 1)).over(Window.partitionBy(F.lit(1)).orderBy(F.asc_nulls_last("car"))) / n, 6))  # eight rows a symbol
-    return out.select("*", (F.coalesce(F.col("p") < 0.05, F.lit(False))).alias("significant"), pool.alias("pool_pct"))
+    place = ranks.positions(out, "car").select(F.col("car").alias("__car"), (F.col("below") + F.col("same")).alias("__at"))
+    n = out.agg(F.count("car")).scalar()
+    out = out.join(place, F.col("car") == F.col("__car"), "left").drop("__car")
+    pool = F.round(100 * F.col("__at") / n, 6)
+    return out.select("*", (F.coalesce(F.col("p") < 0.05, F.lit(False))).alias("significant"), pool.alias("pool_pct")).drop("__at")
 
 
 FEATURES = ("ret_1", "ret_5", "ret_10", "ret_20", "vol_10", "vol_20", "rsi_14", "macd_hist", "atr_14", "hl_range", "dist_sma20", "dist_sma50", "dist_sma200", "vol_z", "mom_63", "gk_vol_10", "gk_vol_20", "bb_width", "bb_pct", "vol_trend_5_20", "dist_ema8", "dist_ema21", "ema_cross_8_21", "hl_range_std_10")
