@@ -195,6 +195,12 @@ def rsi_position(bars: DataFrame) -> DataFrame:
     show 0 and leave the state as it is."""
     r = with_returns(bars).withColumns({"s200": full(F.avg("close").over(last(200)), "close", 200), "s5": full(F.avg("close").over(last(5)), "close", 5)})
     r = recursive(r).withColumn("rsi", F.col("rsi_2"))
+    return with_rsi_position(r, "state").select("symbol", "trade_date", "state")
+
+
+def with_rsi_position(r: DataFrame, out: str) -> DataFrame:
+    """Adds rsi_position's state to rows with rn, close, s200, s5 and rsi."""
+    kept = r.columns
     ready = F.col("rn") > 200
     enter = (F.col("close") > F.col("s200")) & (F.col("rsi") < 15)
     leave = (F.col("rsi") > 70) | (F.col("close") > F.col("s5"))
@@ -203,7 +209,8 @@ def rsi_position(bars: DataFrame) -> DataFrame:
     set_ = F.when(F.col("kind").isin("0", "1"), F.col("kind").cast("int"))
     r = r.withColumns({"base": F.coalesce(F.last(set_, True).over(up), F.lit(0)), "t": F.count(F.when(F.col("kind") == "t", 1)).over(up)})
     r = r.withColumn("t0", F.coalesce(F.last(F.when(F.col("kind").isin("0", "1"), F.col("t")), True).over(up), F.lit(0)))
-    return r.select("symbol", "trade_date", F.when(F.col("ready"), (F.col("base") + F.col("t") - F.col("t0")) % 2).otherwise(0).cast("int").alias("state"))
+    state = F.when(F.col("ready"), (F.col("base") + F.col("t") - F.col("t0")) % 2).otherwise(0).cast("int")
+    return r.select(*kept, state.alias(out))
 
 
 def range_vols(bars: DataFrame, n: int = 20) -> DataFrame:
