@@ -116,6 +116,15 @@ def chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({"bid": F.col("last") * 0.98, "ask": F.col("last") * 1.03})
 
 
+def dated_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """chain's rows once a quarter in which the contract is traded, with that quarter's
+    interest and volume; as_of is its last day, and the underlying's name carries it."""
+    day = F.date_sub(F.add_months(F.date_trunc("quarter", "l_shipdate").cast("date"), 3), 1)
+    traded = read(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("contract"), day.alias("as_of")).agg(F.count("*").alias("oi"), F.sum("l_quantity").cast("bigint").alias("volume"))
+    rows = chain(spark, sf_dir).drop("oi", "volume").join(traded, "contract")
+    return rows.withColumn("underlying", F.concat_ws("|", "underlying", F.col("as_of").cast("string")))
+
+
 CTE = {
     "bars": """bars AS (SELECT 'S' || lpad(l_suppkey::VARCHAR, 6, '0') AS symbol, l_shipdate::DATE AS trade_date,
   first(l_extendedprice / l_quantity ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity) AS open,
