@@ -29,4 +29,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["w2_w3_r1_daily_metrics"](spark, sf_dir)
 
 
-from panelspark.plans import chains, cross_sections, dated, events, feeds, horizons, joins, learning, news, panels, parts, peers, published, research, risk, scans, snapshots, states, stored, strategies  # noqa: E402, F401
+from panelspark.plans import chains, cross_sections, dated, events, factors, feeds, horizons, joins, learning, news, panels, parts, peers, published, research, risk, scans, snapshots, states, stored, strategies  # noqa: E402, F401
