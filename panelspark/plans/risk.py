@@ -60,20 +60,32 @@ def st2(spark, d):
     return solve.grouped_ols(p, ["symbol"], "ret", ["x0", "x1", "x2"]).select("symbol", "n", F.round(F.col("coef")[1] + F.col("coef")[2] + F.col("coef")[3], 6).alias("beta"), F.round("r2", 6).alias("r2"))
 
 
+def sector_names(spark, d) -> list[str]:
+    return [r.sector for r in sectors(spark, d).where("sector IS NOT NULL").select("sector").distinct().orderBy("sector").collect()]  # a name a sector
+
+
 def factor_panel(spark, d):
-    """Paired returns with f0 to f5: three sector means, the benchmark's return, its square
-    and its lag."""
+    """Paired returns with f0, f1, ...: the mean return of each sector in the table, by name,
+    then the benchmark's return, its square and its lag."""
     r = paired(spark, d).join(sectors(spark, d), "symbol", "left")
-    s = r.groupBy("trade_date").agg(*[F.coalesce(F.avg(F.when(F.col("sector") == k, F.col("ret"))), F.lit(0.0)).alias(f"f{i}") for i, k in enumerate(("ASIA", "EUROPE", "AMERICA"))])
-    return r.join(s, "trade_date").withColumns({"f3": F.col("bench_ret"), "f4": F.col("bench_ret") * F.col("bench_ret"), "f5": F.lag("bench_ret").over(by_symbol())}).where("f5 IS NOT NULL")
+    names = sector_names(spark, d)
+    k = len(names)
+    s = r.groupBy("trade_date").agg(*[F.coalesce(F.avg(F.when(F.col("sector") == x, F.col("ret"))), F.lit(0.0)).alias(f"f{i}") for i, x in enumerate(names)])
+    return r.join(s, "trade_date").withColumns({f"f{k}": F.col("bench_ret"), f"f{k + 1}": F.col("bench_ret") * F.col("bench_ret"), f"f{k + 2}": F.lag("bench_ret").over(by_symbol())}).where(f"f{k + 2} IS NOT NULL")
+
+
+def factor_names(panel) -> list[str]:
+    return sorted((c for c in panel.columns if c[0] == "f" and c[1:].isdigit()), key=lambda c: int(c[1:]))
 
 
 @query("st1_factor_exposures")
 def st1(spark, d):
-    """Regression on six factors with Newey-West errors."""
+    """Regression on all factors with Newey-West errors."""
     p = factor_panel(spark, d)
-    out = solve.grouped_ols(p, ["symbol"], "ret", [f"f{i}" for i in range(6)], order="trade_date", newey_west=True)
-    return out.select("symbol", "n", F.round(F.col("coef")[0] * 252, 6).alias("alpha"), F.transform(F.slice("coef", 2, 6), lambda x: F.round(x, 6)).alias("betas"), F.transform(F.slice("se", 2, 6), lambda x: F.round(x, 6)).alias("errors"), F.round("r2", 6).alias("r2"))
+    names = factor_names(p)
+    out = solve.grouped_ols(p, ["symbol"], "ret", names, order="trade_date", newey_west=True)
+    part = lambda c: F.transform(F.slice(c, 2, len(names)), lambda x: F.round(x, 6))
+    return out.select("symbol", "n", F.round(F.col("coef")[0] * 252, 6).alias("alpha"), part("coef").alias("betas"), part("se").alias("errors"), F.round("r2", 6).alias("r2"))
 
 
 HITS = f"h AS (SELECT symbol, trade_date, ret, CASE WHEN count(ret) OVER f = 250 THEN quantile_cont(ret, 0.01) OVER f END AS q FROM r WINDOW f AS (PARTITION BY symbol ORDER BY trade_date ROWS BETWEEN 250 PRECEDING AND 1 PRECEDING)), k AS (SELECT *, (ret < q)::INT AS hit, lag((ret < q)::INT) OVER {W} AS prev FROM h WHERE q IS NOT NULL), c AS (SELECT symbol, count(*) AS n, sum(hit) AS x, count(*) FILTER (prev = 0 AND hit = 0) AS n00, count(*) FILTER (prev = 0 AND hit = 1) AS n01, count(*) FILTER (prev = 1 AND hit = 0) AS n10, count(*) FILTER (prev = 1 AND hit = 1) AS n11 FROM k GROUP BY symbol)"
