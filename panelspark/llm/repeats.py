@@ -1,16 +1,18 @@
 """Removal of byte strings that repeat across documents.
 
-Sorting every suffix needs several times the input on disk, so the induced way is taken:
-only sampled suffixes are sorted, and the order of the others is induced from them. A
-suffix is sampled where a 20-byte string is the least, by a hash, of those in some
-50-byte window; equal windows are sampled at equal places, so all windows that a sample
-stands for (a run of at most 31, one string of 50 to 80 bytes) are placed by it. Tuples
-(sample, string, document, place) are dealt out and sorted through Spark's disk-backed
-shuffle. Tuples whose strings are equal share all their windows (their common prefix is
-the whole string); where strings of a sample differ, a second level does the same with
-their single windows. Before each shuffle a task keeps, of tuples with equal strings,
-those of its smallest document, as the others are known to repeat; so a passage that a
-third of all documents share costs a tuple for each task, not for each document."""
+Sorting every suffix needs several times the input on disk, so only sampled suffixes are
+compared, and what is known of them is carried to the windows around; there is no suffix
+order and no common-prefix array. A suffix is sampled where a 20-byte string is the
+least, by a hash, of those in some 50-byte window; equal windows are sampled at equal
+places, so all windows that a sample stands for (a run of at most 31, one string of 50
+to 80 bytes) are placed by it. Tuples (sample, string, document, place) are dealt out
+and grouped through Spark's disk-backed shuffle; strings of one sample are told apart by
+64 bits, windows by 128. Tuples whose strings are equal share all their windows (their
+common prefix is the whole string); where strings of a sample differ, a second level
+does the same with their single windows. Before each shuffle a task keeps, of tuples
+with equal strings, those of its smallest document, as the others are known to repeat;
+so a passage that a third of all documents share costs a tuple for each task, not for
+each document."""
 
 from __future__ import annotations
 
