@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.normal import cdf, cdf_sql
 from panelspark.operators import rolling as R
+from panelspark.plans import cross_sections, events, feeds
 from panelspark.plans.research import stacked
 from panelspark.plans.risk import DEFLATED, expected_maximum, unbiased
 from panelspark.registry import SQL, query
-from panelspark.sources import store
+from panelspark.sources import payloads, store
 from panelspark.sources.views import bars, read, sql, with_returns
 
 
@@ -98,3 +99,44 @@ def st7(spark, d) -> DataFrame:
     sr = F.col("sr")
     z = sr / F.sqrt(F.greatest(F.lit(1e-12), (1 - skew * sr + (kurt + 2) / 4 * sr * sr) / (F.col("n") - 1)))
     return R.tidy(g.withColumns({"trials": F.lit(trials), "z": z}), "symbol", "n", "trials", deflated=cdf(F.col("z") - expected_maximum(trials)))
+
+
+#: Hours that a panel stays fresh.
+PANELS = (("view", "event log", 4), ("click", "event log", 24), ("purchase", "event log", 96), ("signup", "event log", 24), ("error", "event log", 24))
+NOW = "2024-01-31 00:00:00"
+_AGE = f"greatest(0, epoch_us(TIMESTAMP '{NOW}' - as_of) / 3.6e9::DOUBLE)"
+
+
+@query("pf28_panel_receipts", f"WITH p(panel, source, ttl) AS (VALUES {', '.join(f"('{k}', '{s}', {h}::DOUBLE)" for k, s, h in PANELS)}), s AS (SELECT event_type AS panel, user_id AS key, CASE WHEN event_type <> 'error' THEN max(ts) END AS as_of, CASE WHEN event_type = 'click' AND user_id % 7 = 0 THEN ['rate', 'spread'] ELSE [] END AS assumed FROM events GROUP BY event_type, user_id), r AS (SELECT c_custkey AS key, p.*, as_of, coalesce(assumed, []) AS assumed, s.key IS NOT NULL AS present FROM (SELECT DISTINCT c_custkey FROM customer) CROSS JOIN p LEFT JOIN s ON s.panel = p.panel AND s.key = c_custkey) SELECT key, panel, source, as_of, CASE WHEN as_of IS NULL THEN '' WHEN {_AGE} < 1 THEN '<1h old' WHEN {_AGE} < 48 THEN round_even({_AGE}, 0)::INT || 'h old' ELSE round_even({_AGE} / 24, 0)::INT || 'd old' END AS age_text, CASE WHEN NOT present THEN 'unavailable' WHEN len(assumed) > 0 THEN 'assumed' WHEN as_of IS NULL THEN 'no_asof' WHEN epoch_us(TIMESTAMP '{NOW}' - as_of) / 3.6e9::DOUBLE > ttl THEN 'stale' ELSE 'live' END AS state, CASE WHEN len(assumed) > 0 THEN 'assumed inputs: rate, spread' ELSE '' END AS note FROM r")
+def pf28(spark, d) -> DataFrame:
+    """Receipts of every customer's panels; errors have no as-of, and some clicks assumed
+    inputs."""
+    e = read(spark, d, "events").groupBy(F.col("event_type").alias("panel"), F.col("user_id").alias("key")).agg(F.max("ts").alias("as_of"))
+    assumed = F.when((F.col("panel") == "click") & (F.col("key") % 7 == 0), F.array(F.lit("rate"), F.lit("spread"))).otherwise(F.array().cast("array<string>"))
+    seen = e.withColumns({"as_of": F.when(F.col("panel") != "error", F.col("as_of")), "assumed": assumed})
+    return payloads.panel_receipts(read(spark, d, "customer").select(F.col("c_custkey").alias("key")), list(PANELS), seen, NOW)
+
+
+_SECTIONS = f"""SELECT 'drift' AS section, symbol AS name, place::DOUBLE AS value FROM ({SQL['r17_f23_drift_screen']}) UNION ALL SELECT 'value', company::VARCHAR, score FROM ({SQL['r16_value_screen']}) UNION ALL SELECT 'squeeze', symbol, score::DOUBLE FROM ({SQL['r18_short_squeeze']}) UNION ALL SELECT 'excluded', reason, n::DOUBLE FROM ({SQL['a14_exclusion_ledger']})
+UNION ALL SELECT 'upcoming', symbol, (date - l)::DOUBLE FROM (SELECT DISTINCT symbol, date FROM ({SQL['src12_pf13_earnings']}) WHERE upcoming), (SELECT min(date) AS l FROM ({SQL['src12_pf13_earnings']}) WHERE upcoming) WHERE date - l BETWEEN 0 AND 7"""
+
+
+@query("sn1_published_radar", f"WITH s AS ({_SECTIONS}) SELECT section, name, round(value, 6) AS value FROM s UNION ALL SELECT 'meta', 'scored', count(*) FILTER (section IN ('drift', 'value', 'squeeze'))::DOUBLE FROM s UNION ALL SELECT 'meta', 'excluded', coalesce(sum(value) FILTER (section = 'excluded'), 0)::DOUBLE FROM s")
+def sn1(spark, d) -> DataFrame:
+    """The radar: drift, value and squeeze rows, what was excluded, the prints of the week from
+    the first one due, and counts; published behind its contract, then read as published. A
+    second radar with a broken row is built, and doesn't become the published one."""
+    part = lambda df, section, name, value: df.select(F.lit(section).alias("section"), F.col(name).cast("string").alias("name"), F.col(value).cast("double").alias("value"))
+    due = events.earnings(spark, d).where("upcoming").select("symbol", "date").distinct()
+    due = due.withColumn("days", F.datediff("date", F.lit(due.agg(F.min("date")).first()[0]))).where("days BETWEEN 0 AND 7")
+    s = part(events.r17(spark, d), "drift", "symbol", "place").unionByName(part(cross_sections.r16(spark, d), "value", "company", "score")).unionByName(part(feeds.r18_short(spark, d), "squeeze", "symbol", "score"))
+    s = s.unionByName(part(cross_sections.a14(spark, d), "excluded", "reason", "n")).unionByName(part(due, "upcoming", "symbol", "days")).withColumn("value", F.round("value", 6))
+    counts = s.agg(F.count_if(F.col("section").isin("drift", "value", "squeeze")).cast("double").alias("scored"), F.coalesce(F.sum(F.when(F.col("section") == "excluded", F.col("value"))), F.lit(0.0)).alias("excluded"))
+    meta = counts.select(F.inline(F.array(*[F.struct(F.lit("meta").alias("section"), F.lit(k).alias("name"), F.col(k).alias("value")) for k in ("scored", "excluded")])))
+    base, terms = store.shared(spark), {"name": F.length("name") == 0, "value": F.isnan("value")}
+    store.publish(s.unionByName(meta), base, "radar", "first", terms)
+    try:
+        store.publish(s.withColumn("value", F.lit(float("nan"))), base, "radar", "second", terms)
+    except store.ContractBroken:
+        return store.history(spark, base, "radar", newest=1).select("section", "name", "value")
+    raise AssertionError("a broken radar was published")

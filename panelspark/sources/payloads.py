@@ -82,3 +82,22 @@ def canonical(url: Column) -> Column:
     rest = F.substring(F.regexp_replace(url, "#.*$", ""), F.length(host) + 1, F.lit(1 << 30))
     u = F.regexp_replace(F.concat(F.lower(host), rest), r"([?&])(utm_[a-z]+|fbclid|gclid)=[^&]*", "$1")
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(u, r"[?&]+$", ""), r"\?&+", "?"), "&&+", "&")
+
+
+def panel_receipts(wanted: DataFrame, panels: list[tuple[str, str, float]], seen: DataFrame, now: str) -> DataFrame:
+    """(key, panel, source, as_of, age_text, state, note) for each key of ``wanted`` and panel
+    (name, source, hours that it stays fresh). ``seen``: (panel, key, as_of, assumed), where
+    the panel has data, ``assumed`` naming inputs that fell back to defaults. unavailable: no
+    data; no_asof: data of unknown age; stale: older than allowed; else live; assumed takes
+    the place of the last three. Ages are whole hours up to two days, then days; a time to
+    come is an age of none. Of several rows of a panel and key the newest counts."""
+    given = F.array(*[F.struct(F.lit(p).alias("panel"), F.lit(s).alias("source"), F.lit(float(h)).alias("ttl")) for p, s, h in panels])
+    newest = seen.groupBy("panel", "key").agg(F.max("as_of").alias("as_of"), F.max_by("assumed", F.struct("as_of", F.size("assumed"))).alias("assumed"), F.lit(True).alias("present"))
+    r = wanted.select("key").distinct().select("key", F.inline(given)).join(newest, ["panel", "key"], "left")
+    hours = (F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros(F.col("as_of").cast("timestamp"))) / 3.6e9
+    age = F.greatest(hours, F.lit(0.0))
+    text = F.when(F.col("as_of").isNull(), "").when(age < 1, "<1h old").when(age < 48, F.concat(F.bround(age, 0).cast("int").cast("string"), F.lit("h old"))).otherwise(F.concat(F.bround(age / 24, 0).cast("int").cast("string"), F.lit("d old")))
+    some = F.coalesce(F.size("assumed") > 0, F.lit(False))
+    state = F.when(F.col("present").isNull(), "unavailable").when(some, "assumed").when(F.col("as_of").isNull(), "no_asof").when(hours > F.col("ttl"), "stale").otherwise("live")
+    note = F.when(some, F.concat(F.lit("assumed inputs: "), F.array_join("assumed", ", "))).otherwise("")
+    return r.select("key", "panel", "source", "as_of", text.alias("age_text"), state.alias("state"), note.alias("note"))
