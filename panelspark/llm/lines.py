@@ -90,13 +90,13 @@ def without_copies(docs: DataFrame, least: int = LEAST, words: int | None = None
     gone = gone.withColumn("first", first.cast("int"))
     gone = table(gone.groupBy("key", "dup").agg(F.collect_list("pos").alias("gone"), F.sum("first").alias("n_runs")))
 
-    def left(text: Column) -> Column:
-        return F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains("gone", i)), "\n")
-
-    both = rows.join(gone, ["key", "dup"], "left")
+    # kept places by a set difference: linear in the lines of a text
+    both = rows.join(gone, ["key", "dup"], "left").withColumn("lines", F.split("text", "\n"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
+    left = F.array_join(F.transform(kept, lambda i: F.get("lines", i)), "\n")
     return both.select(
-        F.when(~F.col("null"), F.col("key")).alias("doc_id"), F.when(F.col("gone").isNull(), F.col("text")).otherwise(left(F.col("text"))).alias("text"),
-        F.size(F.split("text", "\n")).cast("bigint").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_removed"), F.coalesce("n_runs", F.lit(0)).cast("bigint").alias("n_runs"),
+        F.when(~F.col("null"), F.col("key")).alias("doc_id"), F.when(F.col("gone").isNull(), F.col("text")).otherwise(left).alias("text"),
+        F.size("lines").cast("bigint").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_removed"), F.coalesce("n_runs", F.lit(0)).cast("bigint").alias("n_runs"),
     )
 
 
