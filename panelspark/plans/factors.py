@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from panelspark.operators import rolling as R
 from panelspark.plans import dated, peers
-from panelspark.plans.research import F18_SQL, f18
+from panelspark.plans.research import f18
 from panelspark.registry import SQL, query
 from panelspark.sources.views import bars, sql, with_returns
 

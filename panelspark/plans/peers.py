@@ -66,3 +66,16 @@ def r15_metrics(spark, d) -> DataFrame:
 @query("r15_j20_peer_comparison", sql("sectors", "r", ctes=PEERS + ", gg AS (SELECT focus, symbol, cohort, count(pct) AS n_metrics, avg(pct) FILTER (kind = 'value') AS v, avg(pct) FILTER (kind = 'growth') AS g, avg(pct) FILTER (kind = 'momentum') AS m, max(value) FILTER (kind = 'momentum') AS mom FROM pp GROUP BY ALL)", body="SELECT focus, symbol, cohort, n_metrics, round(v, 6) AS valuation_pct, round(g, 6) AS growth_pct, round(m, 6) AS momentum_pct, round(list_avg(list_filter([v, g, m], lambda x: x IS NOT NULL)), 6) AS value_score, CASE WHEN v IS NOT NULL AND mom IS NOT NULL THEN CASE WHEN v >= 50 THEN 'Cheap' ELSE 'Rich' END || ' & ' || CASE WHEN mom > 0 THEN 'Strengthening' ELSE 'Weakening' END END AS quadrant FROM gg"))
 def r15_table(spark, d) -> DataFrame:
     return P.table(P.metric_percentiles(P.peer_sets(members(spark, d), supplied(spark, d)), metrics(spark, d)))
+
+
+_POOL = "st AS (SELECT sector AS focus, symbol, 'sector' AS cohort FROM sectors)"
+_START, _END = PEERS.index("st AS (SELECT focus, peer"), PEERS.index(",\nln AS (")
+VALUES = (PEERS[:_START] + _POOL + PEERS[_END:]).replace("kind = 'value' AND peer_n <", "peer_n <").replace("'price_unit', 'value', pu FROM fx UNION ALL SELECT symbol, ", "")
+
+
+@query("a41_value_scores", sql("sectors", "r", ctes=VALUES + ", gg AS (SELECT focus, symbol, avg(pct) FILTER (kind = 'value') AS v, avg(pct) FILTER (kind = 'growth') AS g, avg(pct) FILTER (kind = 'momentum') AS m, count(value) / count(*) AS cov FROM pp GROUP BY ALL)", body="SELECT focus AS sector, symbol, round(v, 6) AS cheapness, round(g, 6) AS growth, round(m, 6) AS momentum, round((coalesce(v * 0.5::DOUBLE, 0) + coalesce(g * 0.25::DOUBLE, 0) + coalesce(m * 0.25::DOUBLE, 0)) / nullif(CASE WHEN v IS NOT NULL THEN 0.5 ELSE 0 END + CASE WHEN g IS NOT NULL THEN 0.25 ELSE 0 END + CASE WHEN m IS NOT NULL THEN 0.25 ELSE 0 END, 0)::DOUBLE, 6) AS value_score, round(cov, 6) AS coverage, cov < 0.5 AS low_coverage FROM gg"))
+def a41(spark, d) -> DataFrame:
+    """Value scores within each sector."""
+    own = sectors(spark, d).select(F.col("sector").alias("focus"), "symbol", F.lit("sector").alias("cohort"))
+    five = metrics(spark, d).where("metric <> 'price_unit'")
+    return P.value_scores(P.metric_percentiles(own, five, gated=("value", "growth", "momentum"))).withColumnRenamed("focus", "sector")

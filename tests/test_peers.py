@@ -36,3 +36,10 @@ def test_percentiles_and_table(spark):
     assert t["a"].quadrant == "Cheap & Strengthening" and t["b"].quadrant == "Cheap & Weakening" and t["e"].quadrant == "Rich & Strengthening" and t["c"].quadrant == "Cheap & Weakening"
     assert t["d"].quadrant is None and t["d"].value_score == 25.0 and t["f"].valuation_pct is None
     assert t["a"].value_score == round((100 + third + 100) / 3, 6)
+
+
+def test_value_scores(spark):
+    rows = [("s", "a", "pe", "value", 5.0, 80.0), ("s", "a", "ps", "value", 1.0, 40.0), ("s", "a", "g", "growth", 0.1, 20.0), ("s", "a", "m", "momentum", 0.1, 100.0), ("s", "b", "pe", "value", None, None), ("s", "b", "g", "growth", 0.2, 50.0), ("s", "b", "m", "momentum", None, None), ("s", "c", "pe", "value", None, None)]
+    p = spark.createDataFrame(rows, "focus string, symbol string, metric string, kind string, value double, pct double")
+    got = {r.symbol: (r.cheapness, r.value_score, r.coverage, r.low_coverage) for r in peers.value_scores(p).collect()}
+    assert got == {"a": (60.0, 60.0, 1.0, False), "b": (None, 50.0, 0.333333, True), "c": (None, None, 0.0, True)}
