@@ -131,7 +131,7 @@ def hysteresis(rows: DataFrame, score: str, enter: float = 55, leave: float = 45
     return F.coalesce(F.last(event, True).over(by_symbol().rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
 
 
-RECURSIVE = ("ema_8", "ema_12", "ema_21", "ema_26", "macd_hist", "rsi_2", "rsi_14", "rsi_14_plain", "atr_14", "ewma_var")
+RECURSIVE = ("ema_8", "ema_12", "ema_21", "ema_26", "macd_hist", "rsi_2", "rsi_14", "rsi_14_plain", "atr_14", "ewma_var", "median_ret")
 DECAY, SEED = 0.94, 60
 
 
@@ -139,8 +139,9 @@ def recursive(rows: DataFrame) -> DataFrame:
     """Adds the series that are folds over a symbol's bars: exponential means, the MACD
     histogram, Wilder's RSI over 2 and 14 rows (50 before it has them, or without losses),
     the RSI by plain smoothing (null without losses), the smoothed true range, and the
-    exponential forecast of a day's variance, from the first SEED returns on. One pass over
-    each symbol; needs with_returns' columns."""
+    exponential forecast of a day's variance, from the first SEED returns on, and the median
+    return of 252 rows (50 at least): a sorted window that moves on, where Spark would sort
+    each row's frame anew. One pass over each symbol; needs with_returns' columns."""
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("trade_date")
@@ -163,7 +164,7 @@ def recursive(rows: DataFrame) -> DataFrame:
             var[known.index[SEED:]] = fold.to_numpy()[:-1]
         return p.assign(
             ema_8=mean(close, 2 / 9), ema_12=mean(close, 2 / 13), ema_21=mean(close, 2 / 22), ema_26=mean(close, 2 / 27), macd_hist=macd - mean(macd, 2 / 10),
-            rsi_2=strength(2, True).fillna(50), rsi_14=strength(14, True).fillna(50), rsi_14_plain=strength(14, False), atr_14=mean(ranges, 1 / 14), ewma_var=var,
+            rsi_2=strength(2, True).fillna(50), rsi_14=strength(14, True).fillna(50), rsi_14_plain=strength(14, False), atr_14=mean(ranges, 1 / 14), ewma_var=var, median_ret=ret.rolling(252, min_periods=50).median(),
         )
 
     schema = T.StructType([*rows.schema.fields, *[T.StructField(c, T.DoubleType()) for c in RECURSIVE]])
@@ -274,10 +275,9 @@ def composite(bars: DataFrame) -> DataFrame:
     mean = lambda n, least: F.when(F.count("close").over(last(n)) >= least, F.avg("close").over(last(n)))
     r = with_returns(bars).withColumns({
         "s200": mean(200, 50), "s50": mean(50, 20), "m63": F.try_divide("close", F.lag("close", 63).over(by_symbol())) - 1,
-        "v20": F.when(F.count("ret").over(last(20)) >= 10, F.stddev_samp("ret").over(last(20)) * YEAR), "xs": sorted_frame("ret", last(252)),
+        "v20": F.when(F.count("ret").over(last(20)) >= 10, F.stddev_samp("ret").over(last(20)) * YEAR),
     })
-    r = r.withColumn("usual", F.when(F.size("xs") >= 50, quantile("xs", 0.5) * YEAR)).drop("xs")
-    r = recursive(r)
+    r = recursive(r).withColumn("usual", F.col("median_ret") * YEAR)
     trend = 0.45 * clip((F.try_divide("close", "s200") - 1) / 0.15, -1, 1) + 0.35 * clip((F.try_divide("close", "s50") - 1) / 0.1, -1, 1) + 0.2 * clip((F.try_divide("ema_8", "ema_21") - 1) / 0.05, -1, 1)
     momentum = 0.5 * clip((F.col("rsi_14") - 50) / 25, -1, 1) + 0.5 * F.coalesce(clip(F.col("m63") / 0.2, -1, 1), F.lit(0.0))
     calm = F.coalesce(clip(1.5 - F.try_divide("v20", F.nullif("usual", F.lit(0.0)) + 1e-8), -1, 1), F.lit(0.0))
