@@ -236,3 +236,17 @@ def test_manifest_of_documents(spark, many_partitions):
 def test_manifest_odd(odd):
     assert manifested(odd) == manifest_brute([tuple(r)[:5] for r in odd.collect()])
     assert manifested(odd.limit(0)) == []
+
+
+@pytest.mark.parametrize("texts", [[None], ["", None], ["a" * 20_000], [" " * 3000], ["x\n" * 3, "퟿ x"]])
+def test_alignment_of_extremes(spark, texts):
+    """Nothing to align, one token thousands of times (many planes), only white space."""
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = sorted(tuple(r)[:5] for r in alignment.align(docs).collect())
+    short = align_brute([t if t is None or len(t) < 100 else None for t in texts])
+    for (i, *row), want, t in zip(got, short, texts):
+        if t is None or len(t) < 100:
+            assert tuple(row) == want[:4]
+        else:
+            assert row[0] > 0 and row[3] == row[0] + row[1] - row[2]
+    assert len(got) == len(texts)
