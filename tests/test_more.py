@@ -137,3 +137,28 @@ def test_models_find_planted_labels(spark):
 
 def test_bars_schema_is_kept(spark):
     assert [f.name for f in bars_of(spark, A=[1.0]).schema.fields] == [x.split()[0] for x in BAR.split(", ")]
+
+
+def test_folds_of_many_symbols(spark, monkeypatch):
+    """Symbols of any length, over several chunks and matrices, as each symbol's own fold."""
+    rng = np.random.default_rng(5)
+    closes = {f"S{i}": list(np.exp(np.cumsum(rng.normal(0, 0.02, n))) * 50) for i, n in enumerate((1, 2, 3, 59, 60, 61, 62, 64, 130, 300, 7))}
+    monkeypatch.setattr(rolling, "CHUNK", 100)
+    r = rolling.recursive(views.with_returns(bars_of(spark, **closes)), ("ema_8", "median_ret", "ewma_var", "rsi_14"))
+    assert not {"rsi_2", "macd_hist", "__k"} & set(r.columns)
+    assert "MapInArrow" in r._jdf.queryExecution().toString()  # no group a symbol
+    got = r.toPandas()
+    assert len(got) == sum(map(len, closes.values()))
+    for k, c in closes.items():
+        g, c = got[got["symbol"] == k].sort_values("trade_date"), pd.Series(c)
+        ret = c / c.shift(1) - 1
+        np.testing.assert_allclose(g["ema_8"], c.ewm(alpha=2 / 9, adjust=False).mean(), rtol=1e-12)
+        np.testing.assert_allclose(g["median_ret"].astype(float), ret.rolling(252, min_periods=50).median(), rtol=1e-12)
+        var = np.full(len(c), np.nan)
+        if len(c) > 61:
+            v = ret.iloc[1:61].var()
+            for i in range(61, len(c)):
+                var[i] = v
+                v = 0.94 * v + 0.06 * ret.iloc[i] ** 2
+        np.testing.assert_allclose(g["ewma_var"].astype(float), var, rtol=1e-9)
+        assert g["rsi_14"].iloc[0] == 50
