@@ -72,11 +72,11 @@ POOLED = "po AS (SELECT strategy AS series, trade_date, round(avg(x), 9) AS x FR
 def bt6(spark, d) -> DataFrame:
     """Each strategy over all symbols in equal parts, beside the benchmark on the same dates,
     for each period: statistics, the excess, and whether it beats the benchmark."""
-    s = returns(bars(spark, d)).groupBy(F.col("strategy").alias("series"), "trade_date").agg(F.round(F.avg("x"), 9).alias("x"))
+    s = returns(bars(spark, d)).groupBy(F.col("strategy").alias("series"), "trade_date").agg(F.round(F.avg("x"), 9).alias("x")).cache()  # a row a strategy and date; read for each period
     b = bench_returns(bench(spark, d)).join(s.select("trade_date").distinct(), "trade_date", "left_semi").select(F.lit("benchmark").alias("series"), "trade_date", F.col("bench_ret").alias("x"))
-    both = s.unionByName(b)
+    both = s.unionByName(b).cache()
     end = both.agg(F.max("trade_date")).scalar()
     cuts = [both.withColumn("period", F.lit(k)) if m is None else both.where(F.col("trade_date") >= F.add_months(end, -m)).withColumn("period", F.lit(k)) for k, m in PERIODS]
-    g = C.perf_stats(reduce(DataFrame.unionByName, cuts), ["period", "series"], "x", "trade_date")
+    g = C.perf_stats(reduce(DataFrame.unionByName, cuts), ["period", "series"], "x", "trade_date").cache()
     own = g.where("series = 'benchmark'").select("period", F.col("total").alias("b"))
     return g.join(own, "period").withColumns({"excess": F.round(F.col("total") - F.col("b"), 6), "beats": F.col("total") > F.col("b")}).drop("b")
