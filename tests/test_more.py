@@ -139,15 +139,18 @@ def test_bars_schema_is_kept(spark):
     assert [f.name for f in bars_of(spark, A=[1.0]).schema.fields] == [x.split()[0] for x in BAR.split(", ")]
 
 
-def test_folds_of_many_symbols(spark, monkeypatch):
+def test_folds_of_many_symbols(spark):
     """Symbols of any length, over several chunks and matrices, as each symbol's own fold."""
     rng = np.random.default_rng(5)
-    closes = {f"S{i}": list(np.exp(np.cumsum(rng.normal(0, 0.02, n))) * 50) for i, n in enumerate((1, 2, 3, 59, 60, 61, 62, 64, 130, 300, 7))}
-    monkeypatch.setattr(rolling, "CHUNK", 100)
-    r = rolling.recursive(views.with_returns(bars_of(spark, **closes)), ("ema_8", "median_ret", "ewma_var", "rsi_14"))
+    closes = {f"S{i}": (np.exp(np.cumsum(rng.normal(0, 0.02, n))) * 50).tolist() for i, n in enumerate((1, 2, 3, 59, 60, 61, 62, 64, 130, 300, 7))}
+    r = rolling.recursive(views.with_returns(bars_of(spark, **closes)), ("ema_8", "median_ret", "ewma_var", "rsi_14"), chunk=100)
     assert not {"rsi_2", "macd_hist", "__k"} & set(r.columns)
     assert "MapInArrow" in r._jdf.queryExecution().toString()  # no group a symbol
-    got = r.toPandas()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 30)
+    try:
+        got = r.toPandas()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert len(got) == sum(map(len, closes.values()))
     for k, c in closes.items():
         g, c = got[got["symbol"] == k].sort_values("trade_date"), pd.Series(c)
@@ -162,3 +165,21 @@ def test_folds_of_many_symbols(spark, monkeypatch):
                 v = 0.94 * v + 0.06 * ret.iloc[i] ** 2
         np.testing.assert_allclose(g["ewma_var"].astype(float), var, rtol=1e-9)
         assert g["rsi_14"].iloc[0] == 50
+
+
+def test_bands_of_moves_go_by_the_unrounded_deviate(spark):
+    """2.9999998 deviations are notable, though they show as 3."""
+    before = [0.01, -0.01] * 10
+    sd, mean = np.std(before, ddof=1), np.mean(before)
+    closes = [100.0]
+    for r in [*before, mean + 2.9999998 * sd]:
+        closes.append(float(closes[-1] * (1 + r)))
+    last = rolling.session_moves(bars_of(spark, A=closes)).orderBy(F.desc("trade_date")).first()
+    assert (last.z, last.band) == (3.0, "notable")
+
+
+def test_rounding_is_the_engines(spark, duck):
+    x = [0.0003125, 1.0000005, -2.5000005, 7003738617.484773, 5.0885708762435776e22, 1e305, None]
+    want = [duck.execute("SELECT round(?::DOUBLE, 6)", [v]).fetchall()[0][0] for v in x]
+    got = rolling.rounded(spark.createDataFrame([(i, v) for i, v in enumerate(x)], "i int, x double"), 6, "x").orderBy("i").collect()
+    assert [r.x for r in got] == want
