@@ -20,8 +20,6 @@ BINS = 10_000
 #: Mean log ratio a gram, in millionths: grams 0.78 times as frequent in trusted documents.
 THRESHOLD = -250_000
 SCALE = 1_000_000
-#: Trusted documents to learn from: of more, those whose hashes are lowest (a bounded fit).
-MOST_TRUSTED = 200_000
 LEAST_WORDS, MOST_REPEATED = 50, 50
 SYMBOLS = "#*$%&|<>"
 #: A gram's parts: runs of ASCII punctuation, and runs of all else, within words.
@@ -31,13 +29,12 @@ SQL_PARTS = r"[[:punct:]]+|[^[:punct:]\x20\x09-\x0D]+"
 SPREAD = 1_000_003
 
 
-def trusted(labels: DataFrame, most: int = MOST_TRUSTED) -> DataFrame:
+def trusted(labels: DataFrame, most: int | None = None) -> DataFrame:
     """(doc_id, trusted) of documents with a label of quality 1 that none calls toxic: all, or
-    about ``most`` of them, by hash, so that they can be broadcast."""
+    about ``most`` of them, by hash, for who asks for a bounded fit; the query doesn't."""
     rows = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t"))
     rows = rows.where("q = 1 AND t = 0").select("doc_id")
-    n = rows.count()
-    if n > most:
+    if most is not None and (n := rows.count()) > most:
         rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < F.lit(int((1 << 32) * most / n)))
     return rows.withColumn("trusted", F.lit(1))
 
@@ -54,7 +51,7 @@ def with_grams(docs: DataFrame, text: str, out: str, bins: int = BINS) -> DataFr
 def log_ratios(docs: DataFrame, labels: DataFrame, bins: int = BINS) -> list[int]:
     """A bin's log ratio in millionths, from the grams of all documents, each count raised
     by one; zeros if no document is trusted."""
-    known = F.broadcast(trusted(labels))  # of a stated size
+    known = trusted(labels)  # grows with the labels: whether it is broadcast is left to its size
     rows = with_grams(docs.select("doc_id", "text").join(known, "doc_id", "left"), "text", "g", bins)
     # the outer form: a filter on the array's size would be pushed below, and the array into its own lambdas
     rows = rows.select("trusted", F.explode_outer("g").alias("bin")).where("bin IS NOT NULL")

@@ -250,3 +250,9 @@ def test_alignment_of_extremes(spark, texts):
         else:
             assert row[0] > 0 and row[3] == row[0] + row[1] - row[2]
     assert len(got) == len(texts)
+
+
+def test_all_trusted_documents_count(spark):
+    """No cap on those to learn from."""
+    labels = spark.range(200_500).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    assert quality.trusted(labels).count() == 200_500
