@@ -74,3 +74,19 @@ def test_pairs_by_blocks(spark, monkeypatch):
     for k, (n, c, v) in want.items():
         assert got[k][0] == n and got[k][2] == pytest.approx(v, abs=2e-6) and (c is None and got[k][1] is None or got[k][1] == pytest.approx(c, abs=2e-6))
     assert cross.pairwise(df.limit(0)).count() == 0
+
+
+def test_blocks_of_symbols_are_written_once(spark, monkeypatch):
+    """Several blocks a group: each pair once, none across groups, and values aren't copied a block."""
+    monkeypatch.setattr(cross, "BLOCK", 3)
+    rng = np.random.default_rng(3)
+    rows = [(g, f"{g}{i}", dt.date(2020, 1, 1) + dt.timedelta(int(k)), float(rng.choice([-1.0, 0.0, 0.5]))) for g in (0, 1) for i in range(8) for k in rng.choice(40, 25, replace=False)]
+    df = spark.createDataFrame(rows, "grp int, symbol string, trade_date date, ret double")
+    pairs = cross.common_moves(df)
+    got = {(r.a, r.b): (r.n, r.together) for r in pairs.collect()}
+    by = {}
+    for g, s, t, x in rows:
+        by.setdefault(s, {})[t] = x
+    want = {(a, b): (len(c), sum(np.sign(by[a][t]) == np.sign(by[b][t]) for t in c)) for a in by for b in by if a < b and a[0] == b[0] and (c := by[a].keys() & by[b].keys())}
+    assert got == want and len(want) == 2 * 28
+    assert "explode" not in pairs._jdf.queryExecution().toString()
