@@ -48,11 +48,16 @@ def with_grams(docs: DataFrame, text: str, out: str, bins: int = BINS) -> DataFr
     return docs.withColumn(out, F.concat(one, two)).drop("__p")
 
 
+def marked(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, text, trusted). The labels grow with the documents, so both sides are merged at
+    any size: texts are moved once, and small tables cost what large ones do."""
+    return docs.select("doc_id", "text").join(trusted(labels).hint("merge"), "doc_id", "left")
+
+
 def log_ratios(docs: DataFrame, labels: DataFrame, bins: int = BINS) -> list[int]:
     """A bin's log ratio in millionths, from the grams of all documents, each count raised
     by one; zeros if no document is trusted."""
-    known = trusted(labels)  # grows with the labels: whether it is broadcast is left to its size
-    rows = with_grams(docs.select("doc_id", "text").join(known, "doc_id", "left"), "text", "g", bins)
+    rows = with_grams(marked(docs, labels), "text", "g", bins)
     # the outer form: a filter on the array's size would be pushed below, and the array into its own lambdas
     rows = rows.select("trusted", F.explode_outer("g").alias("bin")).where("bin IS NOT NULL")
     counts = rows.groupBy("bin").agg(F.count("*").alias("raw"), F.count("trusted").alias("good"))

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from panelspark.llm import contamination, fingerprints, html, jaccard, language, lines, mixing, queries, repeats, sharding, tokens
+from panelspark.llm import contamination, fingerprints, html, jaccard, language, lines, mixing, quality, queries, repeats, sharding, tokens
 from panelspark.llm.common import components, read
 from tests.conftest import SMALL
 
@@ -587,3 +587,12 @@ def test_stages_by_row(spark):
     rows = [(1, LONG)] * 4 + [(None, LONG)] * 4
     got, docs = run(cp.mix_sources, rows)
     assert len(got) == int(mixing.FACTOR * len(rows)) and max(got.count(r) for r in got) <= 8
+
+
+def test_texts_meet_labels_alike_at_any_size(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, "c"), (None, "d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 1)], "doc_id long, quality int, toxic int")
+    rows = quality.marked(docs, labels)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert sorted(map(tuple, rows.collect()), key=str) == [(1, "a b", 1), (2, "c", None), (None, "d", None)]
