@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.normal import cdf
 from panelspark.operators.asof import asof
-from panelspark.operators.rolling import tidy
+from panelspark.operators.rolling import moments, tidy
 from panelspark.sources.views import with_returns
 
 
@@ -26,13 +26,15 @@ def event_study(events: DataFrame, sessions: DataFrame, estimate: tuple = (-120,
     moments are frames over a symbol's sessions, so an event is one look-up, not a row for
     each of its days."""
     keys = ["symbol", "event_type", "event_date", "after_close"]
-    w = Window.partitionBy("symbol").orderBy("sess")
-    est, ev, dr = (w.rowsBetween(*x) for x in (estimate, window, drift))
-    m = sessions.select(
-        "symbol", "trade_date", F.count("ret").over(est).alias("n"), F.avg("bench_ret").over(est).alias("mx"), F.avg("ret").over(est).alias("my"), F.covar_pop("ret", "bench_ret").over(est).alias("c"), F.var_pop("bench_ret").over(est).alias("vx"), F.var_pop("ret").over(est).alias("vy"),
-        F.count("ret").over(ev).alias("l"), F.sum("bench_ret").over(ev).alias("sx"), F.sum("ret").over(ev).alias("sy"), F.sum(F.col("bench_ret") * F.col("bench_ret")).over(ev).alias("sxx"),
-        F.count("ret").over(dr).alias("dl"), F.sum("bench_ret").over(dr).alias("dx"), F.sum("ret").over(dr).alias("dy"),
-    ).withColumn("session", F.col("trade_date"))
+    names = {"ret": "ret", "bench": "bench_ret", "both": ("ret", "bench_ret"), "square": "square"}
+    est, ev, dr = estimate, window, drift
+    put = lambda kind, of, frame: (kind, names[of], *frame, 1)
+    m = sessions.select("symbol", "trade_date", "ret", "bench_ret", (F.col("bench_ret") * F.col("bench_ret")).alias("square"))
+    m = moments(
+        m, n=put("count", "ret", est), mx=put("avg", "bench", est), my=put("avg", "ret", est), c=put("covar_pop", "both", est), vx=put("var_pop", "bench", est), vy=put("var_pop", "ret", est),
+        l=put("count", "ret", ev), sx=put("sum", "bench", ev), sy=put("sum", "ret", ev), sxx=put("sum", "square", ev), dl=put("count", "ret", dr), dx=put("sum", "bench", dr), dy=put("sum", "ret", dr),
+    )
+    m = m.drop("ret", "bench_ret", "square").withColumns({k: F.col(k).cast("bigint") for k in ("n", "l", "dl")}).withColumn("session", F.col("trade_date"))
     values = [c for c in m.columns if c not in ("symbol", "trade_date")]
     on, after = events.where("NOT after_close"), events.where("after_close")
     g = asof(on, "event_date", m, "trade_date", ["symbol"], values).unionByName(asof(after, "event_date", m, "trade_date", ["symbol"], values, forward=True, strict=True))

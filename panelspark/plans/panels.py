@@ -154,10 +154,9 @@ def r11_universes(spark, d):
 
 def scored(spark, d):
     """The composite's rows with the mean spread and the RSI score."""
-    r = R.composite(bars(spark, d))
-    sma = lambda n: R.full(F.avg("close").over(R.last(n)), "close", n)
-    side = F.when(F.col("close") > F.avg("close").over(R.last(200)), 100 - F.col("rsi_2")).otherwise(-F.col("rsi_2"))
-    return r.withColumns({"spread": F.try_divide(sma(10), sma(50)) - 1, "rsi_score": F.when(F.col("rn") > 200, side)})
+    r = R.composite(bars(spark, d), sma_10=R.over("avg", "close", 10), sma_50=R.over("avg", "close", 50), mean_200=R.over("avg", "close", 200, 1))
+    side = F.when(F.col("close") > F.col("mean_200"), 100 - F.col("rsi_2")).otherwise(-F.col("rsi_2"))
+    return r.withColumns({"spread": F.try_divide("sma_10", "sma_50") - 1, "rsi_score": F.when(F.col("rn") > 200, side)})
 
 
 STATE = f""", y AS MATERIALIZED (SELECT x0.symbol, trade_date, x0.rn, x0.rn > 200 AS ready, close > avg(close) OVER {frame(200)} AND rsi_2 < 15 AS enter, rsi_2 > 70 OR close > avg(close) OVER {frame(5)} AS leave FROM x0 JOIN rs USING (symbol, rn)),

@@ -213,23 +213,23 @@ FEATURES_SQL = _features_sql()
 def features(spark, d, complete: bool = False):
     """(symbol, trade_date, 24 features): each uses rows up to its day; ``complete`` ones only
     if asked for."""
-    last, w = R.last, by_symbol()
+    w = by_symbol()
     r = with_returns(bars(spark, d))
     chg = lambda n: F.try_divide("close", F.lag("close", n).over(w)) - 1
-    sma = lambda n, of="close": F.when(F.col(f"n_{of}_{n}") >= n, F.col(f"avg_{of}_{n}"))
-    sd = lambda n, of: F.when(F.col(f"n_{of}_{n}") >= n, F.col(f"sd_{of}_{n}"))
+    sma = lambda n, of="close": F.col(f"avg_{of}_{n}")
+    sd = lambda n, of: F.col(f"sd_{of}_{n}")
     sq = lambda c: c * c
     r = r.withColumns({"hl": (F.col("high") - F.col("low")) / F.col("close"), "gk": 0.5 * sq(F.ln(F.col("high") / F.col("low") + 1e-8)) - 0.3862943611198906 * sq(F.ln(F.col("close") / F.col("open") + 1e-8))})
     means, spreads = (("close", (20, 50, 200)), ("volume", (5, 20)), ("gk", (10, 20))), (("ret", (10, 20)), ("close", (20,)), ("volume", (20,)), ("hl", (10,)))
     pairs = lambda groups: [(of, n) for of, ns in groups for n in ns]
-    # each moment of a frame once: the optimizer keeps a window expression as often as it is named
-    r = r.withColumns({f"n_{of}_{n}": F.count(of).over(last(n)) for of, n in dict.fromkeys(pairs(means) + pairs(spreads))} | {f"avg_{of}_{n}": F.avg(of).over(last(n)) for of, n in pairs(means)} | {f"sd_{of}_{n}": F.stddev_samp(of).over(last(n)) for of, n in pairs(spreads)})
+    r = r.withColumns({f"ret_{n}": chg(n) for n in (5, 10, 20)} | {"mom_63": chg(63)})
+    r = R.moments(R.in_order(r.drop("open", "log_ret", "rn")), **{f"avg_{of}_{n}": R.over("avg", of, n) for of, n in pairs(means)}, **{f"sd_{of}_{n}": R.over("stddev_samp", of, n) for of, n in pairs(spreads)})
     r = r.withColumns({
-        "ret_1": F.col("ret"), **{f"ret_{n}": chg(n) for n in (5, 10, 20)}, "vol_10": sd(10, "ret"), "vol_20": sd(20, "ret"), "hl_range": F.col("hl"), **{f"dist_sma{n}": F.try_divide("close", sma(n)) - 1 for n in (20, 50, 200)},
-        "vol_z": (F.col("volume") - sma(20, "volume")) / (sd(20, "volume") + 1e-8), "mom_63": chg(63), **{f"gk_vol_{n}": F.when(sma(n, "gk").isNotNull(), F.sqrt(F.greatest(F.lit(0.0), sma(n, "gk")))) for n in (10, 20)},
+        "ret_1": F.col("ret"), "vol_10": sd(10, "ret"), "vol_20": sd(20, "ret"), "hl_range": F.col("hl"), **{f"dist_sma{n}": F.try_divide("close", sma(n)) - 1 for n in (20, 50, 200)},
+        "vol_z": (F.col("volume") - sma(20, "volume")) / (sd(20, "volume") + 1e-8), **{f"gk_vol_{n}": F.when(sma(n, "gk").isNotNull(), F.sqrt(F.greatest(F.lit(0.0), sma(n, "gk")))) for n in (10, 20)},
         "bb_width": 4 * sd(20, "close") / (sma(20) + 1e-8), "bb_pct": (F.col("close") - (sma(20) - 2 * sd(20, "close"))) / (4 * sd(20, "close") + 1e-8), "vol_trend_5_20": sma(5, "volume") / (sma(20, "volume") + 1e-8), "hl_range_std_10": sd(10, "hl"),
     })
-    r = r.select("symbol", "trade_date", "close", "prev_close", "ret", "high", "low", *[c for c in FEATURES if c in r.columns])  # what goes to Python and back
+    r = r.select("symbol", "trade_date", "close", "prev_close", "ret", "high", "low", "__k", *[c for c in FEATURES if c in r.columns])  # what goes to Python and back
     r = R.recursive(r, ("ema_8", "ema_21", "macd_hist", "rsi_14_plain", "atr_14"))
     more = {"rsi_14": F.col("rsi_14_plain"), "macd_hist": F.col("macd_hist") / F.col("close"), "atr_14": F.col("atr_14") / F.col("close"), "dist_ema8": F.col("close") / F.col("ema_8") - 1, "dist_ema21": F.col("close") / F.col("ema_21") - 1, "ema_cross_8_21": F.col("ema_8") / F.col("ema_21") - 1}
     columns = {c: more.get(c, F.col(c)) for c in FEATURES}
