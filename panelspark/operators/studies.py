@@ -50,13 +50,22 @@ def event_study(events: DataFrame, sessions: DataFrame, estimate: tuple = (-120,
 
 def daily_abnormal(studied: DataFrame, sessions: DataFrame, window: tuple = (-10, 30)) -> DataFrame:
     """(symbol, event_type, event_date, after_close, day, trade_date, abnormal, cumulative):
-    a row for each day of each studied event's window."""
+    a row for each day of each studied event's window. A symbol's sessions are one row that its
+    events look into, so what is moved grows with sessions and events, not with their days."""
     keys = ["symbol", "event_type", "event_date", "after_close"]
-    at = studied.select(*keys, "alpha", "beta", F.col("session").alias("trade_date")).join(sessions.select("symbol", "trade_date", F.col("sess").alias("t0")), ["symbol", "trade_date"]).drop("trade_date")
-    rows = at.withColumn("day", F.explode(F.sequence(F.lit(window[0]), F.lit(window[1])))).withColumn("sess", F.col("t0") + F.col("day")).join(sessions, ["symbol", "sess"])
-    rows = rows.withColumn("ar", F.col("ret") - F.col("alpha") - F.col("beta") * F.col("bench_ret"))
-    w = Window.partitionBy(*keys).orderBy("day")
-    return tidy(rows, *keys, "day", "trade_date", abnormal=F.col("ar"), cumulative=F.sum("ar").over(w))
+    at = studied.select(*keys, "alpha", "beta", F.col("session").alias("trade_date"))
+    own = sessions.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("trade_date", "ret", "bench_ret"))).alias("s"))
+    rows = at.join(own.hint("merge"), "symbol")
+    t0 = F.array_position(F.col("s.trade_date"), F.col("trade_date"))
+    first = F.greatest(F.lit(1), t0 + window[0])
+    days = F.slice("s", first.cast("int"), (t0 + window[1] - first + 1).cast("int"))
+    ar = lambda x: x["ret"] - F.col("alpha") - F.col("beta") * x["bench_ret"]
+    rows = rows.select(*keys, t0.alias("t0"), first.alias("from"), F.transform(days, lambda x: F.struct(x["trade_date"].alias("trade_date"), ar(x).alias("ar"))).alias("w")).where("t0 > 0")
+    sums = F.aggregate("w.ar", F.array().cast("array<double>"), lambda acc, x: F.concat(acc, F.array(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0.0)) + x)))
+    rows = rows.withColumn("sums", sums)
+    line = F.transform("w", lambda x, i: F.struct((F.col("from") + i - F.col("t0")).cast("int").alias("day"), x["trade_date"].alias("trade_date"), x["ar"].alias("ar"), F.get("sums", i).alias("sum")))
+    rows = rows.select(*keys, F.inline(line))
+    return tidy(rows, *keys, "day", "trade_date", abnormal=F.col("ar"), cumulative=F.col("sum"))
 
 
 def collapse(events: DataFrame, span: int = 60) -> DataFrame:

@@ -40,3 +40,22 @@ def test_moments_want_their_least_count_and_leave_the_order(spark):
     w = Window.partitionBy("symbol").orderBy("trade_date").rowsBetween(-4, 0)
     check = again.withColumn("n", F.count("x").over(w)).select("n", "a", "b").collect()
     assert all((r.a is not None) == (r.n >= 5) and (r.b is not None) == (r.n >= 2) for r in check)
+
+
+def test_daily_abnormal_moves_no_row_a_day(spark):
+    from panelspark.operators import studies
+
+    days = spark.range(1, 80).selectExpr("'a' AS symbol", "date_add(DATE'2020-01-01', int(id)) AS trade_date", "double(id % 5) AS ret", "double(id % 3) AS bench_ret", "int(id) AS sess")
+    at = days.where("sess IN (30, 41)").selectExpr("symbol", "'E' AS event_type", "trade_date AS event_date", "false AS after_close", "0.5D AS alpha", "2.0D AS beta", "trade_date AS session")
+    out = studies.daily_abnormal(at, days)
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.event_date, r.day, r.trade_date, r.abnormal, r.cumulative) for r in out.collect())
+    known = {r.sess: r for r in days.collect()}
+    want = []
+    for s in (30, 41):
+        total = 0.0
+        for k in range(-10, 31):
+            x = known[s + k].ret - 0.5 - 2 * known[s + k].bench_ret
+            total += x
+            want.append((known[s].trade_date, k, known[s + k].trade_date, x, total))
+    assert got == sorted(want)
