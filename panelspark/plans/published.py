@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from panelspark.operators import rolling as R
 from panelspark.plans import chains, cross_sections, events, feeds, panels, risk, snapshots, states
 from panelspark.registry import SQL, query
-from panelspark.sources.views import sectors, sql
+from panelspark.sources.views import bars, sectors, sql
 
 
 def of(name: str) -> str:
@@ -47,7 +47,7 @@ def sn6(spark, d):
     """One wide row a symbol: moments, drawdown, rolling Sharpe, tail, beta, backtest light."""
     newest = lambda f, *cols: R.latest(f(spark, d), 1).select("symbol", *cols)
     parts = [
-        newest(panels.w5, "drawdown"), newest(panels.w20, "sharpe", "se"), newest(panels.w19, "var_95", "var_99", "es_95"), risk.st3(spark, d).select("symbol", "beta", "alpha"), risk.st12(spark, d).select("symbol", "light"),
+        newest(panels.w5, "drawdown"), newest(panels.w20, "sharpe", "se"), R.tail_risk(bars(spark, d), newest=True).select("symbol", "var_95", "var_99", "es_95"), risk.st3(spark, d).select("symbol", "beta", "alpha"), risk.st12(spark, d).select("symbol", "light"),
         risk.st7(spark, d).select("symbol", "deflated"), cross_sections.a33(spark, d).select("symbol", F.col("vol_252d").alias("metric_vol")),
     ]
     return reduce(lambda a, b: a.join(b, "symbol", "left"), parts, cross_sections.a35(spark, d))
@@ -91,7 +91,6 @@ def sn9(spark, d):
 @query("sn4_heatmap_tiles", sql("r", "sectors", body="SELECT symbol, sector, round(close / lag(close, 1) OVER (PARTITION BY symbol ORDER BY trade_date) - 1, 6) AS day, round(close / lag(close, 5) OVER (PARTITION BY symbol ORDER BY trade_date) - 1, 6) AS week, round(close / lag(close, 21) OVER (PARTITION BY symbol ORDER BY trade_date) - 1, 6) AS month, round(close * volume, 2) AS size FROM r JOIN sectors USING (symbol) QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY trade_date DESC) = 1"))
 def sn4_tiles(spark, d):
     """A tile a symbol: its sector, change over a day, a week and a month, and its weight."""
-    from panelspark.sources.views import bars
 
     w = Window.partitionBy("symbol").orderBy("trade_date")
     change = lambda n: F.round(F.col("close") / F.lag("close", n).over(w) - 1, 6)

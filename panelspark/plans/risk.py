@@ -105,11 +105,10 @@ def st12(spark, d):
     """99 % value at risk of the 250 days before, tested: Kupiec's coverage and
     Christoffersen's independence."""
     r = with_returns(bars(spark, d))
-    w = R.before(250)
-    k = r.withColumn("xs", R.sorted_frame("ret", w)).withColumn("q", F.when(F.size("xs") == 250, R.quantile("xs", 0.01))).drop("xs").withColumn("hit", (F.col("ret") < F.col("q")).cast("int"))
+    k = R.moments(r.select("symbol", "trade_date", "ret"), q=("quantile", "ret", -250, -1, 250, 0.01)).withColumn("hit", (F.col("ret") < F.col("q")).cast("int"))
     k = k.withColumn("prev", F.lag("hit").over(by_symbol()))
     pair = lambda a, b: F.count_if((F.col("prev") == a) & (F.col("hit") == b))
-    # days without a full window have no hit; a filter on q would sort each frame again
+    # days without a full window have no hit
     c = k.groupBy("symbol").agg(F.count("hit").alias("n"), F.sum("hit").alias("x"), *[pair(a, b).alias(f"n{a}{b}") for a in (0, 1) for b in (0, 1)])
     xlog = lambda a, b: F.when(a > 0, a * F.ln(b)).otherwise(0.0)
     n, x, n00, n01, n10, n11 = (F.col(i) for i in ("n", "x", "n00", "n01", "n10", "n11"))

@@ -17,8 +17,9 @@ def rows_of(spark):
 def test_moments_are_sparks_own(spark):
     df = rows_of(spark)
     specs = {f"{k}_{i}": (k, "x", lo, hi, 1) for i, (lo, hi) in enumerate(FRAMES) for k in ONE} | {f"{k}_{i}": (k, ("x", "y"), lo, hi, 1) for i, (lo, hi) in enumerate(FRAMES) for k in TWO}
+    specs |= {f"quantile_{i}": ("quantile", "x", lo, hi, 1, 0.3) for i, (lo, hi) in enumerate(FRAMES)}
     w = Window.partitionBy("symbol").orderBy("trade_date")
-    own = df
+    own = df.withColumns({f"quantile_{i}": R.quantile(R.sorted_frame("x", w.rowsBetween(lo, hi)), 0.3) for i, (lo, hi) in enumerate(FRAMES)})
     for i, (lo, hi) in enumerate(FRAMES):
         own = own.withColumns({f"{k}_{i}": getattr(F, k)("x").over(w.rowsBetween(lo, hi)) for k in ONE} | {f"{k}_{i}": getattr(F, k)("x", "y").over(w.rowsBetween(lo, hi)) for k in TWO})
     key = lambda r: (r["symbol"], r["trade_date"])
@@ -59,3 +60,11 @@ def test_daily_abnormal_moves_no_row_a_day(spark):
             total += x
             want.append((known[s].trade_date, k, known[s + k].trade_date, x, total))
     assert got == sorted(want)
+
+
+def test_newest_tail_risk_is_the_last_rows(spark):
+    b = rows_of(spark).selectExpr("symbol", "trade_date", "abs(coalesce(x, 2.5)) + 1 AS close")
+    key = lambda df: sorted(map(tuple, df.collect()))
+    last = R.latest(R.tail_risk(b, 6), 1).drop("age")
+    new = R.tail_risk(b, 6, newest=True)
+    assert key(new) == key(last) and "collect_list" in new._jdf.queryExecution().optimizedPlan().toString()
