@@ -123,8 +123,9 @@ def ml4(spark, d):
     cut = rows.agg(F.percentile_approx("day", 0.75)).first()[0]
     if cut is None:
         return spark.createDataFrame([], "predicted int, n bigint, hits bigint, mean_p double")
-    share = rows.groupBy("label").agg(F.count("*").alias("c"))
-    rows = rows.join(share, "label").withColumn("weight", 1 / F.col("c"))
+    # a constant for each class: a join on the class would put all its rows into one task
+    share = rows.groupBy("label").agg(F.count("*").alias("c")).collect()
+    rows = rows.withColumn("weight", F.coalesce(*[F.when(F.col("label") == r["label"], 1 / r["c"]) for r in share]))
     rows = VectorAssembler(inputCols=["x1", "x2", "x3", "x4"], outputCol="x").transform(rows)
     model = RandomForestClassifier(featuresCol="x", labelCol="label", weightCol="weight", numTrees=20, maxDepth=4, seed=7).fit(rows.where(F.col("day") < cut - 10))
     out = model.transform(rows.where(F.col("day") >= cut)).withColumn("p", F.array_max(vector_to_array("probability")))
