@@ -183,3 +183,13 @@ def test_rounding_is_the_engines(spark, duck):
     want = [duck.execute("SELECT round(?::DOUBLE, 6)", [v]).fetchall()[0][0] for v in x]
     got = rolling.rounded(spark.createDataFrame([(i, v) for i, v in enumerate(x)], "i int, x double"), 6, "x").orderBy("i").collect()
     assert [r.x for r in got] == want
+
+
+def test_class_weights_move_no_rows(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(models.RandomForestClassifier, "fit", lambda self, df: seen.append(df))
+    rows = spark.createDataFrame([(float(i % 3 != 0), i) for i in range(9)], "y double, x int")
+    models.fitted(rows)
+    assert "Join" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted({(r.y, round(r.weight, 9)) for r in seen[0].collect()}) == [(0.0, round(1 / 3, 9)), (1.0, round(1 / 6, 9))]
+    assert models.fitted(rows.where("y = 1")) is None
