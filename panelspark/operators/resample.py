@@ -72,29 +72,168 @@ def permuted_closes(close: np.ndarray, block: int, n: int, seed: int) -> np.ndar
     return out
 
 
+def moving_sums(x: np.ndarray, *sizes: int) -> list[np.ndarray]:
+    """The sum of the latest ``n`` rows, or of all so far, of each column. Sums of 1, 2, 4, ..
+    rows are put together, so no value has to be taken out again."""
+    wanted = [np.cumsum(x[: min(n, len(x))], axis=0) for n in sizes]
+    out = [np.concatenate([top, np.zeros((len(x) - len(top), x.shape[1]))]) for top in wanted]
+    part, size, done = x, 1, [0] * len(sizes)  # part[i]: the sum of rows i to i + size - 1
+    while size <= min(max(sizes), len(x)):
+        for j, n in enumerate(sizes):
+            if n & size and n < len(x):
+                first = 1 + done[j]  # of the frame that ends at row n
+                out[j][n:] = part[first : first + len(x) - n] + (out[j][n:] if done[j] else 0)
+                done[j] += size
+        part, size = part[:-size] + part[size:], 2 * size
+    return out
+
+
+def moving_spread(x: np.ndarray, n: int, least: int) -> np.ndarray:
+    """The sample deviation of the latest n rows of each column, from ``least`` rows on."""
+    out = np.full(x.shape, np.nan)
+    for i in range(max(least, 2) - 1, min(n - 1, len(x))):
+        out[i] = x[: i + 1].std(axis=0, ddof=1)
+    if len(x) >= n:
+        mean, square = moving_sums(x, n)[0][n - 1 :] / n, 0.0
+        for i in range(n):
+            d = x[i : len(x) - n + 1 + i] - mean
+            square = square + d * d
+        out[n - 1 :] = np.sqrt(square / (n - 1))
+    return out
+
+
+def _bit_at(mask: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The place of each mask's set bit number k, from 0."""
+    mask, k, at = mask.copy(), k.astype(np.uint8), np.zeros(mask.shape, np.uint8)
+    for width in (32, 16, 8, 4, 2, 1):
+        low = np.bitwise_count(mask & np.uint64((1 << width) - 1))
+        up = k >= low
+        step = up * np.uint8(width)
+        k -= up * low
+        at += step
+        mask >>= step.astype(np.uint64)
+    return at
+
+
+def moving_median(x: np.ndarray, n: int, least: int, rows: int = 1024, cells: int = 1 << 20) -> np.ndarray:
+    """The median of the latest n rows' values of each column, where they are ``least``. Values are
+    ranked once a column; a frame's ranks are bits, and what two of its prefixes differ in.
+    Some ``rows`` rows go at a time, so a longer column costs no more a row."""
+    out = np.full(x.shape, np.nan)
+    for top in range(0, len(x), rows):
+        first = max(0, top - n + 1)
+        words = -(-(min(top + rows, len(x)) - first) // 64)
+        columns = max(1, cells // (words * words * 64))
+        for c in range(0, x.shape[1], columns):
+            out[top : top + rows, c : c + columns] = _median_of_block(x[first : top + rows, c : c + columns], n, least, words)[top - first :]
+    return out
+
+
+def _median_of_block(x: np.ndarray, n: int, least: int, words: int) -> np.ndarray:
+    length, width = x.shape
+    order = np.argsort(x, axis=0)  # not-a-number last
+    row, column = np.arange(length)[:, None], np.arange(width)
+    rank = np.empty((length, width), np.int64)
+    rank[order, column] = row
+    value = x[order, column]
+    held = np.zeros((length, words, width), np.uint64)
+    held[row, rank >> 6, column] = np.where(np.isnan(x), np.uint64(0), np.uint64(1) << (rank & 63).astype(np.uint64))
+    for i in range(1, length):
+        np.bitwise_xor(held[i], held[i - 1], out=held[i])
+    if n < length:
+        held[n:] ^= held[:-n].copy()
+    number = np.bitwise_count(held)
+    upto = np.empty((words, length, width), np.int16)
+    upto[0] = number[:, 0]
+    for j in range(1, words):
+        np.add(upto[j - 1], number[:, j], out=upto[j])
+    count = upto[-1]
+
+    def numbered(k: np.ndarray, upto: np.ndarray, row: np.ndarray, column: np.ndarray) -> tuple:
+        word, before = np.zeros(k.shape, np.uint8), np.zeros(k.shape, np.int16)
+        for u in upto[:-1]:
+            past = u <= k
+            word += past
+            np.maximum(before, u * past, out=before)
+        mask = held[row, word, column]
+        return word.astype(np.int64), mask, _bit_at(mask, k - before)
+
+    k = np.maximum(count - 1, 0) >> 1
+    word, mask, at = numbered(k, upto, row, column)
+    out = value[np.minimum(word * 64 + at, length - 1), column]
+    even = (count > 0) & (count & 1 == 0)
+    if even.any():  # the next value up, in the same word or a later one
+        rest = mask & ~((np.uint64(2) << at.astype(np.uint64)) - np.uint64(1))
+        after = np.bitwise_count((rest & (~rest + np.uint64(1))) - np.uint64(1)).astype(np.int64)
+        place = word * 64 + np.minimum(after, 63)
+        t, p = np.nonzero(even & (rest == 0))
+        later, _, bit = numbered(k[t, p] + 1, upto[:, t, p], t, p)
+        place[t, p] = later * 64 + bit
+        out = np.where(even, (out + value[np.minimum(place, length - 1), column]) / 2, out)
+    return np.where(count >= max(1, least), out, np.nan)
+
+
+def _smoothed(close: np.ndarray, change: np.ndarray) -> np.ndarray:
+    """Exponential means of 8 and 21 rows, and Wilder's weighted sums of rises and falls: all
+    columns and all four go through one fold over the rows."""
+    x = np.stack([close, close, np.maximum(change, 0), np.maximum(-change, 0)], axis=1)
+    alpha = np.array([2 / 9, 2 / 22, 1.0, 1.0])[:, None]
+    x[1:] *= alpha
+    keep = np.broadcast_to(1 - np.array([2 / 9, 2 / 22, 1 / 14, 1 / 14])[:, None], x.shape[1:]).copy()
+    held = np.empty(x.shape[1:])
+    for i in range(1, len(x)):
+        np.multiply(x[i - 1], keep, out=held)
+        x[i] += held
+    return x.transpose(1, 0, 2)
+
+
 def composite_of(close: pd.DataFrame) -> pd.DataFrame:
     """rolling.composite's score of each column's path."""
-    ret = close / close.shift(1) - 1
-    change = close - close.shift(1)
-    gain, loss = (x.clip(lower=0).ewm(alpha=1 / 14, adjust=True, min_periods=14).mean() for x in (change, -change))
-    rsi = (100 - 100 / (1 + gain / loss.where(loss != 0))).fillna(50)
-    fast, slow = (close.ewm(alpha=2 / (n + 1), adjust=False).mean() for n in (8, 21))
-    usual = ret.rolling(252, min_periods=50).median() * 252**0.5
-    noise = ret.rolling(20, min_periods=10).std() * 252**0.5
-    mean = lambda n, least: close.rolling(n, min_periods=least).mean()
-    trend = 0.45 * ((close / mean(200, 50) - 1) / 0.15).clip(-1, 1) + 0.35 * ((close / mean(50, 20) - 1) / 0.1).clip(-1, 1) + 0.2 * ((fast / slow - 1) / 0.05).clip(-1, 1)
-    momentum = 0.5 * ((rsi - 50) / 25).clip(-1, 1) + 0.5 * ((close / close.shift(63) - 1) / 0.2).clip(-1, 1).fillna(0)
-    calm = (1.5 - noise / (usual.where(usual != 0) + 1e-8)).clip(-1, 1).fillna(0)
-    return (50 + 45 * (0.4 * trend + 0.35 * momentum + 0.25 * calm)).clip(0, 100).fillna(50)
+    return pd.DataFrame(_composite(close.to_numpy(float)), close.index, close.columns)
+
+
+def _composite(close: np.ndarray) -> np.ndarray:
+    n = len(close)
+    age = np.arange(1, n + 1)[:, None]
+
+    def against(k: int, least: int, total: np.ndarray) -> np.ndarray:
+        x = close * np.minimum(age, k) / total - 1
+        x[: least - 1] = np.nan
+        return x
+
+    def filled(x: np.ndarray, value: float) -> np.ndarray:
+        return np.where(np.isnan(x), value, x)
+
+    with np.errstate(all="ignore"):
+        change = np.zeros(close.shape)
+        change[1:] = close[1:] - close[:-1]
+        fast, slow, gain, loss = _smoothed(close, change)
+        rsi = 100 - 100 / (1 + gain / np.where(loss != 0, loss, np.nan))
+        rsi[:14] = np.nan
+        ret = close[1:] / close[:-1] - 1
+        usual, noise, ahead = (np.full(close.shape, np.nan) for _ in range(3))
+        usual[1:] = moving_median(ret, 252, 50) * 252**0.5
+        noise[1:] = moving_spread(ret, 20, 10) * 252**0.5
+        ahead[63:] = close[63:] / close[:-63] - 1
+        long, short = moving_sums(close, 200, 50)
+        trend = 0.45 * np.clip(against(200, 50, long) / 0.15, -1, 1) + 0.35 * np.clip(against(50, 20, short) / 0.1, -1, 1) + 0.2 * np.clip((fast / slow - 1) / 0.05, -1, 1)
+        momentum = 0.5 * np.clip((filled(rsi, 50.0) - 50) / 25, -1, 1) + 0.5 * filled(np.clip(ahead / 0.2, -1, 1), 0.0)
+        calm = filled(np.clip(1.5 - noise / (np.where(usual != 0, usual, np.nan) + 1e-8), -1, 1), 0.0)
+        return filled(np.clip(50 + 45 * (0.4 * trend + 0.35 * momentum + 0.25 * calm), 0, 100), 50.0)
 
 
 def strategy_of(close: pd.DataFrame, enter: float = 65, leave: float = 45, cost_bps: float = 10) -> pd.DataFrame:
     """Each path's returns of the composite strategy, run anew on it."""
-    score = composite_of(close).round(6)
-    event = pd.DataFrame(np.where(score >= enter, 1.0, np.where(score < leave, 0.0, np.nan)), score.index)
-    held = event.ffill().fillna(0).shift(1).fillna(0)
-    ret = (close / close.shift(1) - 1).fillna(0).set_axis(held.columns, axis=1)
-    return held * ret - (held - held.shift(1).fillna(0)).abs() * cost_bps / 1e4
+    path = close.to_numpy(float)
+    score = _composite(path).round(6)
+    event = (score >= enter) | (score < leave)
+    at = np.maximum.accumulate(np.where(event, np.arange(len(path))[:, None], -1), axis=0)
+    state = np.where(at >= 0, np.take_along_axis(score, np.maximum(at, 0), axis=0) >= enter, False).astype(float)
+    held, ret = np.zeros(path.shape), np.zeros(path.shape)
+    held[1:], ret[1:] = state[:-1], path[1:] / path[:-1] - 1
+    moved = held.copy()
+    moved[1:] -= held[:-1]
+    return pd.DataFrame(held * ret - np.abs(moved) * cost_bps / 1e4, close.index, close.columns)
 
 
 def permutation_test(bars: DataFrame, replicates: int = 100, block: int = 20, seed: int = 42, strategy=strategy_of) -> DataFrame:
