@@ -76,10 +76,8 @@ TRIALS = 12
 
 
 def lab_panel(spark, d):
-    """The price signals and the residual reversal, with returns ahead."""
-    r = R.residual_reversal(bars(spark, d), bench_returns(bench(spark, d)))
-    more = r.where("residual_reversal IS NOT NULL").select(F.lit("residual_reversal").alias("signal"), "symbol", "trade_date", F.col("residual_reversal").alias("value"))
-    return stacked(spark, d).select("signal", "symbol", "trade_date", "value").unionByName(more).join(R.forward_returns(bars(spark, d)), ["symbol", "trade_date"])
+    """The price signals and the residual reversal, a column each, with returns ahead."""
+    return R.signal_panel(bars(spark, d), bench_returns(bench(spark, d)))
 
 
 def deflated(n, sr, skew, kurt):
@@ -91,7 +89,7 @@ def deflated(n, sr, skew, kurt):
 @query("st15_signal_job")
 def st15(spark, d):
     """All signals of the panel in one job: correlations by horizon, deciles, costs, gates."""
-    out = G.evaluate(lab_panel(spark, d), {"1d": "fwd_1", "5d": "fwd_5", "21d": "fwd_21"}, deflated)
+    out = G.evaluate(lab_panel(spark, d), {"1d": "fwd_1", "5d": "fwd_5", "21d": "fwd_21"}, deflated, R.SIGNALS)
     return out.withColumn("reasons", F.concat_ws(",", "reasons"))
 
 
@@ -99,8 +97,8 @@ def st15(spark, d):
 def r14(spark, d):
     """Each symbol's place in the newest cross-section of each signal; only validated signals
     show it."""
-    p = lab_panel(spark, d).select("signal", "symbol", "trade_date", "value")
-    newest = p.groupBy("signal", "symbol").agg(F.max_by("value", "trade_date").alias("value"))
+    newest = lab_panel(spark, d).groupBy("symbol").agg(*[F.max_by(k, F.when(F.col(k).isNotNull(), F.col("trade_date"))).alias(k) for k in R.SIGNALS])
+    newest = newest.unpivot("symbol", list(R.SIGNALS), "signal", "value").where("value IS NOT NULL")
     w = Window.partitionBy("signal")
     newest = newest.withColumns({"place": F.rank().over(w.orderBy(F.desc("value"))), "pct": C.percentile_rank(newest, "value", ["signal"], "mean", 2)})
     s = newest.join(st15(spark, d).select("signal", "status"), "signal")
