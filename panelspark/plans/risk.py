@@ -214,7 +214,7 @@ SIGNAL = SCORE + f", e AS (SELECT *, CASE WHEN round(score, 6) >= 65 THEN 1 WHEN
 
 
 def strategy(spark, d):
-    r = R.composite(bars(spark, d)).withColumn("score", F.round("score", 6))
+    r = R.composite(bars(spark, d), keep=("rn",)).select("symbol", "trade_date", "ret", "rn", F.round("score", 6).alias("score"))
     r = r.withColumn("state", R.hysteresis(r, "score", 65, 45))
     return R.strategy_returns(r)
 
