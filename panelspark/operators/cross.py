@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.operators.rolling import YEAR, tidy
+from panelspark.operators.rolling import YEAR, rounded, tidy
 from panelspark.sources.views import by_date, by_symbol, with_returns
 
 
@@ -113,28 +113,90 @@ def breadth(bars: DataFrame, n: int = 50) -> DataFrame:
     return g.withColumn("net", F.col("advancers") - F.col("decliners")).withColumn("pct_above", F.round(100 * F.col("above_sma") / F.col("symbols"), 6))
 
 
+def _year_sums(rows: Column, value: str, powers: int) -> Column:
+    """(n, s1, s2, ...) of the rows' values and their powers, summed in the rows' order."""
+    zero = F.struct(F.lit(0.0).alias("n"), *[F.lit(0.0).alias(f"s{i}") for i in range(1, powers + 1)])
+
+    def add(s: Column, r: Column) -> Column:
+        x = power = r[value]
+        sums = []
+        for i in range(1, powers + 1):
+            sums.append((s[f"s{i}"] + power).alias(f"s{i}"))
+            power = power * x
+        return F.struct((s["n"] + 1).alias("n"), *sums)
+
+    return F.aggregate(F.filter(rows, lambda r: r[value].isNotNull()), zero, add)
+
+
+def _spread(rows: Column, start: Column) -> Column:
+    """(n, mean, m2) of the rows' returns after those of ``start``, updated row by row."""
+
+    def add(s: Column, r: Column) -> Column:
+        n = s["n"] + 1
+        mean = s["mean"] + (r["ret"] - s["mean"]) / n
+        return F.struct(n.alias("n"), mean.alias("mean"), (s["m2"] + (r["ret"] - mean) * (r["ret"] - s["mean"])).alias("m2"))
+
+    return F.aggregate(F.filter(rows, lambda r: r["ret"].isNotNull()), start, add)
+
+
+def _co_spread(rows: Column) -> Column:
+    """(n, x, y, c, m2) of benchmark (x) and returns (y): means, co-moment, and x's own."""
+    zero = F.struct(*[F.lit(0.0).alias(k) for k in ("n", "x", "y", "c", "m2")])
+
+    def add(s: Column, r: Column) -> Column:
+        n, dx = s["n"] + 1, r["bench_ret"] - s["x"]
+        x, y = s["x"] + dx / n, s["y"] + (r["ret"] - s["y"]) / n
+        return F.struct(n.alias("n"), x.alias("x"), y.alias("y"), (s["c"] + dx * (r["ret"] - y)).alias("c"), (s["m2"] + (r["bench_ret"] - x) * dx).alias("m2"))
+
+    return F.aggregate(F.filter(rows, lambda r: r["ret"].isNotNull() & r["bench_ret"].isNotNull()), zero, add)
+
+
+def _worst(rows: Column) -> Column:
+    """(peak, dd): the greatest close, and the least close over the peak so far, less 1."""
+    none = F.lit(None).cast("double")
+
+    def add(s: Column, r: Column) -> Column:
+        peak = F.greatest(s["peak"], r["close"])
+        return F.struct(peak.alias("peak"), F.least(s["dd"], r["close"] / peak - 1).alias("dd"))
+
+    return F.aggregate(rows, F.struct(none.alias("peak"), none.alias("dd")), add)
+
+
 def metric_vector(bars: DataFrame, bench_ret: DataFrame) -> DataFrame:
     """One row a symbol: volatilities, one-year drawdown, moments, value at risk, 12-1
-    momentum, beta and Amihud illiquidity; null where history is too short."""
-    age = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("trade_date")))
-    r = with_returns(bars).join(bench_ret, "trade_date", "left").withColumn("age", age)
-    year = F.col("age") <= 252
-    x = lambda n: F.when(F.col("age") <= n, F.col("ret"))
-    peak = F.max("close").over(Window.partitionBy("symbol").orderBy(F.desc("age")).rowsBetween(Window.unboundedPreceding, 0))
-    r = r.where(year).withColumn("dd", F.col("close") / peak - 1).select("symbol", "age", "dd").join(r, ["symbol", "age"], "right")
-    g = r.groupBy("symbol").agg(
-        F.count("*").alias("n"), *[(F.stddev_samp(x(n)) * YEAR * 100).alias(f"vol_{n}d") for n in (21, 63, 252)], (F.stddev_samp("ret") * YEAR * 100).alias("annualised_vol"), (F.min("dd") * 100).alias("max_drawdown"),
-        F.avg(x(252)).alias("m"), F.var_pop(x(252)).alias("v"), F.avg(x(252) * x(252) * x(252)).alias("m3"), F.avg(x(252) * x(252) * x(252) * x(252)).alias("m4"), F.avg(x(252) * x(252)).alias("m2"),
-        (-100 * F.percentile(x(252), 0.05)).alias("var_95"), (F.covar_samp(x(252), "bench_ret") / F.var_samp(F.when(year & F.col("ret").isNotNull(), F.col("bench_ret")))).alias("beta"),
-        F.max(F.when(F.col("age") == 22, F.col("close"))).alias("p1"), F.max(F.when(F.col("age") == 253, F.col("close"))).alias("p0"),
-        F.avg(F.when(year & (F.col("close") * F.col("volume") > 0), F.abs("ret") / (F.col("close") * F.col("volume")) * 1e6)).alias("amihud"),
-    )
-    m = F.col("m")
-    skew = F.try_divide(F.col("m3") - 3 * m * F.col("m2") + 2 * m * m * m, F.pow("v", F.lit(1.5)))
-    kurt = F.try_divide(F.col("m4") - 4 * m * F.col("m3") + 6 * m * m * F.col("m2") - 3 * m * m * m * m, F.col("v") * F.col("v")) - 3
-    names = ("vol_21d", "vol_63d", "vol_252d", "annualised_vol", "max_drawdown", "var_95", "beta")
-    out = tidy(g, "symbol", "n", **{k: F.col(k) for k in names}, skewness=skew, kurtosis=kurt, momentum_12_1=100 * (F.try_divide("p1", "p0") - 1), amihud=F.col("amihud") * 1e3)
-    return out
+    momentum, beta and Amihud illiquidity; null where history is too short. A symbol's bars
+    are one array, the latest first, and sums go along it: their last bits, which show in the
+    sixth decimal of a great value, don't hang on the order in which rows arrive."""
+    r = with_returns(bars.join(bench_ret, "trade_date", "left"))
+    traded = F.col("close") * F.col("volume")
+    illiquidity = F.when(traded > 0, F.abs("ret") / traded * 1e6).alias("illiquidity")
+    g = r.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("trade_date", "close", "ret", "bench_ret", illiquidity)), asc=False).alias("bars"))
+    g = g.select("symbol", "bars", F.slice("bars", 1, 252).alias("year"))
+    state = F.struct(*[F.lit(0.0).alias(k) for k in ("n", "mean", "m2")])
+    done = 0
+    for n in (21, 63, 252):  # a longer volatility goes on from the shorter one
+        g = g.withColumn(f"s{n}", _spread(F.slice("bars", done + 1, n - done), state))
+        state, done = F.col(f"s{n}"), n
+    g = g.withColumns({"s": _spread(F.slice("bars", done + 1, F.size("bars")), state), "sums": _year_sums(F.col("year"), "ret", 4), "illiquid": _year_sums(F.col("year"), "illiquidity", 1), "co": _co_spread(F.col("year"))})
+    g = g.withColumns({"sorted": F.sort_array(F.filter(F.transform("year", lambda b: b["ret"]), lambda x: x.isNotNull())), "dd": _worst(F.reverse("year"))["dd"]})
+    vol = lambda s: F.sqrt(F.when(s["n"] > 1, s["m2"] / (s["n"] - 1))) * YEAR * 100
+    m, m2, m3, m4 = (F.try_divide(F.col("sums")[f"s{i}"], F.col("sums")["n"]) for i in range(1, 5))
+    v = F.try_divide(F.col("s252")["m2"], F.col("s252")["n"])
+    co, at = F.col("co"), (F.size("sorted") - 1) * F.lit(0.05)
+    part = at - F.floor(at)
+    quantile = F.get("sorted", F.floor(at).cast("int")) * (1 - part) + F.get("sorted", F.ceil(at).cast("int")) * part
+    values = {f"vol_{n}d": vol(F.col(f"s{n}")) for n in (21, 63, 252)} | {
+        "annualised_vol": vol(F.col("s")),
+        "max_drawdown": F.col("dd") * 100,
+        "var_95": -100 * quantile,
+        "beta": F.when(co["n"] > 1, F.try_divide(co["c"] / (co["n"] - 1), co["m2"] / (co["n"] - 1))),
+        "skewness": F.try_divide(m3 - 3 * m * m2 + 2 * m * m * m, F.pow(v, F.lit(1.5))),
+        "kurtosis": F.try_divide(m4 - 4 * m * m3 + 6 * m * m * m2 - 3 * m * m * m * m, v * v) - 3,
+        "momentum_12_1": 100 * (F.try_divide(F.get("bars", F.lit(21))["close"], F.get("bars", F.lit(252))["close"]) - 1),
+        "amihud": F.try_divide(F.col("illiquid")["s1"], F.col("illiquid")["n"]) * 1e3,
+    }
+    out = g.select("symbol", F.size("bars").cast("bigint").alias("n"), *[c.alias(k) for k, c in values.items()])
+    return rounded(out, 6, *values)
 
 
 METRICS = ("vol_21d", "vol_63d", "vol_252d", "annualised_vol", "max_drawdown", "var_95", "beta", "skewness", "kurtosis", "momentum_12_1", "amihud")
