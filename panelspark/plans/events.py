@@ -28,9 +28,9 @@ g4 AS (SELECT *, car / sqrt(greatest(1e-12, s2 * (l + l / n + spread))) AS t FRO
 cars AS (SELECT symbol, event_type, event_date, after_close, trade_date AS session, n, round(alpha, 6) AS alpha, round(beta, 6) AS beta, round(c * c / (vx * vy), 6) AS r2, round(car, 6) AS car, round(t, 6) AS t, round(2 * (1 - {cdf_sql('abs(t)')}), 6) AS p, round(CASE WHEN dl = 20 THEN dy - dl * alpha - beta * dx END, 6) AS drift FROM g4)"""
 
 
-def study(spark, d):
-    e = events(spark, d).select("symbol", "event_type", "event_date", "after_close").distinct()
-    return S.event_study(e, S.paired_sessions(bars(spark, d), bench_returns(bench(spark, d))))
+def study(spark, d, days: bool = False):
+    e = events(spark, d).select("symbol", "event_type", "event_date", "after_close").repartition("symbol").distinct()
+    return S.event_study(e, S.paired_sessions(bars(spark, d), bench_returns(bench(spark, d))), days=days)
 
 
 @query("es1_event_study", sql("r", "br", ctes=STUDY, body="SELECT * FROM cars"))
@@ -40,7 +40,7 @@ def es1(spark, d):
 
 @query("es1_daily_abnormal", sql("r", "br", ctes=STUDY, body="SELECT s.symbol, event_type, event_date, after_close, (p.k - s.k)::INT AS day, p.trade_date, round(p.ret - a - b * p.bench_ret, 6) AS abnormal, round(sum(p.ret - a - b * p.bench_ret) OVER (PARTITION BY s.symbol, event_type, event_date, after_close ORDER BY p.k), 6) AS cumulative FROM (SELECT *, round(alpha, 6) AS a, round(beta, 6) AS b FROM g4) s JOIN p ON p.symbol = s.symbol AND p.k BETWEEN s.k - 10 AND s.k + 30"))
 def es1_daily(spark, d):
-    return S.daily_abnormal(study(spark, d), S.paired_sessions(bars(spark, d), bench_returns(bench(spark, d))))
+    return S.abnormal_days(study(spark, d, days=True))
 
 
 @query("a15_es3_pooled_cars", sql("r", "br", ctes=STUDY + ", q AS (SELECT event_type, count(*) AS n, array_agg(car ORDER BY car) AS cars, avg(car) AS m, stddev_samp(car) AS s FROM cars GROUP BY 1 HAVING count(*) >= 2)", body=f"SELECT event_type, n, cars, round(m, 6) AS mean, round(s, 6) AS sd, round(m / (s / sqrt(n)), 6) AS t, round(2 * (1 - {cdf_sql('abs(m / (s / sqrt(n)))')}), 6) AS p FROM q"))

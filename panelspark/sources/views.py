@@ -28,10 +28,14 @@ def customer_symbol(spark: SparkSession, sf_dir: str, customer: str) -> Column:
     return symbol_of(F.col(customer) % read(spark, sf_dir, "supplier").agg(F.count("*")).scalar())
 
 
-def priced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = read(spark, sf_dir, "lineitem")
+def priced(spark: SparkSession, sf_dir: str, by: str | None = None) -> DataFrame:
+    """Lines as prices; dealt out by a column first, if one is given, as they were read: a line's
+    own columns are fewer than what is made of them."""
+    lines = read(spark, sf_dir, "lineitem").select(symbol_of(F.col("l_suppkey")).alias("symbol"), F.to_date("l_shipdate").alias("trade_date"), "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity")
+    if by:
+        lines = lines.repartition(by)
     return lines.select(
-        symbol_of(F.col("l_suppkey")).alias("symbol"), F.to_date("l_shipdate").alias("trade_date"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
+        "symbol", "trade_date", (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
         F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("cents"), F.col("l_quantity").alias("quantity"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity").alias("turn"),
     )
 
@@ -46,8 +50,9 @@ def ohlcv(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(symbol, trade_date, open, high, low, close, volume)."""
-    return ohlcv(priced(spark, sf_dir), "symbol", "trade_date")
+    """(symbol, trade_date, open, high, low, close, volume). A symbol's lines come together, so
+    that windows and groups by symbol need no shuffle of their own."""
+    return ohlcv(priced(spark, sf_dir, "symbol"), "symbol", "trade_date")
 
 
 def bench(spark: SparkSession, sf_dir: str) -> DataFrame:
