@@ -7,10 +7,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof(left: DataFrame, time: str, right: DataFrame, right_time: str, by: list[str], values: list[str], forward: bool = False, strict: bool = False) -> DataFrame:
+def asof(left: DataFrame, time: str, right: DataFrame, right_time: str, by: list[str], values: list[str], forward: bool = False, strict: bool = False, together: bool = False) -> DataFrame:
     """``left`` with ``values`` of the last right row at or before its time (``forward``:
     the first at or after; ``strict``: equal times don't count), null if there is none.
-    Of right rows with one time that with the greatest values is taken."""
+    Of right rows with one time that with the greatest values is taken. ``together``: right
+    rows of a key lie in one partition already (after a window by it), so only left ones are moved."""
+    left = left.repartition(*by) if together else left
     row, value = F.struct(*left.columns), F.struct(*values)
     a = left.select(*by, F.col(time).alias("__t"), F.lit(1).alias("__s"), row.alias("__row"), F.lit(None).cast(right.select(value.alias("v")).schema["v"].dataType).alias("__v"))
     b = right.select(*by, F.col(right_time).alias("__t"), F.lit(2 if strict else 0).alias("__s"), F.lit(None).cast(left.select(row.alias("r")).schema["r"].dataType).alias("__row"), value.alias("__v"))

@@ -86,7 +86,7 @@ def event_metrics(spark, d):
     r = r.withColumns({"reaction": F.col("ret"), "gap": F.col("open") / F.col("prev_close") - 1, "runup": F.lag("close").over(w) / F.lag("close", 6).over(w) - 1, "rel_volume": F.col("volume") / F.avg("volume").over(R.before(20)), "drift_5": F.lead("close", 5).over(w) / F.col("close") - 1, "drift_20": F.lead("close", 20).over(w) / F.col("close") - 1})
     e = earnings(spark, d).where("NOT upcoming").select("symbol", "date", "surprise")
     cols = ["reaction", "gap", "runup", "rel_volume", "drift_5", "drift_20"]
-    e = asof(e, "date", r.select("symbol", "trade_date", *cols), "trade_date", ["symbol"], ["trade_date", *cols], forward=True)
+    e = asof(e, "date", r.select("symbol", "trade_date", *cols), "trade_date", ["symbol"], ["trade_date", *cols], forward=True, together=True)
     return R.tidy(e, "symbol", "date", "surprise", "trade_date", **{c: F.col(c) for c in cols})
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -181,7 +182,7 @@ def es5(spark, d):
     m = m.withColumn("k", k).where("k <= 8").drop("k")
     e = m.select("symbol", F.lit("EARNINGS").alias("event_type"), F.col("date").alias("event_date"), F.lit(False).alias("after_close"))
     s = S.event_study(e, S.paired_sessions(bars(spark, d), bench_returns(bench(spark, d))), window=(-1, 1)).select("symbol", F.col("event_date").alias("date"), "car", "t", "p", F.col("drift").alias("drift_car"))
-    out = m.join(s, ["symbol", "date"], "left")
+    out = m.join(s, ["symbol", "date"], "left").persist(StorageLevel.DISK_ONLY)  # eight rows a symbol, read for bounds, places and rows
     place = ranks.positions(out, "car").select(F.col("car").alias("__car"), (F.col("below") + F.col("same")).alias("__at"))
     n = out.agg(F.count("car")).scalar()
     out = out.join(place, F.col("car") == F.col("__car"), "left").drop("__car")

@@ -46,7 +46,7 @@ def test_rows_out_of_order_are_refused(spark):
         R.moments(rows, s=R.over("sum", "x", 2)).collect()
 
 
-@pytest.mark.parametrize("name, most", [("es1_event_study", 2), ("es1_daily_abnormal", 2)])
+@pytest.mark.parametrize("name, most", [("es1_event_study", 2), ("es1_daily_abnormal", 2), ("w30_event_metrics", 3)])
 def test_a_bar_is_moved_once(spark, name, most):
     """Lines and events go to their symbol (and the prints' sums to theirs before); neither moments nor metrics move."""
     plan = registry.QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
